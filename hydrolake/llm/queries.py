@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hydrolake.llm import secret_scan
+from hydrolake.llm import language_id, secret_scan, simhash_dedup
 from hydrolake.llm.common import read_table, spread
 
 
@@ -16,8 +17,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash_dedup.near_groups(docs).select("doc_id", simhash_dedup.hex64("fp").alias("fingerprint"), "component_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two of three folds."""
+    raw = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(raw.filter(language_id.fold(F.col("doc_id"), 3) != 1))
+    found = language_id.identify(spread(raw), model, ["doc_id"])
+    return found.select("doc_id", (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_scan": op4_secret_scan}
+    return {"op4_secret_scan": op4_secret_scan, "op5_simhash_dedup": op5_simhash_dedup, "op8_language_id": op8_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
