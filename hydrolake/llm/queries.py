@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import language_id, secret_scan, simhash_dedup
+from hydrolake.llm import bpe_automaton, language_id, secret_scan, simhash, simhash_dedup
 from hydrolake.llm.common import read_table, spread
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one."""
+    return simhash.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -23,6 +35,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(docs).select("doc_id", simhash_dedup.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to token ids and decoded again."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = bpe_automaton.encode(docs, bpe_automaton.Tokenizer.load(tokenizer_path("word_bpe_49k.json")), ["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two of three folds."""
     raw = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -31,8 +51,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op7_bpe_automaton, op8_language_id)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_scan": op4_secret_scan, "op5_simhash_dedup": op5_simhash_dedup, "op8_language_id": op8_language_id}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
