@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import bpe_automaton, language_id, secret_scan, simhash, simhash_dedup
-from hydrolake.llm.common import read_table, spread
+from hydrolake.llm import bpe_automaton, language_id, pii_pseudonyms, secret_scan, simhash, simhash_dedup, warc
+from hydrolake.llm.common import read_table, shared_table, spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,7 +51,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op7_bpe_automaton, op8_language_id)
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = b"example key; deployments pass their own") -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced."""
+    return pii_pseudonyms.pseudonymise(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), key)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = shared_table(warc.write_archives(warc.plan_revisits(pages), warc.dictionary(warc.sample(pages))), "warc")
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
