@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import bpe_automaton, language_id, pii_pseudonyms, secret_scan, simhash, simhash_dedup, warc
+from hydrolake.llm import bpe_automaton, language_id, pii_pseudonyms, secret_scan, simhash, simhash_dedup, toxicity, warc
 from hydrolake.llm.common import read_table, shared_table, spread
 
 
@@ -35,6 +35,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(docs).select("doc_id", simhash_dedup.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four of five folds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(language_id.fold(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
+    scored = toxicity.score(spread(docs), toxicity.learn(docs, labels))
+    return scored.select("doc_id", (language_id.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to token ids and decoded again."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
+QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op6_toxicity, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
