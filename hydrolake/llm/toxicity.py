@@ -31,7 +31,7 @@ from hydrolake.llm.common import map_rows
 #: Bounds: labelled rows that are learned from, entries of the lexicon.
 TRAIN_ROWS, ENTRIES = 30_000, 4000
 #: An entry needs so many toxic documents and so large a log odds ratio.
-LEAST_TOXIC, LEAST_WEIGHT = 3, 2.0
+LEAST_TOXIC, LEAST_WEIGHT = 3, 3.0
 PREFIXES = range(3, 8)
 
 # Look-alikes of Latin letters, and signs used for letters inside words.
