@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import bpe_automaton, language_id, pii_pseudonyms, secret_scan, simhash, simhash_dedup, toxicity, warc
+from hydrolake.llm import bpe_automaton, decontaminate, language_id, pii_pseudonyms, secret_scan, sharding, simhash, simhash_dedup, toxicity, warc
 from hydrolake.llm.common import read_table, shared_table, spread
 
 
@@ -23,6 +23,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document by its text's bytes."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", sharding.text_bytes("text").alias("bytes"))
+    return sharding.assign(docs, F.col("doc_id"), F.col("bytes")).select("doc_id", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document."""
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -71,7 +82,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_simhash, op4_secret_scan, op5_simhash_dedup, op6_toxicity, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
+QUERIES = (op1_simhash, op2_sharding, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_toxicity, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": sharding.oracle("documents", "doc_id", "text"), "op3_decontaminate": decontaminate.oracle()}
