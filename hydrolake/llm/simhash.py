@@ -202,7 +202,7 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFr
 
 def report(docs: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
     """The query's columns, and `n_near` for the asking rows (null for the others)."""
-    pairs = cut(edited_pairs(docs))
+    pairs = edited_pairs(docs)
     near = near_counts(pairs.select("doc_id", "fp"), radius, every)
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(float(BITS))
     shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
