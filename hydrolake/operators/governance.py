@@ -122,7 +122,7 @@ def profile_rules() -> dict[str, Column]:
     return {
         "status-not-final": F.col("status") != "final", "code-missing": F.size(F.coalesce("code.coding", F.array().cast("array<struct<system: string, code: string, display: string>>"))) == 0,
         "subject-missing": F.col("subject.reference").isNull(), "effective-missing": F.col("effectiveDateTime").isNull() & F.col("effectivePeriod").isNull(), "performer-missing": F.coalesce(F.size("performer"), F.lit(0)) <= 0,
-        "value-missing": F.col("valueQuantity").isNull() & (F.coalesce(F.size("component"), F.lit(0)) <= 0), "component-value-missing": F.exists("component", lambda c: c["valueQuantity.value"].isNull() & c["valueQuantity.comparator"].isNull()),
+        "value-missing": F.col("valueQuantity").isNull() & (F.coalesce(F.size("component"), F.lit(0)) <= 0), "component-value-missing": F.exists("component", lambda c: c["valueQuantity"]["value"].isNull() & c["valueQuantity"]["comparator"].isNull()),
     }
 
 

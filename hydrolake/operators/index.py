@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
+from hydrolake.operators.lineage import cut
 
 VETO = 1.0
 ECLIPSABLE = ("Excellent", "Good", "Fair")
@@ -188,7 +189,8 @@ def site_index(obs: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFra
         F.when(has_profile(F.col("meta.profile"), HEALTH_PROFILES), "health-measure"), F.when(~has_profile(F.col("meta.profile"), WATER_PROFILES), "other-profile"), F.when(F.col("parameter").isNull(), "no-parameter"),
         F.col("quantity_reason"), F.when(F.col("limit_value").isNull(), "no-limit"), F.when(F.col("observed").isNull(), "unit"), F.when(F.col("kind").isin("indeterminate", "invalid"), F.col("kind")), F.when(~S.physically_possible(F.col("parameter"), F.col("observed")), "impossible"),
     )
-    rows = rows.withColumn("reason", reason)
+    # Scores read the rows several times; what they read is narrow and is computed once.
+    rows = cut(rows.select("site", "parameter", "observed", "limit_value", "is_lower", reason.alias("reason")))
     counts = rows.groupBy(F.coalesce("reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"))
     low = [F.col("parameter") == p for p in dims.RANGES]
     bound = S.range_limit(F.col("observed"), F.lit(dims.RANGES["pH"][0]), F.lit(dims.RANGES["pH"][1]))

@@ -117,14 +117,14 @@ def recommend(ann: DataFrame) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, classes: list[str]) -> DataFrame:
-    """One row from (true, label, p_true): accuracy, macro F1 over the classes, mean log loss."""
-    cells = pred.groupBy("true", "label").agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest("p_true", F.lit(FLOOR)))).alias("loss"))
+    """One row from (truth, label, p_true): accuracy, macro F1 over the classes, mean log loss."""
+    cells = pred.groupBy("truth", "label").agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest("p_true", F.lit(FLOOR)))).alias("loss"))
     per = [
-        F.try_divide(2.0 * F.sum(F.when((F.col("true") == c) & (F.col("label") == c), F.col("n")).otherwise(0)), F.sum(F.when(F.col("true") == c, F.col("n")).otherwise(0)) + F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)))
+        F.try_divide(2.0 * F.sum(F.when((F.col("truth") == c) & (F.col("label") == c), F.col("n")).otherwise(0)), F.sum(F.when(F.col("truth") == c, F.col("n")).otherwise(0)) + F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)))
         for c in classes
     ]
     macro = sum((F.coalesce(x, F.lit(0.0)) for x in per), F.lit(0.0)) / len(classes)
-    return cells.agg(F.round(F.sum(F.when(F.col("true") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"))
+    return cells.agg(F.round(F.sum(F.when(F.col("truth") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"))
 
 
 def kth_score(scores: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:
@@ -151,13 +151,13 @@ def prediction_sets(post: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def coverage(sets: DataFrame) -> DataFrame:
     """Per true class: share of sets that hold it; sizes of sets."""
     size = F.size("classes")
-    return sets.groupBy("true").agg(F.count("*").alias("n"), F.round(F.avg(F.array_contains("classes", F.col("true")).cast("double")), 6).alias("coverage"), F.count_if(size == 0).alias("n_empty"), F.count_if(size == 1).alias("n_single"), F.count_if(size > 1).alias("n_ambiguous"), F.round(F.avg(size), 6).alias("mean_size"))
+    return sets.groupBy("truth").agg(F.count("*").alias("n"), F.round(F.avg(F.array_contains("classes", F.col("truth")).cast("double")), 6).alias("coverage"), F.count_if(size == 0).alias("n_empty"), F.count_if(size == 1).alias("n_single"), F.count_if(size > 1).alias("n_ambiguous"), F.round(F.avg(size), 6).alias("mean_size"))
 
 
 def confident(post: DataFrame, truth: DataFrame) -> DataFrame:
     """(spec, conf, right): the likeliest class, ties to the larger name."""
     top = post.groupBy("spec").agg(F.max(F.struct("p", "class")).alias("t")).select("spec", F.col("t.p").alias("conf"), F.col("t.class").alias("label"))
-    return top.join(truth, "spec").select("spec", "conf", (F.col("label") == F.col("true")).alias("right"))
+    return top.join(truth, "spec").select("spec", "conf", (F.col("label") == F.col("truth")).alias("right"))
 
 
 def risk_coverage(conf: DataFrame, steps: int = 21) -> DataFrame:
