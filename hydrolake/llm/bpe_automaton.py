@@ -32,6 +32,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 # The White_Space property, and the expression that splits words.
 SPACE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+# Letters and numbers of Unicode 17, which the tokenizers library (Unicode 16) takes for neither, and
+# lower-case letters of Unicode 16 and 17, which Python's tables lack.
+UNICODE_17 = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 "
+    "16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff "
+    "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+LOWER_LATE = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Entries that a task's tables keep before they start anew.
 KEPT_WORDS, KEPT_ARCS = 400_000, 1_000_000
 
@@ -43,6 +51,14 @@ def byte_letters() -> str:
     return "".join(chr(b if b in shown else next(spare)) for b in range(256))
 
 
+def splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+    """The expression that splits words, a slower one that leaves out Unicode 17, and one that finds texts that need the latter."""
+    late = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in UNICODE_17.split())
+    exact = SPLIT.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]", rf"[[^{SPACE}\p{{L}}\p{{N}}]{late}]").replace(r"\p{L}+", rf"[\p{{L}}--[{late}]]+").replace(r"|\p{N}|", rf"|[\p{{N}}--[{late}]]|")
+    rare = late + "".join(f"\\U{c:08x}" for c in LOWER_LATE)
+    return regex.compile(SPLIT), regex.compile(exact, regex.V1), regex.compile(f"[{rare}]")
+
+
 class Automaton:
     """The merge automaton over token ids, with state 0 as its start."""
 
@@ -140,7 +156,7 @@ class Tokenizer:
         self._ready()
 
     def _ready(self) -> None:
-        self.split = regex.compile(SPLIT)
+        self.split, self.exact, self.rare = splitters()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
         self.words: dict[str, list[int]] = {}
@@ -171,8 +187,11 @@ class Tokenizer:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
-            for word in self.split.findall(part):
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter is lower-cased by itself: no final sigma
+            find = self.split
+            if not part.isascii() and self.rare.search(part):
+                part, find = part.translate(LOWER_LATE), self.exact
+            for word in find.findall(part.lower()):
                 out += words.get(word) or new(word)
         return out
 

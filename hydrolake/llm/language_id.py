@@ -92,10 +92,12 @@ class Model:
         self.starts, self.ends = [], []
         for x in self.langs:
             table = suffix_automaton((np.searchsorted(self.alphabet, taken[x]) + 1).tolist(), len(self.alphabet) + 1)
-            restart = table < 0
-            follow = np.where(restart, np.maximum(table[0], 0)[None, :], table)
-            # One table for both: the next state, and in the lowest bit whether a phrase ended.
-            self.starts.append(np.ascontiguousarray(follow * 2 + restart, np.int32).ravel())
+            # One more state, after the others: before a text, and behind a letter that the sample lacks.
+            table = np.vstack([table, np.full((1, table.shape[1]), -1, np.int32)])
+            again = table < 0
+            first = np.where(table[0] < 0, len(table) - 1, table[0])
+            # One table for both: the next state, and in the lowest bit whether a phrase begins with this letter.
+            self.starts.append(np.ascontiguousarray(np.where(again, first[None, :], table) * 2 + again, np.int32).ravel())
 
     def _codes(self, text: str) -> np.ndarray:
         points = _letters(text)
@@ -130,16 +132,16 @@ class Model:
         live = np.searchsorted(-lengths, -np.arange(SEGMENT), "left")
         who = np.array(owner)[order]
         for lang, table in enumerate(self.starts):
-            state = np.zeros(len(block), np.int32)
-            ended = np.ones(len(block), np.int32)
+            state = np.full(len(block), len(table) // width - 1, np.int32)
+            begun = np.zeros(len(block), np.int32)
             for step in range(SEGMENT):
                 n = live[step]
                 if not n:
                     break
                 got = table[state[:n] * width + grid[step, :n]]
                 state[:n] = got >> 1
-                ended[:n] += got & 1
-            np.add.at(out[:, lang], who, ended)
+                begun[:n] += got & 1
+            np.add.at(out[:, lang], who, begun)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and a score from 0 to 1 that grows with its lead over the next one."""
