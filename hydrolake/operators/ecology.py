@@ -13,11 +13,13 @@ def diversity(counts: DataFrame, by: str, taxon: str, n: str) -> DataFrame:
 
     One shuffle by sample and taxon and one by sample; Shannon needs only the sums of n and n ln n.
     """
-    per = counts.groupBy(by, taxon).agg(F.sum(n).cast("double").alias("c")).filter("c > 0")
-    g = per.groupBy(by).agg(F.count("*").alias("s"), F.sum("c").alias("t"), F.sum(F.col("c") * F.ln("c")).alias("l"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count_if(F.col("c") == 1).alias("f1"), F.count_if(F.col("c") == 2).alias("f2"))
-    h = F.ln("t") - F.col("l") / F.col("t")
-    chao = F.col("s") + F.col("f1") * (F.col("f1") - 1) / (2.0 * (F.col("f2") + 1))
-    return g.select(by, F.col("s").alias("richness"), F.round(h, 6).alias("shannon"), F.round(1 - F.col("q") / (F.col("t") * F.col("t")), 6).alias("simpson"), F.round(F.when(F.col("s") >= 2, h / F.ln("s")), 6).alias("pielou"), F.round(chao, 6).alias("chao1"))
+    per = counts.groupBy(by, taxon).agg(F.sum(n).cast("double").alias("__c")).filter("__c > 0")
+    c = F.col("__c")
+    g = per.groupBy(by).agg(F.count("*").alias("__s"), F.sum(c).alias("__t"), F.sum(c * F.ln(c)).alias("__l"), F.sum(c * c).alias("__q"), F.count_if(c == 1).alias("__1"), F.count_if(c == 2).alias("__2"))
+    taxa, total, once = F.col("__s"), F.col("__t"), F.col("__1")
+    h = F.ln(total) - F.col("__l") / total
+    chao = taxa + once * (once - 1) / (2.0 * (F.col("__2") + 1))
+    return g.select(by, taxa.alias("richness"), F.round(h, 6).alias("shannon"), F.round(1 - F.col("__q") / (total * total), 6).alias("simpson"), F.round(F.when(taxa >= 2, h / F.ln(taxa)), 6).alias("pielou"), F.round(chao, 6).alias("chao1"))
 
 
 def biotic(families: DataFrame, scores: DataFrame, by: str) -> DataFrame:
@@ -26,8 +28,8 @@ def biotic(families: DataFrame, scores: DataFrame, by: str) -> DataFrame:
     A dimension of families; each family counts once a sample.
     """
     present = families.select(by, "family", "order").distinct().join(scores, "family", "left")
-    g = present.groupBy(by).agg(F.sum("score").alias("bmwp"), F.count("score").alias("k"), F.count_if(F.col("order").isin(*EPT)).alias("e"), F.count("*").alias("n"))
-    return g.select(by, "bmwp", F.round(F.try_divide(F.col("bmwp").cast("double"), F.col("k").cast("double")), 6).alias("aspt"), F.round(F.col("e") / F.col("n"), 6).alias("ept_ratio"))
+    g = present.groupBy(by).agg(F.sum("score").alias("bmwp"), F.count("score").alias("__k"), F.count_if(F.col("order").isin(*EPT)).alias("__e"), F.count("*").alias("__n"))
+    return g.select(by, "bmwp", F.round(F.try_divide(F.col("bmwp").cast("double"), F.col("__k").cast("double")), 6).alias("aspt"), F.round(F.col("__e") / F.col("__n"), 6).alias("ept_ratio"))
 
 
 def reach(km: Column, k: Column, u: Column, d: Column, decay_per_km: Column) -> dict[str, Column]:
