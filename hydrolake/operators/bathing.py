@@ -79,3 +79,8 @@ def history(rows: DataFrame, limit: int = 200) -> DataFrame:
     """The first `limit` seasons of each water, ascending."""
     w = W.partitionBy("bw_id").orderBy("season")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("bw_id", "place", "season", "quality")
+
+
+def view(rollup: DataFrame) -> DataFrame:
+    """Display rows of waters: the class behind the latest quality, (blank) without one; located or no-location."""
+    return rollup.select("bw_id", "country", F.coalesce("latest_class", F.lit("(blank)")).alias("shown_class"), F.when(F.col("lat").isNotNull(), "located").otherwise("no-location").alias("location_status"), F.concat_ws("-", "first_season", "last_season").alias("seasons"))

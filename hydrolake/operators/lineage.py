@@ -1,23 +1,32 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder that executors share (spark.checkpoint.dir) and go on from there.
-
-    Only a local session without the setting, as in tests, gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session without the setting, as in tests, gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and go on from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

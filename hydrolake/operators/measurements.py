@@ -145,6 +145,12 @@ def enrich_sites(rollup: DataFrame, sites: DataFrame) -> DataFrame:
     return rollup.join(sites.withColumn("known", F.lit(True)), ["country", "site_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def site_view(sites: DataFrame) -> DataFrame:
+    """Display rows of sites: the name falls back to the id; located or no-location."""
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return sites.select("country", "site_id", F.coalesce("name", "site_id").alias("name"), "lat", "lon", F.when(located, "located").otherwise("no-location").alias("location_status"))
+
+
 def restricted_audit(sites: DataFrame, status: str = "status") -> DataFrame:
     """Per country and status: sites, and those that still carry coordinates though they may not."""
     leak = F.col("lat").isNotNull() & ~S.holds(F.trim(F.col(status)) == "F")

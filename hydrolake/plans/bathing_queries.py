@@ -206,3 +206,8 @@ def p16_sample_view(t: Tables):
 @query(f"SELECT bw_id, {LABEL} AS label, CASE WHEN regexp_matches(trim(profile), '^(?i)https?://[^ ]+$') THEN trim(profile) END AS url FROM {select(CLASSES, 'orders')}")
 def f13_quality_class_safe_url(t: Tables):
     return t.view("orders", CLASSES).select("bw_id", S.quality_class(F.col("quality")).alias("label"), S.safe_url(F.col("profile")).alias("url"))
+
+
+@query(f"WITH {CLEAN}, x AS (SELECT bw_id, min(country) AS country, arg_max_null(quality, season) AS quality, count(lat) AS located, min(season) AS a, max(season) AS b FROM deduped GROUP BY 1) SELECT bw_id, country, coalesce({LABEL}, '(blank)') AS shown_class, CASE WHEN located > 0 THEN 'located' ELSE 'no-location' END AS location_status, a || '-' || b AS seasons FROM x")
+def p16_bathing_view(t: Tables):
+    return B.view(B.rollup(deduped(t)))

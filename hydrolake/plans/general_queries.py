@@ -12,6 +12,7 @@ from hydrolake.operators import listing as L
 from hydrolake.operators import network as N
 from hydrolake.operators import reliability as R
 from hydrolake.operators import text as X
+from hydrolake.operators.lineage import shared_path
 from hydrolake.plans.registry import Tables, query
 from hydrolake.plans.views import select
 from hydrolake.sources import writers
@@ -462,3 +463,13 @@ def s8_observation_resources(t: Tables):
 def p16_parameters_in_use(t: Tables):
     used = t.view("part", ["CASE p_partkey % 2 WHEN 0 THEN 'pH' ELSE 'Nitrate' END AS parameter"]).distinct()
     return dims.parameters(t.spark).join(used, "parameter", "left_semi")
+
+
+@query("SELECT l_suppkey AS site, count(*) AS n, count(*) FILTER (WHERE l_linenumber <= 4) AS n_summaries, count(*) FILTER (WHERE l_linenumber > 4 AND l_partkey % 11 = 0) AS n_bounds FROM lineitem GROUP BY 1")
+def s5_read_observations(t: Tables):
+    """Nested records, written as JSON lines and read with their schema."""
+    path = shared_path(t.spark, "observations")
+    nested(t).write.json(path)
+    rows = t.spark.read.schema(I.OBSERVATION).json(path)
+    site = F.regexp_extract("subject.reference", r"L(\d+)$", 1).cast("long")
+    return rows.groupBy(site.alias("site")).agg(F.count("*").alias("n"), F.count_if(F.size("component") > 0).alias("n_summaries"), F.count_if(F.col("valueQuantity.comparator").isNotNull()).alias("n_bounds"))

@@ -8,8 +8,10 @@ from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
 from hydrolake.operators import measurements as M
 from hydrolake.operators import periods as P
+from hydrolake.operators.lineage import shared_path
 from hydrolake.plans import views as V
 from hydrolake.plans.registry import Tables, query
+from hydrolake.sources import readers, writers
 
 RULED = f"""{V.CELLS},
 weights AS (SELECT determinand, matrix, unit, count(*) AS n_rows, sum(n + n_below_loq)::BIGINT AS n_records FROM cells WHERE pos BETWEEN {V.A[1]} AND {V.A[2]} OR pos BETWEEN {V.B[1]} AND {V.B[2]} GROUP BY ALL),
@@ -250,3 +252,37 @@ def j3_site_semi_join(t: Tables):
 def s7_provenance(t: Tables):
     per = cells(t).groupBy("country").agg(F.sum(F.col("n") + F.col("n_below_loq")).alias("records"), F.count("*").alias("cells"))
     return per.select("country", F.explode(F.create_map(F.lit("records"), F.col("records").cast("string"), F.lit("cells"), F.col("cells").cast("string"))).alias("key", "value"))
+
+
+@query(f"WITH {V.SITES_SQL} SELECT country, site_id, coalesce(name, site_id) AS name, lat, lon, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 'located' ELSE 'no-location' END AS location_status FROM sites")
+def p16_site_view(t: Tables):
+    return M.site_view(sites(t))
+
+
+@query(f"WITH {V.TYPED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM reasoned GROUP BY 1")
+def s1_read_measurements(t: Tables):
+    """The rows land as CSV once and are read by their header."""
+    path = shared_path(t.spark, "measurements")
+    V.measurements(t).select(*reversed(list(M.NAMES))).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return M.drop_reason(readers.read_measurements(t.spark, path), V.MIN_YEAR).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.CELLS} SELECT * EXCLUDE (pos) FROM cells")
+def s6_write_cells(t: Tables):
+    """The store of cells, written in key order and read back."""
+    path = shared_path(t.spark, "cells")
+    writers.write_store(cells(t), path, ["country", "site_id", "determinand", "matrix", "unit", "year", "month"])
+    back = t.spark.read.parquet(path)
+    return back.select(*M.KEY, *[c for c in back.columns if c not in M.KEY])
+
+
+@query("SELECT CASE CAST(s_nationkey AS INT) % 3 WHEN 0 THEN 'differs' ELSE 'ok' END AS state, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier) GROUP BY 1")
+def s9_verify_manifest(t: Tables):
+    """Files of suppliers by nation against a manifest with some hashes changed."""
+    path = shared_path(t.spark, "manifest")
+    t.supplier.select("s_nationkey", F.to_json(F.struct("s_suppkey", "s_name")).alias("line")).repartition("s_nationkey").sortWithinPartitions("line").write.partitionBy("s_nationkey").text(path)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    nation = F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int")
+    manifest = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), nation.alias("nation"), F.sha2("content", 256).alias("sha256"))
+    listed = manifest.select(F.concat_ws("/", F.concat(F.lit("s_nationkey="), F.col("nation").cast("string")), "file").alias("name"), F.when(F.col("nation") % 3 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    return readers.verify_manifest(t.spark, path, listed, depth=2).groupBy("state").agg(F.count("*").alias("n"))

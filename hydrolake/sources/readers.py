@@ -66,8 +66,11 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOCATION).option("multiLine", True).json(path)
 
 
-def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, sha256, found, state): the files of a folder against the manifest (name, sha256)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
+    """(name, sha256, found, state): the files of a folder against the manifest (name, sha256).
+
+    A name is the last `depth` parts of a file's path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/").alias("name"), F.sha2("content", 256).alias("found"))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.lower("sha256") == F.col("found"), "ok").otherwise("differs")
     return manifest.join(files, "name", "full_outer").withColumn("state", state)
