@@ -126,14 +126,17 @@ def profile_rules() -> dict[str, Column]:
     }
 
 
-def official_reason(third_party: tuple[str, ...] = ("sl-", "third-party"), profiles: str = "oah") -> Column:
-    """The first rule by which a nested observation is not official; null if it is."""
+def official_reason(third_party: tuple[str, ...] = ("sl-", "third-party"), guide: str = "guide") -> Column:
+    """The first rule by which a nested observation is not official; null if it is.
+
+    `guide` is the short name that ends the names of official profiles.
+    """
     tag = lambda t: S.holds(F.exists("meta.tag", lambda x: x["code"] == t))
     marked = lambda x: F.lit(False) if not third_party else F.array_contains(F.transform(F.array(*map(F.lit, third_party)), lambda m: F.when(m == "sl-", F.startswith(x, m)).otherwise(F.contains(x, m))), True)
     other = S.holds(F.exists("meta.profile", lambda p: marked(F.element_at(F.split(p, "/"), -1)))) | S.holds(F.exists("code.coding", lambda c: marked(F.coalesce(c["code"], F.lit(""))) | marked(F.coalesce(c["system"], F.lit("")))))
     return (
         F.when(tag("simulated"), "tag-simulated").when(tag("demo"), "tag-demo").when(tag("synthetic"), "tag-synthetic").when(other, "third-party")
-        .when(F.coalesce(F.size("meta.profile"), F.lit(0)) <= 0, "no-profile").when(~S.holds(F.exists("meta.profile", lambda p: F.endswith(p, F.lit(profiles)))), "other-profile")
+        .when(F.coalesce(F.size("meta.profile"), F.lit(0)) <= 0, "no-profile").when(~S.holds(F.exists("meta.profile", lambda p: F.endswith(p, F.lit(guide)))), "other-profile")
     )
 
 

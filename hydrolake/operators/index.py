@@ -161,13 +161,15 @@ def match_parameter(code: Column) -> Column:
     return F.get(F.filter(F.transform(asked, lambda x: S.lookup(F.lower(F.trim(x)), names)), lambda x: x.isNotNull()), 0)
 
 
-WATER_PROFILES = ("observation-water-oah", "observation-environment-oah")
-HEALTH_PROFILES = ("observation-health-measure-oah",)
+# Names of profiles, without the short name of their guide.
+WATER_PROFILES = ("observation-with-component", "observation-indicators")
+HEALTH_PROFILES = ("observation-health-measure",)
 
 
-def has_profile(profiles: Column, known: tuple[str, ...]) -> Column:
-    """Whether a profile, or the last part of its URL, is one of `known`."""
-    return S.holds(F.exists(profiles, lambda p: p.isin(*known) | F.element_at(F.split(p, "/"), -1).isin(*known)))
+def has_profile(profiles: Column, known: tuple[str, ...], guide: str = "[a-z0-9]+") -> Column:
+    """Whether a profile, or the last part of its URL, is one of `known` with the guide's short name behind it."""
+    pattern = f"(^|/)({'|'.join(known)})-({guide})$"
+    return S.holds(F.exists(profiles, lambda p: p.rlike(pattern)))
 
 
 def site_index(obs: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -409,7 +409,7 @@ def nested(t: Tables):
     names = "element_at(array('nitrate', 'sulphate', 'ammonium', 'lead-dissolved', 'colour'), CAST(l_partkey % 5 + 1 AS INT))"
     fields = [
         "CONCAT('o', l_orderkey, '-', l_linenumber) AS id", "'Observation' AS resourceType",
-        "named_struct('profile', CASE WHEN l_partkey % 17 = 0 THEN array() WHEN l_partkey % 13 = 0 THEN array('http://x/observation-health-measure-oah') ELSE array('http://x/observation-water-oah') END, 'tag', array(named_struct('code', CASE WHEN l_partkey % 23 = 0 THEN 'demo' ELSE 'real' END))) AS meta",
+        "named_struct('profile', CASE WHEN l_partkey % 17 = 0 THEN array() WHEN l_partkey % 13 = 0 THEN array('http://x/observation-health-measure-guide') ELSE array('http://x/observation-indicators-guide') END, 'tag', array(named_struct('code', CASE WHEN l_partkey % 23 = 0 THEN 'demo' ELSE 'real' END))) AS meta",
         "CASE WHEN l_partkey % 29 = 0 THEN 'preliminary' ELSE 'final' END AS status", f"named_struct('coding', array(named_struct('system', 's', 'code', {names}, 'display', CAST(NULL AS STRING))), 'text', CAST(NULL AS STRING)) AS code",
         "named_struct('reference', CONCAT('Location/L', l_suppkey)) AS subject", "array(named_struct('reference', 'x')) AS performer", "CAST(CAST(l_shipdate AS DATE) AS STRING) AS effectiveDateTime", "CAST(NULL AS STRUCT<start: STRING, `end`: STRING>) AS effectivePeriod",
         "CASE WHEN l_linenumber > 4 THEN named_struct('value', l_quantity, 'comparator', CASE WHEN l_partkey % 11 = 0 THEN '<' END, 'unit', 'mg/L', 'system', 'http://unitsofmeasure.org', 'code', 'mg/L') END AS valueQuantity",

@@ -237,7 +237,7 @@ def test_store_refuses_to_be_empty(spark, tmp_path):
 
 def test_nested_observations(spark, tmp_path):
     def obs(i, **more):
-        return {"id": i, "resourceType": "Observation", "status": "final", "meta": {"profile": ["http://x/observation-water-oah"]}, "code": {"coding": [{"code": "nitrate"}]}, "subject": {"reference": "Location/L1"}, "performer": [{"reference": "p"}], "effectiveDateTime": "2020-01-01"} | more
+        return {"id": i, "resourceType": "Observation", "status": "final", "meta": {"profile": ["http://x/observation-indicators-guide"]}, "code": {"coding": [{"code": "nitrate"}]}, "subject": {"reference": "Location/L1"}, "performer": [{"reference": "p"}], "effectiveDateTime": "2020-01-01"} | more
 
     import json
 
