@@ -162,10 +162,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", doc
     The choice depends on the texts alone, and a text that repeats is taken once.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
-    # Hashes first, texts after: the ranking moves no text, and ranks only so many rows of a task.
-    ranked = rows.filter(F.col("lang").isin(names)).select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= 8 * docs_per_lang)
-    chosen = ranked.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).select("lang", "h")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    # Hashes first, texts after. Hashes are even, so a bound on them leaves about 32 times the wanted documents
+    # of a language, however large it is; the ranking then sees that many rows and moves no text.
+    low = F.lit(False)
+    for name, n in sizes.items():
+        share = min(1.0, 32 * docs_per_lang / n)
+        low = low | ((F.col("lang") == name) & (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    few = rows.filter(low).select("lang", "h").distinct()
+    chosen = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).select("lang", "h")
     wanted = [(r["lang"], r["h"]) for r in chosen.collect()]
     if not wanted:
         return Model({})
