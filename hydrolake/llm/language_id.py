@@ -162,9 +162,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", doc
     The choice depends on the texts alone, and a text that repeats is taken once.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
-    # Hashes first, texts after. Hashes are even, so a bound on them leaves about 32 times the wanted documents
-    # of a language, however large it is; the ranking then sees that many rows and moves no text.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    # Hashes first, texts after. Distinct hashes are even, so a bound on them leaves about 32 times the wanted
+    # documents of a language, however large it is; the ranking then sees that many rows and moves no text.
     low = F.lit(False)
     for name, n in sizes.items():
         share = min(1.0, 32 * docs_per_lang / n)
