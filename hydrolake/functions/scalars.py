@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +9,9 @@ from hydrolake.functions import dims
 
 
 def lookup(key: Column, table: dict, otherwise: Column | None = None) -> Column:
-    """The value of a small fixed table."""
-    chain = reduce(lambda c, kv: c.when(key == F.lit(kv[0]), F.lit(kv[1])), list(table.items())[1:], F.when(key == F.lit(next(iter(table))), F.lit(next(iter(table.values())))))
-    return chain if otherwise is None else chain.otherwise(otherwise)
+    """The value of a small fixed table: one literal map, so the key is computed once."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def finite(x: Column) -> Column:

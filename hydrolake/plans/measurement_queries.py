@@ -172,14 +172,16 @@ def _assessed(m: str) -> str:
 
 
 @query(f"""WITH {WINDOWED}, {LIMITED}, judged AS (SELECT *, {_assessed("mean_a")} AS assessment_a, {_assessed("mean_b")} AS assessment_b, {change_sql("mean_a", "mean_b", "own_unit")} FROM limited)
-SELECT site_id, determinand, matrix, n_a, n_b, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, absolute, relative_percent, relative_percent_note, direction, assessment_a, assessment_b, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status,
+SELECT site_id, determinand, matrix, n_a, n_b, round(mean_a + 1e-10, 6) AS mean_a, round(mean_b + 1e-10, 6) AS mean_b, round(mean_b - mean_a + 1e-10, 6) AS absolute, CASE WHEN relative_percent IS NOT NULL THEN round(100 * (mean_b - mean_a) / abs(mean_a) + 1e-10, 4) END AS relative_percent, relative_percent_note, direction, assessment_a, assessment_b, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status,
 CASE WHEN n_a < 3 OR n_b < 3 OR assessment_a NOT IN ('within-limit', 'exceeds-limit') OR assessment_b NOT IN ('within-limit', 'exceeds-limit') THEN NULL WHEN assessment_a = assessment_b THEN 'none' WHEN assessment_b = 'exceeds-limit' THEN 'within-to-exceeds' ELSE 'exceeds-to-within' END AS crossed_limit,
 array_to_string(list_sort(list_filter([CASE WHEN (months_a > 0 AND months_a < {V.A[2] - V.A[1] + 1}) OR (months_b > 0 AND months_b < {V.B[2] - V.B[1] + 1}) THEN 'partial-period' END, CASE WHEN n_below_loq_a + n_below_loq_b > 0 THEN 'below-loq-excluded-bias-upward' END, 'periods-overlap', CASE WHEN relative_percent_note IN ('baseline-zero', 'baseline-missing', 'comparison-missing') THEN 'relative-change-undefined' END, CASE WHEN relative_percent_note = 'interval-scale' THEN 'relative-change-interval-scale' END], lambda x: x IS NOT NULL)), ',') AS flags FROM judged""")
 def a18_compare_site(t: Tables):
     own = cells(t)
     wide = with_limits(t, P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))))
     out = P.compare_site(wide, V.A, V.B, F.col("own_unit"), F.col("limit_value"), F.col("is_lower"))
-    return out.select("site_id", "determinand", "matrix", "n_a", "n_b", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), "absolute", "relative_percent", "relative_percent_note", "direction", "assessment_a", "assessment_b", "status", "crossed_limit", "flags")
+    # Sums come in any order; a hair more decides ties of the last shown digit alike on both sides.
+    a, b = F.col("mean_a"), F.col("mean_b")
+    return out.select("site_id", "determinand", "matrix", "n_a", "n_b", F.round(a + 1e-10, 6).alias("mean_a"), F.round(b + 1e-10, 6).alias("mean_b"), F.round(b - a + 1e-10, 6).alias("absolute"), F.when(F.col("relative_percent").isNotNull(), F.round(100 * F.try_divide(b - a, F.abs(a)) + 1e-10, 4)).alias("relative_percent"), "relative_percent_note", "direction", "assessment_a", "assessment_b", "status", "crossed_limit", "flags")
 
 
 @query(f"""WITH {WINDOWED}, {LIMITED}, r AS (SELECT *, reason IS NULL AS ok, CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL AND round(mean_a, 6) <> 0 THEN round(100 * (mean_b - mean_a) / abs(mean_a), 4) END AS rel, CASE WHEN mean_a IS NULL OR mean_b IS NULL THEN NULL WHEN round(mean_a, 6) = round(mean_b, 6) THEN 'no-change' WHEN mean_b > mean_a THEN 'increased' ELSE 'decreased' END AS dir FROM limited),
