@@ -59,6 +59,15 @@ def splitters() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
     return regex.compile(SPLIT), regex.compile(exact, regex.V1), regex.compile(f"[{rare}]")
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where all tables agree."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Automaton:
     """The merge automaton over token ids, with state 0 as its start."""
 
@@ -189,7 +198,7 @@ class Tokenizer:
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter is lower-cased by itself: no final sigma
             find = self.split
-            if not part.isascii() and self.rare.search(part):
+            if not _latin(part) and self.rare.search(part):
                 part, find = part.translate(LOWER_LATE), self.exact
             for word in find.findall(part.lower()):
                 out += words.get(word) or new(word)
