@@ -28,32 +28,32 @@ def drop_reason(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
     """
     codes = {d[0]: d for d in dims.DETERMINANDS}
     bad = lambda c, why: F.when(~S.holds(c), F.lit(why))
-    code, matrix = F.col("observedPropertyDeterminandCode"), F.col("procedureAnalysedMatrix")
-    allowed = {k: "W,W-DIS" if d[8] is None else d[3] for k, d in codes.items()}
-    date = S.parse_date(F.col("phenomenonTimeSamplingDate"))
-    below = S.holds(F.col("resultQualityObservedValueBelowLOQ").isin(*dims.BELOW_LOQ))
-    value = S.number(F.col("resultObservedValue"))
-    low, high = S.lookup(code, {k: v[0] for k, v in dims.PLAUSIBLE.items()}), S.lookup(code, {k: v[1] for k, v in dims.PLAUSIBLE.items()})
-    country = S.normalise_country(F.col("countryCode"))
     malformed = F.col("_malformed") if "_malformed" in df.columns else F.lit(False)
+    # What several rules read is computed in a projection of its own, which Spark keeps apart.
+    typed = df.select(
+        S.normalise_country(F.col("countryCode")).alias("country"), F.trim("monitoringSiteIdentifier").alias("site_id"), F.col("parameterWaterBodyCategory").alias("category"), F.col("observedPropertyDeterminandCode").alias("determinand"),
+        F.col("procedureAnalysedMatrix").alias("matrix"), F.trim("resultUom").alias("unit"), S.parse_date(F.col("phenomenonTimeSamplingDate")).alias("date"), S.number(F.col("resultObservedValue")).alias("number"),
+        S.holds(F.col("resultQualityObservedValueBelowLOQ").isin(*dims.BELOW_LOQ)).alias("below_loq"), S.holds(F.col("metadata_observationStatus").isin(*dims.UNRELIABLE)).alias("unreliable"),
+        S.holds(F.col("resultObservationStatus").isin(*dims.MISSING)).alias("missing"), S.holds(malformed).alias("malformed"),
+    )
+    code, date, value, below = map(F.col, ("determinand", "date", "number", "below_loq"))
+    own = {k: "W,W-DIS" if d[8] is None else d[3] for k, d in codes.items()}
+    both, one = [k for k, m in own.items() if m == "W,W-DIS"], {k: m for k, m in own.items() if m != "W,W-DIS"}
+    low, high = S.lookup(code, {k: v[0] for k, v in dims.PLAUSIBLE.items()}), S.lookup(code, {k: v[1] for k, v in dims.PLAUSIBLE.items()})
     reason = F.coalesce(
-        F.when(S.holds(malformed), "malformed"),
-        bad(country.isNotNull(), "country"),
-        bad(F.col("parameterWaterBodyCategory").isin(*dims.CATEGORIES), "category"),
+        F.when(F.col("malformed"), "malformed"),
+        bad(F.col("country").isNotNull(), "country"),
+        bad(F.col("category").isin(*dims.CATEGORIES), "category"),
         bad(code.isin(*codes), "determinand"),
-        bad(F.array_contains(F.split(S.lookup(code, allowed), ","), matrix), "matrix"),
-        bad(~S.holds(F.col("resultObservationStatus").isin(*dims.MISSING)), "missing-value"),
+        bad((code.isin(both) & F.col("matrix").isin(*dims.MATRICES)) | (S.lookup(code, one) == F.col("matrix")), "matrix"),
+        F.when(F.col("missing"), "missing-value"),
         bad(date.isNotNull(), "date"),
         bad(F.year(date) >= min_year, "before-min-year"),
-        bad((F.trim("resultUom") != "") & (F.trim("monitoringSiteIdentifier") != ""), "no-unit-or-site"),
+        bad((F.col("unit") != "") & (F.col("site_id") != ""), "no-unit-or-site"),
         bad(below | value.isNotNull(), "no-value"),
         F.when(S.holds(~below & ((value < low) | (value > high))), "implausible"),
     )
-    typed = {
-        "country": country, "site_id": F.trim("monitoringSiteIdentifier"), "category": F.col("parameterWaterBodyCategory"), "determinand": code, "matrix": matrix, "unit": F.trim("resultUom"),
-        "year": F.year(date), "month": F.month(date), "value": F.when(~below, value), "below_loq": below, "unreliable": S.holds(F.col("metadata_observationStatus").isin(*dims.UNRELIABLE)), "reason": reason,
-    }
-    return df.select(*[c.alias(k) for k, c in typed.items()])
+    return typed.select("country", "site_id", "category", "determinand", "matrix", "unit", F.year(date).alias("year"), F.month(date).alias("month"), F.when(~below, value).alias("value"), "below_loq", "unreliable", reason.alias("reason"))
 
 
 def kept(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
