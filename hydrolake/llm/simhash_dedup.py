@@ -13,6 +13,10 @@ Equal fingerprints are one entry of the index, so exact copies cost nothing ther
 compared in cells of bounded size and each cell returns only a spanning forest of its links,
 which keeps the components and leaves no quadratic number of rows behind a group of near copies.
 
+The pipeline's stage (`keep_one`) has a contract of its own: shingles of five words and a Jaccard
+likeness of 0.8. Such pairs differ in some ten bits, beyond what this index can hold, so its
+candidates are pairs that share a band of least hashes, and each is verified by the whole sets.
+
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; repeated
 rows and equal doc_ids are rows of their own with equal results; null doc_ids are kept, and a
 component of them alone has a null id; other columns are ignored by `near_groups` and kept by
@@ -36,6 +40,11 @@ from hydrolake.llm.components import connected_components
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
 WORDS, SEED, RADIUS = 4, 42, 4
 RINGS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: The pipeline's stage: words of a shingle and least Jaccard likeness (numerator, denominator) of linked texts.
+STAGE_WORDS, LIKE = 5, (4, 5)
+#: Bands of five least hashes each: of pairs with a likeness of 0.8 all but (1 - 0.8**5)**30, 7 in a million, share a band.
+BANDS = 30
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 5 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Hashes that are counted at once; a long text is counted in several parts.
 PART = 1 << 16
 
@@ -167,12 +176,99 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp", "left").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` with one document of each group: that with the smallest id. Rows without an id are kept.
+def _sketch_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, STAGE_WORDS)], "<u8"))
+
+
+def _sketch(text: str | None) -> tuple[np.ndarray, list[int]]:
+    """The sorted distinct hashes of a text's shingles of `STAGE_WORDS` words, and a hash of the least values of each band."""
+    found = _sketch_set(text)
+    if not len(found):
+        return found, []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, (found[at : at + 1024, None] * FACTORS).min(0))
+    rows = least.astype("<u8").reshape(BANDS, -1)
+    return found, [_signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tk, key, n, bands): a hash of the text, one of its set of shingles, the set's size, its bands."""
+
+    def make():
+        def block(rows):
+            for r in rows:
+                found, r["bands"] = _sketch(r.pop("__text"))
+                r["key"], r["n"] = _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), len(found)
+            return rows
+
+        return block
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("__text"))
+    return map_rows(own, make, f"id {kind}, tk bigint, key bigint, n int, bands array<bigint>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(key, s): the hashes of the shingles of each row of texts (key, text)."""
+
+    def make():
+        def block(rows):
+            return [{"key": r["key"], "s": _sketch_set(r["text"]).view("<i8").tolist()} for r in rows]
+
+        return block
+
+    return map_rows(texts, make, "key bigint, s array<bigint>")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (u, v, nu, nv) of sets whose exact Jaccard likeness is `LIKE` or more; `texts`: (key, text)."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    sets = cut(_sets(texts.join(nodes, "key", "left_semi")))
+    both = pairs.join(sets.withColumnRenamed("s", "sv"), pairs["v"] == sets["key"]).drop("key").join(sets.withColumnRenamed("s", "su"), F.col("u") == F.col("key"))
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.filter(LIKE[1] * common >= LIKE[0] * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+
+
+def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): texts whose sets of shingles of five words have a Jaccard likeness of 0.8 or more, linked transitively.
+
+    Pairs that share a band are candidates and are verified by their whole sets: first each member of a band
+    against the band's smallest, then the pairs that are still in different components.
+    """
+    rows = cut(sketches(docs, id_col, text_col))
+    known = rows.filter("n > 0").groupBy("key").agg(F.min("tk").alias("tk"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    index = known.select("key", "tk", "n", F.explode("bands").alias("band"))
+    shared = index.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
+    members = cut(index.join(shared, "band"))
+    wanted = members.select("key", "tk").distinct()
+    own = docs.select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")).join(wanted, "tk")
+    texts = cut(own.dropDuplicates(["key"]).select("key", "text"))
+    sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
+    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized).distinct()
+    first = cut(_alike(cut(stars), texts))
+    parts = connected_components(first)
+    placed = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", "n", F.col("c.key").alias("centre"), F.coalesce("component", "key").alias("part"))
+    mixed = placed.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
+    placed = cut(placed.join(mixed, "band", "left_semi"))
+    a, b = placed.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), "centre", F.col("part").alias("pu")), placed.select("band", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
+    rest = a.join(b, "band").filter("u < v AND pu <> pv AND u <> centre").filter(sized).select("u", "v", "nu", "nv").distinct()
+    parts = connected_components(first.unionByName(_alike(cut(rest), texts)))
+    named = rows.join(parts, rows["key"] == parts["node"], "left").select("id", F.coalesce("component", "key").alias("part"))
+    least = named.groupBy("part").agg(F.min("id").alias("component_id"))
+    return named.join(least, "part").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with one document of each of the `like_groups`: that with the smallest id. Rows without an id are kept.
 
     Rows that repeat the kept id are reduced to one of them, that with the smallest text.
     """
-    groups = near_groups(docs, id_col, text_col, radius)
+    groups = like_groups(docs, id_col, text_col)
     drop = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = docs.join(drop, id_col, "left_anti").select(*docs.columns)
     again = left.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)

@@ -121,3 +121,20 @@ def test_one_and_no_document(spark, odd):
     assert r["near_next"] == 1.0 and simhash.report(odd.limit(0)).count() == 0 and simhash.report(odd).count() == odd.count()
     with pytest.raises(ValueError):
         simhash.tables(5)
+
+
+def test_stage_links_by_five_word_likeness(spark, docs, prose):
+    rnd = random.Random(8)
+    texts = prose(40, 80, seed=21) + [None, "", "one", "One", "two words"]
+    for t in prose(40, 200, seed=22):
+        w = t.split()
+        for _ in range(rnd.randint(1, 6)):
+            w[rnd.randrange(len(w))] = "edit"
+        texts += [t, " ".join(w)]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    alike = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any((plain_fp(texts[i]) ^ plain_fp(texts[j])).bit_count() > 4 for i, j in alike)
+    want = closure(alike, range(len(texts)))
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(docs(texts).repartition(5)).collect()}
+    assert kept == set(want.values())
