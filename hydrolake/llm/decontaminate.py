@@ -8,8 +8,13 @@ is if each of the item's values stands for one value of the document throughout.
 alignment covers half of an item's windows, or `ENOUGH` of them, has the item: as a copy, or
 re-parameterised where slots differ.
 
+A second kind of windows has all capitals folded, keeps names as plain words and types numbers and
+units only; it finds copies in another case and, word by word, items of many numbers or names. It is
+judged by the same alignment and reported for pairs that typed windows do not find. The DuckDB SQL
+of `oracle` has typed windows only.
+
 Items shorter than a window are one window as long as they are. Windows with fewer than `LITERALS`
-plain words (of short items: fewer than half) say too little and are left out.
+plain words (of short items: fewer than half) say too little and are left out as typed windows.
 
 The benchmark's windows are broadcast only after their number was found to be at most
 `BROADCAST_WINDOWS`; beyond it the join shuffles windows.
@@ -53,48 +58,86 @@ def template(w: Column) -> Column:
     return F.transform(w, one)
 
 
-def _windows(words_col: str, template_col: str, size: Column) -> Column:
-    """Structs (pos, hash, slots) of all windows of `size` words; slots are the words behind placeholders."""
-    count = F.size(template_col) - size + 1
-    slots = lambda i: F.filter(F.slice("__slots", i + 1, size), lambda x: x.isNotNull())
-    made = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(size, F.slice(template_col, i + 1, size)).alias("hash"), slots(i).alias("slots")))
-    return F.when(count > 0, made)
+def _fold(word: Column) -> Column:
+    return F.lower(F.upper(word))
 
 
 def _tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Words, template and slots of each text, and those with all capitals folded.
+
+    __mark tells of each word whether it is plain in both templates alike (0), in the folded one only or in another
+    form (1), or a slot of both (2). The hashes of words are __typed, __plain and, without any slots, __literal.
+    """
     out = df.select(*keep, words(F.col(text)).alias("__words"))
-    out = out.withColumn("__template", template(F.col("__words")))
-    return out.withColumn("__slots", F.transform("__words", lambda x, i: F.when(F.get("__template", i).startswith("<"), x)))
+    out = out.withColumn("__template", template(F.col("__words"))).withColumn("__folded", F.transform("__words", _fold))
+    out = out.withColumn("__mark", F.transform("__template", lambda t, i: F.when(t.isin("<num>", "<unit>"), 2).when(t != F.get("__folded", i), 1).otherwise(0)))
+    out = out.withColumn("__slots", F.transform("__words", lambda x, i: F.when(F.get("__template", i).startswith("<"), x)))
+    out = out.withColumn("__values", F.transform("__folded", lambda x, i: F.when(F.get("__mark", i) == 2, x)))
+    out = out.withColumn("__typed", F.transform("__template", lambda t: F.xxhash64(t))).withColumn("__literal", F.transform("__folded", lambda x: F.xxhash64(x)))
+    return out.withColumn("__plain", F.transform("__mark", lambda m, i: F.get(F.when(m == 2, F.col("__typed")).otherwise(F.col("__literal")), i)))
+
+
+def _few(size: Column) -> Column:
+    """The plain words that a window of `size` words needs."""
+    return F.least(F.lit(LITERALS), F.ceil(size / 2).cast("int"))
+
+
+def _windows(size: Column, item: bool = False) -> Column:
+    """Structs (pos, folded, hash, slots) of windows of `size` words; slots are the words behind placeholders, else null.
+
+    Typed windows are followed by folded ones: capitals folded, and only numbers and units typed. Folded windows with too
+    few plain words are taken word by word. Of documents, those are left out that equal their typed window: of items all
+    are made.
+    """
+    part = lambda c, i: F.slice(c, i + 1, size)
+    at = F.sequence(F.lit(0), F.size("__template") - size)
+    made = lambda i, folded, t, s: F.struct(i.alias("pos"), F.lit(folded).alias("folded"), F.xxhash64(size, t).alias("hash"), s.alias("slots"))
+    typed = F.transform(at, lambda i: made(i, False, part("__typed", i), part("__slots", i)))
+
+    def form(i: Column) -> Column:
+        """0: as the typed window, 1: folded, 2: word by word."""
+        mark = part("__mark", i)
+        few = F.size(F.array_remove(mark, 2)) < _few(size)
+        return F.when(F.array_max(mark) < 2, F.array_max(mark)).when(few, 2).otherwise(F.array_contains(mark, 1).cast("int"))
+
+    forms = F.transform(at, lambda i: F.struct(i.alias("i"), form(i).alias("f")))
+    own = forms if item else F.filter(forms, lambda x: x["f"] > 0)
+    none = F.array_repeat(F.lit(None).cast("string"), size)
+    folded = F.transform(own, lambda x: made(x["i"], True, F.when(x["f"] == 2, part("__literal", x["i"])).otherwise(part("__plain", x["i"])), F.when(x["f"] == 2, none).otherwise(part("__values", x["i"]))))
+    return F.when(F.size("__template") >= size, F.concat(typed, folded))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, pos, hash, slots, n): the telling windows of each item and how many it has."""
+    """(item_id, size, pos, folded, hash, slots, n): the telling windows of each item and how many of their kind it has."""
     rows = _tokens(benchmark, "text", "item_id").withColumn("n_words", F.size("__words")).filter("n_words > 0")
     rows = rows.withColumn("size", F.least(F.lit(WINDOW), F.col("n_words"))).withColumn("item", F.monotonically_increasing_id())
-    each = rows.select("item_id", "item", "size", "__template", F.explode(_windows("__words", "__template", F.col("size"))).alias("w")).select("item_id", "item", "size", "w.*", F.slice("__template", F.col("w.pos") + 1, F.col("size")).alias("t"))
+    each = rows.select("item_id", "item", "size", "__template", F.explode(_windows(F.col("size"), item=True)).alias("w")).select("item_id", "item", "size", "w.*", F.slice("__template", F.col("w.pos") + 1, F.col("size")).alias("t"))
     plain = F.size(F.filter("t", lambda x: ~x.startswith("<")))
-    telling = each.filter(plain >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2).cast("int"))).filter((F.col("size") >= LITERALS)).drop("t")
-    counts = telling.groupBy("item").agg(F.count("*").alias("n"))
-    return telling.join(counts, "item").drop("item")
+    telling = each.filter(F.col("folded") | (plain >= _few(F.col("size")))).filter((F.col("size") >= LITERALS)).drop("t")
+    counts = telling.groupBy("item", "folded").agg(F.count("*").alias("n"))
+    return telling.join(counts, ["item", "folded"]).drop("item")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item in it: doc_id, item_id, n_windows, item_windows, n_slots, n_changed, kind."""
+    """One row for each document and item in it: doc_id, item_id, n_windows, item_windows, n_slots, n_changed, kind.
+
+    An alignment of typed windows goes before one of folded windows.
+    """
     items = item_windows(benchmark)
     known = items.groupBy("size").count().collect()
     if not known:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, n_changed long, kind string")
     small = sum(r["count"] for r in known) <= BROADCAST_WINDOWS
     sizes = sorted(r["size"] for r in known)  # eight at most
-    own = F.flatten(F.array_compact(F.array(*[_windows("__words", "__template", F.lit(k)) for k in sizes])))
-    windows = _tokens(docs, "text", "doc_id").select("doc_id", F.explode(own).alias("w")).select("doc_id", F.col("w.pos").alias("at"), "w.hash", F.col("w.slots").alias("held"))
-    met = windows.join(F.broadcast(items) if small else items, "hash")
-    pairs = F.transform(F.arrays_zip("slots", "held"), lambda p: F.struct(p["slots"].alias("item"), p["held"].alias("doc")))
-    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.count_distinct("pos").alias("n_windows"), F.max("n").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    own = F.flatten(F.array_compact(F.array(*[_windows(F.lit(k)) for k in sizes])))
+    windows = _tokens(docs, "text", "doc_id").select("doc_id", F.explode(own).alias("w")).select("doc_id", F.col("w.pos").alias("at"), F.col("w.folded").alias("only_folded"), "w.hash", F.col("w.slots").alias("held"))
+    met = windows.join(F.broadcast(items) if small else items, "hash").filter("folded OR NOT only_folded")
+    pairs = F.filter(F.transform(F.arrays_zip("slots", "held"), lambda p: F.struct(p["slots"].alias("item"), F.when(F.col("folded"), _fold(p["held"])).otherwise(p["held"]).alias("doc"))), lambda p: p["item"].isNotNull())
+    runs = met.groupBy("doc_id", "item_id", "folded", (F.col("at") - F.col("pos")).alias("shift")).agg(F.count_distinct("pos").alias("n_windows"), F.max("n").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     enough = (F.col("n_windows") >= SHARE * F.col("item_windows")) | (F.col("n_windows") >= ENOUGH)
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).cast("long")
-    best = runs.filter(consistent & enough).select("doc_id", "item_id", F.struct("n_windows", (-changed).alias("same"), "item_windows", F.size("pairs").cast("long").alias("n_slots")).alias("r"))
+    best = runs.filter(consistent & enough).select("doc_id", "item_id", F.struct((~F.col("folded")).alias("typed"), "n_windows", (-changed).alias("same"), "item_windows", F.size("pairs").cast("long").alias("n_slots")).alias("r"))
     best = best.groupBy("doc_id", "item_id").agg(F.max("r").alias("r"))
     kind = F.when(F.col("r.same") == 0, "copy").otherwise("re-parameterised")
     return best.select("doc_id", "item_id", "r.n_windows", "r.item_windows", "r.n_slots", (-F.col("r.same")).alias("n_changed"), kind.alias("kind"))

@@ -77,6 +77,15 @@ def test_benchmark_join_without_broadcast(spark, docs, bench, monkeypatch):
     assert decontaminate.find(docs(texts), bench).collect() == want
 
 
+def test_benchmark_passages_in_other_case(spark, docs):
+    items = [(1, "A farmer named Tom has 12 apples and gives 5 kg of them to Anna before he walks 3 miles home with Tom."), (2, "Anna Berg Carl Dorn Eva Falk Greta Hahn Ida Jung Karl"), (3, "1 2 4 8 16 32 64 128 256 512 1024"), (4, "Die Straße nach Ulm ist heute wieder den ganzen Tag gesperrt")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["words before " + t.upper() + " words after" for _, t in items] + ["so " + items[0][1].lower(), "so " + items[0][1].replace("12", "40").upper(), "it counts 2 3 5 7 11 13 17 19 23 29 31", "Max Berg Kurt Dorn Lea Falk Nina Hahn Ute Jung Karl", items[3][1].lower()]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.find(docs(texts), bench).collect()}
+    assert got == {(0, 1): "copy", (1, 2): "copy", (2, 3): "copy", (3, 4): "copy", (4, 1): "copy", (5, 1): "re-parameterised", (8, 4): "copy"}
+    assert [r["doc_id"] for r in decontaminate.clean(docs(texts), bench).orderBy("doc_id").collect()] == [6, 7]
+
+
 def test_permutations():
     f = pii_pseudonyms.Feistel(b"k")
     for n in (1, 2, 10, 73049 // 100, 1000):
