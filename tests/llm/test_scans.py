@@ -45,6 +45,22 @@ def test_secret_rows(spark, odd, docs):
     assert secret_scan.redact(odd).columns == odd.columns
 
 
+def test_redact_leaves_no_key_material(spark, docs):
+    rnd = random.Random(4)
+    line = lambda n: "".join(rnd.choice("ABCDxyz0189+/") for _ in range(n))
+    lines = [line(64), line(64), line(64), line(23) + "="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    bodies = ["\n".join(lines), "\r\n".join(lines), "\\n".join(lines), " ".join(lines), head + "\n".join(lines)]
+    texts = [f"see {begin}\n{b}\n{end} after" for b in bodies] + [f"see {begin}\n{b}\n\n- after" for b in bodies]
+    texts += [f"see {begin}\n{bodies[0]}\n\n- and {begin}\n{bodies[0]}\n{end} after"]
+    texts += [f"see {p}{'a1B2' * 100} after" for p in ("ghp_", "xoxb-", "AIza", "sk_live_")]
+    got = [r["text"] for r in secret_scan.redact(docs(texts)).orderBy("doc_id").collect()]
+    clean = [" ".join(x.split()) for x in got]
+    assert clean == ["see [SECRET] after"] * 5 + ["see [SECRET] - after"] * 5 + ["see [SECRET] - and [SECRET] after"] + ["see [SECRET] after"] * 4
+    assert len(secret_scan.Scanner().spans([begin + "\n" + "- text " * 50_000])[0]) == 1
+
+
 @pytest.fixture
 def bench(spark):
     items = [(1, "A farmer named Tom has 12 apples and gives 5 kg of them to Anna before he walks 3 miles home with Tom."), (2, "short item words here"), (3, None), (4, "two words")]
