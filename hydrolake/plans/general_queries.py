@@ -266,7 +266,7 @@ def k3_measurement_records(t: Tables):
     from pyspark.sql import Window as W
 
     order = W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.withColumn("place", F.row_number().over(order)).filter("place <= 200").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("parameter"), F.col("l_suppkey").alias("site"), "place")
+    return t.lineitem.withColumn("place", F.row_number().over(order)).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("parameter"), F.col("l_suppkey").alias("site"), "place")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, 'sandbox' AS origin, 0 AS source_rank, NULL::DOUBLE AS balance FROM supplier UNION ALL SELECT c_custkey, c_name, 'stored', 1, c_acctbal FROM customer")

@@ -81,7 +81,7 @@ def a2_annual_series(t: Tables):
 @query(f"""WITH {V.CELLS}, m AS (SELECT *, count(*) OVER w AS total_matching, row_number() OVER (PARTITION BY site_id, determinand, matrix, unit ORDER BY pos, country, category) AS place FROM cells WHERE pos BETWEEN {V.A[1]} AND {V.B[2]} WINDOW w AS (PARTITION BY site_id, determinand, matrix, unit))
 SELECT site_id, determinand, matrix, unit, printf('%04d-%02d', pos // 12, pos % 12 + 1) AS month, n, round(sum_value / nullif(n, 0), 6) AS mean, total_matching, place FROM m WHERE place <= 12""")
 def a2_monthly_series(t: Tables):
-    return M.monthly_series(cells(t), V.A[1], V.B[2], limit=12)
+    return M.monthly_series(cells(t), V.A[1], V.B[2])
 
 
 ROLLUP = "rollup AS (SELECT site_id, min(country) AS country, first(category ORDER BY r DESC, category) AS category, min(fy) AS first_year, max(ly) AS last_year, sum(r)::BIGINT AS n_records FROM (SELECT site_id, category, min(country) AS country, sum(n + n_below_loq) AS r, min(year) AS fy, max(year) AS ly FROM cells GROUP BY 1, 2) GROUP BY 1)"

@@ -119,3 +119,12 @@ def test_sites(spark):
     rows = spark.createDataFrame([("IT", "S1", "UNKNOWN", "F", "45.0", "9.0", 1), ("IT", "S1", "n", "N", "45.0", "9.0", 2), ("IT", "S2", "n", "F", None, "9", 1), ("IT", "S2", "m", "F", "1", "2", 2), ("IT", " ", "n", "F", "1", "2", 3), ("IT", "S3", "n", "F", "91", "2", 3)], "countryCode string, monitoringSiteIdentifier string, monitoringSiteName string, confidentialityStatus string, lat string, lon string, input_order int")
     got = {r["site_id"]: (r["name"], r["lat"], r["restricted"], r["withheld"]) for r in M.merge_sites(M.clean_sites(rows)).collect()}
     assert got == {"S1": ("n", None, True, True), "S2": ("m", 1.0, False, False), "S3": ("n", None, False, False)}
+
+
+def test_queries_return_all_rows(spark):
+    from hydrolake import plans
+
+    sf = "/root/testdata/sf0.001"
+    assert plans.queries()["k3_measurement_records"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    series = plans.queries()["a2_monthly_series"](spark, sf).groupBy("site_id", "determinand", "matrix", "unit").agg(F.count("*").alias("n"), F.max("total_matching").alias("total"))
+    assert series.filter("n <> total").count() == 0 and series.agg(F.max("n")).first()[0] > 12
