@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import cut
+from hydrolake.llm.common import cut, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,16 +18,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round links every node's larger neighbours and then its smaller ones to its smallest
     neighbour, and ends when no edge changes; every component is then a star. The edges of a
     round are written to the shared checkpoint folder. Only a count and a checksum reach the
-    driver. Loops and repeated edges are ignored; no edges give no rows.
+    driver. The star of a large component is a hot key, so joins are dealt by more than the key. Loops and repeated edges are ignored; no edges give no rows.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = spread_join(large, least, "u", "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = cut(small.filter("u > v").distinct())
         before, state = state, _state(now)
         if state == before:
