@@ -3,10 +3,8 @@
 Two 64-bit fingerprints at most 4 bits apart differ in at most 4 of their 8 bytes, so they
 share the bytes at 4 positions or more: that is the guaranteed minimum of the count filter.
 Posting lists of single positional bytes would hold 1/256 of the corpus each, so the index is
-keyed by three positional bytes together. Twenty of the 56 triples of positions suffice: split
-the positions into three rings of 3, 3 and 2; a triple is taken if it lies in one ring or has two
-positions in a ring and one in the next. Any four positions contain such a triple, so every pair
-that passes the count filter meets in a bucket. Within a bucket the shared positional bytes of
+keyed by four positional bytes together, one list for each of the 70 choices of positions: every
+pair that passes the count filter meets in a bucket. Within a bucket the shared positional bytes of
 each pair are tallied, pairs below the minimum are left, and the rest are verified by their bits.
 
 Equal fingerprints are one entry of the index, so exact copies cost nothing there. Buckets are
@@ -19,7 +17,7 @@ candidates are pairs that share a band of least hashes, and each is verified by
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; repeated
 rows and equal doc_ids are rows of their own with equal results; null doc_ids are kept, and a
-component of them alone has a null id; other columns are ignored by `near_groups` and kept by
+component of them alone has a null id, and ids may be any longs; other columns are ignored by `near_groups` and kept by
 `keep_one`; an empty table gives no rows.
 """
 
@@ -34,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake.llm.buckets import cells
-from hydrolake.llm.common import cut, map_rows
+from hydrolake.llm.common import cut, map_rows, spread_join
 from hydrolake.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
 WORDS, SEED, RADIUS = 4, 42, 4
-RINGS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: Byte positions that key the index together.
+POSITIONS = tuple(combinations(range(8), 4))
 #: The pipeline's stage: words of a shingle and least Jaccard likeness (numerator, denominator) of linked texts.
 STAGE_WORDS, LIKE = 5, (4, 5)
 #: Bands of five least hashes each: of pairs with a likeness of 0.8 all but (1 - 0.8**5)**30, 7 in a million, share a band.
@@ -49,22 +48,6 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 5 * BANDS, np.uint64)
 PART = 1 << 16
 
 
-def triples() -> list[tuple[int, int, int]]:
-    """The triples of byte positions that key the index: any four positions contain one of them."""
-    ring = {p: k for k, r in enumerate(RINGS) for p in r}
-
-    def taken(t: tuple[int, int, int]) -> bool:
-        of = sorted((ring[p] for p in t))
-        for k in of:
-            if of.count(k) == 3:
-                return True
-            if of.count(k) == 2:
-                return (k + 1) % 3 in of
-        return False
-
-    return [t for t in combinations(range(8), 3) if taken(t)]
-
-
 def shingles(text: str | None, words: int = WORDS) -> list[bytes]:
     """The word shingles of a text, A-Z lower-cased, repeats included; fewer words are one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -103,10 +86,13 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
 
 
 def index_rows(fps: DataFrame) -> DataFrame:
-    """(key, fp, id) for each triple of positions: the key is the triple's number and its three bytes."""
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = [F.lit(n << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for n, (a, b, c) in enumerate(triples())]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "id")
+    """(key, fp, id) for each choice of positions: the key is the choice's number and its four bytes."""
+    # Choices are a constant array of shifts, so the code of a key is made once and not seventy times.
+    choices = F.array(*[F.array(*[F.lit(8 * p) for p in c]) for c in POSITIONS])
+    each = fps.select(F.posexplode(choices).alias("n", "at"), "fp", "id")
+    octet = lambda k: F.call_function("shiftrightunsigned", F.col("fp"), F.col("at")[k]).bitwiseAND(F.lit(255))
+    key = F.col("n").cast("long") * (1 << 32) + octet(0) * (1 << 24) + octet(1) * 65536 + octet(2) * 256 + octet(3)
+    return each.select(key.alias("key"), "fp", "id")
 
 
 def _forest(fp: np.ndarray, side: np.ndarray, ids: list[int], radius: int) -> list[tuple[int, int]]:
@@ -164,16 +150,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id reachable over links, the row's own included.
     """
     if not 0 <= radius <= 4:
-        raise ValueError("the index of three positional bytes holds for radius 0 to 4")
+        raise ValueError("the index of four positional bytes holds for radius 0 to 4")
     rows = cut(fingerprints(docs, [id_col], text_col))
-    known = cut(rows.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("id")))
-    # Fingerprints of rows without an id take part in the links under numbers below every id.
-    lost = rows.groupBy("fp").agg(F.max(F.col(id_col).isNotNull()).alias("has")).filter("NOT has").select("fp")
-    fps = known if lost.isEmpty() else cut(known.unionByName(lost.select("fp", F.shiftrightunsigned(F.xxhash64("fp"), 1).bitwiseOR(F.lit(1 << 62)).alias("id"))))
-    parts = connected_components(links(fps, radius))
-    named = fps.join(parts, fps["id"] == parts["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < (1 << 62), F.col("component_id")))
-    return rows.join(named, "fp", "left").select(id_col, "fp", "component_id")
+    # Components are found among fingerprints, so ids may be any longs or null.
+    known = cut(rows.groupBy("fp").agg(F.min(id_col).alias("id")))
+    parts = connected_components(links(known.select("fp", F.col("fp").alias("id")), radius))
+    linked = cut(known.join(parts, known["fp"] == parts["node"]).select("fp", "id", "component"))
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = spread_join(linked, least, "component", "fp").select("fp", "component_id")
+    alone = known.join(linked, "fp", "left_anti").select("fp", F.col("id").alias("component_id"))
+    return spread_join(rows, named.unionByName(alone), "fp", id_col, "left").select(id_col, "fp", "component_id")
 
 
 def _sketch_set(text: str | None) -> np.ndarray:
@@ -260,7 +246,7 @@ def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = connected_components(first.unionByName(_alike(cut(rest), texts)))
     named = rows.join(parts, rows["key"] == parts["node"], "left").select("id", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
-    return named.join(least, "part").select(F.col("id").alias(id_col), "component_id")
+    return spread_join(named, least, "part", "id").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
