@@ -24,11 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydrolake.llm.buckets import cells
-from hydrolake.llm.common import cut, map_rows
+from hydrolake.llm.common import cut, map_rows, spread_join
 
 BITS, RADIUS, BLOCKS = 64, 3, 5
 #: Terms that vote at once.
@@ -119,19 +118,18 @@ def _last(rows: list[dict]) -> list[dict]:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """For each document, its fingerprint, that of its edit with the next document, and the next one's.
 
-    The texts are range-partitioned by id once, so that a document and the next are neighbours.
-    Only each partition's first and last text cross partitions: two rows a partition.
+    The texts are range-partitioned by id and text hash once, so that a document and the next are
+    neighbours. Only each partition's first and last text cross partitions: two rows a partition.
+    The driver sees the numbers of the partitions that have rows.
     """
     rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     found = cut(ordered.mapInArrow(_edits, EDITED))
-    heads = found.filter("place = 0").select("part", F.col("text").alias("after"), F.col("fp").alias("next_fp"))
-    # As many rows as partitions: the first texts in order, the last of them followed by the first.
-    order = W.orderBy("part")
-    following = heads.select("part", F.lead("after").over(order).alias("after"), F.lead("next_fp").over(order).alias("next_fp"))
-    first = heads.orderBy("part").limit(1).select(F.col("after").alias("after0"), F.col("next_fp").alias("next0"))
-    waiting = found.filter("place = 2").select("part", "doc_id", "text", "fp").join(following, "part", "left").join(F.broadcast(first), F.lit(True), "left")
-    waiting = waiting.select("doc_id", "text", "fp", F.coalesce("after", "after0").alias("after"), F.coalesce("next_fp", "next0").alias("next_fp"))
+    heads = found.filter("place = 0").select(F.col("part").alias("next"), F.col("text").alias("after"), F.col("fp").alias("next_fp"))
+    parts = sorted(r[0] for r in heads.select("next").collect())
+    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
+    lasts = found.filter("place = 2").select("part", "doc_id", "text", "fp")
+    waiting = lasts.join(F.broadcast(following), "part").join(heads, "next").select("doc_id", "text", "fp", "after", "next_fp")
     done = found.filter("place = 1").select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
     return done.unionByName(map_rows(waiting, lambda: _last, done.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")))
 
@@ -206,5 +204,7 @@ def report(docs: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
     near = near_counts(pairs.select("doc_id", "fp"), radius, every)
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(float(BITS))
     shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    asking = F.when(F.col("doc_id") % every == 0, F.col("n_near"))
-    return pairs.join(near, "fp", "left").select("doc_id", "n_chars", "edited_sha256", shown("fp").alias("fingerprint"), shown("edited_fp").alias("edited_fingerprint"), alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"), asking.alias("n_near"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counted = spread_join(pairs.filter(asks), near, "fp", "doc_id", "left")
+    rows = counted.unionByName(pairs.filter(~asks).withColumn("n_near", F.lit(None).cast("long")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", shown("fp").alias("fingerprint"), shown("edited_fp").alias("edited_fingerprint"), alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"), "n_near")
