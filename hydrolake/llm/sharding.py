@@ -5,12 +5,14 @@ is a prefix whose rows fit the byte limit while those of the prefix one bit shor
 oversized buckets split. Bytes are summed once for each cell of a grid of prefixes somewhat finer
 than the limit needs; the sums of shorter prefixes follow from the cells. Where cells are still
 oversized their rows are summed again on a finer grid. Rows whose keys share all 60 bits can't be
-told apart by bits: they are cut into shards by their running bytes.
+told apart by bits: they are dealt into blocks of some `BLOCK` limits, and each block is cut into
+shards by its running bytes, so no task gets all rows of a hot key.
 
 Cases: a null key is a key of its own; a null or empty text has no bytes and still belongs to a
 shard; a row over the limit has a shard to itself among rows of its hash, the one shard over the
 limit; repeated rows share a bucket and are cut by bytes; equal byte counts need no tie rule, since
-prefixes are disjoint; other columns are kept; an empty table has no shards.
+prefixes are disjoint; other columns are kept, but for those named like a result, which it replaces; an empty
+table has no shards.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from hydrolake.llm.common import cut
 
 #: Bits of the hash, bits by which the grid is finer than an even split, and the default limit.
 BITS, FINER, MAX_BYTES = 60, 4, 1 << 20
+#: Limits of bytes that one block of rows of a hash has on average.
+BLOCK = 32
+RESULT = ("shard", "depth", "shard_bytes", "shard_rows")
 
 
 def key_hash(key: Column) -> Column:
@@ -65,34 +70,35 @@ def directory(rows: DataFrame, max_bytes: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def assign(df: DataFrame, key: Column, size: Column, max_bytes: int = MAX_BYTES, order: list[str] | None = None) -> DataFrame:
-    """`df` with shard (its prefix bits as text, and a number behind a point where rows of one hash were cut), depth, shard_bytes and shard_rows.
-
-    `order`: columns by which rows of one hash are cut, all of them if none is given.
-    """
-    known = df.withColumn("__h", key_hash(key)).withColumn("__bytes", F.coalesce(size, F.lit(0)).cast("long"))
+def assign(df: DataFrame, key: Column, size: Column, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """`df` with shard (its prefix bits as text, and numbers behind points where rows of one hash were cut), depth, shard_bytes and shard_rows."""
+    kept = [c for c in df.columns if c not in RESULT]
+    known = df.select(*kept, key_hash(key).alias("__h"), F.coalesce(size, F.lit(0)).cast("long").alias("__bytes"))
     cells = cut(directory(cut(known.select(F.col("__h").alias("h"), F.col("__bytes").alias("bytes"))), max_bytes))
     grids = sorted(r[0] for r in cells.select("grid").distinct().collect())
     placed = None
     for g in grids:
-        own = cells.filter(F.col("grid") == g).drop("grid").withColumnRenamed("cell", "__cell")
+        own = cells.filter(F.col("grid") == g).select(F.col("cell").alias("__cell"), *[F.col(c).alias(f"__{c}") for c in RESULT[1:]])
         part = known.withColumn("__cell", _prefix(F.col("__h"), g)).join(own, "__cell").drop("__cell")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
-        return df.withColumns({"shard": F.lit(""), "depth": F.lit(0), "shard_bytes": F.lit(0).cast("long"), "shard_rows": F.lit(0).cast("long")})
-    bits = F.lpad(F.conv(_prefix(F.col("__h"), F.col("depth")).cast("string"), 10, 2), F.col("depth"), "0")
-    placed = placed.withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(bits))
-    large = F.col("shard_bytes") > max_bytes
-    if not cells.filter("shard_bytes > %d" % max_bytes).isEmpty():
-        same = W.partitionBy("__h").orderBy(*(order or df.columns))
+        return df.select(*kept, F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows"))
+    bits = F.lpad(F.conv(_prefix(F.col("__h"), F.col("__depth")).cast("string"), 10, 2), F.col("__depth"), "0")
+    placed = placed.withColumn("__shard", F.when(F.col("__depth") == 0, F.lit("")).otherwise(bits))
+    large = F.col("__shard_bytes") > max_bytes
+    if not cells.filter(F.col("shard_bytes") > max_bytes).isEmpty():
+        # Rows are numbered where they lie; the numbers are written down, so that a lost executor can't change them.
+        over = cut(placed.filter(large).withColumn("__row", F.monotonically_increasing_id()))
+        over = over.withColumn("__block", F.pmod(F.xxhash64("__row"), F.ceil(F.col("__shard_bytes") / (BLOCK * max_bytes))))
         # A piece has the rows that lie wholly between two multiples of the limit; a row across one is a piece of its own.
-        over = placed.filter(large).withColumn("__last", F.sum("__bytes").over(same.rowsBetween(W.unboundedPreceding, 0)))
+        same = W.partitionBy("__h", "__block").orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+        over = over.withColumn("__last", F.sum("__bytes").over(same))
         over = over.withColumn("__piece", F.floor((F.col("__last") - F.col("__bytes")) / max_bytes)).withColumn("__spill", (F.floor((F.col("__last") - 1) / max_bytes) > F.col("__piece")).cast("int"))
-        over = over.withColumn("shard", F.concat_ws(".", "shard", F.col("__piece").cast("string"), F.col("__spill").cast("string")))
-        own = W.partitionBy("__h", "shard")
-        over = over.withColumn("shard_bytes", F.sum("__bytes").over(own)).withColumn("shard_rows", F.count("*").over(own)).drop("__last", "__piece", "__spill")
-        placed = placed.filter(~large).unionByName(over)
-    return placed.drop("__h", "__bytes")
+        over = over.withColumn("__shard", F.concat_ws(".", "__shard", *[F.col(c).cast("string") for c in ("__block", "__piece", "__spill")]))
+        own = W.partitionBy("__h", "__shard")
+        over = over.withColumn("__shard_bytes", F.sum("__bytes").over(own)).withColumn("__shard_rows", F.count("*").over(own))
+        placed = placed.filter(~large).unionByName(over.select(*placed.columns))
+    return placed.select(*kept, *[F.col(f"__{c}").alias(c) for c in RESULT])
 
 
 def text_bytes(column: str) -> Column:
