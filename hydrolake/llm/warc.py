@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrolake.llm.common import spread_join
+
 # Fixed values of the formats.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,7 +35,7 @@ NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 4 << 20
 #: The sample that a dictionary is trained on, and its size.
-SAMPLE_PAGES, DICT_BYTES = 200, 32 << 10
+SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 200, 1 << 16, 32 << 10
 FEED = 32 << 10
 
 
@@ -42,16 +44,23 @@ class BadRecord(ValueError):
 
 
 def plan_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_digest, refers_to); refers_to is null for responses."""
+    """(page_id, url, html, payload_digest, refers_to); refers_to is null for responses.
+
+    Only payloads that can be revisits are shuffled, those of one digest to several tasks.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("size"))
-    again = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter("n > 1").select("payload_digest", "first")
+    large = rows.filter(F.col("size") >= REVISIT_BYTES)
+    again = large.groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter("n > 1").select("payload_digest", "first")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(again, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    told = spread_join(large, again, "payload_digest", "page_id", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    small = rows.filter(F.col("size") < REVISIT_BYTES).select("page_id", "url", "html", "payload_digest", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    return told.unionByName(small)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of a page's record; only rows that repeat id and payload share one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -59,10 +68,10 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{page_id}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"]
     head += [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -203,6 +212,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def sample(pages: DataFrame) -> list[bytes]:
-    """Records of a bounded sample of pages, to train a dictionary on."""
-    rows = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("d")).limit(SAMPLE_PAGES).collect()
-    return [record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass")[: 1 << 17], r["d"], None) for r in rows]
+    """Records of the beginnings of `SAMPLE_PAGES` pages, to train a dictionary on; they alone reach the driver."""
+    head = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS)
+    rows = pages.select("page_id", "url", head.alias("head"), F.sha1(F.encode(head, "UTF-8")).alias("d")).limit(SAMPLE_PAGES).collect()
+    return [record(r["page_id"], r["url"], r["head"].encode("utf-8", "surrogatepass"), r["d"], None) for r in rows]
