@@ -55,7 +55,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # One attempt for each run of token letters, so runs of "eyJ" take linear time; what stands before it in the run belongs to the span.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
 )
 
 
@@ -97,14 +98,14 @@ def _item(op, arg) -> tuple[set[str] | None, tuple]:
         return {""}, ANY
     if op is rc.IN and len(arg) <= 6 and all(o is rc.LITERAL for o, _ in arg):
         return {chr(c) for _, c in arg}, ANY
-    if op is rc.SUBPATTERN:
-        return _sequence(arg[3])
+    if op in (rc.SUBPATTERN, rc.ATOMIC_GROUP):
+        return _sequence(arg[3] if op is rc.SUBPATTERN else arg)
     if op is rc.BRANCH:
         parts = [_sequence(p) for p in arg[1]]
         if all(e is not None for e, _ in parts) and len(both := set().union(*(e for e, _ in parts))) <= MAX_EXACT:
             return both, ANY
         return None, _one_of([q if e is None else _strings(e) for e, q in parts])
-    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
+    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
         least, most, inner = arg
         exact, query = _sequence(inner)
         if (least, most) == (0, 1) and exact is not None:
