@@ -11,22 +11,25 @@ Lexicon and function are fitted on a bounded sample of labelled rows (`TRAIN_ROW
 every row and whole texts.
 
 Cases: a null or empty text finds nothing and has the score of a text without entries; without
-labelled rows of both kinds every score is 0.5 of nothing known, that is 0; repeated rows score
-equally; rows without a label or id are scored and not learned from; other columns are not looked at.
+labelled rows of both kinds nothing is learned and every score is 0; repeated rows score equally and
+are learned from once, as is an id with several texts (its smallest one); rows without a label or id
+are scored and not learned from; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import map_rows
+from hydrolake.llm.common import cut, map_rows
 
 #: Bounds: labelled rows that are learned from, entries of the lexicon.
 TRAIN_ROWS, ENTRIES = 30_000, 4000
@@ -64,8 +67,7 @@ def terms(folded: str) -> set[str]:
     """The candidate entries of a folded text: its words, and their beginnings with a space before."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 40:
-            out.add(f" {w} ")
+        out.add(f" {w} ")
         out.update(f" {w[:k]}" for k in PREFIXES if k < len(w))
     return out
 
@@ -104,9 +106,13 @@ class Lexicon:
         if len(self.machine):
             for end, (size, w) in self.machine.iter(folded):
                 (free if w is None else hits).append((end - size + 1, end, w))
+        # Of the exception phrases that begin at a place or before it, how far the farthest goes.
+        free.sort()
+        begins, reach = [a for a, _, _ in free], list(accumulate((b for _, b, _ in free), max))
         best: dict[int, float] = {}
         for start, end, w in hits:
-            if not any(a <= start and end <= b for a, b, _ in free):
+            k = bisect_right(begins, start)
+            if not k or reach[k - 1] < end:
                 best[start] = max(w, best.get(start, 0.0))
         found: dict[str, float] = {}
         for start, w in best.items():
@@ -139,16 +145,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, entries: int = ENTRIES) -> Lexicon:
     """Fit on the `train_rows` labelled rows (doc_id, toxic) with the smallest hashes of their ids.
 
-    Contradicting labels of one id are left out. Term counts are summed by Spark; the driver gets the
-    entries and two numbers for each labelled row, both bounded.
+    Contradicting labels of one id are left out, and an id is one row, however often it stands in
+    `docs`. Term counts are summed by Spark; the driver gets the entries and two numbers for each
+    labelled row, both bounded.
     """
     spark = docs.sparkSession
     clean = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     rows = clean.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
-    counts = {k: sum(r["toxic"] == k for r in rows) for k in (0, 1)}
+    if not rows:
+        return Lexicon({})
+    known = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([tuple(r) for r in rows], "doc_id long, toxic int")), "doc_id")
+    train = cut(known.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
+    counts = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts[0] or not counts[1]:
         return Lexicon({})
-    train = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([tuple(r) for r in rows], "doc_id long, toxic int")), "doc_id").select("text", "toxic")
 
     def make_terms():
         def block(part):
@@ -176,7 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, entr
 
         return block
 
-    seen = map_rows(train, make_features, "total double, dense double, toxic int").orderBy("toxic", "total", "dense").limit(2 * train_rows).collect()
+    seen = map_rows(train, make_features, "total double, dense double, toxic int").collect()  # a row for each row of the sample
+    seen.sort(key=lambda r: (r["total"], r["dense"], r["toxic"]))  # sums in one order
     x, y = np.array([[r["total"], r["dense"]] for r in seen]), np.array([r["toxic"] for r in seen], float)
     lexicon.coefficients = tuple(map(float, logistic(x, y)))
     return lexicon
