@@ -41,7 +41,7 @@ UNICODE_17 = (
 )
 LOWER_LATE = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Entries that a task's tables keep before they start anew.
-KEPT_WORDS, KEPT_ARCS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_LETTERS, KEPT_ARCS = 400_000, 64, 1_000_000
 
 
 def byte_letters() -> str:
@@ -184,9 +184,10 @@ class Tokenizer:
 
     def _word(self, word: str) -> list[int]:
         ids = self.automaton.encode("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))))
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[word] = ids
+        if len(word) <= KEPT_LETTERS:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -213,6 +214,7 @@ class Tokenizer:
 def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep`, `ids` (array of token ids) and `decoded` (their decoded text) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    keep = [c for c in keep if c not in ("ids", "decoded")]
     out = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
     schema = to_arrow_schema(out)
 
