@@ -2,23 +2,28 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed against it into
 phrases, each the longest match from where the last one ended: the automaton is followed letter by
-letter and, where no transition is left, a phrase ends and the next starts at the root. The language
-whose automaton needs the fewest phrases per letter wins.
+letter and, where no arc is left, a phrase ends and the next starts at the root. The language whose
+automaton needs the fewest phrases per letter wins.
 
-The automata are fitted on a bounded sample of labelled rows (`docs_per_lang` whole documents and at
-most `letters_per_lang` letters of a language) and sent to the tasks, so their size does not grow
-with the input. Texts are parsed whole: they are laid into rows of `SEGMENT` letters, all rows of a
-block walk their automata in step, and a row's end closes a phrase for every language alike.
+An automaton has at most two states and three arcs a letter of its sample. Its arcs are packed into
+one array: the arc of state s for letter c is cell base[s] + c, which also names the state it is of.
+So its size doesn't depend on the number of letters that the alphabets of all languages have.
+
+The automata are fitted on a bounded sample of labelled rows (`docs_per_lang` documents and at most
+`letters_per_lang` letters of a language, `letters` letters in all) and sent to the tasks, so their
+size does not grow with the input; every label that has text is learned. Texts are parsed whole. Many
+stretches of `SEGMENT` letters walk in step, each as if a phrase began there; then the state at a
+stretch's end is carried into the next, until it begins a phrase where the next one did too, or for as
+long as it takes. Phrases and their number are those of one walk through the text.
 
 Cases: a null text, or one without a letter, is `und` with score 0; ties go to the language first in
 alphabetical order; rows with a null label or text are not learned from; without any labelled row all
-texts are `und`; repeated rows are judged each by itself; other columns are not looked at.
+texts are `und`; repeated rows are judged each by itself; other columns are not looked at; columns
+named like a result are replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 
 from hydrolake.llm.common import map_rows
 
-#: Bounds of the sample that the automata are fitted on.
-DOCS_PER_LANG, LETTERS_PER_LANG, LANGS = 48, 40_000, 64
-#: Letters of a row that walks in step with others; letters of a block.
+#: Bounds of the sample that the automata are fitted on: documents and letters of a language, letters in all.
+DOCS_PER_LANG, LETTERS_PER_LANG, LETTERS = 48, 40_000, 4_000_000
+#: Letters of a stretch that walks in step with others; letters of a block.
 SEGMENT, BLOCK_LETTERS = 256, 1 << 21
+#: Free cells that are tried at once for a state's arcs.
+TRIED = 32
 UNKNOWN = "und"
 
 
@@ -43,61 +50,120 @@ def _letters(text: str) -> np.ndarray:
     return folded[keep]
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a code sequence, as a table (state, code) with -1 for none."""
-    table, link, length = array("i", [-1] * width), [-1], [0]
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The arcs {code: state} of each state of the suffix automaton of a code sequence."""
+    arcs, link, length = [{}], [-1], [0]
     last = 0
     for c in codes:
-        new = len(length)
+        new = len(arcs)
+        arcs.append({})
         length.append(length[last] + 1)
         link.append(0)
-        table.extend([-1] * width)
         p = last
-        while p >= 0 and table[p * width + c] < 0:
-            table[p * width + c] = new
+        while p >= 0 and c not in arcs[p]:
+            arcs[p][c] = new
             p = link[p]
         if p >= 0:
-            q = table[p * width + c]
+            q = arcs[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                clone = len(length)
+                clone = len(arcs)
+                arcs.append(dict(arcs[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                table.extend(table[q * width : (q + 1) * width])
-                while p >= 0 and table[p * width + c] == q:
-                    table[p * width + c] = clone
+                while p >= 0 and arcs[p].get(c) == q:
+                    arcs[p][c] = clone
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    return np.frombuffer(table, np.int32).reshape(-1, width)
+    return arcs
+
+
+class Packed:
+    """An automaton's arcs in one array of cells: cell base[s] + c is state s's arc for code c if it names s."""
+
+    def __init__(self, arcs: list[dict[int, int]], codes: int):
+        #: The state before a text and behind a letter that the sample lacks; it has no arcs.
+        self.lost = len(arcs)
+        self.base = np.zeros(self.lost + 1, np.int32)
+        self.first = np.full(codes, self.lost, np.int32)
+        for c, to in arcs[0].items():
+            self.first[c] = to
+        # A margin in front lets the first arc of a state stand in any cell.
+        free = np.ones(codes + 2 * sum(map(len, arcs)) + codes, bool)
+        free[:codes] = False
+        low = codes
+        owner, target = np.full(len(free), -1, np.int32), np.zeros(len(free), np.int32)
+        lone = []
+        for s in sorted(range(self.lost), key=lambda s: -len(arcs[s])):
+            own = arcs[s]
+            if len(own) < 2:
+                if own:
+                    lone.append(s)
+                continue
+            cs = np.sort(np.fromiter(own, np.int64, len(own)))
+            at = low
+            while True:
+                spots = at + np.flatnonzero(free[at : at + 4 * TRIED])[:TRIED]
+                fits = np.flatnonzero(free[np.minimum(spots[:, None] - cs[0] + cs, len(free) - 1)].all(1)) if len(spots) else spots
+                if len(fits):
+                    break
+                at = int(spots[-1]) + 1 if len(spots) else at + 4 * TRIED
+                low = at  # crowded cells are left to states of one arc
+                if at + codes >= len(free):
+                    grown = len(free)
+                    free = np.concatenate([free, np.ones(grown, bool)])
+                    owner, target = np.concatenate([owner, np.full(grown, -1, np.int32)]), np.concatenate([target, np.zeros(grown, np.int32)])
+            base = int(spots[fits[0]] - cs[0])
+            self.base[s] = base
+            free[base + cs], owner[base + cs] = False, s
+            target[base + cs] = [own[c] for c in cs.tolist()]
+        spots = np.flatnonzero(free)
+        spots = np.concatenate([spots, np.arange(len(free), len(free) + max(0, len(lone) - len(spots)))])[: len(lone)]
+        size = max(len(free), int(spots[-1]) + 1 if len(spots) else 0)
+        owner = np.concatenate([owner, np.full(size - len(owner), -1, np.int32)])
+        target = np.concatenate([target, np.zeros(size - len(target), np.int32)])
+        for s, spot in zip(lone, spots.tolist()):
+            ((c, to),) = arcs[s].items()
+            self.base[s], owner[spot], target[spot] = spot - c, s, to
+        end = int(np.flatnonzero(owner >= 0)[-1]) + 1 if (owner >= 0).any() else 0
+        # A cell holds the state that it is of and the one that it leads to; behind the last there is room for any code.
+        self.cells = np.full(end + codes + 1, -1, np.int64)
+        self.cells[:end] = np.where(owner[:end] >= 0, owner[:end].astype(np.int64) << 32 | target[:end], -1)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind a letter, and whether a phrase begins with it."""
+        got = self.cells[self.base[state] + code]
+        begins = got >> 32 != state
+        return np.where(begins, self.first[code], got.astype(np.int32)), begins
+
+    @property
+    def nbytes(self) -> int:
+        return self.cells.nbytes + self.base.nbytes + self.first.nbytes
+
+
+def shares(lengths: list[int], total: int) -> list[int]:
+    """How many of `total` letters each document gives: the same, and what shorter ones leave goes to the longer ones."""
+    out, left = [0] * len(lengths), total
+    for n, k in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[k] = min(lengths[k], left // (len(lengths) - n))
+        left -= out[k]
+    return out
 
 
 class Model:
     """The automata of all languages over one alphabet; code 0 stands for letters that no sample has."""
 
-    def __init__(self, samples: dict[str, list[str]], letters_per_lang: int = LETTERS_PER_LANG):
+    def __init__(self, samples: dict[str, list[str]], letters_per_lang: int = LETTERS_PER_LANG, letters: int = LETTERS):
+        most = min(letters_per_lang, letters // max(1, len(samples)))
         taken = {}
         for lang, texts in sorted(samples.items()):
-            parts, left = [], letters_per_lang
-            for t in texts:
-                part = _letters(t)[:left]
-                parts.append(part)
-                left -= len(part)
-                if left <= 0:
-                    break
-            taken[lang] = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            parts = [_letters(t) for t in texts]
+            taken[lang] = np.concatenate([p[:n] for p, n in zip(parts, shares(list(map(len, parts)), most))] or [np.zeros(0, np.uint32)])
         self.langs = [x for x in taken if len(taken[x])]
         self.alphabet = np.unique(np.concatenate([taken[x] for x in self.langs])) if self.langs else np.zeros(0, np.uint32)
-        self.starts, self.ends = [], []
-        for x in self.langs:
-            table = suffix_automaton((np.searchsorted(self.alphabet, taken[x]) + 1).tolist(), len(self.alphabet) + 1)
-            # One more state, after the others: before a text, and behind a letter that the sample lacks.
-            table = np.vstack([table, np.full((1, table.shape[1]), -1, np.int32)])
-            again = table < 0
-            first = np.where(table[0] < 0, len(table) - 1, table[0])
-            # One table for both: the next state, and in the lowest bit whether a phrase begins with this letter.
-            self.starts.append(np.ascontiguousarray(np.where(again, first[None, :], table) * 2 + again, np.int32).ravel())
+        self.automata = [Packed(suffix_automaton((np.searchsorted(self.alphabet, taken[x]) + 1).tolist()), len(self.alphabet) + 1) for x in self.langs]
 
     def _codes(self, text: str) -> np.ndarray:
         points = _letters(text)
@@ -108,6 +174,8 @@ class Model:
         """Phrases that each text (row) needs in each language (column)."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         block, owner, size = [], [], 0
+        # Stretches of a text that is cut by a block's end go on from the states there.
+        states = [a.lost for a in self.automata]
         for k, text in enumerate(texts):
             codes = self._codes(text)
             for at in range(0, len(codes), SEGMENT):
@@ -115,33 +183,68 @@ class Model:
                 owner.append(k)
                 size += SEGMENT
                 if size >= BLOCK_LETTERS:
-                    self._walk(block, owner, out)
+                    ends = self._walk(block, owner, states, out)
+                    states = ends if at + SEGMENT < len(codes) else [a.lost for a in self.automata]
                     block, owner, size = [], [], 0
         if block:
-            self._walk(block, owner, out)
+            self._walk(block, owner, states, out)
         return out
 
-    def _walk(self, block: list[np.ndarray], owner: list[int], out: np.ndarray) -> None:
-        width = len(self.alphabet) + 1
+    def _walk(self, block: list[np.ndarray], owner: list[int], states: list[int], out: np.ndarray) -> list[int]:
+        """Count the phrases of stretches, the first of which goes on from `states`, into `out`; the states at the end of the last."""
         lengths = np.array([len(b) for b in block])
         order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
         grid = np.zeros((SEGMENT, len(block)), np.int32)
-        for column, k in enumerate(order.tolist()):
-            grid[: lengths[column], column] = block[k]
+        for k, b in enumerate(block):
+            grid[: len(b), column[k]] = b
+        lengths = lengths[order]
         live = np.searchsorted(-lengths, -np.arange(SEGMENT), "left")
-        who = np.array(owner)[order]
-        for lang, table in enumerate(self.starts):
-            state = np.full(len(block), len(table) // width - 1, np.int32)
-            begun = np.zeros(len(block), np.int32)
+        who = np.array(owner)
+        # The stretches, in order, that go on from the one before them.
+        later = np.flatnonzero(who[1:] == who[:-1]) + 1
+        ends = []
+        for lang, automaton in enumerate(self.automata):
+            state = np.full(len(block), automaton.lost, np.int32)
+            state[column[0]] = states[lang]
+            began = np.zeros(grid.shape, bool)
             for step in range(SEGMENT):
                 n = live[step]
                 if not n:
                     break
-                got = table[state[:n] * width + grid[step, :n]]
-                state[:n] = got >> 1
-                begun[:n] += got & 1
-            np.add.at(out[:, lang], who, begun)
+                state[:n], began[step, :n] = automaton.step(state[:n], grid[step, :n])
+            count = began.sum(0)
+            todo = later
+            while len(todo):
+                todo = todo[self._carry(automaton, grid, lengths, began, count, state, column[todo - 1], column[todo])] + 1
+                todo = todo[np.isin(todo, later)]
+            np.add.at(out[:, lang], who, count[column])
+            ends.append(int(state[column[-1]]))
+        return ends
+
+    @staticmethod
+    def _carry(automaton, grid, lengths, began, count, state, before, here) -> np.ndarray:
+        """Walk the stretches `here` from the states at the end of those `before`, until they begin a phrase where they did so too.
+
+        Their counts, phrases and end states are set right; returns which end states changed.
+        """
+        now, changed = state[before], np.zeros(len(here), bool)
+        live = np.arange(len(here))
+        for step in range(SEGMENT):
+            live = live[lengths[here[live]] > step]
+            if not len(live):
+                break
+            at = here[live]
+            now[live], starts = automaton.step(now[live], grid[step, at])
+            met = starts & began[step, at]
+            count[at] += starts.astype(np.int64) - began[step, at]
+            began[step, at] = starts
+            over = live[(lengths[at] == step + 1) & ~met]
+            changed[over] = now[over] != state[here[over]]
+            state[here[over]] = now[over]
+            live = live[~met]
+        return changed
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and a score from 0 to 1 that grows with its lead over the next one."""
@@ -156,47 +259,49 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, letters_per_lang: int = LETTERS_PER_LANG, langs: int = LANGS) -> Model:
-    """Fit on a bounded sample: of each of at most `langs` languages, the documents with the smallest text hashes.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, letters_per_lang: int = LETTERS_PER_LANG, letters: int = LETTERS) -> Model:
+    """Fit on a bounded sample of every language: the documents with the smallest text hashes.
 
-    The choice depends on the texts alone, and a text that repeats is taken once.
+    The choice depends on the texts alone, and a text that repeats is taken once. Of a document at most
+    `letters_per_lang` characters reach the driver.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     # Hashes first, texts after. Distinct hashes are even, so a bound on them leaves about 32 times the wanted
     # documents of a language, however large it is; the ranking then sees that many rows and moves no text.
-    low = F.lit(False)
-    for name, n in sizes.items():
-        share = min(1.0, 32 * docs_per_lang / n)
-        low = low | ((F.col("lang") == name) & (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    few = rows.filter(low).select("lang", "h").distinct()
+    share = F.least(F.lit(1.0), 32 * docs_per_lang / F.col("n"))
+    bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * 2.0**64).cast("long")).otherwise(F.lit(2**63 - 1))
+    bounds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", bound.alias("bound"))
+    few = rows.select("lang", "h").join(F.broadcast(spark.createDataFrame(bounds.collect(), "lang string, bound long")), "lang").filter("h <= bound").select("lang", "h").distinct()
     chosen = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).select("lang", "h")
     wanted = [(r["lang"], r["h"]) for r in chosen.collect()]
     if not wanted:
         return Model({})
-    picked = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(wanted, "lang string, h long")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    head = F.substring("text", 1, letters_per_lang)
+    picked = rows.join(F.broadcast(spark.createDataFrame(wanted, "lang string, h long")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(head).alias("text"))
     samples: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples, letters_per_lang)
+    return Model(samples, letters_per_lang, letters)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, `lang_pred` and `score` for every row."""
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, and language and score under `names`, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in names]
     fields = [docs.schema[c] for c in keep]
 
     def make():
         own = shared.value
 
         def block(rows):
-            for r, (lang, score) in zip(rows, own.predict([r.pop("__text") for r in rows])):
-                r["lang_pred"], r["score"] = lang, score
+            for r, found in zip(rows, own.predict([r.pop("__text") for r in rows])):
+                r.update(zip(names, found))
             return rows
 
         return block
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string, `{names[1]}` double"])
     return map_rows(docs.select(*keep, F.col(text_col).alias("__text")), make, schema, rows=1000)
 
 
