@@ -8,7 +8,11 @@ and equal values get equal pseudonyms in every document. With the key the step c
 
 Cases: null texts stay null; empty texts and texts without values stay as they are; values that fail
 validation are left alone; repeated rows get equal results; whole texts are read; all columns of the
-input are kept, and a column named like a result is an error.
+input are kept, but for those named like a count, which it replaces; an empty table gives no rows.
+
+Dates with slashes are read as day/month/year and, where that is no date, as month/day/year. Equal
+days are linked across the formats of four-digit years with all digits; dates with one-digit days or
+months and those that are month/day only are permuted among dates of their own kind.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,18 +32,32 @@ from hydrolake.llm.common import map_rows
 
 ROUNDS = 8
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
+#: Kinds that are counted as another.
+COUNTED = {"abroad": "phone"}
 # The formats. Each kind is a group of its name; the first alternative that fits wins.
 FORMATS = (
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<phone>(?<![\w.])(?:\+?1[ .-])?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.+-])(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]))"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"|(?P<phone>(?<![\w.])(?:\+?1[ .-])?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.+-])(?:\+?1[ .-])?\d{3}(?:[.-]\d{3}[.-]|[ ]\d{3}[ ])\d{4}(?![\w-]))"
+    r"|(?P<abroad>(?<![\w.+-])\+[2-9]\d{0,2}(?:[ .-]\d{2,5}){2,5}(?![\w-])|(?<![\w.+-])\+[2-9]\d{8,14}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])\d{3}(?:-\d{2}-|[ ]\d{2}[ ])\d{4}(?![\w-]))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
 )
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+@lru_cache
+def _days(swapped: bool, short_day: bool, short_month: bool) -> list[int]:
+    """The dates that can be written with a day or month of one digit; swapped ones have a day that is no month."""
+
+    def fits(n: int) -> bool:
+        d = datetime.date.fromordinal(n)
+        return (d.day > 12 or not swapped) and (d.day < 10 or not short_day) and (d.month < 10 or not short_month)
+
+    return [n for n in range(FIRST, LAST + 1) if fits(n)]
+
+
 class Feistel:
     """Keyed permutations of 0..N-1, one for each kind and N."""
 
@@ -115,12 +135,22 @@ class Pseudonyms:
         new = self._digits("phone", [d - a for d, a in zip(own, low)], [10 - a for a in low])
         return _fill(value, "".join(map(str, lead + [d + a for d, a in zip(new, low)])))
 
+    def abroad(self, value: str) -> str | None:
+        """Numbers of other countries: the country's digits stay, which are those before the first separator, else two."""
+        digits = re.sub(r"\D", "", value)
+        lead = re.match(r"\d{1,3}(?=[ .-])", value[1:])
+        kept = len(lead[0]) if lead else 2
+        if not 8 <= len(digits) <= 15:
+            return None
+        own = list(map(int, digits[kept:]))
+        return _fill(value, digits[:kept] + "".join(map(str, self._digits("abroad", own, [10] * len(own)))))
+
     def ssn(self, value: str) -> str | None:
-        area, group, serial = map(int, value.split("-"))
+        area, group, serial = map(int, re.split("[ -]", value))
         if not 0 < area < 900 or area == 666 or not group or not serial:
             return None
         area, group, serial = self._digits("ssn", [area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999])
-        return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+        return _fill(value, f"{area + 1 + (area >= 665):03d}{group + 1:02d}{serial + 1:04d}")
 
     def ip(self, value: str) -> str | None:
         parts = value.split(".")
@@ -129,19 +159,35 @@ class Pseudonyms:
         return ".".join(map(str, self._digits("ip", list(map(int, parts)), [256] * 4)))
 
     def date(self, value: str) -> str | None:
-        order = "%Y-%m-%d" if value[4] == "-" else f"%d{value[2]}%m{value[2]}%Y"
-        try:
-            day = datetime.datetime.strptime(value, order).toordinal()
-        except ValueError:
-            return None
-        if not FIRST <= day <= LAST:
-            return None
-        new = self.feistel.permute("date", LAST - FIRST + 1, day - FIRST, self.back)
-        return datetime.date.fromordinal(FIRST + new).strftime(order)
+        parts = re.split(r"[/.-]", value)
+        if len(parts[0]) == 4:
+            orders = ((2, 1, 0),)
+        else:
+            orders = ((0, 1, 2), (1, 0, 2)) if "/" in value else ((0, 1, 2),)
+        for order in orders:
+            day, month, year = (int(parts[k]) for k in order)
+            try:
+                found = datetime.date(year, month, day).toordinal()
+            except ValueError:
+                continue
+            if not FIRST <= found <= LAST:
+                continue
+            swapped, short = order == (1, 0, 2), (len(parts[order[0]]) == 1, len(parts[order[1]]) == 1)
+            if not swapped and not any(short):
+                new = FIRST + self.feistel.permute("date", LAST - FIRST + 1, found - FIRST, self.back)
+            else:
+                days = _days(swapped, *short)
+                new = days[self.feistel.permute(f"date:{swapped}:{short}", len(days), bisect_left(days, found), self.back)]
+            made = datetime.date.fromordinal(new)
+            shown = dict(zip(order, (made.day, made.month, made.year)))
+            return _fill(value, "".join(f"{shown[k]:0{len(parts[k])}d}" for k in range(3)))
+        return None
 
     def email(self, value: str) -> str | None:
         """The local part is permuted, letters among letters of their case and digits among digits."""
         local, at, domain = value.partition("@")
+        if not re.search("[A-Za-z0-9]", local):
+            return None
         spots = [(c, 26 if c.isalpha() else 10, ord("a" if c.islower() else "A" if c.isalpha() else "0")) for c in local if c.isalnum()]
         new = iter(self._digits("email", [ord(c) - low for c, _, low in spots], [r for _, r, _ in spots]))
         lows = iter(low for _, _, low in spots)
@@ -161,7 +207,8 @@ class Pseudonyms:
                 self.known[spot] = getattr(self, spot[0])(spot[1])
             if self.known[spot] is None:
                 return spot[1]
-            counts[spot[0]] = counts.get(spot[0], 0) + 1
+            kind = COUNTED.get(spot[0], spot[0])
+            counts[kind] = counts.get(kind, 0) + 1
             return self.known[spot]
 
         return self.find.sub(new, text), counts
@@ -169,10 +216,9 @@ class Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
     """The rows with their text replaced, and a count n_<kind> for each kind. `back` undoes an earlier run."""
+    docs = docs.drop(*[f"n_{k}" for k in KINDS])
     out = StructType(list(docs.schema.fields))
     for k in KINDS:
-        if f"n_{k}" in docs.columns:
-            raise ValueError(f"the input has a column n_{k}")
         out = out.add(f"n_{k}", LongType(), False)
 
     def make():
