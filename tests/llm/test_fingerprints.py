@@ -44,8 +44,8 @@ def test_fingerprint_equals_the_contract(text):
 
 
 def test_any_four_positions_hold_a_key():
-    keys = simhash_dedup.triples()
-    assert len(keys) == 20 and all(any(set(k) <= set(q) for k in keys) for q in combinations(range(8), 4))
+    keys = simhash_dedup.POSITIONS
+    assert len(keys) == 70 and all(any(set(k) <= set(q) for k in keys) for q in combinations(range(8), 4))
 
 
 def near_copies(prose, n=150):
@@ -138,3 +138,19 @@ def test_stage_links_by_five_word_likeness(spark, docs, prose):
     want = closure(alike, range(len(texts)))
     kept = {r["doc_id"] for r in simhash_dedup.keep_one(docs(texts).repartition(5)).collect()}
     assert kept == set(want.values())
+
+
+def test_groups_of_any_ids(spark):
+    big = 2**62
+    rows = [(big + 5, "one two three four five"), (big + 6, "one two three four five"), (-(2**63), "another text of some words"), (None, "one two three four five"), (None, "alone here"), (2**63 - 1, "another text of some words")]
+    got = simhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert by == {big + 5: {big + 5}, big + 6: {big + 5}, -(2**63): {-(2**63)}, 2**63 - 1: {-(2**63)}, None: {big + 5, None}}
+
+
+def test_equal_ids_follow_by_their_texts(spark):
+    rows = [(None, f"text {k}") for k in range(30)] + [(5, f"more {k}") for k in range(30)]
+    got = simhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 60 and {r["n_chars"] for r in got} == {6, 7}

@@ -154,3 +154,13 @@ def test_pipeline(spark, tmp_path, docs, prose, library):
     empty = table.limit(0)
     for _, stage in pipeline.STAGES[:4]:
         assert stage(spark, empty, str(tmp_path)).columns == table.columns
+
+
+def test_shards_of_clashing_columns_and_hot_keys(spark):
+    rows = [(7, "x" * 30, "a", 1)] * 5000 + [(k, "y" * 10, "b", 2) for k in range(50)]
+    df = spark.createDataFrame(rows, "k long, text string, shard string, depth int")
+    got = sharding.assign(df, F.col("k"), sharding.text_bytes("text"), 1000)
+    assert got.columns == ["k", "text", "shard", "depth", "shard_bytes", "shard_rows"] and got.count() == 5050
+    sums = got.groupBy("shard").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n"), F.first("shard_bytes").alias("s"), F.first("shard_rows").alias("r")).collect()
+    assert all(r["b"] == r["s"] <= 1000 and r["n"] == r["r"] for r in sums) and len(sums) < 450
+    assert sharding.assign(df.limit(0), F.col("k"), sharding.text_bytes("text")).columns == got.columns

@@ -125,8 +125,8 @@ def test_pseudonyms(spark, docs, odd):
     back = pii_pseudonyms.pseudonymise(out.select(*d.columns), b"key", back=True)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {0: text, 1: "again 4432507379035540 and 192.168.10.7", 2: None}
     assert pii_pseudonyms.pseudonymise(odd, b"k").count() == odd.count()
-    with pytest.raises(ValueError):
-        pii_pseudonyms.pseudonymise(out, b"k")
+    again = pii_pseudonyms.pseudonymise(out, b"k")
+    assert again.columns == out.columns and again.count() == 3
 
 
 def test_folding():
@@ -190,3 +190,166 @@ def test_languages(spark, docs, prose, odd):
     assert [rows[k] for k in (0, 1, 2)] == ["und"] * 3 and len(rows) == odd.count()
     empty = language_id.fit(d.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language_id.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
+
+
+def test_phrases_of_long_texts(monkeypatch):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    samples = [" ".join(rnd.choice(words[a:]) for _ in range(300)) for a in (0, 30)]
+    texts = [" ".join(rnd.choice(words) for _ in range(1200)), "abab" * 700, "zz" * 300 + samples[0], "q", samples[1] * 4]
+    want = [[plain_phrases(t, s) for s in samples] for t in texts]
+    assert min(map(len, texts[:2])) > language_id.SEGMENT * 10
+    model = language_id.Model({"a": samples[:1], "b": samples[1:]})
+    assert model.phrases(texts).tolist() == want
+    monkeypatch.setattr(language_id, "BLOCK_LETTERS", 1024)
+    assert model.phrases(texts).tolist() == want
+
+
+def test_automata_are_small_for_any_alphabet():
+    rnd = random.Random(7)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    sample = "".join(rnd.choice(letters) for _ in range(40_000))
+    model = language_id.Model({"zh": [sample], "en": ["plain words of another language"]})
+    assert sum(a.nbytes for a in model.automata) < 4 << 20
+    text = sample[100:160] + sample[7:9] + "".join(rnd.choice(letters) for _ in range(400))
+    assert model.langs == ["en", "zh"] and model.phrases([text])[0][1] == plain_phrases(text, sample)
+
+
+def test_sample_is_shared_among_documents():
+    assert language_id.shares([5, 1000, 100], 300) == [5, 195, 100] and language_id.shares([3], 9) == [3] and language_id.shares([], 9) == []
+
+
+def test_every_label_is_learned_and_names_may_clash(spark, docs):
+    texts = [f"{chr(0x4E00 + k) * 2} {chr(0x4E00 + k)} abc" for k in range(90)]
+    d = docs(texts, [f"l{k}" for k in range(90)])
+    got = language_id.identify(d.withColumnRenamed("fp", "lang_pred"), language_id.fit(d), ["doc_id", "lang", "lang_pred"])
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score"] and got.filter("lang = lang_pred").count() == 90
+    assert language_id.identify(d.limit(0), language_id.fit(d.limit(0)), ["doc_id"]).count() == 0
+
+
+def test_stage_keeps_columns_of_any_name(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = docs(["plain words", None, "12"]).withColumnRenamed("fp", "lang_pred").withColumnRenamed("h", "score")
+    got = pipeline.known_language(spark, d, "")
+    assert got.columns == d.columns and [(r["lang_pred"], r["score"]) for r in got.collect()] == [("x", "y")]
+
+
+def test_benchmark_passages_without_or_with_equal_ids(spark, bench):
+    item = "A farmer named Tom has 12 apples and gives 5 kg of them to Anna before he walks 3 miles home with Tom."
+    half = item.split()
+    rows = [(None, "x " + item, 1), (None, "clean text", 2), (7, "y " + item, 3), (7, "clean as well", 4), (8, " ".join(half[:9]), 5), (8, " ".join(half[9:]), 6), (9, None, 7), (7, "y " + item, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(d, bench).collect()}
+    assert {(None, 1), (7, 1)} <= found
+    kept = decontaminate.clean(d, bench)
+    assert kept.columns == d.columns and {2, 4, 7} <= {r["item_id"] for r in kept.collect()} and not {1, 3, 8} & {r["item_id"] for r in kept.collect()}
+    alone = decontaminate.clean(d.filter("doc_id = 8").limit(1), bench).count()
+    assert kept.filter("doc_id = 8").count() in (alone, 2 * alone)
+
+
+def test_short_items_are_found_word_by_word(spark, docs):
+    items = spark.createDataFrame([(1, "Yes"), (2, "forty two"), (3, "The red fox"), (4, "..."), (3, "The red fox")], "item_id long, text string")
+    texts = ["oh YES, it is", "forty-two of them", "forty of two", "a quick red fox, the Red Fox", "redfox", "eyes"]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.find(docs(texts), items).collect()}
+    assert got == {(0, 1): "copy", (1, 2): "copy", (3, 3): "copy"}
+    assert [r["doc_id"] for r in decontaminate.clean(docs(texts), items).orderBy("doc_id").collect()] == [2, 4, 5]
+
+
+def test_toxicity_of_repeated_rows(spark, docs, prose):
+    texts = [t + (" vilezor" if i % 4 == 0 else "") for i, t in enumerate(prose(160, 20, seed=12))]
+    d = docs(texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    once = toxicity.learn(d, labels, train_rows=120)
+    often = toxicity.learn(d.union(d).union(d).union(d), labels, train_rows=120)
+    assert often.weights == once.weights and often.coefficients == once.coefficients and once.score("such a vilezor") > 0.5
+    assert toxicity.score(d.limit(0), once).count() == 0
+    long = toxicity.Lexicon({" " + "x" * 60 + " ": 4.0})
+    assert long.features("so " + "x" * 60)[0] == 4.0
+
+
+def plain_score(lex, text):
+    """The score by looking at every entry and place."""
+    folded = toxicity.fold(text)
+    covered = [(i, i + len(toxicity.fold(p))) for p in lex.exceptions for i in range(len(folded)) if folded.startswith(toxicity.fold(p), i)]
+    found = {}
+    for entry, w in lex.weights.items():
+        for i in range(len(folded)):
+            if folded.startswith(entry, i) and not any(a <= i and i + len(entry) <= b for a, b in covered):
+                word = folded[i : folded.index(" ", i + 1) + 1]
+                found[word] = max(found.get(word, 0.0), w)
+    total = sum(found.values())
+    a, b, c = lex.coefficients
+    import math
+
+    return 1 / (1 + math.exp(-(a + b * total + c * total / math.log(math.e + folded.count(" ")))))
+
+
+def test_scores_equal_plain_search(spark, docs):
+    rnd = random.Random(13)
+    lex = toxicity.Lexicon({" trash ": 3.0, " tra": 3.5, " idi": 4.0, " idiot ": 5.0, " can ": 3.1}, coefficients=(-3.0, 0.5, 0.4))
+    parts = ["trash", "can", "tr4sh", "idiot", "ідіоt", "trash can", "not stupid", "traffic", "and", "bin", "IDI0T!!", "x"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(150)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(texts), lex).collect()}
+    assert all(abs(got[i] - plain_score(lex, t)) < 1e-12 for i, t in enumerate(texts))
+
+
+def plain_permuted(key, kind, n, x):
+    """The keyed permutation once more, written from its description."""
+    import hashlib
+    import math
+
+    secret = hashlib.blake2b(key, digest_size=32).digest()
+    base = math.ceil(math.sqrt(n))
+    while True:
+        left, right = x // base, x % base
+        for k in range(8):
+            mixed = hashlib.blake2b(f"{kind}:{n}:{k}:{right}".encode(), key=secret, digest_size=32).hexdigest()
+            left, right = right, (left + int(mixed, 16)) % base
+        x = left * base + right
+        if x < n:
+            return x
+
+
+def test_pseudonyms_equal_brute_force(spark, docs):
+    import datetime
+
+    rnd = random.Random(14)
+    first = datetime.date(1900, 1, 1)
+    days = (datetime.date(2099, 12, 31) - first).days + 1
+    texts, want = [], []
+    for _ in range(60):
+        day = first + datetime.timedelta(rnd.randrange(days))
+        new = first + datetime.timedelta(plain_permuted(b"k", "date", days, (day - first).days))
+        ip = [rnd.randrange(256) for _ in range(4)]
+        n = plain_permuted(b"k", "ip", 256**4, int.from_bytes(bytes(ip), "big"))
+        body = [rnd.randrange(10) for _ in range(15)]
+        check = next(c for c in range(10) if pii_pseudonyms.luhn("".join(map(str, [*body, c]))) == 0)
+        card = plain_permuted(b"k", "card", 10**15, int("".join(map(str, body))))
+        card = next(f"{card:015d}{c}" for c in range(10) if pii_pseudonyms.luhn(f"{card:015d}{c}") == 0)
+        texts.append(f"on {day:%Y-%m-%d}, {day:%d.%m.%Y} from {'.'.join(map(str, ip))} by {''.join(map(str, body))}{check}, 12 of 99999")
+        want.append(f"on {new:%Y-%m-%d}, {new:%d.%m.%Y} from {'.'.join(map(str, n.to_bytes(4, 'big')))} by {card}, 12 of 99999")
+    got = [r["text"] for r in pii_pseudonyms.pseudonymise(docs(texts), b"k").orderBy("doc_id").collect()]
+    assert got == want
+
+
+def test_pseudonyms_of_other_shapes(spark, docs, odd):
+    values = ["03/25/1990", "3/25/1990", "5/3/1990", "415 555 2671", "078 05 1120", "+44 20 7946 0958", "+4930901820", "a" * 80 + "@example.org", "7.4.1999"]
+    clean = ["31/31/1990", "+44 20", "--@example.org", "111 555 2671"]
+    d = docs(["; ".join(values + clean)])
+    out = pii_pseudonyms.pseudonymise(d, b"key")
+    new = out.first()["text"].split("; ")
+    assert all(a != b and len(a) == len(b) for a, b in zip(values, new)) and new[len(values) :] == clean
+    assert new[0][3:5] > "12" and new[5].startswith("+44 ") and new[6].startswith("+49") and new[7][:16] != "a" * 16
+    assert pii_pseudonyms.pseudonymise(out.select(*d.columns), b"key", back=True).first()["text"] == d.first()["text"]
+    assert pii_pseudonyms.pseudonymise(odd.limit(0), b"k").count() == 0
+
+
+def test_runs_of_token_beginnings_take_linear_time():
+    import time
+
+    scanner = secret_scan.Scanner()
+    start = time.perf_counter()
+    assert scanner.spans(["eyJ" * 200_000, "." + "eyJ" * 200_000]) == [[], []]
+    assert time.perf_counter() - start < 5
+    (span,) = scanner.spans(["see eyJeyJabcdefgh.eyJabcdefgh.abcdefgh"])[0]
+    assert span[:2] == (4, 39)
