@@ -21,15 +21,11 @@ NAMES = {
 }
 
 
-def drop_reason(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
-    """Typed columns and `reason`, the first rule that drops a raw row (null: kept). One projection, no shuffle.
-
-    Rows whose number is below the limit of quantification are kept without a value.
-    """
+def _typed(df: DataFrame, min_year: int) -> tuple[DataFrame, list[Column], Column]:
+    """Rows with what several rules read, computed once; the result's columns; the first rule that drops a row."""
     codes = {d[0]: d for d in dims.DETERMINANDS}
     bad = lambda c, why: F.when(~S.holds(c), F.lit(why))
     malformed = F.col("_malformed") if "_malformed" in df.columns else F.lit(False)
-    # What several rules read is computed in a projection of its own, which Spark keeps apart.
     typed = df.select(
         S.normalise_country(F.col("countryCode")).alias("country"), F.trim("monitoringSiteIdentifier").alias("site_id"), F.col("parameterWaterBodyCategory").alias("category"), F.col("observedPropertyDeterminandCode").alias("determinand"),
         F.col("procedureAnalysedMatrix").alias("matrix"), F.trim("resultUom").alias("unit"), S.parse_date(F.col("phenomenonTimeSamplingDate")).alias("date"), S.number(F.col("resultObservedValue")).alias("number"),
@@ -53,11 +49,28 @@ def drop_reason(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
         bad(below | value.isNotNull(), "no-value"),
         F.when(S.holds(~below & ((value < low) | (value > high))), "implausible"),
     )
-    return typed.select("country", "site_id", "category", "determinand", "matrix", "unit", F.year(date).alias("year"), F.month(date).alias("month"), F.when(~below, value).alias("value"), "below_loq", "unreliable", reason.alias("reason"))
+    columns = [*map(F.col, ("country", "site_id", "category", "determinand", "matrix", "unit")), F.year(date).alias("year"), F.month(date).alias("month"), F.when(~below, value).alias("value"), F.col("below_loq"), F.col("unreliable")]
+    return typed, columns, reason
+
+
+def drop_reason(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
+    """Typed columns and `reason`, the first rule that drops a raw row (null: kept). One projection, no shuffle.
+
+    Rows whose number is below the limit of quantification are kept without a value.
+    """
+    typed, columns, reason = _typed(df, min_year)
+    return typed.select(*columns, reason.alias("reason"))
 
 
 def kept(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
-    return drop_reason(df, min_year).filter("reason IS NULL").drop("reason")
+    """The typed rows that no rule drops.
+
+    Rules on plain columns are filters that reach the scan. The others stand in a generator: a filter on
+    the reason would be pushed below the parsing and parse every column once more for each rule.
+    """
+    plain = F.col("parameterWaterBodyCategory").isin(*dims.CATEGORIES) & F.col("observedPropertyDeterminandCode").isin(*[d[0] for d in dims.DETERMINANDS])
+    typed, columns, reason = _typed(df.filter(plain), min_year)
+    return typed.select(F.explode(F.when(reason.isNull(), F.array(F.struct(*columns)))).alias("r")).select("r.*")
 
 
 def monthly_cells(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from hydrolake.functions import scalars as S
 from hydrolake.operators.lineage import cut
 
 FLOOR = 1e-12
+#: Ranges that scores are counted in, and groups whose states are broadcast.
+RANGES, BROADCAST_GROUPS = 4096, 100_000
 
 
 def _order(classes: list[str], column: str = "class"):
@@ -89,7 +91,7 @@ def dawid_skene(ann: DataFrame, classes: list[str], smoothing: float = 1.0, max_
     return _fit(ann, classes, smoothing, max_iter, tol, accuracies)
 
 
-def one_coin(ann: DataFrame, classes: list[str], smoothing: float = 1.0, max_iter: int = 100, tol: float = 1e-5) -> tuple[DataFrame, dict[str, float], list[float]]:
+def one_coin(ann: DataFrame, classes: list[str], smoothing: float = 1.0, max_iter: int = 200, tol: float = 1e-8) -> tuple[DataFrame, dict[str, float], list[float]]:
     """The same with one accuracy for each observer, (right + 1) / (annotations + 2)."""
     k = len(classes)
     every = F.explode(F.array(*[F.lit(c) for c in classes]))
@@ -130,15 +132,32 @@ def evaluate(pred: DataFrame, classes: list[str]) -> DataFrame:
 def kth_score(scores: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score of each group, 1 beyond the last; also 1 below ceil(1 / alpha) scores.
 
-    Distinct scores are counted first; the rank is found on those counts.
+    Scores are from 0 to 1. They are counted in `RANGES` equal ranges of a group, and the sums of these
+    counts say which range has the wanted one; that range is counted in as many parts, and only the
+    distinct scores of the part that has it are ranked. No task orders more than `RANGES` rows of a group
+    before that, and groups may be very large.
     """
-    by = by or []
-    per = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
-    w = W.partitionBy(*(by or [F.lit(0)]))
-    ranked = per.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("score")))
-    k = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
-    out = ranked.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= k, F.col("score"))).alias("s"))
-    return out.select(*by, "n", F.when(F.col("n") < math.ceil(1 / alpha - 1e-9), 1.0).otherwise(F.coalesce("s", F.lit(1.0))).alias("cutoff"))
+    keys = by or ["__all"]
+    rows = cut((scores if by else scores.withColumn("__all", F.lit(0))).select(*keys, "score").filter("score IS NOT NULL"))
+    total = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")))
+    small = total.count() <= BROADCAST_GROUPS
+    known = F.broadcast if small else (lambda df: df)
+    wanted = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
+    state, left, width = total.select(*keys, wanted.alias("k"), F.lit(0.0).alias("low")), rows, 1.0
+    for _ in range(2):
+        width /= RANGES
+        at = F.least(F.greatest(F.floor((F.col("score") - F.col("low")) / width), F.lit(0)), F.lit(RANGES - 1))
+        here = left.join(known(state), keys).withColumn("at", at)
+        upto = F.sum("c").over(W.partitionBy(*keys).orderBy("at"))
+        per = here.groupBy(*keys, "k", "low", "at").agg(F.count("*").alias("c")).withColumn("upto", upto)
+        found = per.filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k")))
+        state = cut(found.select(*keys, (F.col("k") - F.col("upto") + F.col("c")).alias("k"), (F.col("low") + F.col("at") * width).alias("low"), F.col("at").alias("found")))
+        left = here.select(*keys, "score", "at").join(known(state.select(*keys, "found")), keys).filter("at = found").select(*keys, "score")
+        state = state.drop("found")
+    upto = F.sum("c").over(W.partitionBy(*keys).orderBy("score"))
+    last = left.groupBy(*keys, "score").agg(F.count("*").alias("c")).withColumn("upto", upto).join(known(state), keys).filter("upto >= k").groupBy(*keys).agg(F.min("score").alias("s"))
+    out = total.join(last, keys, "left")
+    return out.select(*(by or []), "n", F.when(F.col("n") < math.ceil(1 / alpha - 1e-9), 1.0).otherwise(F.coalesce("s", F.lit(1.0))).alias("cutoff"))
 
 
 def prediction_sets(post: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -181,8 +200,13 @@ def ece(conf: DataFrame, bins: int = 10) -> DataFrame:
     return per.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece"))
 
 
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The keys that both have, once each."""
+    return a.select(key).join(b.select(key), key, "left_semi").distinct()
+
+
 def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
     """Raise, with up to five examples, if the two share a key."""
-    both = a.select(key).join(b.select(key), key, "left_semi").distinct().limit(5).collect()
+    both = shared_keys(a, b, key).limit(5).collect()
     if both:
         raise ValueError(f"in both: {sorted(r[0] for r in both)}")

@@ -91,12 +91,12 @@ BASE = ["CASE WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'drinking' END AS regim
 OVER = BASE[:3] + ["p_retailprice / 2 AS limit_value", "'own source' AS source"]
 
 
-@query(f"""WITH b AS {select(BASE, "part", "p_partkey < 76")}, o AS {select(OVER, "part", "p_partkey BETWEEN 60 AND 90 AND p_size > 20")}, b1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM b GROUP BY 1, 2, 3), o1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM o GROUP BY 1, 2, 3)
+@query(f"""WITH b AS {select(BASE, "part")}, o AS {select(OVER, "part", "p_size > 20 AND p_brand < 'Brand#3'")}, b1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM b GROUP BY 1, 2, 3), o1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM o GROUP BY 1, 2, 3)
 SELECT coalesce(b1.regime, o1.regime) AS regime, coalesce(b1.country, o1.country) AS country, coalesce(b1.parameter, o1.parameter) AS parameter, coalesce(o1.limit_value, b1.limit_value) AS limit_value, CASE WHEN o1.limit_value IS NOT NULL THEN 'override: own source' END AS basis FROM b1 FULL JOIN o1 ON b1.regime = o1.regime AND b1.country IS NOT DISTINCT FROM o1.country AND b1.parameter = o1.parameter""")
 def j7_overlay_limits(t: Tables):
     key = ["regime", "country", "parameter"]
-    base = t.view("part", BASE, "p_partkey < 76").groupBy(*key).agg(F.min("limit_value").alias("limit_value"))
-    over = t.view("part", OVER, "p_partkey BETWEEN 60 AND 90 AND p_size > 20").groupBy(*key).agg(F.min("limit_value").alias("limit_value"), F.min("source").alias("source"))
+    base = t.view("part", BASE).groupBy(*key).agg(F.min("limit_value").alias("limit_value"))
+    over = t.view("part", OVER, "p_size > 20 AND p_brand < 'Brand#3'").groupBy(*key).agg(F.min("limit_value").alias("limit_value"), F.min("source").alias("source"))
     return I.overlay_limits(base, over)
 
 
