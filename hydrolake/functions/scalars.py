@@ -178,10 +178,24 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0088 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def round_figures(x: Column, figures: Column) -> Column:
-    """x to so many significant figures, half away from zero."""
-    scale = F.pow(F.lit(10.0), figures - 1 - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, 0.0).otherwise(F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale)
+def round_figures(x: Column, figures: Column | int, mode: str = "nearest") -> Column:
+    """x to so many significant figures (1 to 17), by the digits of its shortest decimal text.
+
+    `nearest` rounds half away from zero, `down` and `up` towards the smaller and the larger number. Zero
+    stays zero; NaN and infinities give null.
+    """
+    f = F.lit(figures) if isinstance(figures, int) else figures
+    text = F.abs(x).cast("string")
+    mantissa, power = F.split(text, "E")[0], F.coalesce(F.get(F.split(text, "E"), F.lit(1)).cast("int"), F.lit(0))
+    whole, part = F.split(mantissa, r"\.")[0], F.coalesce(F.get(F.split(mantissa, r"\."), F.lit(1)), F.lit(""))
+    every = F.concat(whole, part)
+    digits = F.ltrim(every, F.lit("0"))
+    first = F.length(whole) - (F.length(every) - F.length(digits)) - 1 + power  # the power of ten of the first digit
+    rest = F.substring(digits, f + 1, F.lit(400))
+    away = {"nearest": F.substring(rest, 1, 1) >= "5", "down": (x < 0) & rest.rlike("[1-9]"), "up": (x > 0) & rest.rlike("[1-9]")}[mode]
+    head = F.rpad(F.substring(digits, F.lit(1), f), f, F.lit("0")).cast("long") + F.coalesce(away.cast("long"), F.lit(0))
+    value = F.concat(head.cast("string"), F.lit("E"), (first - f + 1).cast("string")).cast("double")
+    return F.when(finite(x).isNull(), None).when(x == 0, 0.0).otherwise(F.signum(x) * value)
 
 
 def site_kind(name: Column, type_code: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from statistics import NormalDist
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hydrolake.functions import scalars as S
+
 HIGH_SHARE, SMALL = 0.5, 20
 
 
@@ -29,42 +33,50 @@ def kaplan_meier(df: DataFrame, by: str, value: str, censored: str) -> DataFrame
     return out.select(by, "n", (F.col("n") - F.col("detected")).alias("n_censored"), F.round(F.col("top") - F.col("f.area"), 6).alias("km_mean"), F.round("f.median", 6).alias("km_median"), (last["d"] < last["n"]).alias("smallest_censored"))
 
 
-def _ros(values: np.ndarray, censored: np.ndarray) -> tuple[float, float] | None:
-    """Mean and median with non-detects placed on a log-normal line (Helsel and Cohn's positions)."""
-    from statistics import NormalDist
-
-    seen, hidden = np.sort(values[~censored]), values[censored]
-    if len(seen) < 3 or len(np.unique(seen)) < 2 or seen[0] <= 0:
-        return None
-    limits = np.unique(hidden)
-    slot = np.searchsorted(limits, seen, "right")
-    beyond = np.zeros(len(limits) + 2)
-    beyond[0] = 1.0
-    for j in range(len(limits), 0, -1):
-        above, below = np.sum(slot == j), np.sum(seen < limits[j - 1]) + np.sum(hidden <= limits[j - 1])
-        beyond[j] = beyond[j + 1] + above / (above + below) * (1 - beyond[j + 1])
-    inverse = np.vectorize(NormalDist().inv_cdf, otypes=[float])
-    rank = np.concatenate([np.arange(1, np.sum(slot == j) + 1) / (np.sum(slot == j) + 1) for j in range(len(limits) + 1)])
-    z = inverse(1 - beyond[slot] + (beyond[slot] - beyond[slot + 1]) * rank)
-    slope, at = np.polyfit(z, np.log(seen), 1)
-    filled = [np.exp(at + slope * inverse((1 - beyond[j + 1]) * np.arange(1, k + 1) / (k + 1))) for j, k in enumerate(np.sum(hidden[:, None] == limits[None, :], axis=0))]
-    pooled = np.concatenate([seen, *filled])
-    return float(pooled.mean()), float(np.median(pooled))
+@F.pandas_udf("double")
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The quantile of the standard normal distribution."""
+    return p.map(NormalDist().inv_cdf)
 
 
-def ros(df: DataFrame, by: str, value: str, censored: str) -> DataFrame:
-    """Mean and median by regression on order statistics; both null where a line can't be fitted.
+def plotting_positions(df: DataFrame, by: str, value: str, censored: str) -> DataFrame:
+    """(group, v, seen, position): a row for each value, with its plotting position among values with several limits.
 
-    A group's regression needs its values together; groups are sites or series, which hold thousands of values.
+    The limits of a group are its censored values. They part its detected values into slots, slot j from the
+    j-th limit on. The share below limit j is the product, over j and all slots above, of b / (a + b): a
+    detected values in the slot, b values below its limit. Detected values of a slot are spread evenly
+    between its limits' shares, those censored at a limit between none and its share. All of it is sums over
+    counts of distinct values.
     """
-    kind = df.schema[by].dataType.simpleString()
+    rows = df.select(F.col(by).alias("group"), F.col(value).cast("double").alias("v"), F.col(censored).alias("c")).filter("v IS NOT NULL")
+    per = rows.groupBy("group", "v").agg(F.count_if(~F.col("c")).alias("d"), F.count_if("c").alias("h"))
+    upto = W.partitionBy("group").orderBy("v")
+    per = per.withColumn("slot", F.sum((F.col("h") > 0).cast("int")).over(upto)).withColumn("d_upto", F.sum("d").over(upto)).withColumn("h_upto", F.sum("h").over(upto))
+    # The row of a limit is the first of its slot: what it has below are smaller detected values and all censored ones so far.
+    first = F.struct("v", (F.col("d_upto") - F.col("d") + F.col("h_upto")).alias("b"), (F.col("d_upto") - F.col("d")).alias("before"))
+    slots = per.groupBy("group", "slot").agg(F.sum("d").alias("a"), F.min(first).alias("f")).select("group", "slot", "a", F.col("f.b").alias("b"), F.col("f.before").alias("before"))
+    down = W.partitionBy("group").orderBy(F.desc("slot"))
+    share = F.product(F.when(F.col("slot") > 0, F.col("b") / (F.col("a") + F.col("b"))).otherwise(1.0)).over(down.rowsBetween(W.unboundedPreceding, 0))
+    slots = slots.withColumn("low", F.when(F.col("slot") > 0, share).otherwise(0.0)).withColumn("high", F.coalesce(F.lag("low").over(down), F.lit(1.0)))
+    placed = per.join(slots, ["group", "slot"])
+    seen = placed.filter("d > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("d")))).select("group", "v", F.lit(True).alias("seen"), (F.col("low") + (F.col("high") - F.col("low")) * (F.col("d_upto") - F.col("d") - F.col("before") + F.col("k")) / (F.col("a") + 1)).alias("position"))
+    hidden = placed.filter("h > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("h")))).select("group", "v", F.lit(False).alias("seen"), (F.col("low") * F.col("k") / (F.col("h") + 1)).alias("position"))
+    return seen.unionByName(hidden)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _ros(pdf["v"].to_numpy(float), pdf["c"].to_numpy(bool)) or (None, None)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ros_mean": [found[0]], "ros_median": [found[1]]}).astype({"ros_mean": float, "ros_median": float})
 
-    rows = df.select(by, F.col(value).cast("double").alias("v"), F.col(censored).alias("c")).filter("v IS NOT NULL")
-    return rows.groupBy(by).applyInPandas(fit, f"{by} {kind}, ros_mean double, ros_median double")
+def ros(df: DataFrame, by: str, value: str, censored: str) -> DataFrame:
+    """Mean and median by regression on order statistics; both null where a line can't be fitted.
+
+    The logarithms of detected values are regressed on the normal quantiles of their plotting positions, and
+    censored values are read off that line. It takes three detected values, two of them different, all positive.
+    """
+    rows = plotting_positions(df, by, value, censored).withColumn("z", normal_quantile("position"))
+    y = F.when(F.col("seen"), F.ln("v"))
+    z = F.when(F.col("seen"), F.col("z"))
+    least, most = F.min(F.when(F.col("seen"), F.col("v"))), F.max(F.when(F.col("seen"), F.col("v")))
+    fit = rows.groupBy("group").agg(F.regr_slope(y, z).alias("slope"), F.regr_intercept(y, z).alias("at"), ((F.count_if("seen") >= 3) & (least > 0) & (least < most)).alias("fits"))
+    filled = rows.join(fit, "group").select("group", F.when(F.col("fits"), F.when(F.col("seen"), F.col("v")).otherwise(F.exp(F.col("at") + F.col("slope") * F.col("z")))).alias("x"))
+    return filled.groupBy("group").agg(F.avg("x").alias("ros_mean"), F.median("x").alias("ros_median")).withColumnRenamed("group", by)
 
 
 def summarize(df: DataFrame, by: str, value: str, censored: str) -> DataFrame:
@@ -74,7 +86,5 @@ def summarize(df: DataFrame, by: str, value: str, censored: str) -> DataFrame:
     plain = F.col("n_censored") == 0
     method = F.when(plain, "sample-mean").when(fitted, "ros-lognormal").otherwise("kaplan-meier")
     mean = F.when(~plain & fitted, F.col("ros_mean")).otherwise(F.col("km_mean"))
-    from hydrolake.functions import scalars as S
-
     warned = S.flags(ros_not_applicable=~plain & ~fitted, high_censoring=F.col("n_censored") / F.col("n") > HIGH_SHARE, small_sample=F.col("n") < SMALL, smallest_observation_censored=F.col("smallest_censored"))
     return out.select(by, "n", "n_censored", F.col("km_median").alias("median"), F.round(mean, 6).alias("mean"), method.alias("mean_method"), F.array_join(warned, ",").alias("warnings"))

@@ -69,27 +69,50 @@ def limit_basis(parameter: Column, regime: Column, country: Column) -> Column:
     return F.when(regime == "surface", F.coalesce(river, F.when(kind == "convention", kind).otherwise(F.concat(F.lit("proxy, "), kind)))).otherwise(kind)
 
 
+def check_overrides(overrides: DataFrame) -> DataFrame:
+    """Override rows (regime, country, parameter, unit, values array, source) with `problem`, the first rule that a row breaks, else null.
+
+    Regimes and parameters are the known ones, a country is of two letters and for rivers only, the unit is
+    exactly the parameter's, the values are one (two for a parameter with a range, in order), positive and
+    finite, and a source is named.
+    """
+    unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
+    wanted = F.when(F.col("parameter").isin(*dims.RANGES), 2).otherwise(1)
+    positive = F.forall("values", lambda v: S.holds(S.finite(v) > 0))
+    bad = lambda c, why: F.when(~S.holds(c), F.lit(why))
+    problem = F.coalesce(
+        bad(F.col("regime").isin("surface", "drinking"), "regime"), bad(unit.isNotNull(), "parameter"),
+        bad(F.col("country").isNull() | ((F.col("regime") == "surface") & F.col("country").rlike("^[A-Z]{2}$")), "country"), bad(F.col("unit") == unit, "unit"),
+        bad(F.size("values") == wanted, "number-of-values"), bad(positive, "value"), bad((wanted == 1) | (F.get("values", F.lit(0)) < F.get("values", F.lit(1))), "order-of-values"), bad(F.trim("source") != "", "source"),
+    )
+    return overrides.withColumn("problem", problem)
+
+
 def overlay_limits(base: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Base limits (regime, country, parameter, limit_value) with overrides (..., source) in their place, or beside them.
+    """Base limits (regime, country, parameter, unit, values) with overrides (..., source) in their place, or beside them.
 
-    Raises, and changes nothing, if an override breaks a rule: known regime and parameter, a country for
-    rivers only, a positive finite value, a source.
+    Raises, and changes nothing, if an override breaks a rule (see `check_overrides`) or stands twice.
     """
-    bad = ~(F.col("regime").isin("surface", "drinking") & F.col("parameter").isin(*dims.PARAMETERS) & (F.col("country").isNull() | ((F.col("regime") == "surface") & F.col("country").rlike("^[A-Z]{2}$"))) & (S.finite(F.col("limit_value")) > 0) & (F.trim("source") != ""))
-    wrong = overrides.filter(F.coalesce(bad, F.lit(True))).count()
-    if wrong:
-        raise ValueError(f"{wrong} overrides break a rule")
     key = ["regime", "country", "parameter"]
-    b, o = base.select(*key, F.col("limit_value").alias("base_value")), overrides.select(*key, F.col("limit_value").alias("own"), "source")
+    wrong = check_overrides(overrides).filter("problem IS NOT NULL").count()
+    twice = overrides.groupBy(*key).count().filter("count > 1").count()
+    if wrong or twice:
+        raise ValueError(f"{wrong} overrides break a rule, {twice} stand more than once")
+    b, o = base.select(*key, "unit", F.col("values").alias("base_values")), overrides.select(*key, "unit", F.col("values").alias("own"), "source")
     same = (b["regime"] == o["regime"]) & b["country"].eqNullSafe(o["country"]) & (b["parameter"] == o["parameter"])
-    return b.join(o, same, "full_outer").select(*[F.coalesce(b[k], o[k]).alias(k) for k in key], F.coalesce("own", "base_value").alias("limit_value"), F.when(F.col("own").isNotNull(), F.concat(F.lit("override: "), "source")).alias("basis"))
+    basis = F.when(F.col("own").isNotNull(), F.concat(F.lit("override: "), "source"))
+    return b.join(o, same, "full_outer").select(*[F.coalesce(b[k], o[k]).alias(k) for k in [*key, "unit"]], F.coalesce("own", "base_values").alias("values"), basis.alias("basis"))
 
 
 def verification(limits: DataFrame, signatures: DataFrame, key: list[str]) -> DataFrame:
-    """unverified without a signature, verified if unit and value agree, else stale."""
-    s = signatures.select(*key, F.col("unit").alias("signed_unit"), F.col("limit_value").alias("signed_value"))
-    fits = (F.col("unit") == F.col("signed_unit")) & (F.abs(F.col("limit_value") - F.col("signed_value")) <= 1e-9)
-    return limits.join(s, key, "left").withColumn("verification", F.when(F.col("signed_value").isNull(), "unverified").when(fits, "verified").otherwise("stale")).drop("signed_unit", "signed_value")
+    """unverified without a signature; verified if the unit and every value (within 1e-9) agree; else stale.
+
+    Limits and signatures are (key, unit, values array of one or two).
+    """
+    s = signatures.select(*key, F.col("unit").alias("signed_unit"), F.col("values").alias("signed_values"))
+    near = F.forall(F.zip_with("values", "signed_values", lambda x, y: F.abs(x - y) <= 1e-9), lambda ok: S.holds(ok))
+    fits = F.col("unit").eqNullSafe(F.col("signed_unit")) & (F.size("values") == F.size("signed_values")) & near
+    return limits.join(s, key, "left").withColumn("verification", F.when(F.col("signed_values").isNull(), "unverified").when(S.holds(fits), "verified").otherwise("stale")).drop("signed_unit", "signed_values")
 
 
 def pair_oxygen(rows: DataFrame) -> DataFrame:
@@ -116,7 +139,7 @@ def location_country(places: DataFrame, overrides: dict[str, str], depth: int =
 
     At most `depth` ancestors are asked; each step is an equi-join on the parent.
     """
-    tail = F.expr("right(description, 200)")
+    tail = F.expr("right(trim(description), 200)")
     code, name = F.regexp_extract(tail, r"\((?:[^()]{0,80},\s*)?([A-Z]{2})\)\s*$", 1), F.regexp_extract(tail, r"[,(]\s*(Greece|Italy|Norway)\)?\.?\s*$", 1)
     own = F.coalesce(S.lookup(F.col("id"), overrides) if overrides else F.lit(None).cast("string"), S.normalise_country(F.when(code != "", code)), S.lookup(name, {"Greece": "GR", "Italy": "IT", "Norway": "NO"}))
     known = places.select("id", "parent", own.alias("country"))
@@ -127,6 +150,16 @@ def location_country(places: DataFrame, overrides: dict[str, str], depth: int =
     return out.drop("next")
 
 
+#: Type codes of places and the regime whose limits hold there.
+REGIMES = {"420531007": "surface"}
+
+
+def location_regime(id_col: Column, codes: Column, overrides: dict[str, str] | None = None) -> Column:
+    """The regime of a place: its override, else that of the first known one of its type codes (an array), else drinking."""
+    known = F.get(F.filter(F.transform(codes, lambda c: S.lookup(c, REGIMES)), lambda r: r.isNotNull()), 0)
+    return F.coalesce(S.lookup(id_col, overrides) if overrides else F.lit(None).cast("string"), known, F.lit("drinking"))
+
+
 OBSERVATION = (
     "id string, resourceType string, meta struct<profile: array<string>, tag: array<struct<code: string>>>, status string, code struct<coding: array<struct<system: string, code: string, display: string>>, text: string>, subject struct<reference: string>, "
     "performer array<struct<reference: string>>, effectiveDateTime string, effectivePeriod struct<start: string, `end`: string>, valueQuantity struct<value: double, comparator: string, unit: string, system: string, code: string>, "
@@ -172,31 +205,81 @@ def has_profile(profiles: Column, known: tuple[str, ...], guide: str = "[a-z0-9]
     return S.holds(F.exists(profiles, lambda p: p.rlike(pattern)))
 
 
-def site_index(obs: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The whole pass over nested observations: (scores per site, observations by outcome).
+#: A test of oxygen by how far its saturation is from 100 percent.
+SATURATION = "Dissolved oxygen saturation deviation"
+#: Reasons that leave an observation out for its quality; a site where they are half of what could be scored is of low confidence.
+QUALITY = ("qc-inconsistent", "non-finite-value", "unit-mismatch", "physically-impossible", "no-temperature-for-saturation", "ambiguous-temperature-for-saturation", "unusable-temperature-for-saturation", "invalid-quantity")
+#: Reasons before a limit is known.
+UNSCORABLE = ("health-measure", "other-profile", "no-subject", "no-parameter", "interpretive-only", "surface-limit-needs-hardness")
+LEAST_PARAMETERS, MOST_EXCLUDED = 4, 0.5
+
+
+def with_period(obs: DataFrame) -> DataFrame:
+    """`period`, what two observations must share to be of one period: the UTC interval of their times, or their text where it is none."""
+    from hydrolake.operators.text import partial_time
+
+    start, end, one = F.col("effectivePeriod.start"), F.col("effectivePeriod.end"), F.col("effectiveDateTime")
+    # Each time is read once, in a projection of its own.
+    out = obs.withColumn("__start", partial_time(start, "UTC")).withColumn("__end", partial_time(end, "UTC")).withColumn("__one", partial_time(one, "UTC"))
+    at = lambda c, text, side: F.coalesce(F.col(c)[side].cast("string"), text)
+    span = F.concat_ws("/", F.coalesce(at("__start", start, "start"), F.lit("")), F.coalesce(at("__end", end, "end"), F.lit("")))
+    instant = F.concat_ws("/", at("__one", one, "start"), at("__one", one, "end"))
+    return out.withColumn("period", F.when(start.isNotNull() | end.isNotNull(), span).when(one.isNotNull(), instant)).drop("__start", "__end", "__one")
+
+
+def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] | None = None, regimes: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole pass over nested observations: (a row for each site, observations by outcome).
 
-    Each observation gets one reason or is a test; sites get index, veto and confidence.
+    Each observation gets one reason or is a test. In countries that judge oxygen by saturation, an oxygen
+    value of a river meets the temperature of its site and period, and its deviation is the test. Sites get
+    index, veto and confidence; those without a test have none of them. `countries` and `regimes` override
+    what places say. Of outcomes, `n_by_bound` counts tests that a censored value passes.
     """
+    wanted = ["site", "period", "parameter", "quantity", "quantity_reason", "health", "water", "at"]
     rows = representative(obs).withColumn("parameter", match_parameter(F.col("code"))).withColumn("site", F.regexp_extract(F.col("subject.reference"), r"([^/]+)$", 1))
-    places = location_country(locations.select("id", "description", F.regexp_extract(F.col("partOf.reference"), r"([^/]+)$", 1).alias("parent")), {}).select(F.col("id").alias("site"), "country")
-    types = locations.select(F.col("id").alias("site"), S.holds(F.exists("type", lambda t: F.exists(t["coding"], lambda c: c["code"] == "420531007"))).alias("river"))
-    rows = rows.join(places, "site", "left").join(types, "site", "left").withColumn("regime", F.when(S.holds(F.col("river")), "surface").otherwise("drinking"))
-    rows = rows.withColumn("at", F.coalesce(F.col("effectivePeriod.end"), F.col("effectiveDateTime")))
+    rows = rows.withColumn("health", has_profile(F.col("meta.profile"), HEALTH_PROFILES)).withColumn("water", has_profile(F.col("meta.profile"), WATER_PROFILES))
+    rows = with_period(rows).withColumn("at", F.coalesce(F.col("effectivePeriod.end"), F.col("effectiveDateTime"))).select(*wanted)
+    codes = F.flatten(F.transform("type", lambda t: F.transform(t["coding"], lambda c: c["code"])))
+    places = location_country(locations.select("id", "description", F.regexp_extract(F.col("partOf.reference"), r"([^/]+)$", 1).alias("parent")), countries or {}).select(F.col("id").alias("site"), "country")
+    types = locations.select(F.col("id").alias("site"), location_regime(F.col("id"), codes, regimes).alias("regime"))
+    rows = rows.join(places, "site", "left").join(types, "site", "left").withColumn("regime", F.coalesce("regime", F.lit("drinking")))
     dated = obs.sparkSession.createDataFrame([(p, d, v) for p, (d, v) in dims.DATED_LIMITS.items()], "parameter string, effective_from string, dated_value double")
     rows = resolve_limits(rows, dated)
+    raw, comparator = F.col("quantity.value"), F.coalesce("quantity.comparator", F.lit(""))
     unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
-    value = S.convert_unit(F.col("quantity.value"), F.coalesce("quantity.code", "quantity.unit"), unit)
-    rows = rows.withColumn("observed", value).withColumn("kind", S.classify_quantity(value, F.col("quantity.comparator"), F.col("limit_value"), F.col("is_lower")))
+    # Temperatures and the tests read a row several times; what they read is narrow and is written down once.
+    rows = cut(rows.withColumn("observed", S.convert_unit(S.finite(raw), F.col("quantity.code"), unit)).withColumn("censored", comparator != "").withColumn("comparator", comparator).withColumn("finite", raw.isNull() | S.finite(raw).isNotNull()).withColumn("number", raw.isNotNull()).drop("quantity", "at"))
+    kept = F.col("water") & ~F.col("health")
+    fits = S.holds(~F.col("censored") & F.col("quantity_reason").isNull() & F.col("observed").between(0, 40))
+    warm = rows.filter(kept & (F.col("parameter") == "Water temperature") & F.col("period").isNotNull()).groupBy("site", "period").agg(F.min(F.when(fits, F.col("observed"))).alias("least"), F.max(F.when(fits, F.col("observed"))).alias("most"), F.lit(True).alias("seen"))
+    rows = rows.join(warm, ["site", "period"], "left")
+    allowed = S.lookup(F.col("country"), dims.SATURATION_COUNTRIES)
+    by_saturation = S.holds((F.col("parameter") == "Dissolved Oxygen") & (F.col("regime") == "surface") & allowed.isNotNull())
+    two_sided = F.col("parameter").isin(*dims.RANGES)
+    low, high = (S.lookup(F.col("parameter"), {k: v[i] for k, v in dims.RANGES.items()}) for i in (0, 1))
+    bound = S.range_limit(F.col("observed"), low, high)
+    kind = F.when(~F.col("number"), "invalid").when((by_saturation | two_sided) & F.col("censored"), "indeterminate").when(by_saturation | two_sided, "exact").otherwise(S.classify_quantity(F.col("observed"), F.col("comparator"), F.col("limit_value"), F.col("is_lower")))
+    temperature = F.when(F.col("seen").isNull(), "no-temperature-for-saturation").when(F.col("least").isNull(), "unusable-temperature-for-saturation").when(F.col("least") != F.col("most"), "ambiguous-temperature-for-saturation")
+    possible = S.physically_possible(F.col("parameter"), F.col("observed"))
+    tropical = (F.col("regime") == "surface") & (F.col("parameter") == "Water temperature") & F.col("country").isin(*dims.TEMPERATURE_INTERPRETIVE)
     reason = F.coalesce(
-        F.when(has_profile(F.col("meta.profile"), HEALTH_PROFILES), "health-measure"), F.when(~has_profile(F.col("meta.profile"), WATER_PROFILES), "other-profile"), F.when(F.col("parameter").isNull(), "no-parameter"),
-        F.col("quantity_reason"), F.when(F.col("limit_value").isNull(), "no-limit"), F.when(F.col("observed").isNull(), "unit"), F.when(F.col("kind").isin("indeterminate", "invalid"), F.col("kind")), F.when(~S.physically_possible(F.col("parameter"), F.col("observed")), "impossible"),
+        F.when(F.col("health"), "health-measure"), F.when(~F.col("water"), "other-profile"), F.when(F.coalesce("site", F.lit("")) == "", "no-subject"), F.when(F.col("parameter").isNull(), "no-parameter"),
+        F.when(S.holds(tropical), "interpretive-only"), F.when(F.col("limit_value").isNull(), "surface-limit-needs-hardness"), F.col("quantity_reason"), F.when(~F.col("finite"), "non-finite-value"),
+        F.when(F.col("number") & F.col("observed").isNull(), "unit-mismatch"), F.when(by_saturation & ~F.col("censored") & F.col("number") & ~possible, "physically-impossible"),
+        F.when(by_saturation & (kind == "exact"), temperature), F.when(kind == "indeterminate", "indeterminate"), F.when(kind == "invalid", "invalid-quantity"), F.when(~possible, "physically-impossible"),
     )
-    # Scores read the rows several times; what they read is narrow and is computed once.
-    rows = cut(rows.select("site", "parameter", "observed", "limit_value", "is_lower", reason.alias("reason")))
-    counts = rows.groupBy(F.coalesce("reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"))
-    low = [F.col("parameter") == p for p in dims.RANGES]
-    bound = S.range_limit(F.col("observed"), F.lit(dims.RANGES["pH"][0]), F.lit(dims.RANGES["pH"][1]))
-    tests = rows.filter("reason IS NULL").select("site", "parameter", "observed", F.when(low[0], bound["limit_value"]).otherwise(F.col("limit_value")).alias("limit_value"), F.when(low[0], bound["is_lower"]).otherwise(F.col("is_lower")).alias("is_lower"))
-    excluded = rows.groupBy("site").agg((F.count("reason") / F.count("*")).alias("excluded_share"))
-    scores = ccme_wqi(tests).join(veto(tests).drop("class"), "site").join(excluded, "site")
-    return scores.withColumn("confidence", F.when((F.col("n_parameters") < 4) | (F.col("excluded_share") >= 0.5), "low").otherwise("normal")), counts
+    deviation = S.saturation_deviation(F.col("observed"), F.col("least"))
+    rows = cut(rows.select(
+        "site", "country", "regime", F.when(by_saturation, SATURATION).otherwise(F.col("parameter")).alias("parameter"), F.when(by_saturation, deviation).otherwise(F.col("observed")).alias("observed"),
+        F.when(by_saturation, allowed).when(two_sided, bound["limit_value"]).otherwise(F.col("limit_value")).alias("limit_value"), F.when(by_saturation, False).when(two_sided, bound["is_lower"]).otherwise(F.col("is_lower")).alias("is_lower"),
+        reason.alias("reason"), (kind == "pass-by-bound").alias("by_bound"),
+    ))
+    scored_ = F.col("reason").isNull()
+    counts = rows.groupBy(F.coalesce("reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(scored_ & F.col("by_bound")).alias("n_by_bound"))
+    tests = rows.filter(scored_).select("site", "parameter", "observed", "limit_value", "is_lower")
+    mapped = scored_ | ~F.col("reason").isin(*UNSCORABLE)
+    sites = rows.filter(scored_ | ~F.col("reason").isin(*UNSCORABLE[:3])).groupBy("site").agg(F.first("country").alias("country"), F.first("regime").alias("regime"), F.count("*").alias("n_observations"), F.count_if(mapped).alias("n_scorable"), F.count_if(F.col("reason").isin(*QUALITY)).alias("n_excluded"))
+    scores = sites.join(ccme_wqi(tests), "site", "left").join(veto(tests).drop("class"), "site", "left").fillna(0, ["n_parameters", "n_tests", "n_failed"])
+    share = F.coalesce(F.try_divide(F.col("n_excluded").cast("double"), F.col("n_scorable").cast("double")), F.lit(0.0))
+    low_confidence = (F.col("n_parameters") < LEAST_PARAMETERS) | (share >= MOST_EXCLUDED)
+    return scores.withColumn("excluded_share", F.round(share, 6)).withColumn("confidence", F.when(F.col("n_tests") > 0, F.when(low_confidence, "low").otherwise("normal"))), counts

@@ -116,14 +116,29 @@ def near_points(points: DataFrame, places: DataFrame, half_km: float = 5.0) -> D
     return met.select("place", "point", F.round(S.haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), 6).alias("km"))
 
 
+MOST_FIGURES = 17
+
+
+def figures(n: Column, low_precision: Column | None = None) -> Column:
+    """The figures that n values bear: 3 from 20 on, else 2; 2 also for low precision or an unknown n."""
+    large = S.holds(n >= 20) if low_precision is None else S.holds(n >= 20) & ~S.holds(low_precision)
+    return F.when(large, 3).otherwise(2)
+
+
 def approximate(low: Column, high: Column, n: Column) -> Column:
-    """The figures that n values bear: 3 from 20 on, 2 from 5 on, else 1; an outward-rounded range (low, high)."""
-    figures = F.when(n >= 20, 3).when(n >= 5, 2).otherwise(1)
-    unit = lambda x: F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - figures + 1)
-    down = F.when(low == 0, 0.0).otherwise(F.floor(F.round(low / unit(low), 9)) * unit(low))
-    up = F.when(high == 0, 0.0).otherwise(F.ceil(F.round(high / unit(high), 9)) * unit(high))
-    return F.struct(down.alias("low"), up.alias("high"))
+    """An outward-rounded range (low, high): the least value rounded down, the greatest up."""
+    f = figures(n)
+    return F.struct(S.round_figures(low, f, "down").alias("low"), S.round_figures(high, f, "up").alias("high"))
+
+
+def approximate_value(value: Column, n: Column, low: Column, high: Column, low_precision: Column | None = None) -> Column:
+    """The value with the figures that n values bear, or with as many more as it takes to lie in [low, high]; null bounds don't bind."""
+    least = figures(n, low_precision)
+    inside = lambda x: F.coalesce(x >= low, F.lit(True)) & F.coalesce(x <= high, F.lit(True))
+    tried = F.transform(F.sequence(least, F.lit(MOST_FIGURES)), lambda k: S.round_figures(value, k))
+    return F.coalesce(F.get(F.filter(tried, inside), F.lit(0)), value)
 
 
 def precision_reasons(n: Column, partial: Column, below_share: Column, n_sites: Column, annual: Column) -> Column:
-    return S.flags(few_samples=n < 20, partial_period=partial, high_below_detection=below_share >= 0.25, few_sites=n_sites < 5, annual_only=annual)
+    """Why figures are few: fewer than 5 values, a part of the period, a quarter or more below detection, fewer than 5 sites, annual data only."""
+    return S.flags(few_samples_in_a_period=n < 5, partial_period=partial, high_below_detection_share=below_share >= 0.25, few_paired_sites=n_sites < 5, annual_only_data=annual)

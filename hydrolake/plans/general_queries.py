@@ -14,7 +14,8 @@ from hydrolake.operators import reliability as R
 from hydrolake.operators import text as X
 from hydrolake.operators.lineage import shared_path
 from hydrolake.plans.registry import Tables, query
-from hydrolake.plans.views import select
+from hydrolake.plans.index_queries import CLASS, EU, EXC, NATIONAL
+from hydrolake.plans.views import PARAMETERS, select
 from hydrolake.sources import writers
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]
@@ -361,11 +362,41 @@ def f12_partial_time(t: Tables):
 FIGURES = "CASE WHEN l_linenumber > 4 THEN 3 ELSE 2 END"
 
 
-@query(f"SELECT l_orderkey AS id, l_linenumber AS line, floor(l_extendedprice * s + 0.5) / s AS rounded FROM (SELECT *, pow(10.0, {FIGURES} - 1 - floor(log10(l_extendedprice))) AS s FROM lineitem)")
+@query(f"SELECT l_orderkey AS id, l_linenumber AS line, (CASE WHEN cut > 0 THEN (c + 5 * tens // 10) // tens * tens ELSE c END) / 100.0 AS rounded FROM (SELECT *, CAST(pow(10, cut) AS BIGINT) AS tens FROM (SELECT *, greatest(length(CAST(c AS VARCHAR)) - {FIGURES}, 0) AS cut FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)))")
 def f14_round_figures(t: Tables):
     return t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), S.round_figures(F.col("l_extendedprice"), F.expr(FIGURES)).alias("rounded"))
 
 
+# Sums of whole cents over a day's price range: values, counts and bounds of every customer.
+APPROXIMATE = "SELECT o_custkey AS site, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, median(o_totalprice) AS value FROM orders GROUP BY 1"
+
+
+def _tens(x: str, figures: str, how: str) -> str:
+    """Whole cents `x` to so many figures: down, up or nearest."""
+    ten = f"CAST(pow(10, greatest(length(CAST({x} AS VARCHAR)) - {figures}, 0)) AS BIGINT)"
+    add = {"down": "0", "up": f"{ten} - 1", "nearest": f"{ten} // 2"}[how]
+    return f"(({x} + {add}) // {ten} * {ten})"
+
+
+@query(f"""WITH g AS ({APPROXIMATE}), c AS (SELECT site, n, CAST(round(low * 100) AS BIGINT) AS lo, CAST(round(high * 100) AS BIGINT) AS hi, CAST(round(low * 50 + value * 50) AS BIGINT) AS mid FROM g), f AS (SELECT *, CASE WHEN n >= 20 THEN 3 ELSE 2 END AS f FROM c),
+t AS (SELECT site, n, lo, hi, mid, f, k, {_tens("mid", "k", "nearest")} AS x FROM f, (SELECT unnest(range(2, 18)) AS k)), b AS (SELECT site, arg_min(x, k) AS x FROM t WHERE k >= f AND x BETWEEN lo AND hi GROUP BY 1)
+SELECT f.site, f.n, {_tens("lo", "f", "down")} / 100.0 AS low, {_tens("hi", "f", "up")} / 100.0 AS high, coalesce(b.x, mid) / 100.0 AS value FROM f LEFT JOIN b USING (site)""")
+def f14_approximate(t: Tables):
+    """Outward ranges, and values between the least and the median with as many figures as keep them inside."""
+    g = t.orders.groupBy(F.col("o_custkey").alias("site")).agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.median("o_totalprice").alias("v"))
+    mid = F.round(F.col("lo") * 50 + F.col("v") * 50) / 100
+    shown = L.approximate(F.col("lo"), F.col("hi"), F.col("n"))
+    return g.select("site", "n", shown["low"].alias("low"), shown["high"].alias("high"), L.approximate_value(mid, F.col("n"), F.col("lo"), F.col("hi")).alias("value"))
+
+
+REASONS = ["o_orderkey AS id", "o_custkey % 9 AS n", "o_orderpriority = '1-URGENT' AS partial", "o_orderkey % 40 / 100.0 AS below_share", "o_custkey % 8 AS n_sites", "o_orderstatus = 'F' AS annual"]
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_filter([CASE WHEN n < 5 THEN 'few-samples-in-a-period' END, CASE WHEN partial THEN 'partial-period' END, CASE WHEN below_share >= 0.25 THEN 'high-below-detection-share' END, CASE WHEN n_sites < 5 THEN 'few-paired-sites' END, CASE WHEN annual THEN 'annual-only-data' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM {select(REASONS, 'orders')}")
+def f14_precision_reasons(t: Tables):
+    return t.view("orders", REASONS).select("id", F.array_join(L.precision_reasons(*[F.col(c) for c in ("n", "partial", "below_share", "n_sites", "annual")]), ",").alias("reasons"))
+
+
 KINDS = ["c_custkey AS id", "CASE c_custkey % 6 WHEN 0 THEN 'RiverStation' WHEN 1 THEN 'Air Quality 3' WHEN 2 THEN 'Lake x' WHEN 3 THEN 'Airport' ELSE c_name END AS name", "CASE WHEN c_nationkey = 1 THEN '420531007' WHEN c_nationkey = 2 THEN '288520005' END AS code"]
 
 
@@ -413,16 +444,32 @@ def t2_translation_check(t: Tables):
     return t.documents.select("doc_id", F.array_join(X.translation_check(F.col("text"), b), ",").alias("flags"))
 
 
+#: Codes of nested records, the parameters behind them, and their units.
+NESTED = [("nitrate", "Nitrate", "mg/L"), ("sulphate", "Sulphate", "mg/L"), ("ammonium", "Ammonium", "mg/L"), ("lead-dissolved", "Lead dissolved", "ug/L"), ("colour", None, "mg/L"), ("dissolved-oxygen", "Dissolved Oxygen", "mg/L"), ("water-temperature", "Water temperature", "Cel"), ("cadmium-dissolved", "Cadmium dissolved", "ug/L"), ("ph", "pH", "pH")]
+NESTED_SQL = f"""o AS (SELECT CONCAT('o', l_orderkey, '-', l_linenumber) AS id, l_partkey AS p, 'L' || l_suppkey AS site, strftime(l_shipdate, '%Y-%m') AS period, [{", ".join("NULL" if n is None else repr(n) for _, n, _ in NESTED)}][l_partkey % 9 + 1] AS parameter,
+  CASE WHEN l_partkey % 37 = 0 THEN 'kg' ELSE [{", ".join(repr(u) for _, _, u in NESTED)}][l_partkey % 9 + 1] END AS unit, l_linenumber <= 4 AND l_partkey % 31 = 0 AS broken, CASE WHEN l_linenumber > 4 THEN l_quantity WHEN l_partkey % 31 <> 0 THEN l_quantity + l_tax * 10 END AS v,
+  l_linenumber > 4 AND l_partkey % 11 = 0 AS below, l_suppkey % 3 = 0 AS river, s_nationkey % 2 = 0 AS it, l_partkey % 17 = 0 AS other, l_partkey % 17 > 0 AND l_partkey % 13 = 0 AS health FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
+DEVIATION = "abs(100 - 100 * v / exp(-139.34411 + 1.575701e5 / (lo + 273.15) - 6.642308e7 / ((lo + 273.15) * (lo + 273.15)) + 1.243800e10 / ((lo + 273.15) * (lo + 273.15) * (lo + 273.15)) - 8.621949e11 / ((lo + 273.15) * (lo + 273.15) * (lo + 273.15) * (lo + 273.15))))"
+#: The scoring pass over nested rows: warm is the temperature of a site and month, r has a reason for each row.
+INDEX_SQL = f"""{NESTED_SQL}, warm AS (SELECT site, period, min(v) FILTER (WHERE NOT below AND unit = 'Cel' AND v BETWEEN 0 AND 40) AS lo, max(v) FILTER (WHERE NOT below AND unit = 'Cel' AND v BETWEEN 0 AND 40) AS hi FROM o WHERE parameter = 'Water temperature' AND NOT other AND NOT health GROUP BY 1, 2),
+x AS (SELECT o.*, w.site IS NOT NULL AS seen, lo, hi, par.is_lower AS lower, CASE WHEN river THEN CASE WHEN o.parameter <> 'Cadmium dissolved' THEN coalesce(nat.value, eu.value, par.limit_value) END ELSE par.limit_value END AS l, coalesce(river AND it AND o.parameter = 'Dissolved Oxygen', false) AS sat
+  FROM o LEFT JOIN warm w ON w.site = o.site AND w.period = o.period LEFT JOIN {PARAMETERS} ON par.parameter = o.parameter LEFT JOIN {NATIONAL} ON it AND nat.country = 'IT' AND nat.parameter = o.parameter LEFT JOIN {EU} ON eu.parameter = o.parameter),
+r AS (SELECT *, CASE WHEN health THEN 'health-measure' WHEN other THEN 'other-profile' WHEN parameter IS NULL THEN 'no-parameter' WHEN river AND it AND parameter = 'Water temperature' THEN 'interpretive-only' WHEN l IS NULL THEN 'surface-limit-needs-hardness' WHEN broken THEN 'qc-inconsistent' WHEN unit = 'kg' THEN 'unit-mismatch'
+  WHEN sat AND below THEN 'indeterminate' WHEN sat AND NOT seen THEN 'no-temperature-for-saturation' WHEN sat AND lo IS NULL THEN 'unusable-temperature-for-saturation' WHEN sat AND lo <> hi THEN 'ambiguous-temperature-for-saturation' WHEN below AND (parameter = 'pH' OR lower OR v > l) THEN 'indeterminate' WHEN parameter = 'pH' AND v > 14 THEN 'physically-impossible' END AS reason FROM x),
+y AS (SELECT *, CASE WHEN sat THEN 'Dissolved oxygen saturation deviation' ELSE parameter END AS name, CASE WHEN sat THEN {DEVIATION} ELSE v END AS observed, CASE WHEN sat THEN 20.0 WHEN parameter = 'pH' THEN CASE WHEN v < 6.5 THEN 6.5 ELSE 9.5 END ELSE l END AS limit_value, CASE WHEN sat THEN false WHEN parameter = 'pH' THEN v < 6.5 ELSE lower END AS is_lower FROM r)"""
+
+
 def nested(t: Tables):
     """Nested observations made of line items."""
-    stat = lambda k, v: f"named_struct('code', named_struct('coding', array(named_struct('system', 's', 'code', '{k}'))), 'valueQuantity', named_struct('value', {v}, 'comparator', CAST(NULL AS STRING), 'unit', 'mg/L', 'system', 'http://unitsofmeasure.org', 'code', 'mg/L'))"
-    names = "element_at(array('nitrate', 'sulphate', 'ammonium', 'lead-dissolved', 'colour'), CAST(l_partkey % 5 + 1 AS INT))"
+    stat = lambda k, v: f"named_struct('code', named_struct('coding', array(named_struct('system', 's', 'code', '{k}'))), 'valueQuantity', named_struct('value', {v}, 'comparator', CAST(NULL AS STRING), 'unit', {unit}, 'system', 'http://unitsofmeasure.org', 'code', {unit}))"
+    names = f"element_at(array({', '.join(repr(n) for n, _, _ in NESTED)}), CAST(l_partkey % 9 + 1 AS INT))"
+    unit = f"CASE WHEN l_partkey % 37 = 0 THEN 'kg' ELSE element_at(array({', '.join(repr(u) for _, _, u in NESTED)}), CAST(l_partkey % 9 + 1 AS INT)) END"
     fields = [
         "CONCAT('o', l_orderkey, '-', l_linenumber) AS id", "'Observation' AS resourceType",
         "named_struct('profile', CASE WHEN l_partkey % 17 = 0 THEN array() WHEN l_partkey % 13 = 0 THEN array('http://x/observation-health-measure-guide') ELSE array('http://x/observation-indicators-guide') END, 'tag', array(named_struct('code', CASE WHEN l_partkey % 23 = 0 THEN 'demo' ELSE 'real' END))) AS meta",
         "CASE WHEN l_partkey % 29 = 0 THEN 'preliminary' ELSE 'final' END AS status", f"named_struct('coding', array(named_struct('system', 's', 'code', {names}, 'display', CAST(NULL AS STRING))), 'text', CAST(NULL AS STRING)) AS code",
-        "named_struct('reference', CONCAT('Location/L', l_suppkey)) AS subject", "array(named_struct('reference', 'x')) AS performer", "CAST(CAST(l_shipdate AS DATE) AS STRING) AS effectiveDateTime", "CAST(NULL AS STRUCT<start: STRING, `end`: STRING>) AS effectivePeriod",
-        "CASE WHEN l_linenumber > 4 THEN named_struct('value', l_quantity, 'comparator', CASE WHEN l_partkey % 11 = 0 THEN '<' END, 'unit', 'mg/L', 'system', 'http://unitsofmeasure.org', 'code', 'mg/L') END AS valueQuantity",
+        "named_struct('reference', CONCAT('Location/L', l_suppkey)) AS subject", "array(named_struct('reference', 'x')) AS performer", "date_format(l_shipdate, 'yyyy-MM') AS effectiveDateTime", "CAST(NULL AS STRUCT<start: STRING, `end`: STRING>) AS effectivePeriod",
+        f"CASE WHEN l_linenumber > 4 THEN named_struct('value', l_quantity, 'comparator', CASE WHEN l_partkey % 11 = 0 THEN '<' END, 'unit', {unit}, 'system', 'http://unitsofmeasure.org', 'code', {unit}) END AS valueQuantity",
         f"CASE WHEN l_linenumber <= 4 THEN array({stat('minimum', 'l_quantity')}, {stat('median', 'l_quantity + l_tax * 10')}, {stat('maximum', 'l_quantity + CASE WHEN l_partkey % 31 = 0 THEN -5 ELSE 5 END')}) END AS component",
     ]
     return t.lineitem.selectExpr(*fields)
@@ -432,18 +479,22 @@ def places(t: Tables):
     return t.supplier.selectExpr("CONCAT('L', s_suppkey) AS id", "s_name AS name", "CASE WHEN s_nationkey % 2 = 0 THEN 'X (Y, IT)' ELSE 'Z' END AS description", "CASE WHEN s_suppkey % 3 = 0 THEN array(named_struct('coding', array(named_struct('code', '420531007')))) END AS type", "named_struct('reference', CAST(NULL AS STRING)) AS partOf")
 
 
-@query()
+@query(f"""WITH {INDEX_SQL}, e AS (SELECT *, {EXC} AS exc, CASE WHEN is_lower THEN observed < limit_value ELSE observed > limit_value END AS failed FROM y WHERE reason IS NULL),
+s AS (SELECT site, count(DISTINCT name) AS n_parameters, count(*) AS n_tests, count(*) FILTER (WHERE failed) AS n_failed, 100.0 * count(DISTINCT CASE WHEN failed THEN name END) / count(DISTINCT name) AS f1, 100.0 * count(*) FILTER (WHERE failed) / count(*) AS f2, sum(CASE WHEN failed THEN exc ELSE 0 END) / count(*) AS nse FROM e GROUP BY 1),
+w AS (SELECT *, round(greatest(0, least(100, 100 - sqrt(f1 * f1 + f2 * f2 + (nse / (0.01 * nse + 0.01)) ** 2) / 1.732)), 6) AS wqi FROM s), c AS (SELECT *, {CLASS} AS class FROM w),
+m AS (SELECT site, name, max(exc) AS worst FROM e GROUP BY 1, 2), v AS (SELECT site, round(max(worst), 6) AS worst_excursion, coalesce(string_agg(name, ',' ORDER BY worst DESC, name) FILTER (WHERE worst >= 1.0), '') AS veto_parameters FROM m GROUP BY 1),
+g AS (SELECT site, CASE WHEN any_value(it) THEN 'IT' END AS country, CASE WHEN any_value(river) THEN 'surface' ELSE 'drinking' END AS regime, count(*) AS n_observations, count(*) FILTER (WHERE coalesce(reason, '') NOT IN ('no-parameter', 'interpretive-only', 'surface-limit-needs-hardness')) AS n_scorable, count(*) FILTER (WHERE reason IN ('qc-inconsistent', 'unit-mismatch', 'physically-impossible') OR reason LIKE '%-for-saturation') AS n_excluded FROM r WHERE NOT health AND NOT other GROUP BY 1)
+SELECT g.*, n_parameters, n_tests, n_failed, wqi, class, worst_excursion, veto_parameters, veto_parameters <> '' AND class IN ('Excellent', 'Good', 'Fair') AS eclipsed, round(n_excluded / n_scorable, 6) AS excluded_share, CASE WHEN n_parameters < 4 OR n_excluded / n_scorable >= 0.5 THEN 'low' ELSE 'normal' END AS confidence FROM g LEFT JOIN c USING (site) LEFT JOIN v USING (site)""")
 def a26_site_index(t: Tables):
-    scores, _ = I.site_index(nested(t), places(t))
-    return scores.withColumn("excluded_share", F.round("excluded_share", 6))
+    return I.site_index(nested(t), places(t))[0]
 
 
-@query()
+@query(f"WITH {INDEX_SQL} SELECT coalesce(reason, 'scored') AS reason, count(*) AS n, count(*) FILTER (WHERE reason IS NULL AND below) AS n_by_bound FROM r GROUP BY 1")
 def a26_site_index_outcomes(t: Tables):
     return I.site_index(nested(t), places(t))[1]
 
 
-@query()
+@query(f"WITH {NESTED_SQL} SELECT id, parameter, v AS value, CASE WHEN broken THEN 'qc-inconsistent' END AS quantity_reason FROM o")
 def f6_representative_quantity(t: Tables):
     return I.representative(nested(t)).select("id", I.match_parameter(F.col("code")).alias("parameter"), F.col("quantity.value").alias("value"), "quantity_reason")
 

@@ -87,24 +87,50 @@ def f10_limit_basis(t: Tables):
     return t.view("lineitem", PLACED).groupBy("parameter", "regime", "country", I.limit_basis(F.col("parameter"), F.col("regime"), F.col("country")).alias("basis")).agg(F.count("*").alias("n"))
 
 
-BASE = ["CASE WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'drinking' END AS regime", "CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'IT' ELSE 'GR' END END AS country", PICK.replace("l_partkey", "p_partkey"), "p_retailprice AS limit_value", "'mg/L' AS unit"]
-OVER = BASE[:3] + ["p_retailprice / 2 AS limit_value", "'own source' AS source"]
+BASE = ["CASE WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'drinking' END AS regime", "CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'IT' ELSE 'GR' END END AS country", PICK.replace("l_partkey", "p_partkey"), "p_retailprice AS limit_value"]
+OVER = "p_size > 20 AND p_brand < 'Brand#3'"
 
 
-@query(f"""WITH b AS {select(BASE, "part")}, o AS {select(OVER, "part", "p_size > 20 AND p_brand < 'Brand#3'")}, b1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM b GROUP BY 1, 2, 3), o1 AS (SELECT regime, country, parameter, min(limit_value) AS limit_value FROM o GROUP BY 1, 2, 3)
-SELECT coalesce(b1.regime, o1.regime) AS regime, coalesce(b1.country, o1.country) AS country, coalesce(b1.parameter, o1.parameter) AS parameter, coalesce(o1.limit_value, b1.limit_value) AS limit_value, CASE WHEN o1.limit_value IS NOT NULL THEN 'override: own source' END AS basis FROM b1 FULL JOIN o1 ON b1.regime = o1.regime AND b1.country IS NOT DISTINCT FROM o1.country AND b1.parameter = o1.parameter""")
+def limits(t: Tables, where: str | None = None):
+    """A limit for each key, two values for pH."""
+    unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
+    rows = t.view("part", BASE, where).groupBy("regime", "country", "parameter").agg(F.min("limit_value").alias("lo"), F.max("limit_value").alias("hi"))
+    values = F.when(F.col("parameter") == "pH", F.array("lo", F.col("hi") + 1)).otherwise(F.array("lo"))
+    return rows.select("regime", "country", "parameter", unit.alias("unit"), values.alias("values"))
+
+
+def limits_sql(where: str | None = None) -> str:
+    return f"(SELECT regime, country, g.parameter, par.unit, CASE WHEN g.parameter = 'pH' THEN [lo, hi + 1] ELSE [lo] END AS values FROM (SELECT regime, country, parameter, min(limit_value) AS lo, max(limit_value) AS hi FROM {select(BASE, 'part', where)} GROUP BY 1, 2, 3) g LEFT JOIN {PARAMETERS} ON par.parameter = g.parameter)"
+
+
+@query(f"""WITH b AS {limits_sql()}, o AS {limits_sql(OVER)}
+SELECT coalesce(b.regime, o.regime) AS regime, coalesce(b.country, o.country) AS country, coalesce(b.parameter, o.parameter) AS parameter, coalesce(b.unit, o.unit) AS unit, coalesce(o.values, b.values) AS values, CASE WHEN o.values IS NOT NULL THEN 'override: own source' END AS basis FROM b FULL JOIN o ON b.regime = o.regime AND b.country IS NOT DISTINCT FROM o.country AND b.parameter = o.parameter""", lists=("values",))
 def j7_overlay_limits(t: Tables):
-    key = ["regime", "country", "parameter"]
-    base = t.view("part", BASE).groupBy(*key).agg(F.min("limit_value").alias("limit_value"))
-    over = t.view("part", OVER, "p_size > 20 AND p_brand < 'Brand#3'").groupBy(*key).agg(F.min("limit_value").alias("limit_value"), F.min("source").alias("source"))
-    return I.overlay_limits(base, over)
+    return I.overlay_limits(limits(t), limits(t, OVER).withColumn("source", F.lit("own source")))
+
+
+BROKEN = [
+    "p_partkey AS id", "CASE WHEN p_partkey % 10 = 1 THEN 'ground' WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'drinking' END AS regime", "CASE WHEN p_partkey % 10 = 2 THEN 'Italy' WHEN p_partkey % 10 = 3 THEN 'IT' WHEN p_partkey % 4 = 0 THEN 'GR' END AS country",
+    "CASE p_partkey % 3 WHEN 0 THEN 'Nitrate' WHEN 1 THEN 'pH' ELSE 'Gold' END AS parameter", "CASE WHEN p_partkey % 3 = 1 THEN 'pH' WHEN p_partkey % 14 = 0 THEN 'ug/L' ELSE 'mg/L' END AS unit", "CAST(p_size - 5 AS DOUBLE) AS low", "CAST(p_size % 17 AS DOUBLE) AS high", "CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE 'text' END AS source",
+]
 
 
-@query("SELECT a.p_partkey AS id, CASE WHEN b.p_partkey IS NULL THEN 'unverified' WHEN abs(a.p_retailprice - (b.p_retailprice + CASE WHEN b.p_size > 25 THEN 0 ELSE 0.1 END)) <= 1e-9 THEN 'verified' ELSE 'stale' END AS verification FROM part a LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) b ON a.p_partkey = b.p_partkey")
+@query(f"""WITH o AS (SELECT *, CASE WHEN parameter = 'pH' AND id % 5 > 0 OR id % 7 = 0 THEN [low, high] ELSE [low] END AS v, CASE WHEN parameter = 'pH' THEN 2 ELSE 1 END AS wanted FROM {select(BROKEN, "part")})
+SELECT CASE WHEN regime NOT IN ('surface', 'drinking') THEN 'regime' WHEN parameter NOT IN ('pH', 'Nitrate') THEN 'parameter' WHEN country IS NOT NULL AND NOT (regime = 'surface' AND regexp_matches(country, '^[A-Z]{{2}}$')) THEN 'country' WHEN unit <> CASE parameter WHEN 'pH' THEN 'pH' ELSE 'mg/L' END THEN 'unit'
+  WHEN len(v) <> wanted THEN 'number-of-values' WHEN len(list_filter(v, lambda x: x <= 0)) > 0 THEN 'value' WHEN wanted = 2 AND v[1] >= v[2] THEN 'order-of-values' WHEN trim(source) = '' THEN 'source' END AS problem, count(*) AS n FROM o GROUP BY 1""")
+def j7_override_problems(t: Tables):
+    rows = t.view("part", BROKEN).withColumn("values", F.when((F.col("parameter") == "pH") & (F.col("id") % 5 > 0) | (F.col("id") % 7 == 0), F.array("low", "high")).otherwise(F.array("low")))
+    return I.check_overrides(rows).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN [p_retailprice, p_retailprice + 1] ELSE [p_retailprice] END AS v FROM part), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'g/L' ELSE 'mg/L' END AS unit, CASE WHEN p_partkey % 8 = 0 THEN [p_retailprice, p_retailprice + CASE WHEN p_size > 25 THEN 1 ELSE 1.1 END] WHEN p_size > 25 THEN [p_retailprice] ELSE [p_retailprice + 0.1] END AS v FROM part WHERE p_partkey % 3 <> 0)
+SELECT a.id, CASE WHEN b.id IS NULL THEN 'unverified' WHEN b.unit = 'mg/L' AND len(a.v) = len(b.v) AND len(list_filter(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]) > 1e-9)) = 0 THEN 'verified' ELSE 'stale' END AS verification FROM a LEFT JOIN b ON a.id = b.id""")
 def j8_verification_status(t: Tables):
-    limits = t.view("part", ["p_partkey AS id", "p_retailprice AS limit_value", "'mg/L' AS unit"])
-    signed = t.view("part", ["p_partkey AS id", "p_retailprice + CASE WHEN p_size > 25 THEN 0 ELSE 0.1 END AS limit_value", "'mg/L' AS unit"], "p_partkey % 3 <> 0")
-    return I.verification(limits, signed, ["id"]).select("id", "verification")
+    price, large = F.col("p_retailprice"), F.col("p_size") > 25
+    own = t.part.select(F.col("p_partkey").alias("id"), F.lit("mg/L").alias("unit"), F.when(F.col("p_partkey") % 4 == 0, F.array(price, price + 1)).otherwise(F.array(price)).alias("values"))
+    signed = F.when(F.col("p_partkey") % 8 == 0, F.array(price, price + F.when(large, 1.0).otherwise(1.1))).when(large, F.array(price)).otherwise(F.array(price + 0.1))
+    signatures = t.part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, "g/L").otherwise("mg/L").alias("unit"), signed.alias("values"))
+    return I.verification(own, signatures, ["id"]).select("id", "verification")
 
 
 OXYGEN = ["user_id AS site", "CAST(ts AS DATE) AS period", "CASE event_type WHEN 'view' THEN 'oxygen' WHEN 'click' THEN 'temperature' WHEN 'signup' THEN 'temperature' ELSE 'other' END AS kind", "CASE WHEN event_type = 'view' THEN value / 10 ELSE floor(value / 4) END AS value", "value < 160 AS usable"]
@@ -140,6 +166,14 @@ def j12_location_country(t: Tables):
     return I.location_country(t.view("customer", PLACES), {5: "NO"})
 
 
+CODED = ["c_custkey AS id", "CASE WHEN c_nationkey % 3 = 0 THEN NULL WHEN c_nationkey % 3 = 1 THEN array('288520005', '420531007') ELSE array('288520005') END AS codes"]
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'surface' WHEN c_custkey = 8 THEN 'drinking' WHEN c_nationkey % 3 = 1 THEN 'surface' ELSE 'drinking' END AS regime FROM customer")
+def j12_location_regime(t: Tables):
+    return t.view("customer", CODED).select("id", I.location_regime(F.col("id"), F.col("codes"), {7: "surface", 8: "drinking"}).alias("regime"))
+
+
 @query("""WITH c AS (SELECT l_suppkey AS sample, l_partkey % 40 AS taxon, sum(CASE WHEN l_linenumber = 7 THEN 0 WHEN l_quantity < 10 THEN 1 ELSE floor(l_quantity / 10) END)::DOUBLE AS c FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1, 2),
 p AS (SELECT sample, c, sum(c) OVER (PARTITION BY sample) AS t FROM c WHERE c > 0), g AS (SELECT sample, count(*) AS richness, -sum(c / t * ln(c / t)) AS h, 1 - sum((c / t) ** 2) AS simpson, count(*) FILTER (WHERE c = 1) AS f1, count(*) FILTER (WHERE c = 2) AS f2 FROM p GROUP BY 1)
 SELECT sample, richness, round(h, 6) AS shannon, round(simpson, 6) AS simpson, round(CASE WHEN richness >= 2 THEN h / ln(richness) END, 6) AS pielou, round(richness + f1 * (f1 - 1) / (2.0 * (f2 + 1)), 6) AS chao1 FROM g""")

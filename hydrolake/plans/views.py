@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hydrolake.functions import dims
+from hydrolake.operators.lineage import spread
 from hydrolake.plans.registry import Tables
 
 
@@ -47,7 +48,7 @@ A, B = ("a", 1997 * 12, 1998 * 12 + 5), ("b", 1998 * 12 + 3, 2000 * 12 + 11)
 
 
 def measurements(t: Tables):
-    return t.view("lineitem", MEASUREMENTS)
+    return spread(t.lineitem).selectExpr(*MEASUREMENTS)
 
 
 SITES = [
