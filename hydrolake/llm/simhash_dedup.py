@@ -44,6 +44,8 @@ STAGE_WORDS, LIKE = 5, (4, 5)
 #: Bands of five least hashes each: of pairs with a likeness of 0.8 all but (1 - 0.8**5)**30, 7 in a million, share a band.
 BANDS = 30
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 5 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sets and hashes of a chunk of a band, and hashes that a cell compares at once.
+CHUNK, CHUNK_HASHES, COLUMNS = 256, 1 << 19, 4096
 #: Hashes that are counted at once; a long text is counted in several parts.
 PART = 1 << 16
 
@@ -211,20 +213,96 @@ def _sets(texts: DataFrame) -> DataFrame:
     return map_rows(texts, make, "key bigint, s array<bigint>")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (u, v, nu, nv) of sets whose exact Jaccard likeness is `LIKE` or more; `texts`: (key, text)."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = cut(_sets(texts.join(nodes, "key", "left_semi")))
+def _enough(common, nu, nv):
+    """Whether a Jaccard likeness is `LIKE` or more, of numbers, arrays or columns."""
+    return LIKE[1] * common >= LIKE[0] * (nu + nv - common)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (u, v, nu, nv) of sets whose exact Jaccard likeness is `LIKE` or more; `sets`: (key, s)."""
     both = pairs.join(sets.withColumnRenamed("s", "sv"), pairs["v"] == sets["key"]).drop("key").join(sets.withColumnRenamed("s", "su"), F.col("u") == F.col("key"))
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(LIKE[1] * common >= LIKE[0] * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+    return both.filter(_enough(F.size(F.array_intersect("su", "sv")), F.col("nu"), F.col("nv"))).select("u", "v")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of hashes that each set of `left` shares with each of `right`."""
+    own = [*left, *right]
+    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    _, columns, seen = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    rows, columns = rows[shared := seen[columns] > 1], columns[shared]
+    _, columns = np.unique(columns, return_inverse=True)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        a, b = np.searchsorted(columns, [at, at + COLUMNS])
+        has = np.zeros((len(own), COLUMNS), np.float32)
+        has[rows[a:b], columns[a:b] - at] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def _linked(side: list[int], keys: list[int], parts: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a cell that bring together what is not so yet: a spanning forest of its alike sets over the parts."""
+    up = {p: p for p in parts}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left = [k for k, x in enumerate(side) if x == 0]
+    right = [k for k, x in enumerate(side) if x == 1] or left
+    size = np.array([len(x) for x in sets])
+    common = _common([sets[k] for k in left], [sets[k] for k in right])
+    near = _enough(common.astype(np.int64), size[left][:, None], size[right][None, :])
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        x, y = left[i], right[j]
+        a, b = root(parts[x]), root(parts[y])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((keys[x], keys[y]))
+    return out
+
+
+def _between(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between members (band, key, n, part) of one band that are in different parts.
+
+    Bands with equal members are compared once. A band's members are dealt to chunks of at most `CHUNK` sets and
+    some `CHUNK_HASHES` hashes, and each pair of chunks is a cell that a task compares: no pair is a row, and a cell
+    returns only links that bring parts together.
+    """
+    mixed = placed.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("a"), F.max("key").alias("b"), F.sum("n").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int")
+    once = mixed.groupBy("m", "x", "a", "b").agg(F.min("band").alias("band"), F.max(chunks).alias("chunks")).select("band", "chunks")
+    dealt = placed.join(once, "band").withColumn("c", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells_ = dealt.select("band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"), "key", "part")
+    gathered = cells_.join(sets, "key").groupBy("band", "i", "j").agg(F.collect_list(F.struct("side", "key", "part", "s")).alias("members")).select("members")
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for members in batch.column(0):
+                own = members.values
+                side, keys, parts = (own.field(c).to_pylist() for c in ("side", "key", "part"))
+                held = own.field("s")
+                flat, offsets = held.flatten().to_numpy(), held.offsets.to_numpy() - held.offsets[0].as_py()
+                for x, y in _linked(side, keys, parts, [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]):
+                    u.append(x)
+                    v.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return gathered.mapInArrow(run, "u long, v long")
 
 
 def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): texts whose sets of shingles of five words have a Jaccard likeness of 0.8 or more, linked transitively.
 
-    Pairs that share a band are candidates and are verified by their whole sets: first each member of a band
-    against the band's smallest, then the pairs that are still in different components.
+    Texts that share a band are candidates and are verified by their whole sets: first each member of a band
+    against the band's smallest, then, in bands whose members are still in different components, those members
+    among each other in cells.
     """
     rows = cut(sketches(docs, id_col, text_col))
     known = rows.filter("n > 0").groupBy("key").agg(F.min("tk").alias("tk"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
@@ -233,18 +311,14 @@ def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = cut(index.join(shared, "band"))
     wanted = members.select("key", "tk").distinct()
     own = docs.select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")).join(wanted, "tk")
-    texts = cut(own.dropDuplicates(["key"]).select("key", "text"))
+    sets = cut(_sets(own.groupBy("key").agg(F.first("text").alias("text"))))
     sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
     stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized).distinct()
-    first = cut(_alike(cut(stars), texts))
+    first = cut(_alike(stars, sets))
     parts = connected_components(first)
-    placed = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", "n", F.col("c.key").alias("centre"), F.coalesce("component", "key").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("band")
-    placed = cut(placed.join(mixed, "band", "left_semi"))
-    a, b = placed.select("band", F.col("key").alias("u"), F.col("n").alias("nu"), "centre", F.col("part").alias("pu")), placed.select("band", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-    rest = a.join(b, "band").filter("u < v AND pu <> pv AND u <> centre").filter(sized).select("u", "v", "nu", "nv").distinct()
-    parts = connected_components(first.unionByName(_alike(cut(rest), texts)))
-    named = rows.join(parts, rows["key"] == parts["node"], "left").select("id", F.coalesce("component", "key").alias("part"))
+    placed = cut(members.join(parts, members["key"] == parts["node"], "left").select("band", "key", "n", F.coalesce("component", "key").alias("part")))
+    parts = connected_components(first.unionByName(_between(placed, sets)))
+    named = spread_join(rows, parts.withColumnRenamed("node", "key"), "key", "id", "left").select("id", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
     return spread_join(named, least, "part", "id").select(F.col("id").alias(id_col), "component_id")
 
