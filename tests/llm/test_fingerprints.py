@@ -154,3 +154,35 @@ def test_equal_ids_follow_by_their_texts(spark):
     rows = [(None, f"text {k}") for k in range(30)] + [(5, f"more {k}") for k in range(30)]
     got = simhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == 60 and {r["n_chars"] for r in got} == {6, 7}
+
+
+def test_common_hashes_and_links_of_a_cell(monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 62, 300)
+    sets = [np.unique(np.concatenate([rnd.choice(base, k, replace=False), rnd.integers(0, 1 << 62, 8)])) for k in rnd.integers(250, 300, 40)]
+    monkeypatch.setattr(simhash_dedup, "COLUMNS", 64)
+    common = simhash_dedup._common(sets[:15], sets[15:])
+    assert all(common[i, j] == len(set(sets[i]) & set(sets[15 + j])) for i in range(15) for j in range(25))
+    assert simhash_dedup._common([base[:3]], [base[5:9]]).tolist() == [[0]]
+    keys = list(range(100, 140))
+    edges = simhash_dedup._linked([0] * 40, keys, keys, sets)
+    alike = [(i, j) for i, j in combinations(range(40), 2) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+    assert alike and closure([(u - 100, v - 100) for u, v in edges], range(40)) == closure(alike, range(40)) and len(edges) < 40
+
+
+def test_large_groups_of_near_copies(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CHUNK", 16)
+    rnd = random.Random(31)
+    base = prose(1, 120, seed=32)[0].split()
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            w[rnd.randrange(len(w))] = f"edit{rnd.randrange(1000)}"
+        texts.append(" ".join(w))
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    want = closure([(i, j) for i, j in combinations(range(120), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])], range(120))
+    assert 1 < len(set(want.values())) < 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.like_groups(docs(texts)).collect()}
+    assert got == want
