@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from hydrolake.functions import scalars as S
 
+#: What a season's row says of the water beside its quality.
+ATTRIBUTES = ("group_id", "name", "type", "constraint")
 RANKS = {"Excellent": 0, "Good": 1, "Sufficient": 2, "Poor": 3}
 
 
@@ -21,7 +23,7 @@ def clean(raw: DataFrame) -> DataFrame:
     reason = F.when(country.isNull(), "country").when(~S.holds(F.trim("bw_id") != ""), "id").when(~whole, "season")
     return raw.select(
         country.alias("country"), F.trim("bw_id").alias("bw_id"), F.when(whole, season.cast("int")).alias("season"), F.trim("quality").alias("quality"), "calendar", "management",
-        F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"), S.safe_url(F.col("profile")).alias("profile"), reason.alias("reason"),
+        F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"), S.safe_url(F.col("profile")).alias("profile"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ATTRIBUTES], reason.alias("reason"),
     )
 
 
@@ -32,15 +34,16 @@ def dedupe(rows: DataFrame) -> DataFrame:
     """
     key = ["country", "quality", "calendar", "management"]
     own = rows.groupBy("bw_id").agg(F.min("country").alias("country"))
-    best = rows.join(own, ["bw_id", "country"]).groupBy("bw_id", "season").agg(F.min(F.struct(*key, "lat", "lon", "profile")).alias("r"), F.count("*").alias("n_rows"), F.countDistinct(F.struct(*key)).alias("n_variants"))
+    best = rows.join(own, ["bw_id", "country"]).groupBy("bw_id", "season").agg(F.min(F.struct(*key, "lat", "lon", "profile", *ATTRIBUTES)).alias("r"), F.count("*").alias("n_rows"), F.countDistinct(F.struct(*key)).alias("n_variants"))
     return best.select("bw_id", "season", "r.*", "n_rows", "n_variants")
 
 
 def rollup(rows: DataFrame) -> DataFrame:
-    """Per water: latest quality and class, coordinates of the latest season that has them, seasons."""
+    """Per water: attributes, quality and class of the latest season, coordinates of the latest one that has them, seasons."""
     located = F.when(F.col("lat").isNotNull(), F.col("season"))
-    out = rows.groupBy("bw_id").agg(F.min("country").alias("country"), F.max_by("quality", "season").alias("latest_quality"), F.max_by(F.struct("lat", "lon"), located).alias("p"), F.min("season").alias("first_season"), F.max("season").alias("last_season"), F.countDistinct("season").alias("n_seasons"))
-    return out.select("bw_id", "country", "latest_quality", S.quality_class(F.col("latest_quality")).alias("latest_class"), "p.lat", "p.lon", "first_season", "last_season", "n_seasons")
+    out = rows.groupBy("bw_id").agg(F.min("country").alias("country"), F.max_by(F.struct(*ATTRIBUTES, "profile", F.col("quality").alias("latest_quality")), "season").alias("latest"), F.max_by(F.struct("lat", "lon"), located).alias("p"), F.min("season").alias("first_season"), F.max("season").alias("last_season"), F.countDistinct("season").alias("n_seasons"))
+    out = out.select("*", "latest.*")
+    return out.select("bw_id", "country", *ATTRIBUTES, "profile", "latest_quality", S.quality_class(F.col("latest_quality")).alias("latest_class"), "p.lat", "p.lon", "first_season", "last_season", "n_seasons")
 
 
 def season_counts(rows: DataFrame) -> DataFrame:

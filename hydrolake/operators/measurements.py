@@ -221,7 +221,7 @@ def unit_rules(weights: DataFrame) -> DataFrame:
 
 
 def window_aggregate(cells: DataFrame, windows: list[tuple[str, int, int]], rules: DataFrame | None = None, by: tuple[str, ...] = ("site_id", "determinand", "matrix")) -> DataFrame:
-    """Per site, series and window (label, first, last month): counts, sum, extremes and months with values.
+    """Per site, series and window (label, first, last month): counts, sum, extremes and months with values (`month_set`, `months`).
 
     Windows may overlap. A cell is dealt to its windows without a join. With `rules`, values are in
     the series' unit and cells of units without a factor are left out.
@@ -237,8 +237,8 @@ def window_aggregate(cells: DataFrame, windows: list[tuple[str, int, int]], rule
     some = F.col("n") > 0
     return rows.withColumn("window", label).groupBy(*by, "window").agg(
         F.sum("n").alias("n"), F.sum("n_below_loq").alias("n_below_loq"), F.sum("n_lower_reliability").alias("n_lower_reliability"), F.sum(F.col("sum_value") * F.col("factor")).alias("total"),
-        F.min(F.when(some, F.col("min") * F.col("factor"))).alias("low"), F.max(F.when(some, F.col("max") * F.col("factor"))).alias("high"), F.countDistinct(F.when(some, F.col("pos"))).alias("months"),
-    )
+        F.min(F.when(some, F.col("min") * F.col("factor"))).alias("low"), F.max(F.when(some, F.col("max") * F.col("factor"))).alias("high"), F.array_sort(F.collect_set(F.when(some, F.col("pos")))).alias("month_set"),
+    ).withColumn("months", F.size("month_set").cast("long"))
 
 
 def months_union(cells: DataFrame, by: tuple[str, ...] = ("country", "determinand")) -> DataFrame:

@@ -22,7 +22,7 @@ def site_windows(cells: DataFrame, a: Window, b: Window, rules: DataFrame | None
     mean = F.when(F.col("n") > 0, F.greatest(F.least(F.col("total") / F.col("n"), F.col("high")), F.col("low")))
     stats = agg.withColumn("mean", mean).withColumn("records", F.col("n") + F.col("n_below_loq"))
     pick = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c))).alias(f"{c}_{w}")
-    wide = stats.groupBy("site_id", *M.SERIES).agg(*[pick(w, c) for w in "ab" for c in ("n", "records", "n_below_loq", "mean", "low", "high", "months")])
+    wide = stats.groupBy("site_id", *M.SERIES).agg(*[pick(w, c) for w in "ab" for c in ("n", "records", "n_below_loq", "mean", "low", "high", "months", "month_set")])
     return wide.fillna(0, [f"{c}_{w}" for w in "ab" for c in ("n", "records", "n_below_loq", "months")])
 
 
@@ -54,26 +54,60 @@ def compare_site(wide: DataFrame, a: Window, b: Window, unit: Column, limit: Col
     return out.withColumn("flags", F.array_join(named, ","))
 
 
-def compare_country(paired: DataFrame, by: list[str], unit: Column, limit: Column | None = None, is_lower: Column | None = None, few_sites: int = dims.FEW_SITES) -> DataFrame:
-    """Paired sites of a group: mean of site means, its change, median of relative changes, directions, limits.
+def _months_union(paired: DataFrame, by: list[str]) -> DataFrame:
+    """Months with values in each period over the paired sites of a group; distinct months are counted after partial sums."""
+    side = lambda w: F.transform(F.coalesce(f"month_set_{w}", F.array().cast("array<int>")), lambda m: F.struct(F.lit(w).alias("w"), m.alias("m")))
+    months = paired.filter("reason IS NULL").select(*by, F.explode(F.concat(side("a"), side("b"))).alias("x")).select(*by, "x.*").distinct()
+    return months.groupBy(*by).agg(*[F.count_if(F.col("w") == w).alias(f"n_months_{w}") for w in "ab"])
 
-    `paired` is `pair_sites` with the columns `by`. Sites that are not paired count by their reason.
+
+def compare_country(paired: DataFrame, by: list[str], a: Window, b: Window, unit: Column, river: Column, limit: Column, is_lower: Column, data_range: DataFrame | None = None, few_sites: int = dims.FEW_SITES) -> DataFrame:
+    """Paired sites of a group: mean of site means, its change, median of relative changes, directions, months, samples below the limit of quantification, and rivers over their limit.
+
+    `paired` is `pair_sites` with the columns `by` and those that `river` (the site is one) and `limit` (of a
+    river) read. Sites that are not paired count by their reason. `data_range` has (by, first_pos, last_pos):
+    where a group has none, there is no data for it.
     """
     ok = F.col("reason").isNull()
-    own = S.change(F.col("mean_a"), F.col("mean_b"), F.lit(None).cast("string"))
-    rows = paired.withColumns({f"own_{k}": own[k] for k in ("relative_percent", "direction")})
-    judged = F.lit(False) if limit is None else ok & limit.isNotNull()
-    over = {w: judged & (F.lit(False) if limit is None else F.when(is_lower, F.col(f"mean_{w}") < limit).otherwise(F.col(f"mean_{w}") > limit)) for w in "ab"}
+    relative = F.when(F.round("mean_a", dims.DECIMALS) != 0, 100 * F.try_divide(F.col("mean_b") - F.col("mean_a"), F.abs("mean_a")))
+    rows = paired.withColumn("own_direction", S.change(F.col("mean_a"), F.col("mean_b"), F.lit(None).cast("string"))["direction"]).withColumn("own_relative", relative)
+    judged = ok & river & limit.isNotNull()
+    over = {w: judged & F.when(is_lower, F.col(f"mean_{w}") < limit).otherwise(F.col(f"mean_{w}") > limit) for w in "ab"}
     count = lambda c, name: F.count_if(S.holds(c)).alias(name)
+    total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
+    share = lambda w: F.round(F.try_divide(total(f"n_below_loq_{w}").cast("double"), (total(f"n_{w}") + total(f"n_below_loq_{w}")).cast("double")), 6)
     agg = rows.groupBy(*by).agg(
-        count(ok, "n_paired"), count(F.col("reason") == "absent-in-period-a", "n_absent_a"), count(F.col("reason") == "absent-in-period-b", "n_absent_b"), count(F.col("reason") == "insufficient-samples", "n_insufficient"),
-        F.avg(F.when(ok, F.col("mean_a"))).alias("mean_a"), F.avg(F.when(ok, F.col("mean_b"))).alias("mean_b"), F.round(F.median(F.when(ok, F.col("own_relative_percent"))), 4).alias("median_relative_percent"),
+        F.count("*").alias("n_considered"), count(ok, "n_paired"), count(F.col("reason") == "absent-in-period-a", "n_absent_a"), count(F.col("reason") == "absent-in-period-b", "n_absent_b"), count(F.col("reason") == "insufficient-samples", "n_insufficient"),
+        F.avg(F.when(ok, F.col("mean_a"))).alias("mean_a"), F.avg(F.when(ok, F.col("mean_b"))).alias("mean_b"), F.round(F.median(F.when(ok, F.col("own_relative"))), dims.PERCENT_DECIMALS).alias("median_relative_percent"),
         count(ok & (F.col("own_direction") == "increased"), "n_increased"), count(ok & (F.col("own_direction") == "decreased"), "n_decreased"), count(ok & (F.col("own_direction") == "no-change"), "n_unchanged"),
-        count(ok & F.col("own_relative_percent").isNull(), "n_undefined"), F.sum(F.when(ok, F.col("n_a"))).alias("n_samples_a"), F.sum(F.when(ok, F.col("n_b"))).alias("n_samples_b"),
-        count(judged, "n_judged"), count(over["a"], "n_over_a"), count(over["b"], "n_over_b"),
+        count(ok & F.col("own_relative").isNull(), "n_undefined"), *[total(f"n_{w}").alias(f"n_samples_{w}") for w in "ab"], *[total(f"n_below_loq_{w}").alias(f"n_below_loq_{w}") for w in "ab"], *[share(w).alias(f"below_loq_share_{w}") for w in "ab"],
+        count(judged, "n_rivers_judged"), count(over["a"], "n_rivers_over_a"), count(over["b"], "n_rivers_over_b"), F.max(limit).alias("river_limit"),
     )
-    change = S.change(F.col("mean_a"), F.col("mean_b"), unit)
-    return agg.withColumns(change).withColumn("flags", F.array_join(S.flags(few_sites=F.col("n_paired") < few_sites, no_paired_sites=F.col("n_paired") == 0), ",")).withColumn("mean_a", F.round("mean_a", 6)).withColumn("mean_b", F.round("mean_b", 6))
+    out = _null_safe_left(agg, _months_union(paired, by), by).fillna(0, ["n_months_a", "n_months_b"])
+    if data_range is not None:
+        out = _null_safe_left(out, data_range.select(*by, "first_pos", "last_pos"), by)
+    else:
+        out = out.withColumns({"first_pos": F.lit(a[1]), "last_pos": F.lit(b[2])})
+    out = out.withColumns(S.change(F.col("mean_a"), F.col("mean_b"), unit))
+    note, of = F.col("relative_percent_note"), {"a": a, "b": b}
+    either = lambda c: c("a") | c("b")
+    named = S.flags(
+        no_data_for_scope=F.col("first_pos").isNull(), period_outside_data=either(lambda w: F.coalesce(F.lit(of[w][2]) > F.col("last_pos"), F.lit(True))), period_before_data=either(lambda w: S.holds(F.lit(of[w][2]) < F.col("first_pos"))),
+        partial_period=either(lambda w: (F.col(f"n_months_{w}") > 0) & (F.col(f"n_months_{w}") < of[w][2] - of[w][1] + 1)), below_loq_excluded_bias_upward=either(lambda w: F.col(f"n_below_loq_{w}") > 0),
+        periods_overlap=F.lit(a[1] <= b[2] and b[1] <= a[2]), few_sites=(F.col("n_paired") > 0) & (F.col("n_paired") < few_sites),
+        relative_change_undefined=note.isin("baseline-zero", "baseline-missing", "comparison-missing"), relative_change_interval_scale=note == "interval-scale",
+    )
+    out = out.withColumn("status", F.when(F.col("n_paired") > 0, "ok").otherwise("insufficient-data")).withColumn("n_excluded", F.col("n_considered") - F.col("n_paired"))
+    return out.withColumn("flags", F.array_join(named, ",")).withColumn("mean_a", F.round("mean_a", 6)).withColumn("mean_b", F.round("mean_b", 6)).drop("first_pos", "last_pos")
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """A left join whose keys may be null."""
+    right = right.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in right.columns if c not in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(right, on, "left").drop(*[f"__{c}" for c in by])
 
 
 def period_stats(spans: DataFrame, first: int, last: int, by: list[str]) -> DataFrame:

@@ -63,21 +63,41 @@ def kind_counts(rows: DataFrame, windows: list[tuple[str, int, int]]) -> DataFra
     return deal(rows, windows).groupBy("country", "indicator", "window", "kind").agg(F.count("*").alias("n"))
 
 
-def _stats() -> list[Column]:
-    return [F.count("q").alias("n"), F.min("q").alias("min"), F.max("q").alias("max"), F.round(F.avg("q"), 6).alias("mean"), F.median("q").alias("median")]
+#: Kinds that are counted under one name, and the flag of each.
+COUNTED = {"n_confirmed_high": ("C",), "n_detection_limit": ("D",), "n_missing": ("M",), "n_unrecognised": ("U", "I")}
+KIND_FLAGS = {"n_confirmed_high": "confirmed_high_values_included", "n_detection_limit": "detection_limit_values_excluded", "n_missing": "missing_values_excluded", "n_unrecognised": "unrecognised_status_values_excluded"}
 
 
-def indicator_stats(rows: DataFrame) -> DataFrame:
-    """Per water and indicator: samples by kind, least, greatest, mean, exact median, and flags of kinds."""
-    kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in KINDS]
-    out = long(rows).groupBy("bw_id", "indicator").agg(F.count("*").alias("n_rows"), *_stats(), *kinds)
-    return out.withColumn("flags", F.array_join(S.flags(below_detection_excluded=F.col("n_d") > 0, missing_values=F.col("n_m") > 0, unknown_status=F.col("n_u") > 0, invalid_values=F.col("n_i") > 0, no_quantified_values=F.col("n") == 0), ","))
+def _kinds(inside: Column | None = None) -> list[Column]:
+    return [F.count_if(F.col("kind").isin(*k) if inside is None else inside & F.col("kind").isin(*k)).alias(name) for name, k in COUNTED.items()]
+
+
+def indicator_stats(rows: DataFrame, date_from: str | None = None, date_to: str | None = None, season: int | None = None, limit: int = 200) -> DataFrame:
+    """Per water and indicator, of the samples of some days or a season: samples by kind, least, greatest, mean, exact median, and flags.
+
+    A water without such samples has none and says so, and whether the days lie outside its samples;
+    `truncated` is flagged where a listing of `limit` samples would not hold them all.
+    """
+    inside = F.lit(True)
+    for c in ((F.col("date") >= F.lit(date_from).cast("date")) if date_from else None, (F.col("date") <= F.lit(date_to).cast("date")) if date_to else None, (F.col("season") == season) if season is not None else None):
+        inside = inside if c is None else inside & S.holds(c)
+    q = F.when(inside, F.col("q"))
+    out = long(rows).groupBy("bw_id", "indicator").agg(F.count_if(inside).alias("n_rows"), F.count(q).alias("n"), F.min(q).alias("min"), F.max(q).alias("max"), F.round(F.avg(q), 6).alias("mean"), F.median(q).alias("median"), *_kinds(inside), F.min("date").alias("__first"), F.max("date").alias("__last"))
+    outside = S.holds(F.lit(date_from).cast("date") > F.col("__last")) | S.holds(F.lit(date_to).cast("date") < F.col("__first"))
+    named = S.flags(no_samples_in_range=F.col("n_rows") == 0, range_outside_data=(F.col("n_rows") == 0) & outside, truncated=F.col("n_rows") > limit, **{f: F.col(c) > 0 for c, f in KIND_FLAGS.items()})
+    return out.withColumn("flags", F.array_join(named, ",")).drop("__first", "__last")
 
 
 def window_scan(rows: DataFrame, windows: list[tuple[str, int, int]]) -> DataFrame:
-    """Per water, indicator and window: counts, total, extremes, months with values and median."""
+    """Per water, indicator and window: counts, total, extremes, months with values, median, and samples by kind."""
     months = F.countDistinct(F.when(F.col("q").isNotNull(), F.col("pos")))
-    return deal(rows, windows).groupBy("country", "bw_id", "indicator", "window").agg(F.count("*").alias("n_rows"), F.count("q").alias("n"), F.sum("q").alias("total"), F.min("q").alias("low"), F.max("q").alias("high"), months.alias("months"), F.median("q").alias("median"))
+    return deal(rows, windows).groupBy("country", "bw_id", "indicator", "window").agg(F.count("*").alias("n_rows"), F.count("q").alias("n"), F.sum("q").alias("total"), F.min("q").alias("low"), F.max("q").alias("high"), months.alias("months"), F.median("q").alias("median"), *_kinds())
+
+
+def quantified_months(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The months (country, bw_id, indicator, pos) with quantified samples and the first and last one of `by`."""
+    months = long(rows).filter("q IS NOT NULL").select("country", "bw_id", "indicator", "pos").distinct()
+    return months.join(months.groupBy(*by).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")), by)
 
 
 def site_summary(rows: DataFrame) -> DataFrame:
@@ -93,21 +113,69 @@ def repeated_days(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bw_id", "date").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def _side_flags(w: str, period: tuple[str, int, int], months: str) -> dict[str, Column]:
+    """Flags of one period of a comparison; `first_pos` and `last_pos` are the months of the data."""
+    return {
+        "period_outside_data": F.col("first_pos").isNull() | (F.col("last_pos") < period[2]), "period_before_data": F.col("first_pos") > period[2],
+        "partial_period": (F.col(f"{months}_{w}") > 0) & (F.col(f"{months}_{w}") < period[2] - period[1] + 1), **{f: F.col(f"{c}_{w}") > 0 for c, f in KIND_FLAGS.items()},
+    }
+
+
+def _with_flags(df: DataFrame, a: tuple[str, int, int], b: tuple[str, int, int], months: str, **more: Column) -> DataFrame:
+    """`flags_a`, `flags_b` and `flags`, which has those of both periods and of the comparison."""
+    note = F.col("relative_percent_note")
+    of = {w: S.flags(**_side_flags(w, p, months)) for w, p in (("a", a), ("b", b))}
+    top = S.flags(periods_overlap=F.lit(a[1] <= b[2] and b[1] <= a[2]), no_data_for_scope=F.col("first_pos").isNull(), relative_change_undefined=note.isin("baseline-zero", "baseline-missing", "comparison-missing"), **more)
+    out = df.withColumn("flags_a", of["a"]).withColumn("flags_b", of["b"])
+    return out.withColumn("flags", F.array_join(F.array_sort(F.array_union(F.array_union("flags_a", "flags_b"), top)), ",")).withColumns({f"flags_{w}": F.array_join(f"flags_{w}", ",") for w in "ab"})
+
+
+def _changes(df: DataFrame) -> DataFrame:
+    """The change of means, and under `median_` that of medians."""
+    medians = S.change(F.col("median_a"), F.col("median_b"), F.lit("count"))
+    return df.withColumns(S.change(F.col("mean_a"), F.col("mean_b"), F.lit("count"))).withColumns({f"median_{k}": c for k, c in medians.items()})
+
+
 def compare(rows: DataFrame, a: tuple[str, int, int], b: tuple[str, int, int], least: int = dims.MIN_SAMPLES) -> DataFrame:
-    """Per water and indicator: means and medians of two periods, their change, and status."""
+    """Per water and indicator: both periods' samples by kind, means, medians and extremes, their changes, status, why it is not paired, and flags."""
+    from hydrolake.operators.periods import pair_reason
+
     scan = window_scan(rows, [("a", *a[1:]), ("b", *b[1:])])
     pick = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c))).alias(f"{c}_{w}")
-    wide = scan.withColumn("mean", F.try_divide("total", F.col("n").cast("double"))).groupBy("country", "bw_id", "indicator").agg(*[pick(w, c) for w in "ab" for c in ("n", "n_rows", "mean", "median")]).fillna(0, ["n_a", "n_b", "n_rows_a", "n_rows_b"])
-    change = S.change(F.col("mean_a"), F.col("mean_b"), F.lit("count"))
-    enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
-    return wide.withColumns(change).withColumn("median_change", F.round(F.col("median_b") - F.col("median_a"), 6)).withColumn("status", F.when(enough, "ok").otherwise("insufficient-data"))
-
-
-def compare_country(compared: DataFrame, by: list[str]) -> DataFrame:
-    """Paired waters of a group: mean of means, median of medians and the median's change."""
-    ok = F.col("status") == "ok"
-    out = compared.groupBy(*by).agg(F.count_if(ok).alias("n_paired"), F.count_if(~ok).alias("n_excluded"), F.round(F.avg(F.when(ok, F.col("mean_a"))), 6).alias("mean_a"), F.round(F.avg(F.when(ok, F.col("mean_b"))), 6).alias("mean_b"), F.median(F.when(ok, F.col("median_a"))).alias("median_a"), F.median(F.when(ok, F.col("median_b"))).alias("median_b"))
-    return out.withColumn("median_change", F.round(F.col("median_b") - F.col("median_a"), 6))
+    counts = ("n", "n_rows", "months", *COUNTED)
+    key = ["country", "bw_id", "indicator"]
+    wide = scan.withColumn("mean", F.try_divide("total", F.col("n").cast("double"))).groupBy(*key).agg(*[pick(w, c) for w in "ab" for c in (*counts, "mean", "median", "low", "high")]).fillna(0, [f"{c}_{w}" for w in "ab" for c in counts])
+    data = long(rows).filter("q IS NOT NULL").groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    out = _changes(wide.join(data, key, "left"))
+    reason = pair_reason(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), least)
+    out = out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("insufficient-data"))
+    return _with_flags(out, a, b, "months").drop("first_pos", "last_pos")
+
+
+def compare_country(compared: DataFrame, months: DataFrame, by: list[str], a: tuple[str, int, int], b: tuple[str, int, int], few_sites: int = dims.FEW_SITES) -> DataFrame:
+    """Paired waters of a group: mean of means, median of medians, their changes, directions, months, samples by kind of all waters, and flags.
+
+    `compared` is `compare`'s result and `months` that of `quantified_months` by the same columns.
+    """
+    ok = F.col("reason").isNull()
+    some = (F.col("n_a") > 0) | (F.col("n_b") > 0)
+    relative = F.when(F.round("mean_a", dims.DECIMALS) != 0, 100 * F.try_divide(F.col("mean_b") - F.col("mean_a"), F.abs("mean_a")))
+    count = lambda c, name: F.count_if(S.holds(c)).alias(name)
+    own = lambda c: F.when(ok, F.col(c))
+    agg = compared.withColumn("own", F.when(ok, relative)).groupBy(*by).agg(
+        count(some, "n_considered"), count(ok, "n_paired"), count((F.col("reason") == "absent-in-period-a") & some, "n_absent_a"), count(F.col("reason") == "absent-in-period-b", "n_absent_b"), count(F.col("reason") == "insufficient-samples", "n_insufficient"),
+        F.avg(own("mean_a")).alias("mean_a"), F.avg(own("mean_b")).alias("mean_b"), F.median(own("median_a")).alias("median_a"), F.median(own("median_b")).alias("median_b"), F.round(F.median("own"), dims.PERCENT_DECIMALS).alias("median_site_relative_percent"),
+        count(ok & (F.col("direction") == "increased"), "n_increased"), count(ok & (F.col("direction") == "decreased"), "n_decreased"), count(ok & (F.col("direction") == "no-change"), "n_unchanged"), count(ok & F.col("own").isNull(), "n_undefined"),
+        *[F.coalesce(F.sum(own(f"n_{w}")), F.lit(0)).alias(f"n_samples_{w}") for w in "ab"], *[F.sum(f"{c}_{w}").alias(f"{c}_{w}") for w in "ab" for c in COUNTED],
+    )
+    paired = compared.filter(ok).select("country", "bw_id", "indicator")
+    inside = {w: F.col("pos").between(p[1], p[2]) for w, p in (("a", a), ("b", b))}
+    union = months.join(paired, ["country", "bw_id", "indicator"], "left_semi").select(*by, "pos").distinct().groupBy(*by).agg(*[F.count_if(inside[w]).alias(f"n_months_{w}") for w in "ab"])
+    data = months.groupBy(*by).agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"))
+    out = _changes(agg.join(union, by, "left").join(data, by, "left").fillna(0, ["n_months_a", "n_months_b"]))
+    out = _with_flags(out, a, b, "n_months", few_sites=(F.col("n_paired") > 0) & (F.col("n_paired") < few_sites)).drop("flags_a", "flags_b", "first_pos", "last_pos")
+    out = out.withColumn("n_excluded", F.col("n_considered") - F.col("n_paired")).withColumn("status", F.when(F.col("n_paired") > 0, "ok").otherwise("insufficient-data"))
+    return out.withColumn("mean_a", F.round("mean_a", 6)).withColumn("mean_b", F.round("mean_b", 6))
 
 
 def link(waters: DataFrame, samples: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ CLASSES = [
     "o_orderstatus AS calendar", "CASE WHEN o_orderkey % 2 = 0 THEN 'm' END AS management",
     "CAST(o_totalprice / 5000 AS STRING) AS lat", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey / 10.0 AS STRING) END AS lon",
     "CASE WHEN o_orderkey % 3 = 0 THEN 'https://example.org/' || CAST(o_orderkey AS STRING) ELSE 'ftp://x' END AS profile",
+    "'G' || CAST(o_custkey % 7 AS STRING) AS group_id", "CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'Beach ' || CAST(o_orderkey AS STRING) END AS name", "CASE WHEN o_custkey % 2 = 0 THEN 'coastal' ELSE 'lake' END AS type", "CASE WHEN o_orderkey % 6 = 0 THEN 'closed' END AS `constraint`",
 ]
-CLEAN = f"""raw AS {select(CLASSES, "orders")},
+CLEAN = f"""raw AS {select(CLASSES, "orders").replace("`", chr(34))},
 typed AS (SELECT {COUNTRY_SQL.format(c="country_code")} AS country, trim(bw_id) AS bw_id, CASE WHEN TRY_CAST(season AS DOUBLE) = floor(TRY_CAST(season AS DOUBLE)) AND TRY_CAST(season AS DOUBLE) BETWEEN 1900 AND 2100 THEN CAST(TRY_CAST(season AS DOUBLE) AS INT) END AS season, trim(quality) AS quality, calendar, management,
   CASE WHEN TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180 THEN TRY_CAST(lat AS DOUBLE) END AS lat, CASE WHEN TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180 THEN TRY_CAST(lon AS DOUBLE) END AS lon,
-  CASE WHEN regexp_matches(trim(profile), '^(?i)https?://[^ ]+$') THEN trim(profile) END AS profile FROM raw),
+  CASE WHEN regexp_matches(trim(profile), '^(?i)https?://[^ ]+$') THEN trim(profile) END AS profile, nullif(trim(group_id), '') AS group_id, nullif(trim(name), '') AS name, nullif(trim(type), '') AS type, nullif(trim("constraint"), '') AS "constraint" FROM raw),
 clean AS (SELECT *, CASE WHEN country IS NULL THEN 'country' WHEN coalesce(bw_id, '') = '' THEN 'id' WHEN season IS NULL THEN 'season' END AS reason FROM typed),
-deduped AS (SELECT * FROM (SELECT bw_id, season, country, quality, calendar, management, lat, lon, profile, row_number() OVER (PARTITION BY bw_id, season ORDER BY quality NULLS FIRST, calendar NULLS FIRST, management NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST, profile NULLS FIRST) AS k FROM (SELECT *, min(country) OVER (PARTITION BY bw_id) AS own FROM clean WHERE reason IS NULL) WHERE country = own) WHERE k = 1)"""
+deduped AS (SELECT * FROM (SELECT bw_id, season, country, quality, calendar, management, lat, lon, profile, group_id, name, type, "constraint", row_number() OVER (PARTITION BY bw_id, season ORDER BY quality NULLS FIRST, calendar NULLS FIRST, management NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST, profile NULLS FIRST, group_id NULLS FIRST, name NULLS FIRST, type NULLS FIRST, "constraint" NULLS FIRST) AS k FROM (SELECT *, min(country) OVER (PARTITION BY bw_id) AS own FROM clean WHERE reason IS NULL) WHERE country = own) WHERE k = 1)"""
 LABEL = "CASE WHEN regexp_matches(quality, '^[0-9]+ ?- ?.+$') THEN trim(regexp_extract(quality, '^[0-9]+ ?- ?(.+)$', 1)) END"
 RANK = "CASE {c} WHEN '1 - Excellent' THEN 0 WHEN '2 - Good' THEN 1 WHEN '3 - Sufficient' THEN 2 WHEN '4 - Poor' THEN 3 END"
 
@@ -47,7 +48,7 @@ def w2_dedupe_site_season(t: Tables):
     return deduped(t)
 
 
-@query(f"WITH {CLEAN}, x AS (SELECT bw_id, min(country) AS country, arg_max_null(quality, season) AS latest_quality, arg_max(lat, season) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lon, season) FILTER (WHERE lat IS NOT NULL) AS lon, min(season) AS first_season, max(season) AS last_season, count(DISTINCT season) AS n_seasons FROM deduped GROUP BY 1) SELECT x.*, {LABEL.replace('quality', 'latest_quality')} AS latest_class FROM x")
+@query(f"""WITH {CLEAN}, x AS (SELECT bw_id, min(country) AS country, arg_max_null(quality, season) AS latest_quality, arg_max_null(group_id, season) AS group_id, arg_max_null(name, season) AS name, arg_max_null(type, season) AS type, arg_max_null("constraint", season) AS "constraint", arg_max_null(profile, season) AS profile, arg_max(lat, season) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lon, season) FILTER (WHERE lat IS NOT NULL) AS lon, min(season) AS first_season, max(season) AS last_season, count(DISTINCT season) AS n_seasons FROM deduped GROUP BY 1) SELECT x.*, {LABEL.replace('quality', 'latest_quality')} AS latest_class FROM x""")
 def a15_bathing_rollup(t: Tables):
     return B.rollup(deduped(t))
 
@@ -107,8 +108,10 @@ normal AS (SELECT uid, place, prefix, country, trim(bw_id) AS bw_id, s AS season
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY prefix, place) AS k, count(*) OVER (PARTITION BY uid) AS n_rows FROM normal WHERE reason IS NULL) WHERE k = 1),
 long AS (SELECT bw_id, country, season, date, (year(date) * 12 + month(date) - 1)::INT AS pos, i.ind AS indicator, CASE i.ind WHEN 'ec' THEN ec_kind ELSE ie_kind END AS kind, CASE i.ind WHEN 'ec' THEN ec_value ELSE ie_value END AS value FROM kept, (VALUES ('ec'), ('ie')) AS i(ind)),
 l AS (SELECT *, CASE WHEN kind IN ('Q', 'C') THEN value END AS q FROM long)"""
+KIND_FLAGS = "CASE WHEN n_detection_limit{w} > 0 THEN 'detection-limit-values-excluded' END, CASE WHEN n_missing{w} > 0 THEN 'missing-values-excluded' END, CASE WHEN n_unrecognised{w} > 0 THEN 'unrecognised-status-values-excluded' END, CASE WHEN n_confirmed_high{w} > 0 THEN 'confirmed-high-values-included' END"
+KIND_SQL = {"n_confirmed_high": "kind = 'C'", "n_detection_limit": "kind = 'D'", "n_missing": "kind = 'M'", "n_unrecognised": "kind IN ('U', 'I')"}
 A, B2 = ("a", 2020 * 12, 2021 * 12 + 8), ("b", 2021 * 12 + 6, 2023 * 12 + 11)
-DEALT = f'{SAMPLED}, dealt AS (SELECT l.*, w."window" FROM l JOIN (VALUES (\'a\', {A[1]}, {A[2]}), (\'b\', {B2[1]}, {B2[2]})) AS w("window", fp, lp) ON pos BETWEEN fp AND lp), scan AS (SELECT country, bw_id, indicator, "window", count(*) AS n_rows, count(q) AS n, sum(q) AS total, min(q) AS low, max(q) AS high, count(DISTINCT CASE WHEN q IS NOT NULL THEN pos END) AS months, median(q) AS median FROM dealt GROUP BY ALL)'
+DEALT = f'{SAMPLED}, dealt AS (SELECT l.*, w."window" FROM l JOIN (VALUES (\'a\', {A[1]}, {A[2]}), (\'b\', {B2[1]}, {B2[2]})) AS w("window", fp, lp) ON pos BETWEEN fp AND lp), scan AS (SELECT country, bw_id, indicator, "window", count(*) AS n_rows, count(q) AS n, sum(q) AS total, min(q) AS low, max(q) AS high, count(DISTINCT CASE WHEN q IS NOT NULL THEN pos END) AS months, median(q) AS median, ' + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in KIND_SQL.items()) + " FROM dealt GROUP BY ALL)"
 
 
 def kept(t: Tables):
@@ -144,12 +147,22 @@ def a11_kind_counts(t: Tables):
     return X.kind_counts(kept(t), [A, B2])
 
 
-@query(f"""WITH {SAMPLED}, g AS (SELECT bw_id, indicator, count(*) AS n_rows, count(q) AS n, min(q) AS min, max(q) AS max, round(avg(q), 6) AS mean, median(q) AS median, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k.lower()}" for k in X.KINDS)} FROM l GROUP BY 1, 2)
-SELECT *, array_to_string(list_sort(list_filter([CASE WHEN n_d > 0 THEN 'below-detection-excluded' END, CASE WHEN n_m > 0 THEN 'missing-values' END, CASE WHEN n_u > 0 THEN 'unknown-status' END, CASE WHEN n_i > 0 THEN 'invalid-values' END, CASE WHEN n = 0 THEN 'no-quantified-values' END], lambda x: x IS NOT NULL)), ',') AS flags FROM g""")
+FROM, TO = "2022-03-01", "2022-04-15"
+STATS = f"""g AS (SELECT bw_id, indicator, count(*) FILTER (WHERE i) AS n_rows, count(q) FILTER (WHERE i) AS n, min(q) FILTER (WHERE i) AS min, max(q) FILTER (WHERE i) AS max, round(avg(q) FILTER (WHERE i), 6) AS mean, median(q) FILTER (WHERE i) AS median, {", ".join(f"count(*) FILTER (WHERE i AND {c}) AS {k}" for k, c in KIND_SQL.items())}, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, {{inside}} AS i FROM l) GROUP BY 1, 2)
+SELECT * EXCLUDE (first_date, last_date), array_to_string(list_sort(list_filter([CASE WHEN n_rows = 0 THEN 'no-samples-in-range' END, CASE WHEN n_rows = 0 AND ({{outside}}) THEN 'range-outside-data' END, CASE WHEN n_rows > {{limit}} THEN 'truncated' END, {KIND_FLAGS.format(w="")}], lambda x: x IS NOT NULL)), ',') AS flags FROM g"""
+
+
+@query(f"WITH {SAMPLED}, {STATS.format(inside='true', outside='false', limit=200)}")
 def a12_indicator_stats(t: Tables):
     return X.indicator_stats(kept(t))
 
 
+@query(f"WITH {SAMPLED}, {STATS.format(inside=f"date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND season = 2022", outside=f"DATE '{FROM}' > last_date OR DATE '{TO}' < first_date", limit=2)}")
+def a12_indicator_stats_in_range(t: Tables):
+    """The samples of some weeks of a season; a listing of two would be cut short where there are more."""
+    return X.indicator_stats(kept(t), FROM, TO, 2022, limit=2)
+
+
 @query(f"WITH {DEALT} SELECT * FROM scan")
 def a13_sample_window_scan(t: Tables):
     return X.window_scan(kept(t), [A, B2])
@@ -170,19 +183,48 @@ def a14_repeated_days(t: Tables):
     return X.repeated_days(kept(t))
 
 
-COMPARED = f"""{DEALT}, w AS (SELECT country, bw_id, indicator, {", ".join(f"coalesce(max({c}) FILTER (WHERE \"window\" = '{k}'), 0) AS {c}_{k}" for k in "ab" for c in ("n", "n_rows"))}, {", ".join(f"max(total / nullif(n, 0)) FILTER (WHERE \"window\" = '{k}') AS mean_{k}, max(median) FILTER (WHERE \"window\" = '{k}') AS median_{k}" for k in "ab")} FROM scan GROUP BY ALL),
-compared AS (SELECT *, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status, round(median_b - median_a, 6) AS median_change, CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL THEN round(mean_b - mean_a, 6) + 0.0 END AS absolute, CASE WHEN mean_a IS NULL OR mean_b IS NULL THEN NULL WHEN round(mean_a, 6) = round(mean_b, 6) THEN 'no-change' WHEN mean_b > mean_a THEN 'increased' ELSE 'decreased' END AS direction FROM w)"""
+COUNTS = ("n", "n_rows", "months", *KIND_SQL)
+SPAN = {"a": A[2] - A[1] + 1, "b": B2[2] - B2[1] + 1}
+
+
+def _list(flags: str) -> str:
+    return f"list_filter([{flags}], lambda x: x IS NOT NULL)"
+
 
+SIDE_FLAGS = {w: f"CASE WHEN first_pos IS NULL OR last_pos < {p[2]} THEN 'period-outside-data' END, CASE WHEN first_pos > {p[2]} THEN 'period-before-data' END, CASE WHEN months_{w} > 0 AND months_{w} < {SPAN[w]} THEN 'partial-period' END, {KIND_FLAGS.format(w='_' + w)}" for w, p in (("a", A), ("b", B2))}
+TOP_FLAGS = "'periods-overlap', CASE WHEN first_pos IS NULL THEN 'no-data-for-scope' END, CASE WHEN relative_percent_note IN ('baseline-zero', 'baseline-missing', 'comparison-missing') THEN 'relative-change-undefined' END"
 
-@query(f"WITH {COMPARED} SELECT country, bw_id, indicator, n_a, n_b, n_rows_a, n_rows_b, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, median_a, median_b, absolute, direction, median_change, status FROM compared")
+
+def _change(a: str, b: str, prefix: str = "") -> str:
+    return f"""CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN round({b} - {a}, 6) + 0.0 END AS {prefix}absolute, CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL AND round({a}, 6) <> 0 THEN round(100 * ({b} - {a}) / abs({a}), 4) + 0.0 END AS {prefix}relative_percent,
+  CASE WHEN {a} IS NULL THEN 'baseline-missing' WHEN {b} IS NULL THEN 'comparison-missing' WHEN round({a}, 6) = 0 THEN 'baseline-zero' END AS {prefix}relative_percent_note, CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN round({a}, 6) = round({b}, 6) THEN 'no-change' WHEN {b} > {a} THEN 'increased' ELSE 'decreased' END AS {prefix}direction"""
+
+
+COMPARED = f"""{DEALT}, wide AS (SELECT country, bw_id, indicator, {", ".join(f"coalesce(max({c}) FILTER (WHERE \"window\" = '{k}'), 0) AS {c}_{k}" for k in "ab" for c in COUNTS)}, {", ".join(f"max(total / nullif(n, 0)) FILTER (WHERE \"window\" = '{k}') AS mean_{k}, max(median) FILTER (WHERE \"window\" = '{k}') AS median_{k}, max(low) FILTER (WHERE \"window\" = '{k}') AS low_{k}, max(high) FILTER (WHERE \"window\" = '{k}') AS high_{k}" for k in "ab")} FROM scan GROUP BY ALL),
+range AS (SELECT country, bw_id, indicator, min(pos) AS first_pos, max(pos) AS last_pos FROM l WHERE q IS NOT NULL GROUP BY ALL),
+ch AS (SELECT wide.*, first_pos, last_pos, {_change("mean_a", "mean_b")}, {_change("median_a", "median_b", "median_")} FROM wide LEFT JOIN range USING (country, bw_id, indicator)),
+compared AS (SELECT *, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status, CASE WHEN n_a = 0 THEN 'absent-in-period-a' WHEN n_b = 0 THEN 'absent-in-period-b' WHEN n_a < 3 OR n_b < 3 THEN 'insufficient-samples' END AS reason, {_list(SIDE_FLAGS["a"])} AS la, {_list(SIDE_FLAGS["b"])} AS lb, {_list(TOP_FLAGS)} AS lt FROM ch)"""
+
+
+@query(f"""WITH {COMPARED} SELECT * EXCLUDE (la, lb, lt, first_pos, last_pos, reason) REPLACE (round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b), array_to_string(list_sort(la), ',') AS flags_a, array_to_string(list_sort(lb), ',') AS flags_b, array_to_string(list_sort(list_distinct(la || lb || lt)), ',') AS flags FROM compared""")
 def a21_compare_samples_site(t: Tables):
-    out = X.compare(kept(t), A, B2)
-    return out.select("country", "bw_id", "indicator", "n_a", "n_b", "n_rows_a", "n_rows_b", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), "median_a", "median_b", "absolute", "direction", "median_change", "status")
+    return X.compare(kept(t), A, B2).drop("reason").withColumns({c: F.round(c, 9) for c in ("mean_a", "mean_b")})
+
+
+def _country_side(w: str, p: tuple) -> str:
+    return f"CASE WHEN first_pos IS NULL OR last_pos < {p[2]} THEN 'period-outside-data' END, CASE WHEN first_pos > {p[2]} THEN 'period-before-data' END, CASE WHEN n_months_{w} > 0 AND n_months_{w} < {SPAN[w]} THEN 'partial-period' END, {KIND_FLAGS.format(w='_' + w)}"
 
 
-@query(f"WITH {COMPARED}, g AS (SELECT country, indicator, count(*) FILTER (WHERE status = 'ok') AS n_paired, count(*) FILTER (WHERE status <> 'ok') AS n_excluded, round(avg(mean_a) FILTER (WHERE status = 'ok'), 6) AS mean_a, round(avg(mean_b) FILTER (WHERE status = 'ok'), 6) AS mean_b, median(median_a) FILTER (WHERE status = 'ok') AS median_a, median(median_b) FILTER (WHERE status = 'ok') AS median_b FROM compared GROUP BY 1, 2) SELECT *, round(median_b - median_a, 6) AS median_change FROM g")
+@query(f"""WITH {COMPARED}, rel AS (SELECT *, CASE WHEN round(mean_a, 6) <> 0 THEN 100 * (mean_b - mean_a) / abs(mean_a) END AS rel, reason IS NULL AS ok FROM compared), mm AS (SELECT l.country, l.indicator, {", ".join(f"count(DISTINCT pos) FILTER (WHERE pos BETWEEN {p[1]} AND {p[2]}) AS n_months_{w}" for w, p in (("a", A), ("b", B2)))} FROM l JOIN compared c ON c.country = l.country AND c.bw_id = l.bw_id AND c.indicator = l.indicator AND c.reason IS NULL WHERE q IS NOT NULL GROUP BY ALL),
+dr AS (SELECT country, indicator, min(pos) AS first_pos, max(pos) AS last_pos FROM l WHERE q IS NOT NULL GROUP BY ALL),
+g AS (SELECT country, indicator, count(*) FILTER (WHERE n_a > 0 OR n_b > 0) AS n_considered, count(*) FILTER (WHERE ok) AS n_paired, count(*) FILTER (WHERE reason = 'absent-in-period-a' AND n_b > 0) AS n_absent_a, count(*) FILTER (WHERE reason = 'absent-in-period-b') AS n_absent_b, count(*) FILTER (WHERE reason = 'insufficient-samples') AS n_insufficient,
+  avg(mean_a) FILTER (WHERE ok) AS ma, avg(mean_b) FILTER (WHERE ok) AS mb, median(median_a) FILTER (WHERE ok) AS median_a, median(median_b) FILTER (WHERE ok) AS median_b, round(median(rel) FILTER (WHERE ok), 4) AS median_site_relative_percent, count(*) FILTER (WHERE ok AND direction = 'increased') AS n_increased, count(*) FILTER (WHERE ok AND direction = 'decreased') AS n_decreased, count(*) FILTER (WHERE ok AND direction = 'no-change') AS n_unchanged, count(*) FILTER (WHERE ok AND rel IS NULL) AS n_undefined,
+  {", ".join(f"coalesce(sum(n_{w}) FILTER (WHERE ok), 0)::BIGINT AS n_samples_{w}" for w in "ab")}, {", ".join(f"sum({c}_{w})::BIGINT AS {c}_{w}" for w in "ab" for c in KIND_SQL)} FROM rel GROUP BY 1, 2),
+h AS (SELECT g.*, coalesce(n_months_a, 0) AS n_months_a, coalesce(n_months_b, 0) AS n_months_b, first_pos, last_pos, {_change("ma", "mb")}, {_change("median_a", "median_b", "median_")} FROM g LEFT JOIN mm USING (country, indicator) LEFT JOIN dr USING (country, indicator))
+SELECT * EXCLUDE (ma, mb, first_pos, last_pos), round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, n_considered - n_paired AS n_excluded, CASE WHEN n_paired > 0 THEN 'ok' ELSE 'insufficient-data' END AS status, array_to_string(list_sort(list_distinct({_list(_country_side("a", A))} || {_list(_country_side("b", B2))} || {_list(TOP_FLAGS + ", CASE WHEN n_paired BETWEEN 1 AND 4 THEN 'few-sites' END")})), ',') AS flags FROM h""")
 def a21_compare_samples_country(t: Tables):
-    return X.compare_country(X.compare(kept(t), A, B2), ["country", "indicator"])
+    rows = kept(t)
+    return X.compare_country(X.compare(rows, A, B2), X.quantified_months(rows, ["country", "indicator"]), ["country", "indicator"], A, B2)
 
 
 @query(f"WITH {SAMPLED}, k AS (SELECT bw_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date, min(season) AS first_season, max(season) AS last_season FROM kept GROUP BY 1), w AS (SELECT DISTINCT 'IT' || CAST(o_custkey AS STRING) AS bw_id, 'IT' AS own FROM orders WHERE o_custkey % 4 = 0) SELECT bw_id, own, n, first_date, last_date, first_season, last_season, k.n IS NOT NULL AS has_samples FROM w FULL JOIN k USING (bw_id)", dates=("first_date", "last_date"))

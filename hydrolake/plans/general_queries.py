@@ -14,8 +14,8 @@ from hydrolake.operators import reliability as R
 from hydrolake.operators import text as X
 from hydrolake.operators.lineage import shared_path
 from hydrolake.plans.registry import Tables, query
-from hydrolake.plans.index_queries import CLASS, EU, EXC, NATIONAL
-from hydrolake.plans.views import PARAMETERS, select
+from hydrolake.plans.index_queries import CLASS, EXC
+from hydrolake.plans.views import EU, NATIONAL, PARAMETERS, select
 from hydrolake.sources import writers
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]

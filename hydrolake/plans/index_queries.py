@@ -10,7 +10,7 @@ from hydrolake.operators import censored as C
 from hydrolake.operators import ecology as E
 from hydrolake.operators import index as I
 from hydrolake.plans.registry import Tables, query
-from hydrolake.plans.views import PARAMETERS, select
+from hydrolake.plans.views import EU, NATIONAL, PARAMETERS, select
 
 TESTS = ["l_suppkey AS site", "l_linenumber AS parameter", "l_quantity AS observed", "CASE WHEN l_linenumber = 2 THEN 40.0 ELSE 46.0 - l_linenumber * 6.0 END AS limit_value", "l_linenumber = 2 AS is_lower"]
 EXC = "CASE WHEN is_lower THEN CASE WHEN observed >= limit_value THEN 0.0 WHEN observed <= 0 THEN 999.0 ELSE limit_value / observed - 1 END ELSE CASE WHEN observed <= limit_value THEN 0.0 WHEN limit_value <= 0 THEN 999.0 ELSE observed / limit_value - 1 END END"
@@ -42,8 +42,6 @@ NAMES = list(dims.PARAMETERS)
 PICK = "CASE l_partkey % 19 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES)) + " END AS parameter"
 PLACED = ["l_orderkey AS id", "l_linenumber AS line", PICK, "CASE WHEN l_suppkey % 2 = 0 THEN 'surface' ELSE 'drinking' END AS regime", "CASE l_suppkey % 4 WHEN 0 THEN 'IT' WHEN 1 THEN 'GR' WHEN 2 THEN 'NO' END AS country", "CAST(CAST(l_shipdate AS DATE) AS STRING) AS at", "l_quantity AS observed"]
 STEPS = [("Lead dissolved", "1998-01-01", 7.0), ("Lead dissolved", "2000-06-15", 5.0), ("Nitrate", "1999-03-01", 40.0)]
-NATIONAL = dims.values([(c, p, v) for c, own in dims.NATIONAL_LIMITS.items() for p, v in own.items()], "nat", ("country", "parameter", "value"))
-EU = dims.values(list(dims.SURFACE_LIMITS.items()), "eu", ("parameter", "value"))
 DATED = dims.values(STEPS, "dated", ("parameter", "effective_from", "value"))
 RESOLVED = f"""resolved AS (SELECT p.*, par.is_lower, CASE WHEN regime = 'surface' THEN CASE WHEN p.parameter <> 'Cadmium dissolved' THEN coalesce(nat.value, eu.value, par.limit_value) END
   ELSE coalesce((SELECT arg_max(value, effective_from) FROM {DATED} WHERE dated.parameter = p.parameter AND effective_from <= p.at), par.limit_value) END AS limit_value

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
+from hydrolake.operators import index as I
 from hydrolake.operators import measurements as M
 from hydrolake.operators import periods as P
 from hydrolake.operators.lineage import cut, shared_path
@@ -23,10 +24,10 @@ rules AS (SELECT determinand, matrix, t.unit, n_rows, n_records, target, CASE WH
 WINDOWED = f"""{RULED},
 windows AS (SELECT * FROM (VALUES ('a', {V.A[1]}, {V.A[2]}), ('b', {V.B[1]}, {V.B[2]})) AS w("window", first_pos, last_pos)),
 agg AS (SELECT c.site_id, c.determinand, c.matrix, w."window", sum(c.n)::BIGINT AS n, sum(n_below_loq)::BIGINT AS n_below_loq, sum(n_lower_reliability)::BIGINT AS n_lower_reliability, sum(sum_value * factor) AS total,
-  min(CASE WHEN c.n > 0 THEN c.min * factor END) AS low, max(CASE WHEN c.n > 0 THEN c.max * factor END) AS high, count(DISTINCT CASE WHEN c.n > 0 THEN pos END) AS months
+  min(CASE WHEN c.n > 0 THEN c.min * factor END) AS low, max(CASE WHEN c.n > 0 THEN c.max * factor END) AS high, count(DISTINCT CASE WHEN c.n > 0 THEN pos END) AS months, list(DISTINCT pos) FILTER (WHERE c.n > 0) AS month_set
   FROM cells c JOIN rules r ON r.determinand = c.determinand AND r.matrix = c.matrix AND r.unit = c.unit AND r.factor IS NOT NULL JOIN windows w ON c.pos BETWEEN first_pos AND last_pos GROUP BY ALL),
 stats AS (SELECT *, CASE WHEN n > 0 THEN greatest(least(total / n, high), low) END AS mean, n + n_below_loq AS records FROM agg),
-wide AS (SELECT site_id, determinand, matrix, {", ".join(f"coalesce(max({c}) FILTER (WHERE \"window\" = '{w}'), 0) AS {c}_{w}" for w in "ab" for c in ("n", "records", "n_below_loq", "months"))}, {", ".join(f"max({c}) FILTER (WHERE \"window\" = '{w}') AS {c}_{w}" for w in "ab" for c in ("mean", "low", "high"))} FROM stats GROUP BY ALL),
+wide AS (SELECT site_id, determinand, matrix, {", ".join(f"coalesce(max({c}) FILTER (WHERE \"window\" = '{w}'), 0) AS {c}_{w}" for w in "ab" for c in ("n", "records", "n_below_loq", "months"))}, {", ".join(f"max({c}) FILTER (WHERE \"window\" = '{w}') AS {c}_{w}" for w in "ab" for c in ("mean", "low", "high", "month_set"))} FROM stats GROUP BY ALL),
 paired AS (SELECT *, CASE WHEN records_a = 0 THEN 'absent-in-period-a' WHEN records_b = 0 THEN 'absent-in-period-b' WHEN n_a < 3 OR n_b < 3 THEN 'insufficient-samples' END AS reason FROM wide WHERE records_a > 0 OR records_b > 0)"""
 
 
@@ -123,7 +124,7 @@ def a6_unit_rules(t: Tables):
 @query(f'WITH {WINDOWED} SELECT site_id, determinand, matrix, "window", n, n_below_loq, n_lower_reliability, round(total, 6) AS total, round(low, 6) AS low, round(high, 6) AS high, months FROM agg')
 def a7_window_aggregate(t: Tables):
     own = cells_once(t)
-    return M.window_aggregate(own, [V.A, V.B], rules(t, own)).withColumns({c: F.round(c, 6) for c in ("total", "low", "high")})
+    return M.window_aggregate(own, [V.A, V.B], rules(t, own)).withColumns({c: F.round(c, 6) for c in ("total", "low", "high")}).drop("month_set")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS exact_sum FROM lineitem GROUP BY 1")
@@ -177,32 +178,48 @@ def _assessed(m: str) -> str:
 
 
 @query(f"""WITH {WINDOWED}, {LIMITED}, judged AS (SELECT *, {_assessed("mean_a")} AS assessment_a, {_assessed("mean_b")} AS assessment_b, {change_sql("mean_a", "mean_b", "own_unit")} FROM limited)
-SELECT site_id, determinand, matrix, n_a, n_b, round(mean_a + 1e-10, 6) AS mean_a, round(mean_b + 1e-10, 6) AS mean_b, round(mean_b - mean_a + 1e-10, 6) AS absolute, CASE WHEN relative_percent IS NOT NULL THEN round(100 * (mean_b - mean_a) / abs(mean_a) + 1e-10, 4) END AS relative_percent, relative_percent_note, direction, assessment_a, assessment_b, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status,
+SELECT site_id, determinand, matrix, n_a, n_b, round(mean_a, 11) AS mean_a, round(mean_b, 11) AS mean_b, round(mean_b - mean_a, 11) AS absolute, CASE WHEN relative_percent IS NOT NULL THEN round(100 * (mean_b - mean_a) / abs(mean_a), 9) END AS relative_percent, relative_percent_note, direction, assessment_a, assessment_b, CASE WHEN n_a >= 3 AND n_b >= 3 THEN 'ok' ELSE 'insufficient-data' END AS status,
 CASE WHEN n_a < 3 OR n_b < 3 OR assessment_a NOT IN ('within-limit', 'exceeds-limit') OR assessment_b NOT IN ('within-limit', 'exceeds-limit') THEN NULL WHEN assessment_a = assessment_b THEN 'none' WHEN assessment_b = 'exceeds-limit' THEN 'within-to-exceeds' ELSE 'exceeds-to-within' END AS crossed_limit,
 array_to_string(list_sort(list_filter([CASE WHEN (months_a > 0 AND months_a < {V.A[2] - V.A[1] + 1}) OR (months_b > 0 AND months_b < {V.B[2] - V.B[1] + 1}) THEN 'partial-period' END, CASE WHEN n_below_loq_a + n_below_loq_b > 0 THEN 'below-loq-excluded-bias-upward' END, 'periods-overlap', CASE WHEN relative_percent_note IN ('baseline-zero', 'baseline-missing', 'comparison-missing') THEN 'relative-change-undefined' END, CASE WHEN relative_percent_note = 'interval-scale' THEN 'relative-change-interval-scale' END], lambda x: x IS NOT NULL)), ',') AS flags FROM judged""")
 def a18_compare_site(t: Tables):
     own = cells_once(t)
     wide = with_limits(t, P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))))
     out = P.compare_site(wide, V.A, V.B, F.col("own_unit"), F.col("limit_value"), F.col("is_lower"))
-    # Sums come in any order; a hair more decides ties of the last shown digit alike on both sides.
+    # Sums come in any order, so what is compared has more digits than the operator's own columns show.
     a, b = F.col("mean_a"), F.col("mean_b")
-    return out.select("site_id", "determinand", "matrix", "n_a", "n_b", F.round(a + 1e-10, 6).alias("mean_a"), F.round(b + 1e-10, 6).alias("mean_b"), F.round(b - a + 1e-10, 6).alias("absolute"), F.when(F.col("relative_percent").isNotNull(), F.round(100 * F.try_divide(b - a, F.abs(a)) + 1e-10, 4)).alias("relative_percent"), "relative_percent_note", "direction", "assessment_a", "assessment_b", "status", "crossed_limit", "flags")
+    exact = {"mean_a": F.round(a, 11), "mean_b": F.round(b, 11), "absolute": F.round(b - a, 11), "relative_percent": F.when(F.col("relative_percent").isNotNull(), F.round(100 * F.try_divide(b - a, F.abs(a)), 9))}
+    return out.select("site_id", "determinand", "matrix", "n_a", "n_b", *[c.alias(k) for k, c in exact.items()], "relative_percent_note", "direction", "assessment_a", "assessment_b", "status", "crossed_limit", "flags")
 
 
-@query(f"""WITH {WINDOWED}, {LIMITED}, r AS (SELECT *, reason IS NULL AS ok, CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL AND round(mean_a, 6) <> 0 THEN round(100 * (mean_b - mean_a) / abs(mean_a), 4) END AS rel, CASE WHEN mean_a IS NULL OR mean_b IS NULL THEN NULL WHEN round(mean_a, 6) = round(mean_b, 6) THEN 'no-change' WHEN mean_b > mean_a THEN 'increased' ELSE 'decreased' END AS dir FROM limited),
-g AS (SELECT country, determinand, matrix, max(own_unit) AS own_unit, count(*) FILTER (WHERE ok) AS n_paired, count(*) FILTER (WHERE reason = 'absent-in-period-a') AS n_absent_a, count(*) FILTER (WHERE reason = 'absent-in-period-b') AS n_absent_b, count(*) FILTER (WHERE reason = 'insufficient-samples') AS n_insufficient,
- avg(mean_a) FILTER (WHERE ok) AS ma, avg(mean_b) FILTER (WHERE ok) AS mb, round(median(rel) FILTER (WHERE ok), 4) AS median_relative_percent, count(*) FILTER (WHERE ok AND dir = 'increased') AS n_increased, count(*) FILTER (WHERE ok AND dir = 'decreased') AS n_decreased, count(*) FILTER (WHERE ok AND dir = 'no-change') AS n_unchanged, count(*) FILTER (WHERE ok AND rel IS NULL) AS n_undefined,
- sum(n_a) FILTER (WHERE ok)::BIGINT AS n_samples_a, sum(n_b) FILTER (WHERE ok)::BIGINT AS n_samples_b, count(*) FILTER (WHERE ok AND limit_value IS NOT NULL) AS n_judged, count(*) FILTER (WHERE ok AND CASE WHEN is_lower THEN mean_a < limit_value ELSE mean_a > limit_value END) AS n_over_a, count(*) FILTER (WHERE ok AND CASE WHEN is_lower THEN mean_b < limit_value ELSE mean_b > limit_value END) AS n_over_b FROM r GROUP BY 1, 2, 3)
-SELECT * EXCLUDE (ma, mb, own_unit), round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, {change_sql("ma", "mb", "own_unit")}, CASE WHEN n_paired = 0 THEN 'few-sites,no-paired-sites' WHEN n_paired < 5 THEN 'few-sites' ELSE '' END AS flags FROM g""")
-def a19_compare_country(t: Tables):
-    own = cells_once(t)
-    paired = with_limits(t, P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))))
-    unit = F.max("own_unit")
-    out = P.compare_country(paired.withColumn("unit_key", F.col("own_unit")), ["country", "determinand", "matrix", "unit_key"], F.col("unit_key"), F.col("limit_value"), F.col("is_lower"))
-    return out.drop("unit_key")
+FIRST = f"f AS (SELECT site_id, determinand, matrix, first(country ORDER BY unit, pos, country, category) AS country, first(category ORDER BY unit, pos, country, category) AS category FROM cells WHERE pos BETWEEN {V.A[1]} AND {V.A[2]} OR pos BETWEEN {V.B[1]} AND {V.B[2]} GROUP BY 1, 2, 3)"
+SIDES = ", ".join(f"coalesce(sum(n_{w}) FILTER (WHERE ok), 0)::BIGINT AS n_samples_{w}, coalesce(sum(n_below_loq_{w}) FILTER (WHERE ok), 0)::BIGINT AS n_below_loq_{w}, round(sum(n_below_loq_{w}) FILTER (WHERE ok) / nullif(sum(n_{w} + n_below_loq_{w}) FILTER (WHERE ok), 0), 6) AS below_loq_share_{w}, len(list_distinct(flatten(coalesce(list(month_set_{w}) FILTER (WHERE ok AND month_set_{w} IS NOT NULL), [])))) AS n_months_{w}" for w in "ab")
+COUNTRY_FLAGS = f"""array_to_string(list_sort(list_filter([CASE WHEN first_pos IS NULL THEN 'no-data-for-scope' END, CASE WHEN coalesce(last_pos < {V.B[2]}, true) THEN 'period-outside-data' END, CASE WHEN {V.A[2]} < first_pos THEN 'period-before-data' END, CASE WHEN (n_months_a > 0 AND n_months_a < {V.A[2] - V.A[1] + 1}) OR (n_months_b > 0 AND n_months_b < {V.B[2] - V.B[1] + 1}) THEN 'partial-period' END,
+  CASE WHEN n_below_loq_a + n_below_loq_b > 0 THEN 'below-loq-excluded-bias-upward' END, 'periods-overlap', CASE WHEN n_paired BETWEEN 1 AND 4 THEN 'few-sites' END, CASE WHEN relative_percent_note IN ('baseline-zero', 'baseline-missing', 'comparison-missing') THEN 'relative-change-undefined' END, CASE WHEN relative_percent_note = 'interval-scale' THEN 'relative-change-interval-scale' END], lambda x: x IS NOT NULL)), ',') AS flags"""
 
 
-@query(f"""WITH {RULED}, f AS (SELECT site_id, determinand, matrix, first(country ORDER BY unit, pos, country, category) AS country, first(category ORDER BY unit, pos, country, category) AS category FROM cells WHERE pos BETWEEN {V.A[1]} AND {V.A[2]} OR pos BETWEEN {V.B[1]} AND {V.B[2]} GROUP BY 1, 2, 3) SELECT * FROM f""")
+@query(f"""WITH {WINDOWED}, {FIRST}, p AS (SELECT paired.*, f.country, f.category = 'RW' AS river, dim.closed_name, par.unit AS own_unit, par.is_lower, CASE WHEN dim.closed_name <> 'Cadmium dissolved' THEN coalesce(nat.value, eu.value, par.limit_value) END AS river_limit FROM paired JOIN f USING (site_id, determinand, matrix)
+ LEFT JOIN {V.DIM} ON dim.code = determinand AND dim.own_matrix = matrix AND dim.expected_unit IS NULL LEFT JOIN {V.PARAMETERS} ON par.parameter = dim.closed_name LEFT JOIN {V.NATIONAL} ON nat.country = f.country AND nat.parameter = dim.closed_name LEFT JOIN {V.EU} ON eu.parameter = dim.closed_name),
+r AS (SELECT *, reason IS NULL AS ok, CASE WHEN mean_a IS NOT NULL AND mean_b IS NOT NULL AND round(mean_a, 6) <> 0 THEN 100 * (mean_b - mean_a) / abs(mean_a) END AS rel, CASE WHEN mean_a IS NULL OR mean_b IS NULL THEN NULL WHEN round(mean_a, 6) = round(mean_b, 6) THEN 'no-change' WHEN mean_b > mean_a THEN 'increased' ELSE 'decreased' END AS dir FROM p),
+g AS (SELECT country, determinand, matrix, max(own_unit) AS own_unit, count(*) AS n_considered, count(*) FILTER (WHERE ok) AS n_paired, count(*) FILTER (WHERE NOT ok) AS n_excluded, count(*) FILTER (WHERE reason = 'absent-in-period-a') AS n_absent_a, count(*) FILTER (WHERE reason = 'absent-in-period-b') AS n_absent_b, count(*) FILTER (WHERE reason = 'insufficient-samples') AS n_insufficient,
+ avg(mean_a) FILTER (WHERE ok) AS ma, avg(mean_b) FILTER (WHERE ok) AS mb, round(median(rel) FILTER (WHERE ok), 4) AS median_relative_percent, count(*) FILTER (WHERE ok AND dir = 'increased') AS n_increased, count(*) FILTER (WHERE ok AND dir = 'decreased') AS n_decreased, count(*) FILTER (WHERE ok AND dir = 'no-change') AS n_unchanged, count(*) FILTER (WHERE ok AND rel IS NULL) AS n_undefined, {SIDES},
+ count(*) FILTER (WHERE ok AND river AND river_limit IS NOT NULL) AS n_rivers_judged, {", ".join(f"count(*) FILTER (WHERE ok AND river AND CASE WHEN is_lower THEN mean_{w} < river_limit ELSE mean_{w} > river_limit END) AS n_rivers_over_{w}" for w in "ab")}, max(river_limit) AS river_limit FROM r GROUP BY 1, 2, 3),
+h AS (SELECT g.*, first_pos, last_pos, {change_sql("ma", "mb", "own_unit")} FROM g LEFT JOIN (SELECT country, determinand, matrix, min(pos) AS first_pos, max(pos) AS last_pos FROM cells GROUP BY 1, 2, 3) d USING (country, determinand, matrix))
+SELECT * EXCLUDE (ma, mb, own_unit, first_pos, last_pos) REPLACE (round(river_limit, 9)::DOUBLE AS river_limit), round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, CASE WHEN n_paired > 0 THEN 'ok' ELSE 'insufficient-data' END AS status, {COUNTRY_FLAGS} FROM h""")
+def a19_compare_country(t: Tables):
+    own = cells_once(t)
+    key = ["country", *M.SERIES]
+    named = M.mapped(P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))).withColumnRenamed("reason", "pair_reason")).drop("reason").withColumnRenamed("pair_reason", "reason")
+    placed = named.join(M.first_identity(own, [V.A, V.B]), ["site_id", *M.SERIES])
+    asked = placed.withColumns({"parameter": F.col("mapped_name"), "regime": F.lit("surface"), "at": S.month_text(F.lit(V.B[2]))})
+    none = t.spark.createDataFrame([], "parameter string, effective_from string, dated_value double")
+    limited = I.resolve_limits(asked, none).join(F.broadcast(dims.parameters(t.spark).select(F.col("parameter"), F.col("unit").alias("own_unit"))), "parameter", "left")
+    data = M.with_pos(own).groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")).withColumn("own_unit", F.lit(None).cast("string"))
+    units = limited.select(*key, "own_unit").distinct()
+    data = data.drop("own_unit").join(units, key)
+    return P.compare_country(limited, [*key, "own_unit"], V.A, V.B, F.col("own_unit"), F.col("category") == "RW", F.col("limit_value"), F.col("is_lower"), data).drop("own_unit").withColumn("river_limit", F.round("river_limit", 9))
+
+
+@query(f"WITH {RULED}, {FIRST} SELECT * FROM f")
 def w5_first_row_identity(t: Tables):
     return M.first_identity(cells(t), [V.A, V.B])
 
