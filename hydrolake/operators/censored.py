@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from hydrolake.functions import scalars as S
 
@@ -33,7 +34,7 @@ def kaplan_meier(df: DataFrame, by: str, value: str, censored: str) -> DataFrame
     return out.select(by, "n", (F.col("n") - F.col("detected")).alias("n_censored"), F.round(F.col("top") - F.col("f.area"), 6).alias("km_mean"), F.round("f.median", 6).alias("km_median"), (last["d"] < last["n"]).alias("smallest_censored"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """The quantile of the standard normal distribution."""
     return p.map(NormalDist().inv_cdf)

@@ -126,6 +126,82 @@ def profile_rules() -> dict[str, Column]:
     }
 
 
+def reference_type(reference: Column) -> Column:
+    """The type of resource that a reference names, null where it can't be told without resolving it."""
+    parts = F.filter(F.split(F.split(reference, r"\?")[0], "/"), lambda p: p != "")
+    at = F.array_position(parts, "_history")
+    known = F.when(at > 0, F.slice(parts, 1, F.greatest((at - 1).cast("int"), F.lit(0)))).otherwise(parts)
+    return F.when(~reference.rlike("^(urn:|#)") & (F.size(known) >= 2), F.get(known, F.size(known) - 2))
+
+
+# The members that may hold a value.
+VALUE_KEYS, COMPONENT_VALUE_KEYS = ("valueCodeableConcept", "valueQuantity"), ("valueCodeableConcept", "valueString", "valueQuantity")
+
+
+def indicator_rules(profile: str) -> dict[str, Column]:
+    """Rules of the profiles `indicators` and `health-measure` over rows of members.
+
+    Rows have status, codes, subject_reference, effective_keys, n_performers, value_keys, specimen, focus and
+    component_keys: the names of members of one kind, and of each component, as arrays.
+    """
+    other = lambda ref, kind: S.holds(reference_type(ref) != kind)
+    beyond = lambda keys, known: F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0
+    rules = {
+        "status": ~F.col("status").eqNullSafe("final"), "code": F.size("codes") == 0, "subject": F.col("subject_reference").isNull(), "subject-type": other(F.col("subject_reference"), "Location"),
+        "effective": F.size("effective_keys") == 0, "value-type": beyond(F.col("value_keys"), VALUE_KEYS),
+    }
+    if profile == "indicators":
+        first = lambda keys: F.get(keys, F.lit(0))
+        rules |= {
+            "performer": F.col("n_performers") == 0, "specimen-type": other(F.col("specimen"), "Specimen"), "component-value": F.exists("component_keys", lambda k: F.size(k) == 0),
+            "component-value-type": F.exists("component_keys", lambda k: S.holds(~first(k).isin(*COMPONENT_VALUE_KEYS))),
+        }
+    else:
+        rules |= {"focus-type": F.exists("focus", lambda r: other(r, "Group"))}
+    return {f"{profile}-{k}": c for k, c in rules.items()}
+
+
+def location_rules() -> dict[str, Column]:
+    """Rules over places (n_identifiers, name, mode)."""
+    return {"location-identifier": F.col("n_identifiers") == 0, "location-name": ~S.holds(F.trim("name") != ""), "location-mode": ~F.col("mode").eqNullSafe("instance")}
+
+
+def observation_findings(obs: DataFrame, allowed: list[str]) -> DataFrame:
+    """(id, site, profile, finding): a row for each rule that a nested observation breaks, and for each of its quantities.
+
+    Statistics have to be in order, the quantities of statistics in allowed units, and a quantity with a
+    comparator is a bound and not a value.
+    """
+    names = ("minimum", "median", "average", "maximum")
+    coded = F.transform("component", lambda c: F.struct(F.get(F.filter(F.transform(c["code"]["coding"], lambda x: x["code"]), lambda x: x.isin(*names)), F.lit(0)).alias("k"), c["valueQuantity"].alias("q")))
+    rows = obs.select("id", F.element_at(F.split("subject.reference", "/"), -1).alias("site"), F.coalesce(F.get("meta.profile", F.lit(0)), F.lit("no profile")).alias("profile"), "valueQuantity", "component", F.filter(F.coalesce(coded, F.array().cast(_CODED)), lambda s: s["k"].isNotNull() & s["q"]["value"].isNotNull()).alias("s"))
+    last = lambda k: F.element_at(F.filter("s", lambda x: x["k"] == k), -1)["q"]["value"]
+    some = lambda k: F.when(F.exists("s", lambda x: x["k"] == k), last(k))
+    low, mid, avg, high = map(some, names)
+    order = {"statistical-bounds": low > high, "statistical-order": ~mid.between(low, high), "mean-range": ~avg.between(low, high)}
+    units = F.transform("s", lambda x: F.when(~x["q"]["system"].eqNullSafe("http://unitsofmeasure.org"), "ucum-system").when(~S.holds(x["q"]["code"].isin(allowed)), "ucum-unit"))
+    bounds = F.transform(F.concat(F.array("valueQuantity"), F.coalesce(F.transform("component", lambda c: c["valueQuantity"]), F.array().cast(_QUANTITIES))), lambda q: F.when(S.holds(q["comparator"] != ""), "censored-quantity"))
+    found = F.array_compact(F.concat(F.array(*[F.when(S.holds(c), F.lit(k)) for k, c in order.items()]), units, bounds))
+    return rows.select("id", "site", "profile", F.explode(found).alias("finding"))
+
+
+_QUANTITY = "struct<value: double, comparator: string, unit: string, system: string, code: string>"
+_QUANTITIES, _CODED = f"array<{_QUANTITY}>", f"array<struct<k: string, q: {_QUANTITY}>>"
+
+
+def observation_counts(obs: DataFrame, review: list[str]) -> DataFrame:
+    """(what, name, n): observations by profile, site and origin, quantities of components by code, those without a code, and those to review.
+
+    All of it is one aggregation over rows that name what they count.
+    """
+    ucum = F.filter(F.coalesce(F.transform("component", lambda c: c["valueQuantity"]), F.array().cast(_QUANTITIES)), lambda q: S.holds(q["system"] == "http://unitsofmeasure.org"))
+    row = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    one = F.array(row("profile", F.coalesce(F.get("meta.profile", F.lit(0)), F.lit("no profile"))), row("site", F.coalesce(F.element_at(F.split("subject.reference", "/"), -1), F.lit("unknown"))), row("origin", F.when(official_reason().isNull(), "official").otherwise("other")))
+    codes = F.transform(ucum, lambda q: F.when(q["code"].isNull(), row("without-code", F.lit("quantity"))).otherwise(row("code", q["code"])))
+    again = F.transform(F.filter(ucum, lambda q: S.holds(q["code"].isin(review))), lambda q: row("review", q["code"]))
+    return obs.select(F.explode(F.concat(one, codes, again)).alias("r")).select("r.*").groupBy("what", "name").agg(F.count("*").alias("n"))
+
+
 def official_reason(third_party: tuple[str, ...] = ("sl-", "third-party"), guide: str = "guide") -> Column:
     """The first rule by which a nested observation is not official; null if it is.
 

@@ -174,17 +174,19 @@ def representative(obs: DataFrame) -> DataFrame:
 
     Statistics that break min <= median, average <= max are not trusted.
     """
-    code = lambda c: F.element_at(F.filter(F.transform(c["code"]["coding"], lambda x: x["code"]), lambda x: x.isin(*STATISTICS)), 1)
-    found = F.filter(F.transform("component", lambda c: F.struct(F.get(F.filter(F.transform(c["code"]["coding"], lambda x: x["code"]), lambda x: x.isin(*STATISTICS)), 0).alias("k"), c["valueQuantity"].alias("q"))), lambda s: s["k"].isNotNull() & s["q"].isNotNull())
-    out = obs.withColumn("__s", found)
-    of = lambda k: F.get(F.filter("__s", lambda s: s["k"] == k), F.size(F.filter("__s", lambda s: s["k"] == k)) - 1)["q"]
-    exact = lambda k: F.when(of(k)["comparator"].isNull(), S.finite(of(k)["value"]))
-    low, mid, avg, high = exact("minimum"), exact("median"), exact("average"), exact("maximum")
+    coded = lambda c: F.get(F.filter(F.transform(c["code"]["coding"], lambda x: x["code"]), lambda x: x.isin(*STATISTICS)), F.lit(0))
+    found = F.filter(F.transform("component", lambda c: F.struct(coded(c).alias("k"), c["valueQuantity"].alias("q"))), lambda s: s["k"].isNotNull() & s["q"].isNotNull())
+    # Each statistic is looked up once, in a projection of its own.
+    last = lambda k: F.try_element_at(F.filter("__s", lambda s: s["k"] == k), F.lit(-1))["q"]
+    own = ("minimum", "median", "average", "maximum")
+    out = obs.withColumn("__s", found).withColumns({f"__{k}": last(k) for k in own})
+    exact = lambda k: F.when(F.coalesce(F.col(f"__{k}.comparator"), F.lit("")) == "", S.finite(F.col(f"__{k}.value")))
+    low, mid, avg, high = map(exact, own)
     broken = S.holds(low > high) | S.holds(low > mid) | S.holds(mid > high) | S.holds(low > avg) | S.holds(avg > high)
     summary = F.coalesce(F.size("component"), F.lit(0)) > 0
-    quantity = F.when(~summary, F.col("valueQuantity")).when(~broken, F.coalesce(of("median"), of("average")))
-    reason = F.when(~summary & F.col("valueQuantity").isNull(), "no-quantity").when(summary & broken, "qc-inconsistent").when(summary & of("median").isNull() & of("average").isNull(), "no-representative-statistic")
-    return out.withColumn("quantity", quantity).withColumn("quantity_reason", reason).drop("__s")
+    quantity = F.when(~summary, F.col("valueQuantity")).when(~broken, F.coalesce("__median", "__average"))
+    reason = F.when(~summary & F.col("valueQuantity").isNull(), "no-quantity").when(summary & broken, "qc-inconsistent").when(summary & F.col("__median").isNull() & F.col("__average").isNull(), "no-representative-statistic")
+    return out.withColumn("quantity", quantity).withColumn("quantity_reason", reason).drop("__s", *[f"__{k}" for k in own])
 
 
 def match_parameter(code: Column) -> Column:

@@ -118,15 +118,40 @@ def recommend(ann: DataFrame) -> DataFrame:
     return g.withColumn("mean_annotations", F.round(mean, 6)).withColumn("method", F.when(mean >= 50, "dawid-skene").otherwise("one-coin"))
 
 
-def evaluate(pred: DataFrame, classes: list[str]) -> DataFrame:
-    """One row from (truth, label, p_true): accuracy, macro F1 over the classes, mean log loss."""
-    cells = pred.groupBy("truth", "label").agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest("p_true", F.lit(FLOOR)))).alias("loss"))
+def evaluate(pred: DataFrame, classes: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row (or one of each group) from (truth, label, p_true): accuracy, macro F1 over the classes, mean log loss."""
+    by = by or []
+    cells = pred.groupBy(*by, "truth", "label").agg(F.count("*").alias("n"), F.sum(-F.ln(F.greatest("p_true", F.lit(FLOOR)))).alias("loss"))
     per = [
         F.try_divide(2.0 * F.sum(F.when((F.col("truth") == c) & (F.col("label") == c), F.col("n")).otherwise(0)), F.sum(F.when(F.col("truth") == c, F.col("n")).otherwise(0)) + F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)))
         for c in classes
     ]
     macro = sum((F.coalesce(x, F.lit(0.0)) for x in per), F.lit(0.0)) / len(classes)
-    return cells.agg(F.round(F.sum(F.when(F.col("truth") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"))
+    return cells.groupBy(*by).agg(F.round(F.sum(F.when(F.col("truth") == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.round(macro, 6).alias("macro_f1"), F.round(F.sum("loss") / F.sum("n"), 6).alias("log_loss"))
+
+
+def confusion(ann: DataFrame, truth: DataFrame, smoothing: float = 0.0, classes: list[str] | None = None) -> DataFrame:
+    """(observer, class, label, p): of the annotations of a class the share that has each label; every pair of `classes` if they are given."""
+    counts = ann.join(truth, "spec").groupBy("observer", "class", "label").agg(F.count("*").alias("n"))
+    if classes is not None:
+        every = F.explode(F.array(*[F.lit(c) for c in classes]))
+        grid = counts.select("observer").distinct().withColumn("class", every).withColumn("label", F.explode(F.array(*[F.lit(c) for c in classes])))
+        counts = grid.join(counts, ["observer", "class", "label"], "left").fillna(0, ["n"])
+    total = F.sum(F.col("n") + smoothing).over(W.partitionBy("observer", "class"))
+    return counts.select("observer", "class", "label", F.coalesce(F.try_divide(F.col("n") + smoothing, total), F.lit(0.0)).alias("p"))
+
+
+def confusion_distance(estimated: DataFrame, true: DataFrame) -> DataFrame:
+    """(observer, distance): the Frobenius distance of two confusion tables (observer, class, label, p); a missing cell is 0."""
+    key = ["observer", "class", "label"]
+    both = estimated.select(*key, F.col("p").alias("a")).join(true.select(*key, F.col("p").alias("b")), key, "full_outer").fillna(0.0, ["a", "b"])
+    return both.groupBy("observer").agg(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), 2))).alias("distance"))
+
+
+def over_runs(metrics: DataFrame, columns: list[str], challenger: str, base: str) -> DataFrame:
+    """One row from one of each run: mean and (population) deviation of each metric, and the share of runs in which `challenger` is above `base`."""
+    stats = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return metrics.agg(*stats, F.avg((F.col(challenger) > F.col(base)).cast("double")).alias("win_fraction"), F.count("*").alias("n_runs"))
 
 
 def kth_score(scores: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:

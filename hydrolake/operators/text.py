@@ -2,64 +2,100 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Number words and the numbers that need no evidence.
-WORDS = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-FREE = (0.0, 1.0, 100.0)
-NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?"
-
+from hydrolake.functions import scalars as S
 
-def numbers(text: Column) -> Column:
-    """The numbers of a text as it writes them."""
-    return F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))
+# Number words, numbers that need no evidence, units with their spellings (lower case, no blanks), and nouns that writers count their own points by.
+ONES = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+LARGE = {"hundred": 100, "thousand": 1000, "million": 1_000_000}
+WORDS = ONES | TENS | LARGE
+FREE = (0.0, 1.0, 100.0)
+UNITS = {
+    "mg/L": ("mg/l", "milligramperliter", "milligramsperliter", "milligramperlitre"), "ug/L": ("ug/l", "microgramperliter", "microgramsperliter", "microgramperlitre"), "ng/L": ("ng/l",), "g/L": ("g/l",), "uS/cm": ("us/cm",), "mS/cm": ("ms/cm",), "ug/m3": ("ug/m3",), "mg/m3": ("mg/m3",),
+    "Cel": ("cel", "°c", "celsius", "degreescelsius", "degc"), "degF": ("°f", "fahrenheit", "degreesfahrenheit", "degf"), "%": ("%", "percent", "percentage", "percentagepoints"), "NTU": ("ntu",),
+}
+POINTS = ("points", "things", "reasons", "steps", "options", "caveats", "notes", "questions", "kinds", "types", "parts", "sections", "items", "categories")
 
+_DIGIT = "(?:" + "|".join(list(ONES)[:10]) + ")"
+NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[eE][+~]?[0-9]+)?"
+WORD = r"\b(?:(?:" + "|".join(sorted(ONES | TENS, key=lambda w: (-len(w), w))) + ")(?:[- ](?:" + "|".join(list(ONES)[1:10]) + "))?|" + "|".join(LARGE) + r")\b(?:\s+point(?:\s+" + _DIGIT + r")+\b)?"
+UNIT = "|".join(r"\s*".join(x) + (r"\b" if x[-1].isalnum() else "") for x in sorted((y for v in UNITS.values() for y in v), key=lambda y: (-len(y), y)))
+#: A mention: sign, number in digits or words, and behind it a unit or one of the nouns.
+MENTION = rf"(?i)(-?)({NUMBER}|{WORD})(?:(\s*(?:{UNIT}))|(\s+(?:{'|'.join(POINTS)})\b))?"
 
-def spelled_numbers(text: Column) -> Column:
-    """Numbers in words below a hundred, as doubles."""
 
-    @F.pandas_udf("array<double>")
-    def spelled(x):
-        def one(t):
-            found, words = [], re.findall(r"[a-z]+", (t or "").lower())
-            k = 0
-            while k < len(words):
-                v = WORDS.get(words[k])
-                if v is not None and v >= 20 and k + 1 < len(words) and 0 < WORDS.get(words[k + 1], 0) < 10:
-                    v += WORDS[words[k + 1]]
-                    k += 1
-                if v is not None:
-                    found.append(float(v))
-                k += 1
-            return found
+def plain_marks(text: Column) -> Column:
+    """The text with one form of minus signs, micro signs, cubes and wide digits; a hyphen behind a letter, digit or bracket is a blank, that of an exponent a tilde."""
+    one = F.translate(F.coalesce(text, F.lit("")), "\u2212\u00b5\u03bc\u00b3０１２３４５６７８９％", "-uu30123456789%")
+    return F.regexp_replace(F.regexp_replace(one, r"([0-9][eE])-([0-9])", "$1~$2"), r"([\p{L}\p{N}_)])-", "$1 ")
 
-        return x.map(one)
 
-    spelled.func.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return spelled(text)
+def _word_value(phrase: Column) -> Column:
+    """The value of number words, those behind `point` as decimals."""
+    parts = F.split(F.lower(phrase), r"\s+point\s+")
+    whole = F.aggregate(F.split(parts[0], r"[- ]"), F.lit(0), lambda x, w: x + F.coalesce(S.lookup(w, WORDS), F.lit(0)))
+    digits = F.array_join(F.transform(F.split(F.get(parts, F.lit(1)), r"\s+"), lambda w: S.lookup(w, ONES).cast("string")), "")
+    return F.concat_ws(".", whole.cast("string"), digits).cast("double")
 
 
-def ungrounded(texts: DataFrame, evidence: DataFrame, id_col: str = "id") -> DataFrame:
-    """Numbers of texts (id, text) that no evidence (id, value) of the same id bears out, with their place.
+def mentions(texts: DataFrame, id_col: str = "id") -> DataFrame:
+    """Numbers of texts (id, text), in digits or words: (id, place, raw, value, decimals, unit, counts_points).
 
-    A number with d decimals is borne out within half of its last digit. Numbers meet their id's evidence by an
-    equi-join on id and a cell of the value of the number's last digit.
+    `decimals` is how many the text writes, less an exponent; `unit` is the known unit behind the number.
+    """
+    found = texts.select(id_col, F.posexplode(F.regexp_extract_all(plain_marks(F.col("text")), F.lit(MENTION), F.lit(0))).alias("place", "m"))
+    part = lambda k: F.regexp_extract("m", MENTION, k)
+    found = found.select(id_col, "place", part(1).alias("sign"), part(2).alias("raw"), F.regexp_replace(F.lower(part(3)), r"\s+", "").alias("unit"), (part(4) != "").alias("counts_points"))
+    digits = F.col("raw").rlike("^[0-9]")
+    written = F.translate("raw", ",~", "\u0001-")
+    written = F.regexp_replace(written, "\u0001", "")
+    mantissa, power = F.regexp_extract(written, r"\.([0-9]+)", 1), F.coalesce(F.regexp_extract(written, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    spelled = F.size(F.split(F.regexp_extract(F.lower("raw"), r"point\s+(.*)$", 1), r"\s+"))
+    decimals = F.when(digits, F.greatest(F.length(mantissa) - power, F.lit(0))).when(F.lower("raw").contains("point"), spelled).otherwise(0)
+    value = F.when(digits, written.try_cast("double")).otherwise(_word_value(F.col("raw"))) * F.when(F.col("sign") == "-", -1.0).otherwise(1.0)
+    aliases = {x: u for u, v in UNITS.items() for x in v}
+    return found.select(id_col, "place", F.concat("sign", F.translate("raw", "~", "-")).alias("raw"), value.alias("value"), decimals.cast("int").alias("decimals"), S.lookup(F.col("unit"), aliases).alias("unit"), "counts_points").filter("value IS NOT NULL")
+
+
+def ungrounded(texts: DataFrame, evidence: DataFrame, id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:
+    """Mentions of texts (id, text) that evidence (id, value, unit) of the same id does not bear out: (id, place, raw, value, unit, problem).
+
+    A number with d decimals is borne out by a value within half of its last digit: `ungrounded` without one,
+    `unit-mismatch` if all such values have other units. A percentage is also borne out by a fraction without a
+    unit. 0, 1, 100, counts of the writer's own points (2 to 10) and the sizes of lists in `counts` (id, n) are free.
+
+    Mentions meet values by an equi-join on id, decimals and the cell of the last digit. Each value is put into the
+    one or two cells of every number of decimals that its id's texts use, so an id's mentions and values never form
+    a product.
     """
-    found = texts.select(id_col, F.posexplode(numbers(F.col("text"))).alias("place", "raw")).withColumn("value", F.regexp_replace("raw", ",", "").try_cast("double")).filter(F.col("value").isNotNull() & ~F.abs("value").isin(*FREE))
-    decimals = F.length(F.regexp_extract("raw", r"\.(\d+)", 1))
-    found = found.withColumn("tolerance", 0.5 * F.pow(F.lit(10.0), -decimals))
-    near = found.join(evidence.select(F.col(id_col), F.col("value").alias("known")), id_col).filter(F.abs(F.col("value") - F.col("known")) <= F.col("tolerance") + 1e-12).select(id_col, "place").distinct()
-    return found.join(near, [id_col, "place"], "left_anti").select(id_col, "place", "raw", "value")
+    found = mentions(texts, id_col).withColumn("cell", F.round(F.col("value") * F.pow(F.lit(10.0), "decimals")))
+    own = evidence.select(F.col(id_col), F.col("value").alias("known"), (F.col("unit") if "unit" in evidence.columns else F.lit(None).cast("string")).alias("known_unit"))
+    fraction = F.col("known_unit").isNull() & F.col("known").between(0, 1)
+    forms = F.filter(F.array(F.struct(F.col("known").alias("x"), F.lit(False).alias("fraction")), F.when(fraction, F.struct((F.col("known") * 100).alias("x"), F.lit(True).alias("fraction")))), lambda s: s.isNotNull())
+    scaled = own.select("*", F.explode(forms).alias("f")).join(found.select(id_col, "decimals").distinct(), id_col).withColumn("y", F.col("f.x") * F.pow(F.lit(10.0), "decimals"))
+    # A value half between two cells bears out both.
+    near = F.array_distinct(F.array(F.floor(F.col("y") + 0.5 + 1e-9).cast("double"), F.ceil(F.col("y") - 0.5 - 1e-9).cast("double")))
+    none, plain = F.col("known_unit").isNull(), ~F.col("f.fraction")
+    held = scaled.select("*", F.explode(near).alias("cell")).groupBy(id_col, "decimals", "cell").agg(
+        F.max(plain).alias("any"), F.max(plain & none).alias("bare"), F.collect_set(F.when(plain, F.col("known_unit"))).alias("units"),
+        F.max(F.col("f.fraction") | (plain & S.holds(F.col("known_unit") == "%")) | (plain & none & (F.col("known") > 1))).alias("percent"),
+    )
+    met = found.join(held, [id_col, "decimals", "cell"], "left")
+    whole = F.col("value") == F.floor("value")
+    free = F.col("value").isin(*FREE) | (F.col("counts_points") & whole & F.col("value").between(2, 10))
+    if counts is not None:
+        met = met.join(counts.select(id_col, F.col("n").cast("double").alias("value"), F.lit(True).alias("listed")).distinct(), [id_col, "value"], "left")
+        free = free | S.holds(F.col("listed"))
+    fits = S.holds(F.col("bare")) | S.holds(F.array_contains("units", F.col("unit")))
+    problem = F.when(F.col("unit") == "%", F.when(~S.holds(F.col("percent")), "ungrounded")).when(~S.holds(F.col("any")), "ungrounded").when(F.col("unit").isNotNull() & ~fits, "unit-mismatch")
+    return met.filter(~free).withColumn("problem", problem).filter("problem IS NOT NULL").select(id_col, "place", "raw", "value", "unit", "problem")
 
 
 def translation_check(source: Column, target: Column) -> Column:
     """What is wrong with a translation: numbers differ, numerals beyond ASCII, invisible characters, odd length."""
-    from hydrolake.functions import scalars as S
-
     tokens = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)))
     ratio = F.try_divide(F.length(target).cast("double"), F.length(source).cast("double"))
     return S.flags(numbers_differ=tokens(source) != tokens(target), foreign_numerals=target.rlike(r"(?![0-9])\p{N}"), invisible_characters=target.rlike(r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"), length_ratio=(ratio < 0.4) | (ratio > 3.0))

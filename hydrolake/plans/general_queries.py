@@ -71,6 +71,37 @@ def m5_evaluate_labels(t: Tables):
     return R.evaluate(top.select("truth", F.col("x.class").alias("label"), "p_true"), CLASSES)
 
 
+TRUE_CLASS = "CASE spec % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END"
+VOTED = f"(SELECT spec, first(label ORDER BY n DESC, {RANK.format(c='label')}) AS label FROM (SELECT spec, label, count(*) AS n FROM {select(ANN, 'events')} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"""WITH ann AS {select(ANN, "events")}, c AS (SELECT unnest({CLASSES}) AS c), grid AS (SELECT observer, a.c AS class, b.c AS label FROM (SELECT DISTINCT observer FROM ann), c a, c b),
+e AS (SELECT observer, v.label AS class, a.label, count(*) AS n FROM ann a JOIN {VOTED} v USING (spec) GROUP BY ALL), t AS (SELECT observer, {TRUE_CLASS} AS class, label, count(*) AS n FROM ann GROUP BY ALL),
+p AS (SELECT g.*, (coalesce(e.n, 0) + 1) / sum(coalesce(e.n, 0) + 1) OVER (PARTITION BY g.observer, g.class) AS a, coalesce(t.n, 0) / nullif(sum(coalesce(t.n, 0)) OVER (PARTITION BY g.observer, g.class), 0) AS b FROM grid g LEFT JOIN e USING (observer, class, label) LEFT JOIN t USING (observer, class, label))
+SELECT observer, round(sqrt(sum((a - coalesce(b, 0)) ** 2)), 6) AS distance FROM p GROUP BY 1""")
+def m5_confusion_distance(t: Tables):
+    """Confusion of each observer against the majority's labels and against the true classes."""
+    ann = t.view("events", ANN)
+    voted = R.majority_vote(ann, CLASSES).withColumnRenamed("label", "class")
+    true = ann.select("spec", F.expr(TRUE_CLASS).alias("class")).distinct()
+    return R.confusion_distance(R.confusion(ann, voted, 1.0, CLASSES), R.confusion(ann, true)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH ann AS (SELECT *, CAST(substr(observer, 2) AS INT) % 4 AS run FROM {select(ANN, "events")}), v AS (SELECT run, spec, first(label ORDER BY n DESC, {RANK.format(c='label')}) AS voted FROM (SELECT run, spec, label, count(*) AS n FROM ann GROUP BY ALL) GROUP BY 1, 2), o AS (SELECT run, spec, min(label) AS one FROM ann GROUP BY 1, 2),
+m AS (SELECT run, avg(CASE WHEN voted = {TRUE_CLASS} THEN 1.0 ELSE 0 END) AS voted, avg(CASE WHEN one = {TRUE_CLASS} THEN 1.0 ELSE 0 END) AS one FROM v JOIN o USING (run, spec) GROUP BY 1)
+SELECT round(avg(round(voted, 6)), 6) AS voted_mean, round(stddev_pop(round(voted, 6)), 6) AS voted_std, round(avg(round(one, 6)), 6) AS one_mean, round(stddev_pop(round(one, 6)), 6) AS one_std, avg(CASE WHEN voted > one THEN 1.0 ELSE 0.0 END) AS win_fraction, count(*) AS n_runs FROM m""")
+def m5_over_runs(t: Tables):
+    """Four runs of two observers each: the majority's label against the first of the labels."""
+    ann = t.view("events", ANN).withColumn("run", F.substring("observer", 2, 9).cast("int") % 4)
+    named = ann.withColumn("spec", F.struct("run", "spec"))
+    voted = R.majority_vote(named, CLASSES).select("spec.run", "spec.spec", "label")
+    one = ann.groupBy("run", "spec").agg(F.min("label").alias("label"))
+    known = lambda df: df.select("run", F.expr(TRUE_CLASS).alias("truth"), "label", F.lit(1.0).alias("p_true"))
+    of = {k: R.evaluate(known(df), CLASSES, ["run"]).select("run", F.col("accuracy").alias(k)) for k, df in (("voted", voted), ("one", one))}
+    out = R.over_runs(of["voted"].join(of["one"], "run"), ["voted", "one"], "voted", "one")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("mean", "std"))})
+
+
 @query(f"WITH {POST}, s AS (SELECT 1 - p AS score, row_number() OVER (ORDER BY 1 - p) AS k, count(*) OVER () AS n FROM post WHERE class = truth) SELECT max(n) AS n, round(coalesce(min(score) FILTER (WHERE k >= ceil((n + 1) * 0.9 - 1e-9)), 1.0), 9) AS cutoff FROM s")
 def k4_kth_score(t: Tables):
     return R.kth_score(scores(t), 0.1).withColumn("cutoff", F.round("cutoff", 9))
@@ -353,7 +384,20 @@ def f11_month_pos(t: Tables):
     return t.orders.select(F.col("o_orderkey").alias("id"), pos.alias("pos"), S.month_text(pos).alias("month"), S.parse_year_month(text).alias("parsed"))
 
 
-@query()
+# Clocks of Rome go on at 01:00 UTC of March's last Sunday, and back at 01:00 UTC of September's last one until 1995, then of October's.
+LAST_SUNDAY = "(make_date(year(d), {m}, {n}) - CAST(dayofweek(make_date(year(d), {m}, {n})) AS INT))"
+ON, BACK = LAST_SUNDAY.format(m=3, n=31), f"CASE WHEN year(d) < 1996 THEN {LAST_SUNDAY.format(m=9, n=30)} ELSE {LAST_SUNDAY.format(m=10, n=31)} END"
+
+
+def _midnight(day: str) -> str:
+    """UTC of a local midnight."""
+    return f"(SELECT CAST(d AS TIMESTAMP) - CASE WHEN d > {ON} AND d <= {BACK} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END FROM (SELECT CAST({day} AS DATE) AS d))"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS d, o_orderkey % 5 AS k FROM orders), x AS (SELECT *, CASE k WHEN 0 THEN strftime(d, '%Y') WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN strftime(d, '%Y-%m-%d') WHEN 3 THEN strftime(d, '%Y-%m-%d') || 'T02:30:00' ELSE 'soon' END AS text,
+CASE k WHEN 0 THEN make_date(year(d), 1, 1) WHEN 1 THEN make_date(year(d), month(d), 1) WHEN 2 THEN CAST(d AS DATE) END AS first, CASE k WHEN 0 THEN make_date(year(d) + 1, 1, 1) WHEN 1 THEN CAST(make_date(year(d), month(d), 1) + INTERVAL 1 MONTH AS DATE) WHEN 2 THEN CAST(d AS DATE) + 1 END AS next, {ON} AS clock_on, {BACK} AS clock_back FROM o),
+y AS (SELECT *, CASE WHEN k = 4 THEN 'form' WHEN k = 3 AND CAST(d AS DATE) = clock_on THEN 'skipped-local-time' WHEN k = 3 AND CAST(d AS DATE) = clock_back THEN 'repeated-local-time' END AS issue, CAST(CAST(d AS DATE) AS TIMESTAMP) + INTERVAL 150 MINUTE - CASE WHEN CAST(d AS DATE) > clock_on AND CAST(d AS DATE) < clock_back THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS second FROM x)
+SELECT id, text, CASE WHEN issue IS NULL THEN CAST(CASE WHEN k = 3 THEN second ELSE {_midnight("first")} END AS VARCHAR) END AS start, CASE WHEN issue IS NULL THEN CAST(CASE WHEN k = 3 THEN second + INTERVAL 1 SECOND ELSE {_midnight("next")} END AS VARCHAR) END AS "end", CASE k WHEN 0 THEN 'year' WHEN 1 THEN 'month' WHEN 2 THEN 'day' WHEN 3 THEN 'second' END AS precision, issue FROM y""")
 def f12_partial_time(t: Tables):
     text = F.expr("CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM') WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 3 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T02:30:00') ELSE 'soon' END")
     return t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text"), X.partial_time(text, "Europe/Rome").alias("p")).select("id", "text", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end"), "p.precision", "p.issue")
@@ -426,15 +470,40 @@ def f17_near_points(t: Tables):
     return L.near_points(points, places, 60.0)
 
 
-NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?"
+def _mention(k: int) -> str:
+    return f"regexp_extract(m, '{X.MENTION}', {k})"
+
+
+def _words(w: str) -> str:
+    return "CASE " + w + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.WORDS.items()) + " ELSE 0 END"
+
 
+ALIASES = "CASE u " + " ".join(f"WHEN '{x}' THEN '{u}'" for u, v in X.UNITS.items() for x in v) + " END"
+EVIDENCE = f"""WITH marked AS (SELECT doc_id AS id, regexp_replace(regexp_replace(translate(coalesce(text, ''), '−µμ³０１２３４５６７８９％', '-uu30123456789%'), '([0-9][eE])-([0-9])', '\\1~\\2', 'g'), '([\\p{{L}}\\p{{N}}_)])-', '\\1 ', 'g') AS t FROM documents),
+f AS (SELECT id, unnest(regexp_extract_all(t, '{X.MENTION}', 0)) AS m, generate_subscripts(regexp_extract_all(t, '{X.MENTION}', 0), 1) - 1 AS place FROM marked),
+p AS (SELECT id, place, {_mention(1)} AS sign, {_mention(2)} AS r, regexp_replace(lower({_mention(3)}), '\\s+', '', 'g') AS u, {_mention(4)} <> '' AS points FROM f),
+w AS (SELECT *, replace(replace(r, ',', ''), '~', '-') AS z, regexp_matches(r, '^[0-9]') AS d, string_split_regex(lower(r), '\\s+point\\s+') AS parts FROM p),
+v AS (SELECT id, place, sign || replace(r, '~', '-') AS raw, points, {ALIASES} AS unit, CASE WHEN sign = '-' THEN -1 ELSE 1 END * CASE WHEN d THEN TRY_CAST(z AS DOUBLE) ELSE CAST(CAST(list_sum([{_words("x")} FOR x IN string_split_regex(parts[1], '[- ]')]) AS BIGINT) || CASE WHEN len(parts) > 1 THEN '.' || array_to_string([{_words("x")} FOR x IN string_split_regex(parts[2], '\\s+')], '') ELSE '' END AS DOUBLE) END AS value,
+  CASE WHEN d THEN greatest(length(regexp_extract(z, '\\.([0-9]+)', 1)) - coalesce(TRY_CAST(regexp_extract(z, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0), 0) WHEN len(parts) > 1 THEN len(string_split_regex(parts[2], '\\s+')) ELSE 0 END AS decimals FROM w),
+e AS (SELECT doc_id AS id, (n_chars % 400)::DOUBLE AS value, CASE WHEN doc_id % 3 = 0 THEN 'mg/L' END AS unit FROM documents UNION ALL SELECT doc_id, 555.0, NULL FROM documents UNION ALL SELECT doc_id, (n_chars % 100) / 100.0, NULL FROM documents UNION ALL SELECT doc_id, (doc_id % 50)::DOUBLE, '%' FROM documents)"""
 
-@query(f"""WITH f AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{NUMBER}')) AS raw, generate_subscripts(regexp_extract_all(text, '{NUMBER}'), 1) - 1 AS place FROM documents), v AS (SELECT *, TRY_CAST(replace(raw, ',', '') AS DOUBLE) AS value, 0.5 * pow(10.0, -length(regexp_extract(raw, '\\.(\\d+)', 1))) AS tol FROM f),
-e AS (SELECT doc_id AS id, (n_chars % 400)::DOUBLE AS value FROM documents UNION ALL SELECT doc_id, 555.0 FROM documents)
-SELECT id, place, raw, value FROM v WHERE value IS NOT NULL AND abs(value) NOT IN (0, 1, 100) AND NOT EXISTS (SELECT 1 FROM e WHERE e.id = v.id AND abs(e.value - v.value) <= tol + 1e-12)""")
+
+def evidence(t: Tables):
+    rows = [("CAST(n_chars % 400 AS DOUBLE)", "CASE WHEN doc_id % 3 = 0 THEN 'mg/L' END"), ("CAST(555 AS DOUBLE)", "CAST(NULL AS STRING)"), ("n_chars % 100 / 100", "CAST(NULL AS STRING)"), ("CAST(doc_id % 50 AS DOUBLE)", "'%'")]
+    parts = ", ".join(f"named_struct('value', CAST({v} AS DOUBLE), 'unit', {u})" for v, u in rows)
+    return t.documents.selectExpr("doc_id AS id", f"inline(array({parts}))")
+
+
+@query(f"""{EVIDENCE}, n AS (SELECT v.*, EXISTS (SELECT 1 FROM e WHERE e.id = v.id AND abs(e.value - v.value) <= 0.5 * pow(10.0, -decimals) + 1e-9 * pow(10.0, -decimals)) AS borne, EXISTS (SELECT 1 FROM e WHERE e.id = v.id AND abs(e.value - v.value) <= (0.5 + 1e-9) * pow(10.0, -decimals) AND (e.unit IS NULL OR e.unit = v.unit)) AS fits,
+  EXISTS (SELECT 1 FROM e WHERE e.id = v.id AND ((abs(e.value - v.value) <= (0.5 + 1e-9) * pow(10.0, -decimals) AND (e.unit = '%' OR (e.unit IS NULL AND e.value > 1))) OR (e.unit IS NULL AND e.value BETWEEN 0 AND 1 AND abs(e.value * 100 - v.value) <= (0.5 + 1e-9) * pow(10.0, -decimals)))) AS percent FROM v WHERE value IS NOT NULL AND value NOT IN (0, 1, 100) AND NOT (points AND value = floor(value) AND value BETWEEN 2 AND 10)),
+r AS (SELECT id, place, raw, value, unit, CASE WHEN unit = '%' THEN CASE WHEN NOT percent THEN 'ungrounded' END WHEN NOT borne THEN 'ungrounded' WHEN unit IS NOT NULL AND NOT fits THEN 'unit-mismatch' END AS problem FROM n) SELECT * FROM r WHERE problem IS NOT NULL""")
 def t1_ungrounded_numbers(t: Tables):
-    evidence = t.view("documents", ["doc_id AS id", "CAST(n_chars % 400 AS DOUBLE) AS value"]).unionByName(t.view("documents", ["doc_id AS id", "CAST(555 AS DOUBLE) AS value"]))
-    return X.ungrounded(t.view("documents", ["doc_id AS id", "text"]), evidence)
+    return X.ungrounded(t.view("documents", ["doc_id AS id", "text"]), evidence(t))
+
+
+@query(f"{EVIDENCE} SELECT id, place, raw, value, decimals, unit, points AS counts_points FROM v WHERE value IS NOT NULL")
+def t1_mentions(t: Tables):
+    return X.mentions(t.view("documents", ["doc_id AS id", "text"]))
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN list_sort(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*')) <> list_sort(regexp_extract_all(b, '\\d+(?:[.,]\\d+)*')) THEN 'numbers-differ' END, CASE WHEN length(b)::DOUBLE / length(text) < 0.4 OR length(b)::DOUBLE / length(text) > 3 THEN 'length-ratio' END, CASE WHEN contains(b, '²') THEN 'foreign-numerals' END, CASE WHEN contains(b, chr(8203)) THEN 'invisible-characters' END], lambda x: x IS NOT NULL)), ',') AS flags
@@ -448,7 +517,7 @@ def t2_translation_check(t: Tables):
 NESTED = [("nitrate", "Nitrate", "mg/L"), ("sulphate", "Sulphate", "mg/L"), ("ammonium", "Ammonium", "mg/L"), ("lead-dissolved", "Lead dissolved", "ug/L"), ("colour", None, "mg/L"), ("dissolved-oxygen", "Dissolved Oxygen", "mg/L"), ("water-temperature", "Water temperature", "Cel"), ("cadmium-dissolved", "Cadmium dissolved", "ug/L"), ("ph", "pH", "pH")]
 NESTED_SQL = f"""o AS (SELECT CONCAT('o', l_orderkey, '-', l_linenumber) AS id, l_partkey AS p, 'L' || l_suppkey AS site, strftime(l_shipdate, '%Y-%m') AS period, [{", ".join("NULL" if n is None else repr(n) for _, n, _ in NESTED)}][l_partkey % 9 + 1] AS parameter,
   CASE WHEN l_partkey % 37 = 0 THEN 'kg' ELSE [{", ".join(repr(u) for _, _, u in NESTED)}][l_partkey % 9 + 1] END AS unit, l_linenumber <= 4 AND l_partkey % 31 = 0 AS broken, CASE WHEN l_linenumber > 4 THEN l_quantity WHEN l_partkey % 31 <> 0 THEN l_quantity + l_tax * 10 END AS v,
-  l_linenumber > 4 AND l_partkey % 11 = 0 AS below, l_suppkey % 3 = 0 AS river, s_nationkey % 2 = 0 AS it, l_partkey % 17 = 0 AS other, l_partkey % 17 > 0 AND l_partkey % 13 = 0 AS health FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
+  l_linenumber > 4 AND l_partkey % 11 = 0 AS below, l_linenumber <= 4 AS summary, l_suppkey % 3 = 0 AS river, s_nationkey % 2 = 0 AS it, l_partkey % 17 = 0 AS other, l_partkey % 17 > 0 AND l_partkey % 13 = 0 AS health FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
 DEVIATION = "abs(100 - 100 * v / exp(-139.34411 + 1.575701e5 / (lo + 273.15) - 6.642308e7 / ((lo + 273.15) * (lo + 273.15)) + 1.243800e10 / ((lo + 273.15) * (lo + 273.15) * (lo + 273.15)) - 8.621949e11 / ((lo + 273.15) * (lo + 273.15) * (lo + 273.15) * (lo + 273.15))))"
 #: The scoring pass over nested rows: warm is the temperature of a site and month, r has a reason for each row.
 INDEX_SQL = f"""{NESTED_SQL}, warm AS (SELECT site, period, min(v) FILTER (WHERE NOT below AND unit = 'Cel' AND v BETWEEN 0 AND 40) AS lo, max(v) FILTER (WHERE NOT below AND unit = 'Cel' AND v BETWEEN 0 AND 40) AS hi FROM o WHERE parameter = 'Water temperature' AND NOT other AND NOT health GROUP BY 1, 2),
@@ -509,17 +578,84 @@ def p9_profiles(t: Tables):
     return nested(t).groupBy(I.has_profile(F.col("meta.profile"), I.WATER_PROFILES).alias("water"), I.has_profile(F.col("meta.profile"), I.HEALTH_PROFILES).alias("health")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'status-not-final' AS finding, count(*) AS n FROM lineitem WHERE l_partkey % 29 = 0")
+PROFILED = [
+    "CONCAT('o', l_orderkey, '-', l_linenumber) AS id", "CASE WHEN l_partkey % 29 = 0 THEN 'preliminary' ELSE 'final' END AS status", "CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE 'nitrate' END AS code", "CASE l_partkey % 23 WHEN 0 THEN NULL WHEN 1 THEN 'Patient/7' WHEN 2 THEN 'https://x.org/fhir/Location/L1/_history/3' WHEN 3 THEN 'urn:uuid:1' ELSE 'Location/L1' END AS subject",
+    "l_partkey % 19 > 0 AS effective", "l_partkey % 17 > 0 AS performer", "CASE l_partkey % 13 WHEN 0 THEN 'valueString' WHEN 1 THEN 'valueCodeableConcept' ELSE 'valueQuantity' END AS value_type", "CASE WHEN l_partkey % 11 = 0 THEN 'Patient/1' WHEN l_partkey % 11 = 1 THEN 'Specimen/2' END AS specimen",
+    "CASE l_partkey % 9 WHEN 0 THEN 'Device/3' WHEN 1 THEN 'Group/4' END AS focus", "CASE l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'valueBoolean' ELSE 'valueString' END AS component_type", "l_linenumber % 2 = 0 AS health",
+]
+
+
+@query(f"""WITH r AS {select(PROFILED, "lineitem")}, f AS (SELECT health, unnest(list_filter([CASE WHEN status <> 'final' THEN 'status' END, CASE WHEN code IS NULL THEN 'code' END, CASE WHEN subject IS NULL THEN 'subject' END, CASE WHEN subject LIKE 'Patient/%' THEN 'subject-type' END, CASE WHEN NOT effective THEN 'effective' END, CASE WHEN value_type = 'valueString' THEN 'value-type' END,
+ CASE WHEN NOT health AND NOT performer THEN 'performer' END, CASE WHEN NOT health AND specimen LIKE 'Patient/%' THEN 'specimen-type' END, CASE WHEN NOT health AND component_type = '' THEN 'component-value' END, CASE WHEN NOT health AND component_type = 'valueBoolean' THEN 'component-value-type' END, CASE WHEN health AND focus LIKE 'Device/%' THEN 'focus-type' END], lambda x: x IS NOT NULL)) AS suffix FROM r)
+SELECT CASE WHEN health THEN 'health-measure-' ELSE 'indicators-' END || suffix AS finding, count(*) AS n FROM f GROUP BY 1""")
 def p15_profile_rules(t: Tables):
+    """Observations of the two profiles, with the members that the rules ask for."""
+    rows = t.view("lineitem", PROFILED)
+    resource = rows.select(
+        "id", "health", "status", F.array_compact(F.array("code")).alias("codes"), F.col("subject").alias("subject_reference"), F.when(F.col("effective"), F.array(F.lit("effectiveDateTime"))).otherwise(F.array().cast("array<string>")).alias("effective_keys"),
+        F.when(F.col("performer"), 1).otherwise(0).alias("n_performers"), F.array("value_type").alias("value_keys"), "specimen", F.array_compact(F.array("focus")).alias("focus"), F.array(F.when(F.col("component_type") == "", F.array().cast("array<string>")).otherwise(F.array("component_type"))).alias("component_keys"),
+    )
+    water = G.findings(resource.filter("NOT health"), G.indicator_rules("indicators"), ["id"])
+    health = G.findings(resource.filter("health"), G.indicator_rules("health-measure"), ["id"])
+    return water.unionByName(health).groupBy("finding").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'status-not-final' AS finding, count(*) AS n FROM lineitem WHERE l_partkey % 29 = 0")
+def p15_nested_rules(t: Tables):
     return G.findings(nested(t), G.profile_rules(), ["id"]).groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query()
+PLACED = ["s_suppkey AS id", "CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END AS n_identifiers", "CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END AS name", "CASE s_suppkey % 3 WHEN 0 THEN 'kind' WHEN 1 THEN NULL ELSE 'instance' END AS mode"]
+
+
+@query(f"SELECT finding, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN n_identifiers = 0 THEN 'location-identifier' END, CASE WHEN trim(name) = '' THEN 'location-name' END, CASE WHEN mode IS DISTINCT FROM 'instance' THEN 'location-mode' END], lambda x: x IS NOT NULL)) AS finding FROM {select(PLACED, 'supplier')}) GROUP BY 1")
+def p15_location_rules(t: Tables):
+    return G.findings(t.view("supplier", PLACED), G.location_rules(), ["id"]).groupBy("finding").agg(F.count("*").alias("n"))
+
+
+NESTED_FINDINGS = f"""WITH {NESTED_SQL}, b AS (SELECT *, CASE WHEN other THEN 'no profile' WHEN health THEN 'http://x/observation-health-measure-guide' ELSE 'http://x/observation-indicators-guide' END AS profile, CASE WHEN p % 23 = 0 OR other THEN 'other' ELSE 'official' END AS origin, summary AND unit NOT IN ('mg/L', 'ug/L', 'Cel', 'pH') AS odd FROM o),
+f AS (SELECT id, site, profile, unnest(list_filter([CASE WHEN broken THEN 'statistical-bounds' END, CASE WHEN broken THEN 'statistical-order' END, CASE WHEN odd THEN 'ucum-unit' END, CASE WHEN odd THEN 'ucum-unit' END, CASE WHEN odd THEN 'ucum-unit' END, CASE WHEN below THEN 'censored-quantity' END], lambda x: x IS NOT NULL)) AS finding FROM b)"""
+
+
+@query(f"{NESTED_FINDINGS} SELECT finding, count(*) AS n, array_to_string(list_sort(list(id ORDER BY id)[1:20]), ',') AS examples FROM f GROUP BY 1")
+def a32_observation_findings(t: Tables):
+    return G.report(G.observation_findings(nested(t), ["mg/L", "ug/L", "Cel", "pH"]), [], "id")
+
+
+@query(f"""{NESTED_FINDINGS}, c AS (SELECT unit FROM b WHERE summary UNION ALL SELECT unit FROM b WHERE summary UNION ALL SELECT unit FROM b WHERE summary)
+SELECT 'profile' AS what, profile AS name, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 'site', site, count(*) FROM b GROUP BY ALL UNION ALL SELECT 'origin', origin, count(*) FROM b GROUP BY ALL UNION ALL SELECT 'code', unit, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'review', 'pH', count(*) FROM c WHERE unit = 'pH'""")
+def a32_observation_counts(t: Tables):
+    return G.observation_counts(nested(t), ["pH"])
+
+
+YEARLY = "SELECT l_suppkey AS site, l_returnflag AS parameter, CAST(year(l_shipdate) AS INT) AS period, CAST(max(l_quantity) AS DOUBLE) AS value, 'mg/L' AS unit FROM lineitem GROUP BY 1, 2, 3"
+UUID = """concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(printf('%x', (('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2), substr(h, 21, 12))"""
+NAMED = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({}))"
+
+
+@query(f"""WITH y AS ({YEARLY}), i AS (SELECT *, {NAMED.format("concat_ws('|', site, parameter, period)")} AS h FROM y)
+SELECT {UUID} AS id, printf('{{"resourceType":"Observation","id":"%s","status":"final","code":{{"text":"%s"}},"subject":{{"reference":"Location/%d"}},"effectiveDateTime":"%d","valueQuantity":{{"value":%s,"unit":"mg/L","system":"http://unitsofmeasure.org"}}}}', {UUID}, parameter, site, period, CAST(value AS VARCHAR)) AS json FROM i""")
 def s8_observation_resources(t: Tables):
-    yearly = t.lineitem.groupBy(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("parameter"), F.year("l_shipdate").alias("period")).agg(F.avg("l_quantity").alias("value"), F.lit("mg/L").alias("unit"))
+    yearly = t.lineitem.groupBy(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("parameter"), F.year("l_shipdate").alias("period")).agg(F.max("l_quantity").cast("double").alias("value"), F.lit("mg/L").alias("unit"))
     return writers.observations(yearly, "site", "parameter", "value", "unit", "period")
 
 
+@query(f"""{NESTED_FINDINGS}, i AS (SELECT DISTINCT id AS obs, finding, {NAMED.format("concat_ws('|', 'issue', id, finding)")} AS h FROM f)
+SELECT {UUID} AS id, printf('{{"resourceType":"DetectedIssue","id":"%s","status":"final","code":{{"text":"%s"}},"identifiedDateTime":"2024-01-01","implicated":[{{"reference":"https://example.org/Observation/%s"}}]}}', {UUID}, finding, obs) AS json FROM i""")
+def s8_detected_issues(t: Tables):
+    return writers.detected_issues(G.observation_findings(nested(t), ["mg/L", "ug/L", "Cel", "pH"]), "https://example.org", "2024-01-01")
+
+
+@query(f"""WITH i AS (SELECT *, {NAMED.format("concat_ws('|', l_suppkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d'), l_orderkey)")} AS h FROM lineitem)
+SELECT {UUID} AS id, printf('{{"resourceType":"Observation","id":"%s","meta":{{"tag":[{{"code":"real-derived"}}]}},"status":"final","code":{{"text":"P%d"}},"subject":{{"reference":"Location/%d"}},"effectiveDateTime":"%s","valueQuantity":{{"value":%s,%s"unit":"mg/L","system":"http://unitsofmeasure.org","code":"mg/L"}}}}', {UUID}, l_linenumber, l_suppkey, strftime(l_shipdate, '%Y-%m-%d'), CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR), CASE WHEN l_linestatus = 'O' THEN '"comparator":"<",' ELSE '' END) AS json FROM (SELECT DISTINCT ON (l_suppkey, l_linenumber, l_shipdate, l_orderkey) * FROM i)""")
+def s8_measurement_resources(t: Tables):
+    rows = t.lineitem.select(
+        F.col("l_suppkey").alias("site"), F.concat(F.lit("P"), F.col("l_linenumber").cast("string")).alias("parameter"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.col("l_quantity").cast("double").alias("value"), F.lit("mg/L").alias("unit"),
+        F.when(F.col("l_linestatus") == "O", "<").alias("comparator"), F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_suppkey", "l_linenumber")], F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_orderkey").cast("string")).alias("name"),
+    )
+    return writers.measurements(rows)
+
+
 @query(f"SELECT parameter, unit, limit_value, is_lower FROM {dims.values([(k, *v) for k, v in dims.PARAMETERS.items()], 'par', ('parameter', 'unit', 'limit_value', 'is_lower'))} WHERE parameter IN (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN 'pH' ELSE 'Nitrate' END FROM part)")
 def p16_parameters_in_use(t: Tables):
     used = t.view("part", ["CASE p_partkey % 2 WHEN 0 THEN 'pH' ELSE 'Nitrate' END AS parameter"]).distinct()

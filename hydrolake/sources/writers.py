@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrolake.functions import scalars as S
+
 # Fixed value: the URL namespace of version 5 identifiers.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Significant digits of written values.
+FIGURES = 6
 
 
 def write_store(df: DataFrame, path: str, key: list[str], partition_by: str | None = "country") -> None:
@@ -37,12 +41,31 @@ def uuid5(name: Column) -> Column:
 def observations(df: DataFrame, site: str, parameter: str, value: str, unit: str, period: str) -> DataFrame:
     """(id, json): one final observation for each row with a number, six significant digits, one per id."""
     v = F.col(value)
-    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(v))))
-    six = F.when(v == 0, 0.0).otherwise(F.round(v * scale) / scale)
+    six = S.round_figures(v, FIGURES)
     ident = uuid5(F.concat_ws("|", F.col(site).cast("string"), F.col(parameter).cast("string"), F.col(period).cast("string")))
     body = F.to_json(F.struct(F.lit("Observation").alias("resourceType"), ident.alias("id"), F.lit("final").alias("status"), F.struct(F.col(parameter).cast("string").alias("text")).alias("code"), F.struct(F.concat(F.lit("Location/"), F.col(site).cast("string")).alias("reference")).alias("subject"), F.col(period).cast("string").alias("effectiveDateTime"), F.struct(six.alias("value"), F.col(unit).alias("unit"), F.lit("http://unitsofmeasure.org").alias("system")).alias("valueQuantity")))
     return df.filter(v.isNotNull() & ~F.isnan(v)).select(ident.alias("id"), body.alias("json")).groupBy("id").agg(F.min("json").alias("json"))
 
 
+def detected_issues(findings: DataFrame, base_url: str, at: str) -> DataFrame:
+    """(id, json): one issue for each observation `id` and `finding`, which refers to the observation."""
+    ident = uuid5(F.concat_ws("|", F.lit("issue"), F.col("id").cast("string"), "finding"))
+    target = F.concat(F.lit(base_url.rstrip("/") + "/Observation/"), F.col("id").cast("string"))
+    body = F.to_json(F.struct(F.lit("DetectedIssue").alias("resourceType"), ident.alias("id"), F.lit("final").alias("status"), F.struct(F.col("finding").alias("text")).alias("code"), F.lit(at).alias("identifiedDateTime"), F.array(F.struct(target.alias("reference"))).alias("implicated")))
+    return findings.select("id", "finding").distinct().select(ident.alias("id"), body.alias("json"))
+
+
+def measurements(rows: DataFrame, origin: str = "real-derived", ucum: tuple[str, ...] = ("mg/L", "ug/L", "ng/L", "g/L", "uS/cm", "mS/cm", "Cel", "pH", "%")) -> DataFrame:
+    """(id, json): measured values (name, site, parameter, at, value, unit, comparator) as observations, one per name.
+
+    Values have six significant digits; a unit that is a code gets its system; rows without a number are left out.
+    """
+    ident, coded = uuid5(F.col("name")), F.col("unit").isin(*ucum)
+    quantity = F.struct(S.round_figures(F.col("value"), FIGURES).alias("value"), F.when(F.col("comparator").isin("<", "<=", ">", ">="), F.col("comparator")).alias("comparator"), "unit", F.when(coded, "http://unitsofmeasure.org").alias("system"), F.when(coded, F.col("unit")).alias("code"))
+    tag = F.struct(F.array(F.struct(F.lit(origin).alias("code"))).alias("tag"))
+    body = F.to_json(F.struct(F.lit("Observation").alias("resourceType"), ident.alias("id"), tag.alias("meta"), F.lit("final").alias("status"), F.struct(F.col("parameter").cast("string").alias("text")).alias("code"), F.struct(F.concat(F.lit("Location/"), F.col("site").cast("string")).alias("reference")).alias("subject"), F.col("at").cast("string").alias("effectiveDateTime"), quantity.alias("valueQuantity")))
+    return rows.filter(S.finite(F.col("value")).isNotNull()).select(ident.alias("id"), body.alias("json")).groupBy("id").agg(F.min("json").alias("json"))
+
+
 def write_ndjson(resources: DataFrame, path: str) -> None:
     resources.select("json").write.mode("overwrite").text(path)
