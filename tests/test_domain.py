@@ -174,9 +174,32 @@ def test_review(spark):
 def test_numbers_in_texts(spark):
     texts = spark.createDataFrame([("a", "It rose by 12.3 to 1,250 and 7 (100%)."), ("b", None)], "id string, text string")
     evidence = spark.createDataFrame([("a", 12.34), ("a", 1250.0), ("b", 7.0)], "id string, value double")
-    assert [(r["raw"]) for r in T.ungrounded(texts, evidence).collect()] == ["7"]
-    words = texts.select(T.spelled_numbers(F.lit("Twenty-three of forty, then nine"))).first()[0]
-    assert words == [23.0, 40.0, 9.0]
+    assert [(r["raw"], r["problem"]) for r in T.ungrounded(texts, evidence).collect()] == [("7", "ungrounded")]
+
+
+def test_mentions(spark):
+    cases = {
+        "twenty-three of forty, then Nine": [("twenty three", 23.0, 0, None), ("forty", 40.0, 0, None), ("Nine", 9.0, 0, None)],
+        "six point two five mg/L": [("six point two five", 6.25, 2, "mg/L")], "at -4.50 °C, pH-7, (3)-2": [("-4.50", -4.5, 2, "Cel"), ("7", 7.0, 0, None), ("3", 3.0, 0, None), ("2", 2.0, 0, None)],
+        "1.2e-3 g / L or 5 milligrams per liter, 5 mg/Lx": [("1.2e-3", 0.0012, 4, "g/L"), ("5", 5.0, 0, "mg/L"), ("5", 5.0, 0, None)], "\u22125 µg/m³ and 12 percent": [("-5", -5.0, 0, "ug/m3"), ("12", 12.0, 0, "%")], "a million": [("million", 1e6, 0, None)],
+    }
+    got = {}
+    for r in T.mentions(spark.createDataFrame([(t, t) for t in cases], "id string, text string")).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append((r["raw"], r["value"], r["decimals"], r["unit"]))
+    assert got == cases
+
+
+def test_grounding_rules(spark):
+    facts = [("a", 0.25, None), ("a", 40.0, "%"), ("a", 6.0, "mg/L"), ("a", 0.125, None)]
+    evidence = spark.createDataFrame(facts, "id string, value double, unit string")
+    cases = {
+        "25% of it": None, "25 mg/L": "ungrounded", "40 percent": None, "41 percent": "ungrounded", "6 mg/L": None, "6 ug/L": "unit-mismatch", "6": None, "two points": None, "2 samples": "ungrounded", "eleven points": "ungrounded", "0.13": None, "0.12": None, "0.11": "ungrounded", "4 of them": None,
+    }
+    texts = spark.createDataFrame([(t, t) for t in cases], "id string, text string")
+    own = evidence.drop("id").crossJoin(texts.select("id"))
+    counts = texts.select("id", F.lit(4).alias("n"))
+    got = {r["id"]: r["problem"] for r in T.ungrounded(texts, own, counts=counts).collect()}
+    assert got == {t: p for t, p in cases.items() if p}
 
 
 def test_partial_times(spark):
@@ -270,3 +293,116 @@ def test_units(spark):
     cases = [(1.0, "mg/L", "ug/L", 1000.0), (2.0, "ng/l", "ug/L", 0.002), (1.0, "mg/L", "uS/cm", None), (7.0, None, "pH", 7.0), (1.0, None, "mg/L", None)]
     got = spark.createDataFrame(cases, "v double, a string, b string, w double").select(S.convert_unit(F.col("v"), F.col("a"), F.col("b")), "w").collect()
     assert all((a is None and b is None) or math.isclose(a, b) for a, b in got)
+
+
+def test_figures_of_exact_decimals(spark):
+    rows = [(1.005, 3, 1.01, 1.0, 1.01), (-1.005, 3, -1.01, -1.01, -1.0), (0.9996, 3, 1.0, 0.999, 1.0), (123456789012.0, 2, 1.2e11, 1.2e11, 1.3e11), (1e-7, 2, 1e-7, 1e-7, 1e-7), (0.0, 2, 0.0, 0.0, 0.0), (float("nan"), 2, None, None, None)]
+    x, f = F.col("x"), F.col("f")
+    got = spark.createDataFrame([r[:2] for r in rows], "x double, f int").select(*[S.round_figures(x, f, m).alias(m) for m in ("nearest", "down", "up")]).collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
+
+
+def test_values_stay_in_their_range(spark):
+    rows = [(0.9996, 6, 0.2, 0.9998, 0.9996), (12.34, 3, None, None, 12.0), (12.34, 25, 12.0, 13.0, 12.3), (1.0, 5, 1.0, 1.0, 1.0), (2.345, 4, 2.341, 2.349, 2.345)]
+    got = spark.createDataFrame([r[:4] for r in rows], "v double, n int, low double, high double").select(L.approximate_value(F.col("v"), F.col("n"), F.col("low"), F.col("high")).alias("x")).collect()
+    assert [r["x"] for r in got] == [r[4] for r in rows]
+
+
+def plain_positions(values):
+    """Plotting positions straight from their definition, for (value, censored) pairs."""
+    limits = sorted({v for v, c in values if c})
+    seen = sorted(v for v, c in values if not c)
+    share = [0.0] * (len(limits) + 1) + [1.0]
+    for j in range(len(limits), 0, -1):
+        top = limits[j] if j < len(limits) else math.inf
+        a = sum(limits[j - 1] <= v < top for v in seen)
+        b = sum(v < limits[j - 1] for v in seen) + sum(c and v <= limits[j - 1] for v, c in values)
+        share[j] = share[j + 1] * b / (a + b)
+    out = []
+    for j in range(len(limits) + 1):
+        own = [v for v in seen if (j == 0 or v >= limits[j - 1]) and (j == len(limits) or v < limits[j])]
+        out += [(v, True, share[j] + (share[j + 1] - share[j]) * k / (len(own) + 1)) for k, v in enumerate(own, 1)]
+    for j, limit in enumerate(limits, 1):
+        n = sum(c and v == limit for v, c in values)
+        out += [(limit, False, share[j] * k / (n + 1)) for k in range(1, n + 1)]
+    return sorted(out)
+
+
+def test_plotting_positions(spark):
+    rnd = random.Random(6)
+    values = [(float(rnd.randint(1, 12)), rnd.random() < 0.4) for _ in range(80)]
+    got = C.plotting_positions(spark.createDataFrame([("g", *v) for v in values], "v string, x double, slot boolean"), "v", "x", "slot").collect()
+    want = plain_positions(values)
+    assert [r[:2] for r in sorted((r["v"], r["seen"], r["position"]) for r in got)] == [w[:2] for w in want]
+    assert all(math.isclose(a[2], b[2], abs_tol=1e-12) for a, b in zip(sorted((r["v"], r["seen"], r["position"]) for r in got), want))
+
+
+def test_order_statistics_equal_sorting(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGES", 8)
+    rnd = random.Random(7)
+    rows = [(g, rnd.choice([rnd.random(), 0.0, 1.0, 0.5, rnd.random() / 1000])) for g in "abc" for _ in range(rnd.randint(5, 120))]
+    df = spark.createDataFrame(rows, "g string, score double")
+    for alpha in (0.1, 0.25, 0.5):
+        got = {r["g"]: r["cutoff"] for r in R.kth_score(df, alpha, ["g"]).collect()}
+        for g in "abc":
+            own = sorted(s for k, s in rows if k == g)
+            k = math.ceil((len(own) + 1) * (1 - alpha) - 1e-9)
+            assert got[g] == (1.0 if k > len(own) or len(own) < math.ceil(1 / alpha) else own[k - 1])
+        every = sorted(s for _, s in rows)
+        assert R.kth_score(df, alpha).first()["cutoff"] == every[math.ceil((len(every) + 1) * (1 - alpha) - 1e-9) - 1]
+
+
+def test_overrides(spark):
+    base = [("drinking", None, "Nitrate", "mg/L", [50.0]), ("drinking", None, "pH", "pH", [6.5, 9.5])]
+    schema = "regime string, country string, parameter string, unit string, values array<double>"
+    good = spark.createDataFrame([("surface", "IT", "Nitrate", "mg/L", [5.0], "law"), ("drinking", None, "pH", "pH", [7.0, 9.0], "own")], schema + ", source string")
+    got = {(r["regime"], r["parameter"]): (r["values"], r["basis"]) for r in I.overlay_limits(spark.createDataFrame(base, schema), good).collect()}
+    assert got == {("drinking", "Nitrate"): ([50.0], None), ("drinking", "pH"): ([7.0, 9.0], "override: own"), ("surface", "Nitrate"): ([5.0], "override: law")}
+    with pytest.raises(ValueError, match="1 overrides"):
+        I.overlay_limits(spark.createDataFrame(base, schema), good.withColumn("unit", F.when(F.col("parameter") == "pH", "pH").otherwise("ug/L")))
+    with pytest.raises(ValueError, match="2 stand"):
+        I.overlay_limits(spark.createDataFrame(base, schema), good.union(good))
+
+
+def test_oxygen_is_judged_by_saturation(spark, tmp_path):
+    import json
+
+    def obs(i, code, value, unit, site="R", when="2020-05", **more):
+        q = {"value": value, "code": unit, "system": "http://unitsofmeasure.org"} | more
+        return {"id": i, "resourceType": "Observation", "status": "final", "meta": {"profile": ["http://x/observation-indicators-guide"]}, "code": {"coding": [{"code": code}]}, "subject": {"reference": f"Location/{site}"}, "effectiveDateTime": when, "valueQuantity": q}
+
+    rows = [
+        obs("a", "dissolved-oxygen", 9.0, "mg/L"), obs("b", "water-temperature", 20.0, "Cel"), obs("c", "dissolved-oxygen", 9.0, "mg/L", when="2020-06"), obs("d", "dissolved-oxygen", 9.0, "mg/L", when="2020-07"), obs("e", "water-temperature", 10.0, "Cel", when="2020-07"),
+        obs("f", "water-temperature", 12.0, "Cel", when="2020-07"), obs("g", "dissolved-oxygen", 9.0, "mg/L", when="2020-08"), obs("h", "water-temperature", 60.0, "Cel", when="2020-08"), obs("i", "dissolved-oxygen", 9.0, "mg/L", comparator="<"), obs("j", "cadmium-dissolved", 1.0, "ug/L"),
+        obs("k", "ph", 15.0, "pH"), obs("l", "nitrate", 1.0, "kg"), obs("m", "nitrate", 1.0, "mg/L", comparator="<"), obs("n", "dissolved-oxygen", 9.0, "mg/L", site="D"),
+    ]
+    for r in rows:
+        (tmp_path / f"{r['id']}.json").write_text(json.dumps(r))
+    df = readers.read_observations(spark, f"file://{tmp_path}/*.json")
+    river = [{"coding": [{"code": "420531007"}]}]
+    places = spark.createDataFrame([("R", "n", "x (IT)", river, None, None), ("D", "n", "x (IT)", None, None, None)], readers.LOCATION)
+    scores, counts = I.site_index(df, places)
+    assert {r["reason"]: (r["n"], r["n_by_bound"]) for r in counts.collect()} == {
+        "scored": (3, 1), "interpretive-only": (4, 0), "no-temperature-for-saturation": (1, 0), "ambiguous-temperature-for-saturation": (1, 0), "unusable-temperature-for-saturation": (1, 0), "indeterminate": (1, 0),
+        "surface-limit-needs-hardness": (1, 0), "physically-impossible": (1, 0), "unit-mismatch": (1, 0),
+    }
+    by = {r["site"]: r for r in scores.collect()}
+    assert (by["R"]["n_tests"], by["R"]["regime"], by["R"]["country"], by["R"]["n_excluded"], by["R"]["n_scorable"]) == (2, "surface", "IT", 5, 8)
+    assert by["R"]["confidence"] == "low" and (by["D"]["regime"], by["D"]["n_tests"]) == ("drinking", 1)
+
+
+def test_reference_types(spark):
+    cases = {"Location/1": "Location", "https://x.org/fhir/Location/1/_history/2": "Location", "urn:uuid:1": None, "#here": None, "Location": None, "x.org/Patient/7?a=b/c": "Patient"}
+    got = spark.createDataFrame([(c,) for c in cases], "r string").select("r", G.reference_type(F.col("r")).alias("t")).collect()
+    assert {r["r"]: r["t"] for r in got} == cases
+
+
+def test_confusion_distance_and_runs(spark):
+    ann = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "x", "b")], "spec int, observer string, label string")
+    truth = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "spec int, class string")
+    cm = {(r["class"], r["label"]): r["p"] for r in R.confusion(ann, truth, classes=["a", "b"]).collect()}
+    assert cm == {("a", "a"): 0.5, ("a", "b"): 0.5, ("b", "a"): 0.0, ("b", "b"): 1.0}
+    exact = spark.createDataFrame([("x", "a", "a", 1.0), ("x", "b", "b", 1.0)], "observer string, class string, label string, p double")
+    assert R.confusion_distance(R.confusion(ann, truth), exact).first()["distance"] == pytest.approx(math.sqrt(0.5))
+    runs = R.over_runs(spark.createDataFrame([(1, 0.5, 0.25), (2, 1.0, 1.0)], "run int, a double, b double"), ["a"], "a", "b").first()
+    assert (runs["a_mean"], runs["a_std"], runs["win_fraction"], runs["n_runs"]) == (0.75, 0.25, 0.5, 2)
