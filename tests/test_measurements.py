@@ -91,8 +91,11 @@ def test_pairing_and_change(spark):
     wide = P.site_windows(cells(spark, *rows), ("a", 2014 * 12, 2014 * 12 + 11), ("b", 2016 * 12, 2016 * 12 + 11))
     paired = P.pair_sites(wide)
     assert {r["site_id"]: r["reason"] for r in paired.collect()} == {"A": None, "B": None, "C": "insufficient-samples", "D": "absent-in-period-b"}
-    r = P.compare_country(paired, ["determinand"], F.lit("mg/L")).collect()[0]
-    assert (r["n_paired"], r["n_increased"], r["n_unchanged"], r["mean_a"], r["mean_b"], r["median_relative_percent"], r["flags"]) == (2, 1, 1, 3.0, 4.0, 50.0, "few-sites")
+    a, b = ("a", 2014 * 12, 2014 * 12 + 11), ("b", 2016 * 12, 2016 * 12 + 11)
+    r = P.compare_country(paired, ["determinand"], a, b, F.lit("mg/L"), F.col("site_id") == "A", F.lit(3.0), F.lit(False)).collect()[0]
+    assert (r["n_considered"], r["n_excluded"], r["n_months_a"], r["n_months_b"], r["n_rivers_judged"], r["n_rivers_over_a"], r["n_rivers_over_b"], r["river_limit"]) == (4, 2, 3, 3, 1, 0, 1, 3.0)
+    assert r["status"] == "ok" and {"few-sites", "partial-period"} <= set(r["flags"].split(",")) and "periods-overlap" not in r["flags"]
+    assert (r["n_paired"], r["n_increased"], r["n_unchanged"], r["mean_a"], r["mean_b"], r["median_relative_percent"], r["flags"]) == (2, 1, 1, 3.0, 4.0, 50.0, "few-sites,partial-period")
 
 
 @pytest.mark.parametrize("a, b, unit, note, direction", [(1.0, 2.0, "mg/L", None, "increased"), (0.0, 2.0, "mg/L", "baseline-zero", "increased"), (None, 2.0, "x", "baseline-missing", None), (1.0, None, "x", "comparison-missing", None), (7.0, 6.0, "pH", "interval-scale", "decreased"), (1.0, 1.0000001, "x", None, "no-change")])
