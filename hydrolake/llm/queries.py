@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrolake.llm import bpe_automaton, decontaminate, language_id, pii_pseudonyms, secret_scan, sharding, simhash, simhash_dedup, toxicity, warc
+from hydrolake.llm import bpe_automaton, collocations, decontaminate, language_id, lattice_lm, pii_pseudonyms, resampling, secret_scan, sharding, simhash, simhash_dedup, toxicity, warc
 from hydrolake.llm.common import read_table, shared_table, spread
 
 
@@ -82,7 +82,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = (op1_simhash, op2_sharding, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_toxicity, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of every language."""
+    return collocations.mine(spread(read_table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rank in a draw towards the benchmark's texts."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return resampling.resample(docs, read_table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document, learned from nine of ten folds."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held = (language_id.fold(F.col("doc_id"), 10) == 0).alias("held")
+    return lattice_lm.score(docs, held, lattice_lm.Pieces.load(tokenizer_path("piece_bpe_32k.model")))
+
+
+QUERIES = (op1_simhash, op2_sharding, op3_decontaminate, op4_secret_scan, op5_simhash_dedup, op6_toxicity, op7_bpe_automaton, op8_language_id, op9_pii_pseudonyms, op10_warc, op11_collocations, op12_resampling, op13_lattice_lm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle("documents", "doc_id", "text"), "op3_decontaminate": decontaminate.oracle()}
+    return {"op2_sharding": sharding.oracle("documents", "doc_id", "text"), "op3_decontaminate": decontaminate.oracle(), "op11_collocations": collocations.oracle()}
