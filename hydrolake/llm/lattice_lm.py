@@ -7,10 +7,11 @@ document's is the product over its words and the end.
 
 Pieces begin with the scores of the vocabulary's file. Where these are ranks of merges, a rank r counts
 as the weight 1 / (r + `RANK_SHIFT`). They are then fitted to the training words by expected counts over
-all segmentations (`ROUNDS` passes over the distinct words, each weighted by its count), with `PRIOR`
-pseudo-counts shared out by the file's scores. The whole-word arc has the discounted relative frequency
-(c - d) / N, and the paths of pieces share what the discount leaves, d V / N. So tokens have
-probabilities that add up to 1 at most.
+all segmentations (`ROUNDS` passes over the distinct words), with `PRIOR` pseudo-counts shared out by the
+file's scores. The whole-word arc has the discounted relative frequency (c - d) / N, and the paths of
+pieces share what the discount leaves, d V / N; that is d for each distinct word, so each counts once in
+the fit. d is n1 / (n1 + 2 n2) from the words seen once and twice. So tokens have probabilities that add
+up to 1 at most.
 
 Documents are packed in blocks of some tokens: a block has a row with the numbers of its tokens, and a row for each of
 its distinct words. Counts and word probabilities go to the blocks by joins of these words, never a
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from hydrolake.llm.common import shared_table
 
-#: Weight of a vocabulary's ranks, pseudo-counts, passes of the fit, discount of word counts, added count of the base line.
-RANK_SHIFT, PRIOR, ROUNDS, DISCOUNT, ADDED = 100, 1000.0, 2, 0.75, 0.1
+#: Weight of a vocabulary's ranks, pseudo-counts, passes of the fit, added count of the base line.
+RANK_SHIFT, PRIOR, ROUNDS, ADDED = 100, 100.0, 2, 0.1
 #: Tokens of a block, bytes of a text read at once, most frequent words that are broadcast.
 BLOCK, CHUNK, HEAVY = 1_000_000, 1 << 20, 65_536
 SPACE = "▁"
@@ -253,18 +254,18 @@ class _Numbers(dict):
 
 
 def fit(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
-    """The pieces fitted to words and their counts (word, c; the empty word is the end)."""
+    """The pieces fitted to distinct words (the empty word is the end)."""
     model = pieces
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], now: Pieces = model) -> Iterator[pa.RecordBatch]:
             found: dict[str, float] = {}
             for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    now.expected(word, c, found)
+                for word in batch.column(0).to_pylist():
+                    now.expected(word, 1.0, found)
             yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "n"])
 
-        summed = words.select("word", "c").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        summed = words.select("word").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         model = pieces.with_counts({r["piece"]: r["n"] for r in summed.collect()})  # a row a piece of the vocabulary at most
     return model
 
@@ -274,18 +275,19 @@ def score(docs: DataFrame, held: Column, pieces: Pieces, block: int = BLOCK, rou
     table = shared_table(blocks_of(docs, held, block), "blocks")
     blocks, pairs = table.filter(F.col("tokens").isNotNull()), table.filter(F.col("word").isNotNull()).select("block", "at", "word", "c")
     counted = shared_table(pairs.groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    total, distinct = counted.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, once, twice = counted.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = once / (once + 2 * twice) if once and twice else 0.5
     model = fit(counted.filter("c > 0"), pieces, rounds)
     base_down = math.log10(total + ADDED * (distinct + 1))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = DISCOUNT * distinct / total if total else 1.0
+        left = discount * distinct / total if total else 1.0
         for batch in batches:
             rows = []
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 inner = math.log(left) + model.forward(word)
                 if c:
-                    own = math.log((c - DISCOUNT) / total)
+                    own = math.log((c - discount) / total)
                     inner = max(inner, own) + math.log1p(math.exp(-abs(inner - own)))
                 rows.append((word, c, math.log10(c + ADDED) - base_down, inner / math.log(10)))
             if rows:
