@@ -2,8 +2,10 @@
 
 A found value is validated (check digit, calendar, numbering rules), written as a number below the
 size N of its format's domain, and permuted within 0..N-1 by a keyed Feistel network: halves of base
-ceil(sqrt(N)), rounds of keyed BLAKE2b, and walking along the cycle until the result is below N. The
-result is written back in the same format, so it is again a valid value, separators and length stay,
+ceil(sqrt(N)), rounds of keyed BLAKE2b, and walking along the cycle until the result is below N. Values
+of more than `LONG` characters are cut into blocks, and each block is permuted in two passes, forth and
+back, under a key of its number and all blocks before it in the pass, so every character bears on every
+other. The result is written back in the same format, so it is again a valid value, separators and length stay,
 and equal values get equal pseudonyms in every document. With the key the step can be undone.
 
 Cases: null texts stay null; empty texts and texts without values stay as they are; values that fail
@@ -31,6 +33,8 @@ from pyspark.sql.types import LongType, StructType
 from hydrolake.llm.common import map_rows
 
 ROUNDS = 8
+#: Characters that are permuted as one number, and those of a block of a longer value.
+LONG, BLOCK = 48, 32
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
 #: Kinds that are counted as another.
 COUNTED = {"abroad": "phone"}
@@ -116,9 +120,28 @@ class Pseudonyms:
         self.known: dict[tuple[str, str], str | None] = {}
 
     def _digits(self, kind: str, digits: list[int], radices: list[int]) -> list[int]:
+        if len(digits) > LONG:
+            return self._blocks(kind, digits, radices)
         n = math.prod(radices)
         return _unmixed(self.feistel.permute(kind, n, _mixed(digits, radices), self.back), radices)
 
+    def _blocks(self, kind: str, digits: list[int], radices: list[int]) -> list[int]:
+        """A long value: blocks of even length, permuted one after the other, first forth and then back (undone: the reverse)."""
+        count = -(-len(digits) // BLOCK)
+        cuts = [k * len(digits) // count for k in range(count + 1)]
+        spans = list(zip(cuts, cuts[1:]))
+        digits = list(digits)
+        for sweep in (1, 0) if self.back else (0, 1):
+            # The chain is over permuted blocks, which both directions know.
+            chain = hashlib.blake2b(f"{kind}:{sweep}:{len(digits)}".encode(), digest_size=16)
+            for k in range(count) if sweep == 0 else range(count - 1, -1, -1):
+                a, b = spans[k]
+                n, x = math.prod(radices[a:b]), _mixed(digits[a:b], radices[a:b])
+                new = self.feistel.permute(f"{kind}:{sweep}:{k}:{chain.hexdigest()}", n, x, self.back)
+                chain.update(f"{x if self.back else new},".encode())
+                digits[a:b] = _unmixed(new, radices[a:b])
+        return digits
+
     def card(self, value: str) -> str | None:
         digits = re.sub(r"\D", "", value)
         if luhn(digits) or len(set(digits)) == 1:

@@ -23,6 +23,7 @@ component of them alone has a null id, and ids may be any longs; other columns a
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -297,46 +298,60 @@ def _between(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return gathered.mapInArrow(run, "u long, v long")
 
 
-def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): texts whose sets of shingles of five words have a Jaccard likeness of 0.8 or more, linked transitively.
-
-    Texts that share a band are candidates and are verified by their whole sets: first each member of a band
-    against the band's smallest, then, in bands whose members are still in different components, those members
-    among each other in cells.
-    """
+def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tk, part) for each row: its id, the hash of its text, and its component of like texts."""
     rows = cut(sketches(docs, id_col, text_col))
-    known = rows.filter("n > 0").groupBy("key").agg(F.min("tk").alias("tk"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
-    index = known.select("key", "tk", "n", F.explode("bands").alias("band"))
+    # Of all copies of a text one row, named by its hash and that of its id, stands for them.
+    one = F.min(F.struct("tk", F.xxhash64("id").alias("ik"))).alias("one")
+    known = rows.filter("n > 0").groupBy("key").agg(one, F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    index = known.select("key", "one", "n", F.explode("bands").alias("band"))
     shared = index.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
     members = cut(index.join(shared, "band"))
-    wanted = members.select("key", "tk").distinct()
-    own = docs.select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")).join(wanted, "tk")
+    wanted = members.select("key", "one.tk", "one.ik").distinct()
+    own = docs.select(F.xxhash64(text_col).alias("tk"), F.xxhash64(id_col).alias("ik"), F.col(text_col).alias("text")).join(wanted, ["tk", "ik"])
     sets = cut(_sets(own.groupBy("key").agg(F.first("text").alias("text"))))
     sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
-    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized).distinct()
+    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv"))
+    stars = stars.filter("u <> v").filter(sized).distinct()
     first = cut(_alike(stars, sets))
     parts = connected_components(first)
-    placed = cut(members.join(parts, members["key"] == parts["node"], "left").select("band", "key", "n", F.coalesce("component", "key").alias("part")))
+    placed = members.join(parts, members["key"] == parts["node"], "left")
+    placed = cut(placed.select("band", "key", "n", F.coalesce("component", "key").alias("part")))
     parts = connected_components(first.unionByName(_between(placed, sets)))
-    named = spread_join(rows, parts.withColumnRenamed("node", "key"), "key", "id", "left").select("id", F.coalesce("component", "key").alias("part"))
+    named = spread_join(rows, parts.withColumnRenamed("node", "key"), "key", "id", "left")
+    return named.select("id", "tk", F.coalesce("component", "key").alias("part"))
+
+
+def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): texts whose sets of shingles of five words have a Jaccard likeness of 0.8 or more, linked transitively.
+
+    Texts that share a band are candidates and are verified by their whole sets: first each member of a band
+    against the band's smallest, then, in bands whose members are still in different components, those members
+    among each other in cells.
+    """
+    named = _parts(docs, id_col, text_col)
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
-    return spread_join(named, least, "part", "id").select(F.col("id").alias(id_col), "component_id")
+    return spread_join(named.drop("tk"), least, "part", "id").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with one document of each of the `like_groups`: that with the smallest id. Rows without an id are kept.
+    """The rows of `docs` with one document of each of the `like_groups`: that with the smallest id (and hash of its text).
 
-    Rows that repeat the kept id are reduced to one of them, that with the smallest text.
+    Rows are dropped, not ids: rows of one id with unlike texts all stay. Of rows that repeat id and text one stays,
+    whichever has the other columns. Rows without an id are kept. Columns of any type and name pass.
     """
-    groups = like_groups(docs, id_col, text_col)
-    drop = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(drop, id_col, "left_anti").select(*docs.columns)
-    again = left.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    named = _parts(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    kept = named.groupBy("part").agg(F.min(F.struct("id", "tk")).alias("kept"))
+    mine = spread_join(named, kept, "part", "id")
+    other = mine.filter((F.col("kept.id") != F.col("id")) | (F.col("kept.tk") != F.col("tk"))).select("id", "tk").distinct()
+    own, tk = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "tk"))  # names that no column has
+    rows = docs.withColumns({own: F.col(id_col), tk: F.xxhash64(text_col)})
+    left = rows.join(other.toDF(own, tk), [own, tk], "left_anti")
+    again = left.filter(F.col(own).isNotNull()).groupBy(own, tk).count().filter("count > 1").select(own, tk)
     if again.isEmpty():
-        return left
-    rest = [c for c in docs.columns if c != id_col]
-    one = left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias("r"))
-    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(one.select(id_col, "r.*").select(*docs.columns))
+        return left.select(*docs.columns)
+    single = left.join(again, [own, tk], "left_anti")
+    return single.select(*docs.columns).unionByName(left.join(again, [own, tk], "left_semi").dropDuplicates([own, tk]).select(*docs.columns))
 
 
 def hex64(column: str):
