@@ -36,3 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back, so that later scans take only the columns they need."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
+from hydrolake.operators import exact
 
 KEY = ["country", "site_id", "category", "determinand", "matrix", "unit", "year", "month"]
 SERIES = ["determinand", "matrix"]
@@ -73,13 +71,21 @@ def kept(df: DataFrame, min_year: int = dims.MIN_YEAR) -> DataFrame:
     return typed.select(F.explode(F.when(reason.isNull(), F.array(F.struct(*columns)))).alias("r")).select("r.*")
 
 
-def monthly_cells(rows: DataFrame) -> DataFrame:
-    """Kept rows to cells: counts, sum, least and greatest of quantified values. One shuffle behind partial sums."""
+def monthly_cells(rows: DataFrame, exactly: bool = False) -> DataFrame:
+    """Kept rows to cells: counts, sum, least and greatest of quantified values. One shuffle behind partial sums.
+
+    With `exactly` the sums are correctly rounded, and so do not depend on the order of rows.
+    """
     q = F.col("value").isNotNull()
-    return rows.groupBy(*KEY).agg(
-        F.count_if(q).alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("sum_value"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.count_if("below_loq").alias("n_below_loq"), F.count_if("unreliable").alias("n_lower_reliability"),
-    )
+    counts = {"n": F.count_if(q), "n_below_loq": F.count_if("below_loq"), "n_lower_reliability": F.count_if("unreliable")}
+    ends = {"min": F.min("value"), "max": F.max("value")}
+    order = [*KEY, "n", "sum_value", "min", "max", "n_below_loq", "n_lower_reliability"]
+    if exactly:
+        more = {k: (c, F.sum) for k, c in counts.items()} | {k: (c, getattr(F, k)) for k, c in ends.items()}
+        cells = exact.exact_sum(rows, KEY, "value", "sum_value", **more).fillna(0.0, ["sum_value"])
+    else:
+        cells = rows.groupBy(*KEY).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("sum_value"), *[c.alias(k) for k, c in (counts | ends).items()])
+    return cells.select(*order)
 
 
 def with_pos(cells: DataFrame) -> DataFrame:
@@ -220,8 +226,33 @@ def unit_rules(weights: DataFrame) -> DataFrame:
     return w.withColumn("target", target).withColumn("factor", factor).select(*SERIES, "unit", "n_rows", "n_records", "target", "factor")
 
 
+#: Months in a word of a mask.
+WORD = 60
+
+
+def month_mask(pos: Column, some: Column, windows: list[tuple[str, int, int]], window: Column | None = None) -> list[Column]:
+    """Aggregates: the months of a window where `some` holds, as bits of as many longs as the longest window needs.
+
+    Masks of several rows are joined by `bit_or`, so a union needs no distinct. `window` is the label of a row's window;
+    without it there is one window.
+    """
+    first = F.lit(windows[0][1])
+    if window is not None:
+        for k, a, _ in windows[1:]:
+            first = F.when(window == k, a).otherwise(first)
+    at = pos - first
+    words = -(-max(b - a + 1 for _, a, b in windows) // WORD)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (at - k * WORD).cast("int"))
+    return [F.coalesce(F.bit_or(F.when(some & at.between(k * WORD, (k + 1) * WORD - 1), bit(k))), F.lit(0).cast("long")) for k in range(words)]
+
+
+def mask_size(mask: Column) -> Column:
+    """The months of a mask (an array of longs)."""
+    return F.aggregate(mask, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+
+
 def window_aggregate(cells: DataFrame, windows: list[tuple[str, int, int]], rules: DataFrame | None = None, by: tuple[str, ...] = ("site_id", "determinand", "matrix")) -> DataFrame:
-    """Per site, series and window (label, first, last month): counts, sum, extremes and months with values (`month_set`, `months`).
+    """Per site, series and window (label, first, last month): counts, sum, extremes and months with values (`month_mask`, `months`).
 
     Windows may overlap. A cell is dealt to its windows without a join. With `rules`, values are in
     the series' unit and cells of units without a factor are left out.
@@ -236,14 +267,16 @@ def window_aggregate(cells: DataFrame, windows: list[tuple[str, int, int]], rule
     label = F.explode(F.array_compact(F.array(*[F.when(F.col("pos").between(a, b), F.lit(k)) for k, a, b in windows])))
     some = F.col("n") > 0
     return rows.withColumn("window", label).groupBy(*by, "window").agg(
-        F.sum("n").alias("n"), F.sum("n_below_loq").alias("n_below_loq"), F.sum("n_lower_reliability").alias("n_lower_reliability"), F.sum(F.col("sum_value") * F.col("factor")).alias("total"),
-        F.min(F.when(some, F.col("min") * F.col("factor"))).alias("low"), F.max(F.when(some, F.col("max") * F.col("factor"))).alias("high"), F.array_sort(F.collect_set(F.when(some, F.col("pos")))).alias("month_set"),
-    ).withColumn("months", F.size("month_set").cast("long"))
+        F.sum("n").alias("n"), F.sum("n_below_loq").alias("n_below_loq"), F.sum("n_lower_reliability").alias("n_lower_reliability"),
+        F.sum(F.col("sum_value") * F.col("factor")).alias("total"), F.min(F.when(some, F.col("min") * F.col("factor"))).alias("low"),
+        F.max(F.when(some, F.col("max") * F.col("factor"))).alias("high"), F.array(*month_mask(F.col("pos"), some, windows, F.col("window"))).alias("month_mask"),
+    ).withColumn("months", mask_size(F.col("month_mask")))
 
 
 def months_union(cells: DataFrame, by: tuple[str, ...] = ("country", "determinand")) -> DataFrame:
-    """Months with values over all sites of a group."""
-    return with_pos(cells).filter("n > 0").groupBy(*by).agg(F.countDistinct("pos").alias("n_months"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    """Months with values over all sites of a group: bits of one bitmap (32,768 months), so no task sees a group's months apart."""
+    months = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("pos")))
+    return with_pos(cells).filter("n > 0").groupBy(*by).agg(months.alias("n_months"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def first_identity(cells: DataFrame, windows: list[tuple[str, int, int]]) -> DataFrame:
@@ -254,40 +287,5 @@ def first_identity(cells: DataFrame, windows: list[tuple[str, int, int]]) -> Dat
 
 
 def exact_sum(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Correctly rounded sums of doubles, null without values, the same in any order.
-
-    Blocks of rows are summed exactly as fractions kept in parts (Shewchuk), and the parts of a group,
-    a handful a task, are then added by math.fsum.
-    """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
-
-    def parts(values) -> list[float]:
-        kept: list[float] = []
-        for x in values:
-            i = 0
-            for y in kept:
-                if abs(x) < abs(y):
-                    x, y = y, x
-                high = x + y
-                low = y - (high - x)
-                if low:
-                    kept[i] = low
-                    i += 1
-                x = high
-            kept[i:] = [x]
-        return kept
-
-    def partial(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["__v"].notna()]
-            for key, own in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
-                found = parts(own["__v"].tolist())
-                yield pd.DataFrame({**{c: [k] * len(found) for c, k in zip(by, key)}, "part": found})
-
-    blocks = df.select(*by, F.col(value).cast("double").alias("__v")).mapInPandas(partial, (fields + ", " if fields else "") + "part double")
-
-    @F.pandas_udf("double")
-    def total(x: pd.Series) -> float:
-        return math.fsum(x)
-
-    return blocks.groupBy(*by).agg(total("part").alias("exact_sum"))
+    """Correctly rounded sums of doubles, null without values, the same in any order."""
+    return exact.exact_sum(df, by, value)

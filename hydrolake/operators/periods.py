@@ -15,15 +15,31 @@ Window = tuple[str, int, int]
 def site_windows(cells: DataFrame, a: Window, b: Window, rules: DataFrame | None = None) -> DataFrame:
     """One row per site and series with both periods' statistics side by side (suffixes _a and _b).
 
-    One shuffle: sums by (site, series, window) are of partial sums, and the two windows of a site are
-    brought together by the same leading keys. Means stay within [low, high].
+    One aggregation with conditions for each period, so one shuffle of partial sums. Means stay within [low, high].
+    `identity` is the country and category of the site's first cell inside the periods, by unit and month, also of
+    units without a factor; those cells count for nothing else.
     """
-    agg = M.window_aggregate(cells, [("a", *a[1:]), ("b", *b[1:])], rules)
-    mean = F.when(F.col("n") > 0, F.greatest(F.least(F.col("total") / F.col("n"), F.col("high")), F.col("low")))
-    stats = agg.withColumn("mean", mean).withColumn("records", F.col("n") + F.col("n_below_loq"))
-    pick = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c))).alias(f"{c}_{w}")
-    wide = stats.groupBy("site_id", *M.SERIES).agg(*[pick(w, c) for w in "ab" for c in ("n", "records", "n_below_loq", "mean", "low", "high", "months", "month_set")])
-    return wide.fillna(0, [f"{c}_{w}" for w in "ab" for c in ("n", "records", "n_below_loq", "months")])
+    windows = {"a": a, "b": b}
+    rows = M.with_pos(cells).filter(M._inside(F.col("pos"), [a, b]))
+    if rules is not None:
+        rows = rows.join(rules.select(*M.SERIES, "unit", "factor"), [*M.SERIES, "unit"], "left")
+    else:
+        rows = rows.withColumn("factor", F.lit(1.0))
+    some, known = F.col("n") > 0, F.col("factor").isNotNull()
+    aggregates = [F.min(F.struct("unit", "pos", "country", "category")).alias("identity")]
+    for w, (_, first, last) in windows.items():
+        inside = known & F.col("pos").between(first, last)
+        of = lambda c, inside=inside: F.when(inside, c)
+        aggregates += [
+            F.coalesce(F.sum(of(F.col("n"))), F.lit(0)).alias(f"n_{w}"), F.coalesce(F.sum(of(F.col("n_below_loq"))), F.lit(0)).alias(f"n_below_loq_{w}"),
+            F.sum(of(F.col("sum_value") * F.col("factor"))).alias(f"total_{w}"), F.min(F.when(inside & some, F.col("min") * F.col("factor"))).alias(f"low_{w}"),
+            F.max(F.when(inside & some, F.col("max") * F.col("factor"))).alias(f"high_{w}"), F.array(*M.month_mask(F.col("pos"), inside & some, [windows[w]])).alias(f"month_mask_{w}"),
+        ]
+    out = rows.groupBy("site_id", *M.SERIES).agg(*aggregates)
+    for w in windows:
+        mean = F.greatest(F.least(F.col(f"total_{w}") / F.col(f"n_{w}"), F.col(f"high_{w}")), F.col(f"low_{w}"))
+        out = out.withColumns({f"mean_{w}": F.when(F.col(f"n_{w}") > 0, mean), f"records_{w}": F.col(f"n_{w}") + F.col(f"n_below_loq_{w}"), f"months_{w}": M.mask_size(F.col(f"month_mask_{w}"))})
+    return out.drop("total_a", "total_b")
 
 
 def pair_reason(n_a: Column, records_a: Column, n_b: Column, records_b: Column, least: int) -> Column:
@@ -54,18 +70,11 @@ def compare_site(wide: DataFrame, a: Window, b: Window, unit: Column, limit: Col
     return out.withColumn("flags", F.array_join(named, ","))
 
 
-def _months_union(paired: DataFrame, by: list[str]) -> DataFrame:
-    """Months with values in each period over the paired sites of a group; distinct months are counted after partial sums."""
-    side = lambda w: F.transform(F.coalesce(f"month_set_{w}", F.array().cast("array<int>")), lambda m: F.struct(F.lit(w).alias("w"), m.alias("m")))
-    months = paired.filter("reason IS NULL").select(*by, F.explode(F.concat(side("a"), side("b"))).alias("x")).select(*by, "x.*").distinct()
-    return months.groupBy(*by).agg(*[F.count_if(F.col("w") == w).alias(f"n_months_{w}") for w in "ab"])
-
-
 def compare_country(paired: DataFrame, by: list[str], a: Window, b: Window, unit: Column, river: Column, limit: Column, is_lower: Column, data_range: DataFrame | None = None, few_sites: int = dims.FEW_SITES) -> DataFrame:
     """Paired sites of a group: mean of site means, its change, median of relative changes, directions, months, samples below the limit of quantification, and rivers over their limit.
 
-    `paired` is `pair_sites` with the columns `by` and those that `river` (the site is one) and `limit` (of a
-    river) read. Sites that are not paired count by their reason. `data_range` has (by, first_pos, last_pos):
+    `paired` is `pair_sites` with the columns `by` and those that `unit` (the same in a group), `river` (the site is
+    one) and `limit` (of a river) read. Months of the paired sites are joined bit by bit in the same aggregation. Sites that are not paired count by their reason. `data_range` has (by, first_pos, last_pos):
     where a group has none, there is no data for it.
     """
     ok = F.col("reason").isNull()
@@ -76,19 +85,22 @@ def compare_country(paired: DataFrame, by: list[str], a: Window, b: Window, unit
     count = lambda c, name: F.count_if(S.holds(c)).alias(name)
     total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
     share = lambda w: F.round(F.try_divide(total(f"n_below_loq_{w}").cast("double"), (total(f"n_{w}") + total(f"n_below_loq_{w}")).cast("double")), 6)
+    words = {w: -(-(p[2] - p[1] + 1) // M.WORD) for w, p in (("a", a), ("b", b))}
+    union = {w: F.array(*[F.coalesce(F.bit_or(F.when(ok, F.col(f"month_mask_{w}")[k])), F.lit(0).cast("long")) for k in range(n)]) for w, n in words.items()}
     agg = rows.groupBy(*by).agg(
+        F.max(unit).alias("__unit"), *[M.mask_size(union[w]).alias(f"n_months_{w}") for w in "ab"],
         F.count("*").alias("n_considered"), count(ok, "n_paired"), count(F.col("reason") == "absent-in-period-a", "n_absent_a"), count(F.col("reason") == "absent-in-period-b", "n_absent_b"), count(F.col("reason") == "insufficient-samples", "n_insufficient"),
         F.avg(F.when(ok, F.col("mean_a"))).alias("mean_a"), F.avg(F.when(ok, F.col("mean_b"))).alias("mean_b"), F.round(F.median(F.when(ok, F.col("own_relative"))), dims.PERCENT_DECIMALS).alias("median_relative_percent"),
         count(ok & (F.col("own_direction") == "increased"), "n_increased"), count(ok & (F.col("own_direction") == "decreased"), "n_decreased"), count(ok & (F.col("own_direction") == "no-change"), "n_unchanged"),
         count(ok & F.col("own_relative").isNull(), "n_undefined"), *[total(f"n_{w}").alias(f"n_samples_{w}") for w in "ab"], *[total(f"n_below_loq_{w}").alias(f"n_below_loq_{w}") for w in "ab"], *[share(w).alias(f"below_loq_share_{w}") for w in "ab"],
         count(judged, "n_rivers_judged"), count(over["a"], "n_rivers_over_a"), count(over["b"], "n_rivers_over_b"), F.max(limit).alias("river_limit"),
     )
-    out = _null_safe_left(agg, _months_union(paired, by), by).fillna(0, ["n_months_a", "n_months_b"])
+    out = agg
     if data_range is not None:
         out = _null_safe_left(out, data_range.select(*by, "first_pos", "last_pos"), by)
     else:
         out = out.withColumns({"first_pos": F.lit(a[1]), "last_pos": F.lit(b[2])})
-    out = out.withColumns(S.change(F.col("mean_a"), F.col("mean_b"), unit))
+    out = out.withColumns(S.change(F.col("mean_a"), F.col("mean_b"), F.col("__unit"))).drop("__unit")
     note, of = F.col("relative_percent_note"), {"a": a, "b": b}
     either = lambda c: c("a") | c("b")
     named = S.flags(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
+from hydrolake.operators.measurements import WORD, mask_size, month_mask
 
 KINDS = {"Q": "quantified", "C": "confirmed", "D": "below detection", "M": "missing", "U": "unknown status", "I": "not a count"}
 STATUSES = {"confirmedValue": "C", "limitOfDetectionValue": "D", "missingValue": "M"}
@@ -94,12 +95,6 @@ def window_scan(rows: DataFrame, windows: list[tuple[str, int, int]]) -> DataFra
     return deal(rows, windows).groupBy("country", "bw_id", "indicator", "window").agg(F.count("*").alias("n_rows"), F.count("q").alias("n"), F.sum("q").alias("total"), F.min("q").alias("low"), F.max("q").alias("high"), months.alias("months"), F.median("q").alias("median"), *_kinds())
 
 
-def quantified_months(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The months (country, bw_id, indicator, pos) with quantified samples and the first and last one of `by`."""
-    months = long(rows).filter("q IS NOT NULL").select("country", "bw_id", "indicator", "pos").distinct()
-    return months.join(months.groupBy(*by).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")), by)
-
-
 def site_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bw_id").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.min("season").alias("first_season"), F.max("season").alias("last_season"))
 
@@ -136,43 +131,56 @@ def _changes(df: DataFrame) -> DataFrame:
     return df.withColumns(S.change(F.col("mean_a"), F.col("mean_b"), F.lit("count"))).withColumns({f"median_{k}": c for k, c in medians.items()})
 
 
-def compare(rows: DataFrame, a: tuple[str, int, int], b: tuple[str, int, int], least: int = dims.MIN_SAMPLES) -> DataFrame:
-    """Per water and indicator: both periods' samples by kind, means, medians and extremes, their changes, status, why it is not paired, and flags."""
+def compare(rows: DataFrame, a: tuple[str, int, int], b: tuple[str, int, int], least: int = dims.MIN_SAMPLES, everywhere: bool = False) -> DataFrame:
+    """Per water and indicator: both periods' samples by kind, means, medians and extremes, their changes, status, why it is not paired, and flags.
+
+    One aggregation with conditions for each period. With `everywhere` waters without samples in a period stand
+    there too, and all have their first and last month with values and each period's months as bits.
+    """
     from hydrolake.operators.periods import pair_reason
 
-    scan = window_scan(rows, [("a", *a[1:]), ("b", *b[1:])])
-    pick = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c))).alias(f"{c}_{w}")
-    counts = ("n", "n_rows", "months", *COUNTED)
     key = ["country", "bw_id", "indicator"]
-    wide = scan.withColumn("mean", F.try_divide("total", F.col("n").cast("double"))).groupBy(*key).agg(*[pick(w, c) for w in "ab" for c in (*counts, "mean", "median", "low", "high")]).fillna(0, [f"{c}_{w}" for w in "ab" for c in counts])
-    data = long(rows).filter("q IS NOT NULL").groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    out = _changes(wide.join(data, key, "left"))
+    pos, q, kind = F.col("pos"), F.col("q"), F.col("kind")
+    aggregates = [F.min(F.when(q.isNotNull(), pos)).alias("first_pos"), F.max(F.when(q.isNotNull(), pos)).alias("last_pos")]
+    for w, period in (("a", a), ("b", b)):
+        inside = pos.between(*period[1:])
+        own = F.when(inside, q)
+        aggregates += [
+            F.count(own).alias(f"n_{w}"), F.count_if(inside).alias(f"n_rows_{w}"), F.array(*month_mask(pos, inside & q.isNotNull(), [period])).alias(f"month_mask_{w}"),
+            *[F.count_if(inside & kind.isin(*k)).alias(f"{c}_{w}") for c, k in COUNTED.items()],
+            F.avg(own).alias(f"mean_{w}"), F.median(own).alias(f"median_{w}"), F.min(own).alias(f"low_{w}"), F.max(own).alias(f"high_{w}"),
+        ]
+    wide = long(rows).groupBy(*key).agg(*aggregates)
+    if not everywhere:
+        wide = wide.filter("n_rows_a + n_rows_b > 0")
+    out = _changes(wide.withColumns({f"months_{w}": mask_size(F.col(f"month_mask_{w}")) for w in "ab"}))
     reason = pair_reason(F.col("n_a"), F.col("n_a"), F.col("n_b"), F.col("n_b"), least)
     out = out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("insufficient-data"))
-    return _with_flags(out, a, b, "months").drop("first_pos", "last_pos")
+    out = _with_flags(out, a, b, "months")
+    return out if everywhere else out.drop("first_pos", "last_pos", "month_mask_a", "month_mask_b")
 
 
-def compare_country(compared: DataFrame, months: DataFrame, by: list[str], a: tuple[str, int, int], b: tuple[str, int, int], few_sites: int = dims.FEW_SITES) -> DataFrame:
+def compare_country(compared: DataFrame, by: list[str], a: tuple[str, int, int], b: tuple[str, int, int], few_sites: int = dims.FEW_SITES) -> DataFrame:
     """Paired waters of a group: mean of means, median of medians, their changes, directions, months, samples by kind of all waters, and flags.
 
-    `compared` is `compare`'s result and `months` that of `quantified_months` by the same columns.
+    `compared` is `compare`'s result `everywhere`. One aggregation; the paired waters' months are joined bit by bit.
     """
     ok = F.col("reason").isNull()
     some = (F.col("n_a") > 0) | (F.col("n_b") > 0)
     relative = F.when(F.round("mean_a", dims.DECIMALS) != 0, 100 * F.try_divide(F.col("mean_b") - F.col("mean_a"), F.abs("mean_a")))
     count = lambda c, name: F.count_if(S.holds(c)).alias(name)
     own = lambda c: F.when(ok, F.col(c))
+    words = {w: -(-(p[2] - p[1] + 1) // WORD) for w, p in (("a", a), ("b", b))}
+    union = {w: F.array(*[F.coalesce(F.bit_or(own(f"month_mask_{w}")[k]), F.lit(0).cast("long")) for k in range(n)]) for w, n in words.items()}
+    seen = F.col("n_rows_a") + F.col("n_rows_b") > 0
     agg = compared.withColumn("own", F.when(ok, relative)).groupBy(*by).agg(
         count(some, "n_considered"), count(ok, "n_paired"), count((F.col("reason") == "absent-in-period-a") & some, "n_absent_a"), count(F.col("reason") == "absent-in-period-b", "n_absent_b"), count(F.col("reason") == "insufficient-samples", "n_insufficient"),
         F.avg(own("mean_a")).alias("mean_a"), F.avg(own("mean_b")).alias("mean_b"), F.median(own("median_a")).alias("median_a"), F.median(own("median_b")).alias("median_b"), F.round(F.median("own"), dims.PERCENT_DECIMALS).alias("median_site_relative_percent"),
         count(ok & (F.col("direction") == "increased"), "n_increased"), count(ok & (F.col("direction") == "decreased"), "n_decreased"), count(ok & (F.col("direction") == "no-change"), "n_unchanged"), count(ok & F.col("own").isNull(), "n_undefined"),
         *[F.coalesce(F.sum(own(f"n_{w}")), F.lit(0)).alias(f"n_samples_{w}") for w in "ab"], *[F.sum(f"{c}_{w}").alias(f"{c}_{w}") for w in "ab" for c in COUNTED],
+        *[mask_size(union[w]).alias(f"n_months_{w}") for w in "ab"], F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.count_if(seen).alias("__seen"),
     )
-    paired = compared.filter(ok).select("country", "bw_id", "indicator")
-    inside = {w: F.col("pos").between(p[1], p[2]) for w, p in (("a", a), ("b", b))}
-    union = months.join(paired, ["country", "bw_id", "indicator"], "left_semi").select(*by, "pos").distinct().groupBy(*by).agg(*[F.count_if(inside[w]).alias(f"n_months_{w}") for w in "ab"])
-    data = months.groupBy(*by).agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"))
-    out = _changes(agg.join(union, by, "left").join(data, by, "left").fillna(0, ["n_months_a", "n_months_b"]))
+    out = _changes(agg.filter("__seen > 0").drop("__seen"))
     out = _with_flags(out, a, b, "n_months", few_sites=(F.col("n_paired") > 0) & (F.col("n_paired") < few_sites)).drop("flags_a", "flags_b", "first_pos", "last_pos")
     out = out.withColumn("n_excluded", F.col("n_considered") - F.col("n_paired")).withColumn("status", F.when(F.col("n_paired") > 0, "ok").otherwise("insufficient-data"))
     return out.withColumn("mean_a", F.round("mean_a", 6)).withColumn("mean_b", F.round("mean_b", 6))
@@ -184,11 +192,24 @@ def link(waters: DataFrame, samples: DataFrame) -> DataFrame:
     return waters.join(s, "bw_id", "full_outer").withColumn("has_samples", F.coalesce("has_samples", F.lit(False)))
 
 
-def page_chain(pages: DataFrame) -> DataFrame:
-    """Pages with `valid`: seq without gaps, after_uid the last page's last_uid, last row the last_uid; false from the first bad page on."""
-    w = W.partitionBy("prefix").orderBy("seq")
-    good = (F.col("seq") == F.row_number().over(w) - 1) & F.col("after_uid").eqNullSafe(F.lag("last_uid").over(w)) & (F.element_at("uids", -1) == F.col("last_uid"))
-    return pages.withColumn("good", S.holds(good)).withColumn("valid", F.min("good").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("good")
+def page_chain(pages: DataFrame, first: int = 0, start: int | None = None) -> DataFrame:
+    """Pages with `valid`: false from the first bad page of a prefix on.
+
+    The page `first` follows the row `start`, every other one the last row of the page before it, which an equi-join
+    finds; a page that is missing, stands there twice, is empty or ends with another row than it says is bad. No task
+    reads a chain in order: the first bad place is a minimum.
+    """
+    begins = F.col("seq") == first
+    ends = pages.groupBy("prefix", (F.col("seq") + 1).alias("seq")).agg(F.max("last_uid").alias("__before"), F.lit(True).alias("__any"))
+    twice = pages.groupBy("prefix", "seq").agg((F.count("*") > 1).alias("__twice"))
+    linked = pages.join(ends, ["prefix", "seq"], "left").join(twice, ["prefix", "seq"])
+    follows = F.when(begins, F.col("after_uid").eqNullSafe(F.lit(start))).otherwise(S.holds(F.col("__any")) & F.col("after_uid").eqNullSafe(F.col("__before")))
+    grows = F.col("after_uid").isNull() | (F.col("last_uid") > F.col("after_uid"))
+    good = S.holds((F.col("seq") >= first) & follows & grows & (F.size("uids") > 0) & (F.get("uids", F.size("uids") - 1) == F.col("last_uid"))) & ~F.col("__twice")
+    judged = linked.withColumn("__good", good)
+    bad = judged.filter(~F.col("__good")).groupBy("prefix").agg(F.min("seq").alias("__bad"))
+    out = judged.join(bad, "prefix", "left").withColumn("valid", F.col("__bad").isNull() | (F.col("seq") < F.col("__bad")))
+    return out.select(*pages.columns, "valid")
 
 
 def view(rows: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hydrolake.functions import scalars as S
 from hydrolake.operators import bathing as B
 from hydrolake.operators import samples as X
+from hydrolake.operators.lineage import shared_path
 from hydrolake.plans.registry import Tables, query
 from hydrolake.plans.views import COUNTRY_SQL, select
+from hydrolake.sources import readers
 
 CLASSES = [
     "CASE WHEN o_orderkey % 53 = 0 THEN 'FR' WHEN o_custkey % 3 = 0 THEN 'IT' WHEN o_custkey % 3 = 1 THEN 'EL' WHEN o_orderkey % 31 = 0 THEN 'IT' ELSE 'NO' END AS country_code",
@@ -43,6 +45,38 @@ def s3_read_classifications(t: Tables):
     return classes(t)
 
 
+@query(f"WITH {CLEAN} SELECT * FROM clean")
+def s3_classification_files(t: Tables):
+    """The rows land as CSV under their thirteen names once, and are read by their header."""
+    path = shared_path(t.spark, "classifications")
+    raw = t.view("orders", CLASSES).select(*[F.col(v).alias(k) for k, v in readers.CLASSIFICATION_NAMES.items()])
+    raw.select(*reversed(raw.columns)).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return B.clean(readers.read_classifications(t.spark, path))
+
+
+PAGES = ["CASE event_id % 3 WHEN 0 THEN 'IT' WHEN 1 THEN 'GR' ELSE 'NO' END AS prefix", "event_id + 1 AS uid", "CAST(floor(event_id / 3000) AS INT) + 1 AS seq", "value", "event_type", "user_id", "ts"]
+
+
+@query(f"""WITH raw AS {select(PAGES, "events")}
+SELECT prefix, seq, count(*) AS n, min(uid) AS first_uid, max(uid) AS last_uid, count(*) FILTER (WHERE event_type = 'error') AS n_limits, count(DISTINCT user_id) AS n_waters FROM raw WHERE prefix <> 'NO' OR seq < 3 GROUP BY 1, 2""")
+def s4_page_files(t: Tables):
+    """Pages land as files; of one prefix the third page has a wrong link, so it and all behind it are left."""
+    raw = t.view("events", PAGES)
+    row = F.struct(
+        F.col("uid").alias("UID"), F.date_format("ts", "yyyy").alias("season"), F.concat("prefix", F.col("user_id").cast("string")).alias("bathingWaterIdentifier"), F.date_format("ts", "yyyy-MM-dd").alias("sampleDate"),
+        F.floor("value").cast("string").alias("escherichiaColiValue"), F.when(F.col("event_type") == "error", "limitOfDetectionValue").alias("escherichiaColiStatus"),
+    )
+    pages = raw.groupBy("prefix", "seq").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("uid").alias("last_uid"))
+    before = pages.select("prefix", (F.col("seq") + 1).alias("seq"), F.col("last_uid").alias("after_uid"))
+    wrong = (F.col("prefix") == "NO") & (F.col("seq") == 3)
+    linked = pages.join(before, ["prefix", "seq"], "left").withColumn("after_uid", F.coalesce("after_uid", F.lit(0)) - wrong.cast("int"))
+    path = shared_path(t.spark, "pages")
+    linked.select(F.lit(1).alias("format"), "*", F.col("prefix").alias("p"), F.col("seq").alias("s")).repartition("p", "s").write.partitionBy("p", "s").json(path)
+    expected = raw.filter("prefix <> 'NO'").groupBy("prefix").agg(F.count("*").alias("n"))
+    rows = readers.samples_of(X.page_chain(readers.read_sample_pages(t.spark, path), 1, 0), expected)
+    return rows.groupBy("prefix", "seq").agg(F.count("*").alias("n"), F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid"), F.count_if(F.col("ec_status") == "limitOfDetectionValue").alias("n_limits"), F.countDistinct("bw_id").alias("n_waters"))
+
+
 @query(f"WITH {CLEAN}, c AS (SELECT bw_id, season, count(*) AS n_rows, count(DISTINCT (country, quality, calendar, management)) AS n_variants FROM (SELECT *, min(country) OVER (PARTITION BY bw_id) AS own FROM clean WHERE reason IS NULL) WHERE country = own GROUP BY 1, 2) SELECT d.* EXCLUDE (k), n_rows, n_variants FROM deduped d JOIN c USING (bw_id, season)")
 def w2_dedupe_site_season(t: Tables):
     return deduped(t)
@@ -223,8 +257,7 @@ g AS (SELECT country, indicator, count(*) FILTER (WHERE n_a > 0 OR n_b > 0) AS n
 h AS (SELECT g.*, coalesce(n_months_a, 0) AS n_months_a, coalesce(n_months_b, 0) AS n_months_b, first_pos, last_pos, {_change("ma", "mb")}, {_change("median_a", "median_b", "median_")} FROM g LEFT JOIN mm USING (country, indicator) LEFT JOIN dr USING (country, indicator))
 SELECT * EXCLUDE (ma, mb, first_pos, last_pos), round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, n_considered - n_paired AS n_excluded, CASE WHEN n_paired > 0 THEN 'ok' ELSE 'insufficient-data' END AS status, array_to_string(list_sort(list_distinct({_list(_country_side("a", A))} || {_list(_country_side("b", B2))} || {_list(TOP_FLAGS + ", CASE WHEN n_paired BETWEEN 1 AND 4 THEN 'few-sites' END")})), ',') AS flags FROM h""")
 def a21_compare_samples_country(t: Tables):
-    rows = kept(t)
-    return X.compare_country(X.compare(rows, A, B2), X.quantified_months(rows, ["country", "indicator"]), ["country", "indicator"], A, B2)
+    return X.compare_country(X.compare(kept(t), A, B2, everywhere=True), ["country", "indicator"], A, B2)
 
 
 @query(f"WITH {SAMPLED}, k AS (SELECT bw_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date, min(season) AS first_season, max(season) AS last_season FROM kept GROUP BY 1), w AS (SELECT DISTINCT 'IT' || CAST(o_custkey AS STRING) AS bw_id, 'IT' AS own FROM orders WHERE o_custkey % 4 = 0) SELECT bw_id, own, n, first_date, last_date, first_season, last_season, k.n IS NOT NULL AS has_samples FROM w FULL JOIN k USING (bw_id)", dates=("first_date", "last_date"))

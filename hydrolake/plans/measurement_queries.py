@@ -9,7 +9,7 @@ from hydrolake.functions import scalars as S
 from hydrolake.operators import index as I
 from hydrolake.operators import measurements as M
 from hydrolake.operators import periods as P
-from hydrolake.operators.lineage import cut, shared_path
+from hydrolake.operators.lineage import shared_path, table
 from hydrolake.plans import views as V
 from hydrolake.plans.registry import Tables, query
 from hydrolake.sources import readers, writers
@@ -37,9 +37,17 @@ def change_sql(a: str, b: str, unit: str) -> str:
   CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN round({a}, 6) = round({b}, 6) THEN 'no-change' WHEN {b} > {a} THEN 'increased' ELSE 'decreased' END AS direction"""
 
 
+# A sum of whole multiples of 2 ** -60 is exact; its nearest double is the first guess plus what that leaves.
+SIXTY = 1 << 60
+
+
+def exact_sql(value: str, where: str, by: str, source: str) -> str:
+    return f"SELECT {by}, g + (h - CAST(g * {SIXTY}.0 AS HUGEINT))::DOUBLE / {SIXTY}.0 AS exact_sum FROM (SELECT *, h::DOUBLE / {SIXTY}.0 AS g FROM (SELECT {by}, sum(CAST({value} * {SIXTY}.0 AS HUGEINT))::HUGEINT AS h FROM {source} WHERE {where} GROUP BY {by}))"
+
+
 def cells_once(t: Tables):
     """Cells that a query reads twice: written down instead of made twice."""
-    return cut(cells(t))
+    return table(cells(t), "cells")
 
 
 def cells(t: Tables):
@@ -79,6 +87,13 @@ def a1_monthly_cells(t: Tables):
     return cells(t)
 
 
+@query(f"""WITH {V.CELLS}, x AS ({exact_sql("value", "reason IS NULL", ", ".join(M.KEY), "reasoned")})
+SELECT {", ".join("c." + k for k in M.KEY)}, n, coalesce(exact_sum, 0.0) AS sum_value, min, max, n_below_loq, n_lower_reliability FROM cells c JOIN x ON {" AND ".join(f"c.{k} IS NOT DISTINCT FROM x.{k}" for k in M.KEY)}""")
+def a1_exact_cells(t: Tables):
+    """Cells whose sums are correctly rounded."""
+    return M.monthly_cells(M.kept(V.measurements(t), V.MIN_YEAR), exactly=True)
+
+
 @query(f"WITH {V.CELLS} SELECT country, site_id, category, determinand, matrix, unit, year, sum(n)::BIGINT AS n, round(sum(sum_value) / nullif(sum(n), 0), 6) AS mean, min(min) AS min, max(max) AS max, sum(n_below_loq)::BIGINT AS n_below_loq FROM cells GROUP BY ALL")
 def a2_annual_series(t: Tables):
     return M.annual_series(cells(t))
@@ -124,12 +139,18 @@ def a6_unit_rules(t: Tables):
 @query(f'WITH {WINDOWED} SELECT site_id, determinand, matrix, "window", n, n_below_loq, n_lower_reliability, round(total, 6) AS total, round(low, 6) AS low, round(high, 6) AS high, months FROM agg')
 def a7_window_aggregate(t: Tables):
     own = cells_once(t)
-    return M.window_aggregate(own, [V.A, V.B], rules(t, own)).withColumns({c: F.round(c, 6) for c in ("total", "low", "high")}).drop("month_set")
+    return M.window_aggregate(own, [V.A, V.B], rules(t, own)).withColumns({c: F.round(c, 6) for c in ("total", "low", "high")}).drop("month_mask")
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS exact_sum FROM lineitem GROUP BY 1")
+@query(exact_sql("l_extendedprice", "true", "l_returnflag", "lineitem"))
 def a8_exact_sum(t: Tables):
-    return M.exact_sum(t.lineitem, ["l_returnflag"], "l_extendedprice").withColumn("exact_sum", F.round("exact_sum", 2))
+    return M.exact_sum(t.lineitem, ["l_returnflag"], "l_extendedprice")
+
+
+@query(exact_sql("l_extendedprice * (1 - l_discount)", "l_orderkey % 3 > 0", "l_suppkey", "lineitem"))
+def a8_exact_sum_of_products(t: Tables):
+    rows = t.view("lineitem", ["l_suppkey", "l_extendedprice * (1 - l_discount) AS v"], "l_orderkey % 3 > 0")
+    return M.exact_sum(rows, ["l_suppkey"], "v")
 
 
 @query(f"WITH {V.CELLS} SELECT country, determinand, count(DISTINCT pos) AS n_months, min(pos) AS first_pos, max(pos) AS last_pos FROM cells WHERE n > 0 GROUP BY 1, 2")
@@ -209,14 +230,12 @@ def a19_compare_country(t: Tables):
     own = cells_once(t)
     key = ["country", *M.SERIES]
     named = M.mapped(P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))).withColumnRenamed("reason", "pair_reason")).drop("reason").withColumnRenamed("pair_reason", "reason")
-    placed = named.join(M.first_identity(own, [V.A, V.B]), ["site_id", *M.SERIES])
+    placed = named.withColumns({"country": F.col("identity.country"), "category": F.col("identity.category")})
     asked = placed.withColumns({"parameter": F.col("mapped_name"), "regime": F.lit("surface"), "at": S.month_text(F.lit(V.B[2]))})
     none = t.spark.createDataFrame([], "parameter string, effective_from string, dated_value double")
     limited = I.resolve_limits(asked, none).join(F.broadcast(dims.parameters(t.spark).select(F.col("parameter"), F.col("unit").alias("own_unit"))), "parameter", "left")
-    data = M.with_pos(own).groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")).withColumn("own_unit", F.lit(None).cast("string"))
-    units = limited.select(*key, "own_unit").distinct()
-    data = data.drop("own_unit").join(units, key)
-    return P.compare_country(limited, [*key, "own_unit"], V.A, V.B, F.col("own_unit"), F.col("category") == "RW", F.col("limit_value"), F.col("is_lower"), data).drop("own_unit").withColumn("river_limit", F.round("river_limit", 9))
+    data = M.with_pos(own).groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return P.compare_country(limited, key, V.A, V.B, F.col("own_unit"), F.col("category") == "RW", F.col("limit_value"), F.col("is_lower"), data).withColumn("river_limit", F.round("river_limit", 9))
 
 
 @query(f"WITH {RULED}, {FIRST} SELECT * FROM f")
@@ -278,6 +297,13 @@ def s7_provenance(t: Tables):
     return per.select("country", F.explode(F.create_map(F.lit("records"), F.col("records").cast("string"), F.lit("cells"), F.col("cells").cast("string"))).alias("key", "value"))
 
 
+@query(f"""WITH {V.TYPED}, c AS (SELECT coalesce(reason, 'kept') AS k, count(*) AS n FROM reasoned GROUP BY 1)
+SELECT 'counters' AS key, '{{' || string_agg(printf('"%s":%d', k, n), ',' ORDER BY k) || '}}' AS value FROM c UNION ALL SELECT * FROM (VALUES ('edition', '1'), ('min_year', '{V.MIN_YEAR}'))""")
+def s7_provenance_table(t: Tables):
+    """Settings and drop counters of a build, as the writer keeps them beside a store."""
+    return writers.provenance(M.drop_reason(V.measurements(t), V.MIN_YEAR), edition="1", min_year=str(V.MIN_YEAR))
+
+
 @query(f"WITH {V.SITES_SQL} SELECT country, site_id, coalesce(name, site_id) AS name, lat, lon, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 'located' ELSE 'no-location' END AS location_status FROM sites")
 def p16_site_view(t: Tables):
     return M.site_view(sites(t))

@@ -33,25 +33,40 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, SITE_COLUMNS).withColumn("input_order", F.monotonically_increasing_id())
 
 
+#: The bathing operators' names of the columns of a classification file.
+CLASSIFICATION_NAMES = dict(zip(CLASSIFICATION_COLUMNS, ("country_code", "bw_id", "group_id", "name", "type", "constraint", "lon", "lat", "profile", "season", "quality", "calendar", "management")))
+
+
 def read_classifications(spark: SparkSession, path: str) -> DataFrame:
-    """Thirteen columns under the names that the bathing operators use."""
+    """All thirteen columns, under the names that the bathing operators use."""
     c = _csv(spark, path, CLASSIFICATION_COLUMNS)
-    return c.select(F.col("countryCode").alias("country_code"), F.col("bathingWaterIdentifier").alias("bw_id"), F.col("bathingWaterName").alias("name"), "season", "quality", F.col("monitoringCalendar").alias("calendar"), "management", "lat", "lon", F.col("bwProfile").alias("profile"))
+    return c.select(*[F.col(k).alias(v) for k, v in CLASSIFICATION_NAMES.items()])
 
 
 def read_sample_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page files with `uids`, for the chain's check."""
-    return spark.read.schema(PAGE).option("multiLine", True).json(path).withColumn("uids", F.transform("rows", lambda r: r["UID"]))
+    """Page files, one page a file in any folder below `path`, with `uids` for the chain's check.
+
+    A file that is no page has nulls in all columns and so breaks the chain at its place.
+    """
+    pages = spark.read.schema(PAGE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return pages.withColumn("uids", F.transform("rows", lambda r: r["UID"]))
+
+
+#: Columns of a page's rows by the names that the sample operators use.
+SAMPLE_NAMES = {
+    "UID": "uid", "season": "season", "bathingWaterIdentifier": "bw_id", "sampleDate": "sample_date",
+    "escherichiaColiValue": "ec_value", "escherichiaColiStatus": "ec_status",
+    "intestinalEnterococciValue": "ie_value", "intestinalEnterococciStatus": "ie_status",
+}
 
 
 def samples_of(pages: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Raw sample rows of valid pages; raises if a prefix has not the expected (prefix, n) rows."""
-    rows = pages.filter("valid").select("prefix", "seq", F.posexplode("rows").alias("place", "r")).select(
-        "prefix", "seq", "place", F.col("r.UID").alias("uid"), "r.season", F.col("r.bathingWaterIdentifier").alias("bw_id"), F.col("r.sampleDate").alias("sample_date"), F.col("r.escherichiaColiValue").alias("ec_value"),
-        F.col("r.escherichiaColiStatus").alias("ec_status"), F.col("r.intestinalEnterococciValue").alias("ie_value"), F.col("r.intestinalEnterococciStatus").alias("ie_status"), F.coalesce("r.hasRemarks", F.lit(0)).alias("has_remarks"),
-    )
+    each = pages.filter("valid").select("prefix", "seq", F.posexplode("rows").alias("place", "r"))
+    own = [F.col(f"r.{k}").alias(v) for k, v in SAMPLE_NAMES.items()]
+    rows = each.select("prefix", "seq", "place", *own, F.coalesce("r.hasRemarks", F.lit(0)).alias("has_remarks"))
     if expected is not None:
-        got = rows.groupBy("prefix").agg(F.count("*").alias("got"))
+        got = pages.filter("valid").groupBy("prefix").agg(F.sum(F.size("rows")).alias("got"))
         wrong = expected.join(got, "prefix", "left").filter(F.coalesce("got", F.lit(0)) != F.col("n")).limit(5).collect()
         if wrong:
             raise ValueError(f"rows and count differ: {[r['prefix'] for r in wrong]}")
