@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
+from hydrolake.operators import limits as limits_
 from hydrolake.operators.lineage import cut
 
 VETO = 1.0
@@ -39,53 +40,13 @@ def veto(tests: DataFrame, by: str = "site") -> DataFrame:
     return out.withColumn("eclipsed", (F.col("veto_parameters") != "") & F.col("class").isin(*ECLIPSABLE))
 
 
-def resolve_limits(rows: DataFrame, dated: DataFrame) -> DataFrame:
-    """`rows` (parameter, regime, country, at) with `limit_value` and `is_lower`.
+def resolve_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """`rows` (parameter, regime, country, at) with the limit in force of a table of limits (see `limits.resolve`)."""
+    return limits_.resolve(rows, limits)
 
-    Rivers: none where hardness decides, else national, else the EU surface value, else the drinking
-    one. Drinking: the latest dated value in force, else the default. All limit tables are dimensions
-    whose rows are counted in tens and are broadcast; `dated` is (parameter, effective_from, dated_value).
-    """
-    spark = rows.sparkSession
-    base = F.broadcast(dims.parameters(spark).select("parameter", F.col("limit_value").alias("base"), "is_lower"))
-    surface = dims.surface_limits(spark)
-    eu = F.broadcast(surface.filter("country IS NULL").select("parameter", F.col("limit_value").alias("eu")))
-    national = F.broadcast(surface.filter("country IS NOT NULL").select("country", "parameter", F.col("limit_value").alias("national")))
-    steps = F.broadcast(dated.groupBy("parameter").agg(F.collect_list(F.struct("effective_from", "dated_value")).alias("steps")))
-    out = rows.join(base, "parameter", "left").join(eu, "parameter", "left").join(national, ["country", "parameter"], "left").join(steps, "parameter", "left")
-    in_force = F.array_max(F.filter("steps", lambda s: s["effective_from"] <= F.col("at")))["dated_value"]
-    river = F.when(~F.col("parameter").isin(*dims.NEEDS_HARDNESS), F.coalesce("national", "eu", "base"))
-    limit = F.when(F.col("regime") == "surface", river).otherwise(F.coalesce(in_force, "base"))
-    return out.withColumn("limit_value", limit).drop("base", "eu", "national", "steps")
-
-
-def limit_basis(parameter: Column, regime: Column, country: Column) -> Column:
-    """Where a limit comes from."""
-    national = F.lit(False)
-    for c, own in dims.NATIONAL_LIMITS.items():
-        national = national | ((country == c) & parameter.isin(*own))
-    kind = F.when(parameter.isin(*dims.DRINKING_LEGAL), "legal").when(parameter.isin(*dims.DRINKING_INDICATOR), "legal indicator").otherwise("convention")
-    river = F.when(S.holds(national), "national").when(parameter.isin(*dims.SURFACE_LIMITS), "legal").when(parameter.isin(*dims.NEEDS_HARDNESS), "not scored: hardness")
-    return F.when(regime == "surface", F.coalesce(river, F.when(kind == "convention", kind).otherwise(F.concat(F.lit("proxy, "), kind)))).otherwise(kind)
-
-
-def check_overrides(overrides: DataFrame) -> DataFrame:
-    """Override rows (regime, country, parameter, unit, values array, source) with `problem`, the first rule that a row breaks, else null.
-
-    Regimes and parameters are the known ones, a country is of two letters and for rivers only, the unit is
-    exactly the parameter's, the values are one (two for a parameter with a range, in order), positive and
-    finite, and a source is named.
-    """
-    unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
-    wanted = F.when(F.col("parameter").isin(*dims.RANGES), 2).otherwise(1)
-    positive = F.forall("values", lambda v: S.holds(S.finite(v) > 0))
-    bad = lambda c, why: F.when(~S.holds(c), F.lit(why))
-    problem = F.coalesce(
-        bad(F.col("regime").isin("surface", "drinking"), "regime"), bad(unit.isNotNull(), "parameter"),
-        bad(F.col("country").isNull() | ((F.col("regime") == "surface") & F.col("country").rlike("^[A-Z]{2}$")), "country"), bad(F.col("unit") == unit, "unit"),
-        bad(F.size("values") == wanted, "number-of-values"), bad(positive, "value"), bad((wanted == 1) | (F.get("values", F.lit(0)) < F.get("values", F.lit(1))), "order-of-values"), bad(F.trim("source") != "", "source"),
-    )
-    return overrides.withColumn("problem", problem)
+
+limit_basis = limits_.basis
+check_overrides = limits_.check_overrides
 
 
 def overlay_limits(base: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -93,11 +54,8 @@ def overlay_limits(base: DataFrame, overrides: DataFrame) -> DataFrame:
 
     Raises, and changes nothing, if an override breaks a rule (see `check_overrides`) or stands twice.
     """
-    key = ["regime", "country", "parameter"]
-    wrong = check_overrides(overrides).filter("problem IS NOT NULL").count()
-    twice = overrides.groupBy(*key).count().filter("count > 1").count()
-    if wrong or twice:
-        raise ValueError(f"{wrong} overrides break a rule, {twice} stand more than once")
+    key = limits_.KEY
+    limits_.refuse_broken(overrides)
     b, o = base.select(*key, "unit", F.col("values").alias("base_values")), overrides.select(*key, "unit", F.col("values").alias("own"), "source")
     same = (b["regime"] == o["regime"]) & b["country"].eqNullSafe(o["country"]) & (b["parameter"] == o["parameter"])
     basis = F.when(F.col("own").isNotNull(), F.concat(F.lit("override: "), "source"))
@@ -208,7 +166,7 @@ def has_profile(profiles: Column, known: tuple[str, ...], guide: str = "[a-z0-9]
 
 
 #: A test of oxygen by how far its saturation is from 100 percent.
-SATURATION = "Dissolved oxygen saturation deviation"
+SATURATION = limits_.SATURATION
 #: Reasons that leave an observation out for its quality; a site where they are half of what could be scored is of low confidence.
 QUALITY = ("qc-inconsistent", "non-finite-value", "unit-mismatch", "physically-impossible", "no-temperature-for-saturation", "ambiguous-temperature-for-saturation", "unusable-temperature-for-saturation", "invalid-quantity")
 #: Reasons before a limit is known.
@@ -229,13 +187,17 @@ def with_period(obs: DataFrame) -> DataFrame:
     return out.withColumn("period", F.when(start.isNotNull() | end.isNotNull(), span).when(one.isNotNull(), instant)).drop("__start", "__end", "__one")
 
 
-def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] | None = None, regimes: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def site_index(
+    obs: DataFrame, locations: DataFrame, countries: dict[str, str] | None = None, regimes: dict[str, str] | None = None, limits: DataFrame | None = None, signatures: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The whole pass over nested observations: (a row for each site, observations by outcome).
 
     Each observation gets one reason or is a test. In countries that judge oxygen by saturation, an oxygen
     value of a river meets the temperature of its site and period, and its deviation is the test. Sites get
     index, veto and confidence; those without a test have none of them. `countries` and `regimes` override
-    what places say. Of outcomes, `n_by_bound` counts tests that a censored value passes.
+    what places say, and `limits` (see `limits.with_overrides`) the fixed ones. With `signatures` (regime, country,
+    parameter, unit, values) a site also has `limit_basis`, the basis of each tested parameter and whether its limits
+    are signed. Of outcomes, `n_by_bound` counts tests that a censored value passes.
     """
     wanted = ["site", "period", "parameter", "quantity", "quantity_reason", "health", "water", "at"]
     rows = representative(obs).withColumn("parameter", match_parameter(F.col("code"))).withColumn("site", F.regexp_extract(F.col("subject.reference"), r"([^/]+)$", 1))
@@ -245,8 +207,10 @@ def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] |
     places = location_country(locations.select("id", "description", F.regexp_extract(F.col("partOf.reference"), r"([^/]+)$", 1).alias("parent")), countries or {}).select(F.col("id").alias("site"), "country")
     types = locations.select(F.col("id").alias("site"), location_regime(F.col("id"), codes, regimes).alias("regime"))
     rows = rows.join(places, "site", "left").join(types, "site", "left").withColumn("regime", F.coalesce("regime", F.lit("drinking")))
-    dated = obs.sparkSession.createDataFrame([(p, d, v) for p, (d, v) in dims.DATED_LIMITS.items()], "parameter string, effective_from string, dated_value double")
-    rows = resolve_limits(rows, dated)
+    limits = limits_.limit_rows(obs.sparkSession) if limits is None else limits
+    deviations = limits.filter((F.col("parameter") == SATURATION) & (F.col("regime") == "surface") & F.col("country").isNotNull())
+    deviations = deviations.select("country", F.get("values", F.lit(0)).alias("allowed"))
+    rows = resolve_limits(rows, limits).join(deviations, "country", "left")
     raw, comparator = F.col("quantity.value"), F.coalesce("quantity.comparator", F.lit(""))
     unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
     # Temperatures and the tests read a row several times; what they read is narrow and is written down once.
@@ -255,11 +219,10 @@ def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] |
     fits = S.holds(~F.col("censored") & F.col("quantity_reason").isNull() & F.col("observed").between(0, 40))
     warm = rows.filter(kept & (F.col("parameter") == "Water temperature") & F.col("period").isNotNull()).groupBy("site", "period").agg(F.min(F.when(fits, F.col("observed"))).alias("least"), F.max(F.when(fits, F.col("observed"))).alias("most"), F.lit(True).alias("seen"))
     rows = rows.join(warm, ["site", "period"], "left")
-    allowed = S.lookup(F.col("country"), dims.SATURATION_COUNTRIES)
+    allowed = F.col("allowed")
     by_saturation = S.holds((F.col("parameter") == "Dissolved Oxygen") & (F.col("regime") == "surface") & allowed.isNotNull())
     two_sided = F.col("parameter").isin(*dims.RANGES)
-    low, high = (S.lookup(F.col("parameter"), {k: v[i] for k, v in dims.RANGES.items()}) for i in (0, 1))
-    bound = S.range_limit(F.col("observed"), low, high)
+    bound = S.range_limit(F.col("observed"), F.col("low_limit"), F.col("high_limit"))
     kind = F.when(~F.col("number"), "invalid").when((by_saturation | two_sided) & F.col("censored"), "indeterminate").when(by_saturation | two_sided, "exact").otherwise(S.classify_quantity(F.col("observed"), F.col("comparator"), F.col("limit_value"), F.col("is_lower")))
     temperature = F.when(F.col("seen").isNull(), "no-temperature-for-saturation").when(F.col("least").isNull(), "unusable-temperature-for-saturation").when(F.col("least") != F.col("most"), "ambiguous-temperature-for-saturation")
     possible = S.physically_possible(F.col("parameter"), F.col("observed"))
@@ -274,7 +237,7 @@ def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] |
     rows = cut(rows.select(
         "site", "country", "regime", F.when(by_saturation, SATURATION).otherwise(F.col("parameter")).alias("parameter"), F.when(by_saturation, deviation).otherwise(F.col("observed")).alias("observed"),
         F.when(by_saturation, allowed).when(two_sided, bound["limit_value"]).otherwise(F.col("limit_value")).alias("limit_value"), F.when(by_saturation, False).when(two_sided, bound["is_lower"]).otherwise(F.col("is_lower")).alias("is_lower"),
-        reason.alias("reason"), (kind == "pass-by-bound").alias("by_bound"),
+        reason.alias("reason"), (kind == "pass-by-bound").alias("by_bound"), F.when(~by_saturation, F.col("limit_source")).alias("limit_source"),
     ))
     scored_ = F.col("reason").isNull()
     counts = rows.groupBy(F.coalesce("reason", F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(scored_ & F.col("by_bound")).alias("n_by_bound"))
@@ -282,6 +245,27 @@ def site_index(obs: DataFrame, locations: DataFrame, countries: dict[str, str] |
     mapped = scored_ | ~F.col("reason").isin(*UNSCORABLE)
     sites = rows.filter(scored_ | ~F.col("reason").isin(*UNSCORABLE[:3])).groupBy("site").agg(F.first("country").alias("country"), F.first("regime").alias("regime"), F.count("*").alias("n_observations"), F.count_if(mapped).alias("n_scorable"), F.count_if(F.col("reason").isin(*QUALITY)).alias("n_excluded"))
     scores = sites.join(ccme_wqi(tests), "site", "left").join(veto(tests).drop("class"), "site", "left").fillna(0, ["n_parameters", "n_tests", "n_failed"])
+    if signatures is not None:
+        scores = scores.join(_bases(rows.filter(scored_), limits, signatures), "site", "left")
     share = F.coalesce(F.try_divide(F.col("n_excluded").cast("double"), F.col("n_scorable").cast("double")), F.lit(0.0))
     low_confidence = (F.col("n_parameters") < LEAST_PARAMETERS) | (share >= MOST_EXCLUDED)
     return scores.withColumn("excluded_share", F.round(share, 6)).withColumn("confidence", F.when(F.col("n_tests") > 0, F.when(low_confidence, "low").otherwise("normal"))), counts
+
+
+def _bases(tests: DataFrame, limits: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(site, limit_basis): parameter -> basis and verification of the limit that a site's tests were held against."""
+    units = {k: v[0] for k, v in dims.PARAMETERS.items()} | {SATURATION: "%"}
+    shown = limits.groupBy(*limits_.KEY).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("effective_from", F.lit("")).alias("d"), "values"))).alias("s"))
+    steps = F.flatten(F.transform("s", lambda x: x["values"]))
+    filled = lambda df: df.withColumn("country", F.coalesce("country", F.lit("")))
+    state = verification(filled(shown.select(*limits_.KEY, S.lookup(F.col("parameter"), units).alias("unit"), steps.alias("values"))), filled(signatures), limits_.KEY)
+    state = state.select(F.col("regime").alias("r"), F.col("country").alias("c"), "parameter", "verification")
+    used = tests.select("site", "regime", F.coalesce("country", F.lit("")).alias("country"), "parameter", "limit_source").distinct()
+    # The limit in force stands under the country, under all rivers or under drinking water, in that order.
+    river = F.col("regime") == "surface"
+    places = F.when(river, F.array(F.struct(F.lit(1).alias("k"), F.lit("surface").alias("r"), F.col("country").alias("c")), F.struct(F.lit(2).alias("k"), F.lit("surface").alias("r"), F.lit("").alias("c")), F.struct(F.lit(3).alias("k"), F.lit("drinking").alias("r"), F.lit("").alias("c"))))
+    places = places.otherwise(F.array(F.struct(F.lit(1).alias("k"), F.lit("drinking").alias("r"), F.lit("").alias("c"))))
+    asked = used.withColumn("p", F.explode(F.array_distinct(places))).select(*used.columns, "p.*").join(state, ["r", "c", "parameter"])
+    first = asked.groupBy(*used.columns).agg(F.min_by("verification", "k").alias("verification"))
+    text = F.concat(limit_basis(F.col("parameter"), F.col("regime"), F.nullif("country", F.lit("")), F.col("limit_source")), F.lit("; "), F.col("verification"))
+    return first.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter", text.alias("basis"))))).alias("limit_basis"))

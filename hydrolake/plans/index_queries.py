@@ -9,6 +9,7 @@ from hydrolake.functions import scalars as S
 from hydrolake.operators import censored as C
 from hydrolake.operators import ecology as E
 from hydrolake.operators import index as I
+from hydrolake.operators import limits as L
 from hydrolake.plans.registry import Tables, query
 from hydrolake.plans.views import EU, NATIONAL, PARAMETERS, select
 
@@ -49,8 +50,7 @@ RESOLVED = f"""resolved AS (SELECT p.*, par.is_lower, CASE WHEN regime = 'surfac
 
 
 def resolved(t: Tables):
-    dated = t.spark.createDataFrame(STEPS, "parameter string, effective_from string, dated_value double")
-    return I.resolve_limits(t.view("lineitem", PLACED), dated)
+    return L.resolve(t.view("lineitem", PLACED), L.limit_rows(t.spark, STEPS)).drop("low_limit", "high_limit", "limit_source")
 
 
 @query(f"WITH {RESOLVED} SELECT parameter, regime, country, is_lower, round(limit_value, 9) AS limit_value, count(*) AS n FROM resolved GROUP BY ALL")
@@ -90,15 +90,15 @@ OVER = "p_size > 20 AND p_brand < 'Brand#3'"
 
 
 def limits(t: Tables, where: str | None = None):
-    """A limit for each key, two values for pH."""
+    """A limit for each key, two values for pH in drinking water."""
     unit = S.lookup(F.col("parameter"), {k: v[0] for k, v in dims.PARAMETERS.items()})
     rows = t.view("part", BASE, where).groupBy("regime", "country", "parameter").agg(F.min("limit_value").alias("lo"), F.max("limit_value").alias("hi"))
-    values = F.when(F.col("parameter") == "pH", F.array("lo", F.col("hi") + 1)).otherwise(F.array("lo"))
+    values = F.when((F.col("parameter") == "pH") & (F.col("regime") == "drinking"), F.array("lo", F.col("hi") + 1)).otherwise(F.array("lo"))
     return rows.select("regime", "country", "parameter", unit.alias("unit"), values.alias("values"))
 
 
 def limits_sql(where: str | None = None) -> str:
-    return f"(SELECT regime, country, g.parameter, par.unit, CASE WHEN g.parameter = 'pH' THEN [lo, hi + 1] ELSE [lo] END AS values FROM (SELECT regime, country, parameter, min(limit_value) AS lo, max(limit_value) AS hi FROM {select(BASE, 'part', where)} GROUP BY 1, 2, 3) g LEFT JOIN {PARAMETERS} ON par.parameter = g.parameter)"
+    return f"(SELECT regime, country, g.parameter, par.unit, CASE WHEN g.parameter = 'pH' AND regime = 'drinking' THEN [lo, hi + 1] ELSE [lo] END AS values FROM (SELECT regime, country, parameter, min(limit_value) AS lo, max(limit_value) AS hi FROM {select(BASE, 'part', where)} GROUP BY 1, 2, 3) g LEFT JOIN {PARAMETERS} ON par.parameter = g.parameter)"
 
 
 @query(f"""WITH b AS {limits_sql()}, o AS {limits_sql(OVER)}
@@ -113,14 +113,62 @@ BROKEN = [
 ]
 
 
-@query(f"""WITH o AS (SELECT *, CASE WHEN parameter = 'pH' AND id % 5 > 0 OR id % 7 = 0 THEN [low, high] ELSE [low] END AS v, CASE WHEN parameter = 'pH' THEN 2 ELSE 1 END AS wanted FROM {select(BROKEN, "part")})
+@query(f"""WITH o AS (SELECT *, CASE WHEN parameter = 'pH' AND id % 5 > 0 OR id % 7 = 0 THEN [low, high] ELSE [low] END AS v, CASE WHEN regime = 'surface' THEN [1] WHEN parameter = 'pH' THEN [2] ELSE [1] END AS wanted FROM {select(BROKEN, "part")})
 SELECT CASE WHEN regime NOT IN ('surface', 'drinking') THEN 'regime' WHEN parameter NOT IN ('pH', 'Nitrate') THEN 'parameter' WHEN country IS NOT NULL AND NOT (regime = 'surface' AND regexp_matches(country, '^[A-Z]{{2}}$')) THEN 'country' WHEN unit <> CASE parameter WHEN 'pH' THEN 'pH' ELSE 'mg/L' END THEN 'unit'
-  WHEN len(v) <> wanted THEN 'number-of-values' WHEN len(list_filter(v, lambda x: x <= 0)) > 0 THEN 'value' WHEN wanted = 2 AND v[1] >= v[2] THEN 'order-of-values' WHEN trim(source) = '' THEN 'source' END AS problem, count(*) AS n FROM o GROUP BY 1""")
+  WHEN NOT list_contains(wanted, len(v)) THEN 'number-of-values' WHEN len(list_filter(v, lambda x: x <= 0)) > 0 THEN 'value' WHEN regime = 'drinking' AND len(v) = 2 AND v[1] >= v[2] THEN 'order-of-values' WHEN trim(source) = '' THEN 'source' END AS problem, count(*) AS n FROM o GROUP BY 1""")
 def j7_override_problems(t: Tables):
     rows = t.view("part", BROKEN).withColumn("values", F.when((F.col("parameter") == "pH") & (F.col("id") % 5 > 0) | (F.col("id") % 7 == 0), F.array("low", "high")).otherwise(F.array("low")))
     return I.check_overrides(rows).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+#: Overrides of a run: a national one, one of all rivers, two steps of a dated limit, a range.
+RUN = [
+    ("surface", "IT", "Nitrate", "mg/L", [20.0], "own study"), ("surface", None, "Lead dissolved", "ug/L", [30.0], "permit"),
+    ("drinking", None, "Lead dissolved", "ug/L", [45.0, 15.0], "plan"), ("drinking", None, "pH", "pH", [3.0, 44.0], "plant"), ("drinking", None, "Sulphate", "mg/L", [12.0], "plant"),
+]
+RUN_TEXT = "CASE WHEN regime = 'surface' THEN CASE WHEN country = 'IT' AND parameter = 'Nitrate' THEN 'own study' WHEN parameter = 'Lead dissolved' THEN 'permit' WHEN parameter IN ('pH', 'Sulphate') THEN 'plant (drinking-water value used on a river site)' END ELSE CASE parameter WHEN 'Lead dissolved' THEN 'plan' WHEN 'pH' THEN 'plant' WHEN 'Sulphate' THEN 'plant' END END"
+RUN_VALUE = "CASE WHEN regime = 'surface' THEN CASE WHEN country = 'IT' AND parameter = 'Nitrate' THEN 20.0 WHEN parameter = 'Lead dissolved' THEN 30.0 WHEN parameter = 'Sulphate' THEN 12.0 ELSE limit_value END ELSE CASE parameter WHEN 'Lead dissolved' THEN CASE WHEN plain.at >= '1996-01-01' THEN 15.0 ELSE 45.0 END WHEN 'Sulphate' THEN 12.0 ELSE limit_value END END"
+OVERRIDDEN = f"""plain AS (SELECT p.*, p.id % 200 AS site, par.is_lower, CASE WHEN regime = 'surface' THEN CASE WHEN p.parameter <> 'Cadmium dissolved' THEN coalesce(nat.value, eu.value, par.limit_value) END WHEN p.parameter = 'Lead dissolved' AND p.at >= '1996-01-01' THEN 5.0 ELSE par.limit_value END AS limit_value
+  FROM {select(PLACED, "lineitem")} p LEFT JOIN {PARAMETERS} ON par.parameter = p.parameter LEFT JOIN {NATIONAL} ON nat.country = p.country AND nat.parameter = p.parameter LEFT JOIN {EU} ON eu.parameter = p.parameter),
+both_ AS (SELECT *, {RUN_VALUE} AS new_value, {RUN_TEXT} AS limit_source FROM plain),
+sided AS (SELECT *, CASE WHEN parameter = 'pH' THEN CASE WHEN observed < 6.5 THEN 6.5 ELSE 9.5 END ELSE limit_value END AS v0, CASE WHEN parameter = 'pH' THEN observed < 6.5 ELSE is_lower END AS l0, CASE WHEN parameter = 'pH' THEN CASE WHEN observed < 3.0 THEN 3.0 ELSE 44.0 END ELSE new_value END AS v1, CASE WHEN parameter = 'pH' THEN observed < 3.0 ELSE is_lower END AS l1 FROM both_ WHERE limit_value IS NOT NULL)"""
+
+
+def _index_sql(k: int) -> str:
+    tests = f"(SELECT site, parameter, observed, v{k} AS limit_value, l{k} AS is_lower FROM sided)"
+    return SCORED.replace(select(TESTS, "lineitem"), tests).replace("scored", f"scored{k}").replace("FROM s)", f"FROM s{k})").replace("\ns AS", f"\ns{k} AS").replace("wqi AS (SELECT site", f"wqi{k} AS (SELECT site").replace("FROM wqi)", f"FROM wqi{k})").replace("classed AS", f"classed{k} AS")
+
+
+def overridden(t: Tables):
+    fixed = L.limit_rows(t.spark, [("Lead dissolved", "1996-01-01", 5.0)])
+    wanted = t.spark.createDataFrame(RUN, "regime string, country string, parameter string, unit string, values array<double>, source string")
+    rows = t.view("lineitem", PLACED).withColumn("site", F.col("id") % 200)
+    return rows, fixed, L.with_overrides(fixed, wanted)
+
+
+@query(f"""WITH {OVERRIDDEN}, {_index_sql(0)}, {_index_sql(1)} SELECT site, a.n_failed, b.n_failed AS n_failed_override, a.wqi, b.wqi AS wqi_override, b.class AS class_override FROM classed0 a JOIN classed1 b USING (site)""")
+def j7_overrides_change_index(t: Tables):
+    """Sites' indices under the fixed limits and under a run's overrides."""
+    rows, fixed, changed = overridden(t)
+
+    def index(limits):
+        found = L.resolve(rows, limits).filter("limit_value IS NOT NULL")
+        ranged = F.col("low_limit").isNotNull()
+        side = S.range_limit(F.col("observed"), F.col("low_limit"), F.col("high_limit"))
+        return I.ccme_wqi(found.withColumns({"limit_value": F.when(ranged, side["limit_value"]).otherwise(F.col("limit_value")), "is_lower": F.when(ranged, side["is_lower"]).otherwise(F.col("is_lower"))}))
+
+    new = index(changed).select("site", F.col("n_failed").alias("n_failed_override"), F.col("wqi").alias("wqi_override"), F.col("class").alias("class_override"))
+    return index(fixed).select("site", "n_failed", "wqi").join(new, "site")
+
+
+@query(f"WITH {OVERRIDDEN} SELECT parameter, regime, country, round(new_value, 9) AS limit_value, coalesce('override: ' || limit_source, {_basis()}) AS basis, count(*) AS n FROM both_ WHERE parameter <> 'pH' GROUP BY ALL")
+def f10_basis_of_overrides(t: Tables):
+    """What is shown as the basis of each limit in force under a run's overrides."""
+    rows, _, changed = overridden(t)
+    text = L.basis(F.col("parameter"), F.col("regime"), F.col("country"), F.col("limit_source"))
+    return L.resolve(rows, changed).filter("parameter <> 'pH'").groupBy("parameter", "regime", "country", F.round("limit_value", 9).alias("limit_value"), text.alias("basis")).agg(F.count("*").alias("n"))
+
+
 @query("""WITH a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN [p_retailprice, p_retailprice + 1] ELSE [p_retailprice] END AS v FROM part), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'g/L' ELSE 'mg/L' END AS unit, CASE WHEN p_partkey % 8 = 0 THEN [p_retailprice, p_retailprice + CASE WHEN p_size > 25 THEN 1 ELSE 1.1 END] WHEN p_size > 25 THEN [p_retailprice] ELSE [p_retailprice + 0.1] END AS v FROM part WHERE p_partkey % 3 <> 0)
 SELECT a.id, CASE WHEN b.id IS NULL THEN 'unverified' WHEN b.unit = 'mg/L' AND len(a.v) = len(b.v) AND len(list_filter(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]) > 1e-9)) = 0 THEN 'verified' ELSE 'stale' END AS verification FROM a LEFT JOIN b ON a.id = b.id""")
 def j8_verification_status(t: Tables):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hydrolake.functions import dims
 from hydrolake.functions import scalars as S
 from hydrolake.operators import index as I
+from hydrolake.operators import limits as L
 from hydrolake.operators import measurements as M
 from hydrolake.operators import periods as P
 from hydrolake.operators.lineage import shared_path, table
@@ -232,8 +233,7 @@ def a19_compare_country(t: Tables):
     named = M.mapped(P.pair_sites(P.site_windows(own, V.A, V.B, rules(t, own))).withColumnRenamed("reason", "pair_reason")).drop("reason").withColumnRenamed("pair_reason", "reason")
     placed = named.withColumns({"country": F.col("identity.country"), "category": F.col("identity.category")})
     asked = placed.withColumns({"parameter": F.col("mapped_name"), "regime": F.lit("surface"), "at": S.month_text(F.lit(V.B[2]))})
-    none = t.spark.createDataFrame([], "parameter string, effective_from string, dated_value double")
-    limited = I.resolve_limits(asked, none).join(F.broadcast(dims.parameters(t.spark).select(F.col("parameter"), F.col("unit").alias("own_unit"))), "parameter", "left")
+    limited = I.resolve_limits(asked, L.limit_rows(t.spark, [])).drop("low_limit", "high_limit", "limit_source").join(F.broadcast(dims.parameters(t.spark).select(F.col("parameter"), F.col("unit").alias("own_unit"))), "parameter", "left")
     data = M.with_pos(own).groupBy(*key).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     return P.compare_country(limited, key, V.A, V.B, F.col("own_unit"), F.col("category") == "RW", F.col("limit_value"), F.col("is_lower"), data).withColumn("river_limit", F.round("river_limit", 9))
 
