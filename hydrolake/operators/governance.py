@@ -19,16 +19,25 @@ def chain_hash(previous: Column, content: Column) -> Column:
 def verify_chain(events: DataFrame) -> DataFrame:
     """Per chain of (chain, seq, content, prev_hash, hash): ok, events checked before the first bad one, its seq.
 
-    Each link is checked by itself against the stored hash before it; rows without a hash are skipped,
-    and a chain whose head was pruned starts at its first prev_hash.
+    Each link is checked by itself: an equi-join on the stored hash finds the event before, which has a smaller
+    seq and of which this is the first follower. So no task reads a chain in order, and the first bad event is the
+    one that a walk would find. Rows without a hash are skipped, and a chain whose head was pruned starts at its
+    first prev_hash.
     """
-    w = W.partitionBy("chain").orderBy("seq")
-    rows = events.filter("hash IS NOT NULL").withColumn("before", F.lag("hash").over(w)).withColumn("place", F.row_number().over(w))
-    linked = (F.col("place") == 1) | F.col("prev_hash").eqNullSafe(F.col("before"))
-    good = S.holds(linked & (F.col("hash") == chain_hash(F.col("prev_hash"), F.col("content"))))
-    bad = F.min(F.when(~good, F.col("place")))
-    out = rows.groupBy("chain").agg(F.count("*").alias("n"), bad.alias("bad"), F.min(F.when(~good, F.col("seq"))).alias("first_bad"))
-    return out.select("chain", F.col("bad").isNull().alias("ok"), F.coalesce(F.col("bad").cast("long") - 1, F.col("n")).alias("checked"), "first_bad")
+    rows = events.filter("hash IS NOT NULL").select("chain", "seq", "content", "prev_hash", "hash")
+    heads = rows.groupBy("chain").agg(F.min("seq").alias("head"))
+    before = rows.groupBy("chain", F.col("hash").alias("prev_hash")).agg(F.min("seq").alias("before"))
+    followed = rows.filter("prev_hash IS NOT NULL").groupBy("chain", "prev_hash").agg(F.min("seq").alias("follower"))
+    links = before.join(followed, ["chain", "prev_hash"])
+    linked = S.holds((F.col("before") < F.col("seq")) & (F.col("follower") == F.col("seq")))
+    own = S.holds(F.col("hash") == chain_hash(F.col("prev_hash"), F.col("content")))
+    judged = rows.select("chain", "seq", "prev_hash", own.alias("own")).join(heads, "chain").join(links, ["chain", "prev_hash"], "left")
+    judged = judged.withColumn("good", F.col("own") & ((F.col("seq") == F.col("head")) | linked)).select("chain", "seq", "good")
+    bad = judged.groupBy("chain").agg(F.count("*").alias("n"), F.min(F.when(~F.col("good"), F.col("seq"))).alias("first_bad"))
+    sound = judged.join(bad.filter("first_bad IS NOT NULL").select("chain", "first_bad"), "chain").filter("seq < first_bad").groupBy("chain").agg(F.count("*").alias("sound"))
+    out = bad.join(sound, "chain", "left")
+    checked = F.when(F.col("first_bad").isNull(), F.col("n")).otherwise(F.coalesce("sound", F.lit(0)))
+    return out.select("chain", F.col("first_bad").isNull().alias("ok"), checked.alias("checked"), "first_bad")
 
 
 def append_chain(events: DataFrame) -> DataFrame:
@@ -77,14 +86,26 @@ def review_state(queue: DataFrame) -> DataFrame:
 def consent_active(records: DataFrame, consents: DataFrame) -> DataFrame:
     """Records (subject, scope, at) under a consent granted by then and not revoked; raises on revocations before grants.
 
-    An equi-join on subject and scope with the range beside it.
+    A sweep: grants open and revocations close, and a record is covered while more were opened than closed by then.
+    Running sums go over months first and over the events of a month after, so a subject with very many events is
+    spread over tasks by month, and the cost is that of ordering events, not of pairs.
     """
     if not consents.filter("revoked_at < granted_at").isEmpty():
         raise ValueError("a consent was revoked before it was granted")
-    c = consents.alias("c")
-    r = records.alias("r")
-    on = (F.col("r.subject") == F.col("c.subject")) & (F.col("r.scope") == F.col("c.scope")) & (F.col("c.granted_at") <= F.col("r.at")) & (F.col("c.revoked_at").isNull() | (F.col("r.at") < F.col("c.revoked_at")))
-    return r.join(c, on, "left_semi")
+    key = ["subject", "scope"]
+    event = lambda df, at, step, row: df.filter(F.col(at).isNotNull()).select(*key, F.col(at).cast("timestamp").alias("__at"), F.lit(step).cast("long").alias("__step"), row.alias("__row"))
+    row = F.struct(*records.columns)
+    none = F.lit(None).cast(records.select(row.alias("r")).schema["r"].dataType)
+    known = consents.filter("subject IS NOT NULL AND scope IS NOT NULL AND granted_at IS NOT NULL")
+    events = event(known, "granted_at", 1, none).unionByName(event(known, "revoked_at", -1, none)).unionByName(event(records, "at", 0, row))
+    events = events.withColumn("__month", F.date_trunc("month", "__at"))
+    months = events.groupBy(*key, "__month").agg(F.sum("__step").alias("__net"))
+    before = F.sum("__net").over(W.partitionBy(*key).orderBy("__month")) - F.col("__net")
+    opened = months.withColumn("__open", before).drop("__net")
+    # Of one instant, grants and revocations come before records.
+    within = W.partitionBy(*key, "__month").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = events.withColumn("__own", F.sum("__step").over(within)).join(opened, [*key, "__month"])
+    return placed.filter(F.col("__row").isNotNull() & (F.col("__open") + F.col("__own") > 0)).select("__row.*")
 
 
 def k_anonymity(df: DataFrame, quasi: list[str], k: int) -> DataFrame:

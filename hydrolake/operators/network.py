@@ -22,27 +22,70 @@ def assert_acyclic(edges: DataFrame) -> None:
         raise ValueError("the network has a cycle")
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    """Links (node, next, km) to each node's last `next` that has no link itself, and the way there, by pointer doubling.
+
+    The rounds are the logarithm of the longest chain; chains that never end are cycles.
+    """
+    now = cut(links)
+    most = now.count().bit_length() + 1
+    for _ in range(most):
+        ahead = now.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("km").alias("__km"))
+        step = now.join(ahead, "next", "left")
+        grown = F.col("__next").isNotNull()
+        now = cut(step.select("node", F.coalesce("__next", "next").alias("next"), (F.col("km") + F.coalesce("__km", F.lit(0.0))).alias("km"), grown.alias("grown")))
+        if now.filter("grown").isEmpty():
+            return now.drop("grown")
+        now = now.drop("grown")
+    raise ValueError("the network has a cycle")
+
+
+def contracted(edges: DataFrame, source) -> tuple[DataFrame, DataFrame]:
+    """(edges between junctions, nodes within chains): a chain is a run of nodes with one way in and one out, but for `source`.
+
+    Its edges become one, as long as all of them. Nodes within (node, head, km) have the junction before their chain
+    and the way from there.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+    through = cut(into.join(out, "node").filter("i = 1 AND o = 1").filter(F.col("node") != F.lit(source)).select("node"))
+    if through.isEmpty():
+        return edges, through.withColumns({"head": F.col("node"), "km": F.lit(0.0)})
+    down = _ends(edges.join(through, edges["src"] == through["node"]).select("node", F.col("dst").alias("next"), "km"))
+    up = _ends(edges.join(through, edges["dst"] == through["node"]).select("node", F.col("src").alias("next"), "km"))
+    first = edges.join(through.select(F.col("node").alias("src")), "src", "left_anti")
+    jumps = down.select(F.col("node").alias("dst"), F.col("next").alias("__end"), F.col("km").alias("__km"))
+    joined = first.join(jumps, "dst", "left").select("src", F.coalesce("__end", "dst").alias("dst"), (F.col("km") + F.coalesce("__km", F.lit(0.0))).alias("km"))
+    return joined.groupBy("src", "dst").agg(F.min("km").alias("km")), up.select("node", F.col("next").alias("head"), "km")
+
+
 def river_risk(edges: DataFrame, source, initial: float, decay_per_km: float) -> DataFrame:
     """(node, km, risk): risk falls with the shortest way downstream from `source`; 0 where no way leads.
 
-    Edges are (src, dst, km). Relaxation to a fixed point: only nodes whose way got shorter go on, and
-    each round's state is written to the shared checkpoint folder.
+    Edges are (src, dst, km). Chains are contracted first, so rounds grow with the junctions on a way and not with its
+    nodes. Then relaxation to a fixed point: only nodes whose way got shorter go on, and each round's state is
+    written to the shared checkpoint folder. Nodes within chains follow from the junction before them.
     """
     if not 0 <= initial <= 1 or decay_per_km < 0:
         raise ValueError("the risk lies in 0 to 1 and the decay is not negative")
     edges = cut(edges.groupBy("src", "dst").agg(F.min("km").alias("km"), F.min(F.col("km") > 0).alias("ok")))
     if not edges.filter(~F.coalesce("ok", F.lit(False)) | F.col("src").isNull() | F.col("dst").isNull()).isEmpty():
         raise ValueError("distances are positive and ends are named")
-    assert_acyclic(edges)
+    edges = edges.select("src", "dst", F.col("km").cast("double").alias("km"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     best = cut(nodes.filter(F.col("node") == F.lit(source)).select("node", F.lit(0.0).alias("km")))
     if best.isEmpty():
         raise ValueError("the source is not in the network")
+    own, within = contracted(edges, source)
+    own = cut(own)
+    assert_acyclic(own)
     front = best
     while True:
-        step = front.withColumnRenamed("km", "so_far").join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("so_far") + F.col("km")).alias("new"))
+        step = front.withColumnRenamed("km", "so_far").join(own, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("so_far") + F.col("km")).alias("new"))
         front = cut(step.join(best, "node", "left").filter("km IS NULL OR new < km - 1e-12").select("node", F.col("new").alias("km")))
         if front.isEmpty():
             break
         best = cut(best.unionByName(front).groupBy("node").agg(F.min("km").alias("km")))
-    return nodes.join(best, "node", "left").select("node", "km", F.coalesce(F.lit(initial) * F.exp(-decay_per_km * F.col("km")), F.lit(0.0)).alias("risk"))
+    inner = within.join(best.select(F.col("node").alias("head"), F.col("km").alias("__km")), "head").select("node", (F.col("km") + F.col("__km")).alias("km"))
+    found = best.unionByName(inner)
+    return nodes.join(found, "node", "left").select("node", "km", F.coalesce(F.lit(initial) * F.exp(-decay_per_km * F.col("km")), F.lit(0.0)).alias("risk"))

@@ -162,11 +162,28 @@ def m9_review_queue(t: Tables):
 EDGES = ["l_suppkey % 60 + (l_linenumber - 1) * 1000 AS src", "l_partkey % 60 + l_linenumber * 1000 AS dst", "l_quantity AS km"]
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, min(km) AS km FROM {select(EDGES, "lineitem", "l_linenumber < 6")} GROUP BY 1, 2), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-{", ".join([f"d0 AS (SELECT 7 AS node, 0.0::DOUBLE AS km)"] + [f"d{k} AS (SELECT e.dst AS node, min(d{k - 1}.km + e.km) AS km FROM d{k - 1} JOIN e ON e.src = d{k - 1}.node GROUP BY 1)" for k in range(1, 6)])}, a AS (SELECT node, min(km) AS km FROM ({" UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(6))}) GROUP BY 1)
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, min(km) AS km FROM {select(EDGES, "lineitem", "true")} GROUP BY 1, 2), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+{", ".join([f"d0 AS (SELECT 7 AS node, 0.0::DOUBLE AS km)"] + [f"d{k} AS (SELECT e.dst AS node, min(d{k - 1}.km + e.km) AS km FROM d{k - 1} JOIN e ON e.src = d{k - 1}.node GROUP BY 1)" for k in range(1, 8)])}, a AS (SELECT node, min(km) AS km FROM ({" UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(8))}) GROUP BY 1)
 SELECT n.node, a.km, round(coalesce(exp(-0.01 * a.km), 0.0), 9) AS risk FROM n LEFT JOIN a USING (node)""")
 def m10_river_risk(t: Tables):
-    return N.river_risk(t.view("lineitem", EDGES, "l_linenumber < 6"), 7, 1.0, 0.01).withColumn("risk", F.round("risk", 9))
+    return N.river_risk(t.view("lineitem", EDGES), 7, 1.0, 0.01).withColumn("risk", F.round("risk", 9))
+
+
+ROADS = ["o_orderkey AS k", "CASE WHEN o_orderkey % 50 = 0 THEN 'J' || CAST(floor(o_orderkey / 200) AS BIGINT) ELSE 'N' || o_orderkey END AS src", "CASE WHEN (o_orderkey + 1) % 50 = 0 THEN 'J' || CAST(floor((o_orderkey + 1) / 200) AS BIGINT) ELSE 'N' || (o_orderkey + 1) END AS dst", "CAST(1 + o_orderkey % 9 AS DOUBLE) AS km"]
+# Every run of fifty places is one way from a junction to the same or the next one; loops of a junction are left out.
+ROAD = "src <> dst AND NOT (floor(k / 50) % 4 < 3)"
+LEVEL = "CAST(floor(k / 200) AS BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT * FROM {select(ROADS, "orders")} WHERE {ROAD}), seq AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM r), marked AS (SELECT *, CASE WHEN lag(dst) OVER (ORDER BY k) IS NOT DISTINCT FROM src THEN 0 ELSE 1 END AS cut FROM seq),
+runs AS (SELECT *, sum(cut) OVER (ORDER BY k) AS run FROM marked), first_run AS (SELECT run FROM runs WHERE src = (SELECT src FROM r ORDER BY k LIMIT 1)), way AS (SELECT dst AS node, sum(km) OVER (ORDER BY k) AS km FROM runs WHERE run = (SELECT min(run) FROM first_run)),
+n AS (SELECT src AS node FROM r UNION SELECT dst FROM r), a AS (SELECT node, km FROM way UNION ALL SELECT src, 0.0 FROM (SELECT src FROM r ORDER BY k LIMIT 1))
+SELECT n.node, a.km, round(coalesce(0.5 * exp(-0.001 * a.km), 0.0), 9) AS risk FROM n LEFT JOIN a USING (node)""")
+def m10_long_chains(t: Tables):
+    """Ways of many nodes in a row, which are contracted."""
+    edges = t.view("orders", ROADS).where(ROAD)
+    source = edges.orderBy("k").first()["src"]
+    return N.river_risk(edges, source, 0.5, 0.001).withColumn("risk", F.round("risk", 9))
 
 
 CHAIN = "SELECT conv_id AS chain, turn AS seq, role || ':' || text AS content FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations ORDER BY conv_id, turn, role, text)"
