@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from hydrolake.llm.common import shared_table
 #: Weight of a vocabulary's ranks, pseudo-counts, passes of the fit, added count of the base line.
 RANK_SHIFT, PRIOR, ROUNDS, ADDED = 100, 100.0, 2, 0.1
 #: Tokens of a block, bytes of a text read at once, most frequent words that are broadcast.
-BLOCK, CHUNK, HEAVY = 1_000_000, 1 << 20, 65_536
+BLOCK, CHUNK, HEAVY = 4_000_000, 1 << 20, 65_536
 SPACE = "▁"
 
 _FOLD = bytes.maketrans(bytes(range(0x41, 0x5B)) + b"\t\n\x0b\x0c\r", bytes(range(0x61, 0x7B)) + b" " * 5)
@@ -66,10 +66,6 @@ class Pieces:
     inner: dict[str, float]
     byte: list[float]
     end: float
-    longest: int = field(default=0)
-
-    def __post_init__(self):
-        self.longest = max(map(len, [*self.first, *self.inner]), default=1)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -102,94 +98,149 @@ class Pieces:
 
     def with_counts(self, counts: dict[str, float], prior: float = PRIOR) -> Pieces:
         """The weights that expected counts and this model's pseudo-counts give."""
+        counts = by_byte(counts)
         new = {k: math.log(counts.get(k, 0.0) + prior * math.exp(v)) for k, v in self.names()}
         pick = lambda d, kind: {k: new[kind + k] for k in d}
         return Pieces(pick(self.first, "f"), pick(self.inner, "i"), [new[f"b{k:02x}"] for k in range(256)], new["e"]).normal()
 
-    def arcs(self, word: str) -> list[list[tuple[int, str, float]]]:
-        """By end: the begin, the name and the log weight of each arc of a word's lattice."""
-        text, n, inner = SPACE + word, len(word) + 1, self.inner
-        out: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
-        first, longest = self.first, self.longest
-        for j in range(1, min(n, longest) + 1):
-            if (w := first.get(text[:j])) is not None:
-                out[j].append((0, "f" + text[:j], w))
-        if SPACE not in first:
-            self._bytes(out, SPACE, 0)
-        for i in range(1, n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (w := inner.get(text[i:j])) is not None:
-                    out[j].append((i, "i" + text[i:j], w))
-            if text[i] not in inner:
-                self._bytes(out, text[i], i)
-        return out
-
-    def _bytes(self, out: list, char: str, at: int) -> None:
-        code = char.encode("utf-8", "surrogatepass")
-        out[at + 1].append((at, "b" + code.hex(), sum(self.byte[b] for b in code)))
-
-    def forward(self, word: str) -> float:
-        """The log of the sum over all segmentations of a word."""
-        if not word:
-            return self.end - math.log1p(-min(self.inside, 1 - 1e-12))
-        text, inner, first, longest = SPACE + word, self.inner, self.first, self.longest
-        n, get, exp, log = len(text), self.inner.get, math.exp, math.log
-        alpha = [0.0] * (n + 1)
-        byte = self.byte
-        for j in range(1, n + 1):
-            terms = []
-            low = j - longest
-            if low <= 0:
-                if (w := first.get(text[:j])) is not None:
-                    terms.append(w)
-                elif j == 1:
-                    terms.append(sum(byte[b] for b in SPACE.encode()))
-                low = 1
-            for i in range(low, j):
-                if (w := get(text[i:j])) is not None:
-                    terms.append(alpha[i] + w)
-            if j > 1 and text[j - 1] not in inner:
-                terms.append(alpha[j - 1] + sum(byte[b] for b in text[j - 1].encode("utf-8", "surrogatepass")))
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            else:
-                most = max(terms)
-                alpha[j] = most + log(sum([exp(t - most) for t in terms]))
-        return alpha[n]
-
     @property
     def inside(self) -> float:
         """The weight of all pieces that go on with a word."""
-        if not hasattr(self, "_inside"):
-            self._inside = math.fsum(map(math.exp, [*self.inner.values(), *self.byte]))
-        return self._inside
-
-    def expected(self, word: str, times: float, into: dict[str, float]) -> None:
-        """Add the expected counts of the pieces over all segmentations of a word."""
-        if not word:
-            into["e"] = into.get("e", 0.0) + times
-            return
-        ends = self.arcs(word)
-        n = len(ends) - 1
-        alpha, beta = [0.0] * (n + 1), [-math.inf] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [alpha[i] + w for i, _, w in ends[j]]
-            most = max(terms)
-            alpha[j] = most + math.log(sum([math.exp(t - most) for t in terms]))
-        beta[n] = 0.0
-        total = alpha[n]
-        for j in range(n, 0, -1):
-            back = beta[j]
-            for i, name, w in ends[j]:
-                share = times * math.exp(alpha[i] + w + back - total)
-                if name[0] == "b":
-                    for k in range(1, len(name), 2):
-                        b = "b" + name[k : k + 2]
-                        into[b] = into.get(b, 0.0) + share
-                else:
-                    into[name] = into.get(name, 0.0) + share
-                x, y = beta[i], w + back
-                beta[i] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        return math.fsum(map(math.exp, [*self.inner.values(), *self.byte]))
+
+    def tables(self) -> tuple[dict, dict, list[str], list[float]]:
+        """By all beginnings of pieces the piece's number (None where a beginning is no piece); names and log weights by number."""
+        if not hasattr(self, "_tables"):
+            names, weights, tables = [], [], []
+            for kind, own in (("f", self.first), ("i", self.inner)):
+                known: dict = {p[:k]: None for p in own for k in range(1, len(p))}
+                known |= {p: len(names) + k for k, p in enumerate(own)}
+                names += [kind + p for p in own]
+                weights += own.values()
+                tables.append(known)
+            self._tables = (*tables, names, weights)
+        return self._tables
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    def lattices(self, words: list[str]) -> Lattices:
+        """The arcs of all words' lattices; nodes of all words are numbered through."""
+        first, inner, names, weights = self.tables()
+        single = self.inner
+        extra: dict[str, int] = {}
+        arcs, starts, at = [], [], 0
+        add = arcs.append
+        for word in words:
+            text = SPACE + word
+            n, j = len(text), 1
+            starts.append(at)
+            while j <= n and (s := text[:j]) in first:
+                if (k := first[s]) is not None:
+                    add(at << 34 | j << 26 | k)
+                j += 1
+            for i in range(0 if SPACE not in self.first else 1, n):
+                if i:
+                    j = i + 1
+                    while j <= n and (s := text[i:j]) in inner:
+                        if (k := inner[s]) is not None:
+                            add(at + i << 34 | j - i << 26 | k)
+                        j += 1
+                if i == 0 or text[i] not in single:
+                    add(at + i << 34 | 1 << 26 | extra.setdefault(text[i], len(names) + len(extra)))
+            at += n + 1
+        codes = [c.encode("utf-8", "surrogatepass") for c in extra]
+        every = np.array([*weights, *(sum(self.byte[b] for b in c) for c in codes)])
+        packed = np.array(arcs, np.int64)
+        source = packed >> 34
+        return Lattices(np.array(starts, np.int64), at, source, source + (packed >> 26 & 0xFF), packed & (1 << 26) - 1, every, [*names, *("b" + c.hex() for c in codes)])
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """The log of the sum over all segmentations of each word; that of the end for no word."""
+        own = [w for w in words if w]
+        out = np.full(len(words), self.end - math.log1p(-min(self.inside, 1 - 1e-12)))
+        if own:
+            out[[bool(w) for w in words]] = self.lattices(own).totals()
+        return out
+
+    def expected(self, words: list[str]) -> dict[str, float]:
+        """The expected counts of the pieces over all segmentations of each word."""
+        out = {"e": float(sum(not w for w in words))}
+        if own := [w for w in words if w]:
+            found = self.lattices(own)
+            counts = found.counts()
+            out |= {found.names[k]: counts[k] for k in np.flatnonzero(counts).tolist()}
+        return by_byte(out)
+
+
+@dataclass
+class Lattices:
+    """The lattices of some words: the first node of each, how many nodes, and each arc's ends and piece."""
+
+    starts: np.ndarray
+    nodes: int
+    source: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    weights: np.ndarray
+    names: list[str]
+
+    def _levels(self, at: np.ndarray, other: np.ndarray, back: bool) -> np.ndarray:
+        """Sums of the ways to each node in log space: arcs go from `other` to `at`, all nodes of one depth at a time."""
+        bounds = np.r_[self.starts, self.nodes]
+        ends = bounds[1:] - 1
+        logs = np.full(self.nodes, -np.inf)
+        logs[ends if back else self.starts] = 0.0
+        word = np.searchsorted(self.starts, at, "right") - 1
+        depth = ends[word] - at if back else at - self.starts[word]
+        order = np.lexsort((at, depth))
+        at, other, w, depth = at[order], other[order], self.weights[self.piece[order]], depth[order]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # of one depth nodes are apart, so a node is one run
+        cuts = np.searchsorted(depth[new], np.arange(1, int(depth[-1]) + 2)) if len(depth) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            begin, end = new[a], new[b] if b < len(new) else len(at)
+            runs = new[a:b] - begin
+            terms = logs[other[begin:end]] + w[begin:end]
+            most = np.maximum.reduceat(terms, runs)
+            sums = np.add.reduceat(np.exp(terms - np.repeat(most, np.diff(np.r_[runs, end - begin]))), runs)
+            logs[at[new[a:b]]] = most + np.log(sums)
+        return logs
+
+    def totals(self) -> np.ndarray:
+        logs = self._levels(self.target, self.source, False)
+        return logs[np.r_[self.starts[1:], self.nodes] - 1]
+
+    def counts(self) -> np.ndarray:
+        """The expected number of each piece over all words."""
+        there, back = self._levels(self.target, self.source, False), self._levels(self.source, self.target, True)
+        word = np.searchsorted(self.starts, self.source, "right") - 1
+        whole = there[np.r_[self.starts[1:], self.nodes] - 1]
+        share = np.exp(there[self.source] + self.weights[self.piece] + back[self.target] - whole[word])
+        return np.bincount(self.piece, share, len(self.names))
+
+
+def by_byte(counts: dict[str, float]) -> dict[str, float]:
+    """Expected counts with those of characters in bytes under each byte."""
+    out: dict[str, float] = {}
+    for name, n in counts.items():
+        for own in [name] if name[0] != "b" else ["b" + name[k : k + 2] for k in range(1, len(name), 2)]:
+            out[own] = out.get(own, 0.0) + n
+    return out
+
+
+def _some(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[list[str]]:
+    """The words of a batch, some hundred thousand characters at a time."""
+    some, size = [], 0
+    for word in batch.column(0).to_pylist():
+        some.append(word)
+        size += len(word) + 1
+        if size > most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def blocks_of(docs: DataFrame, held: Column, block: int = BLOCK) -> DataFrame:
@@ -212,7 +263,7 @@ def blocks_of(docs: DataFrame, held: Column, block: int = BLOCK) -> DataFrame:
             flat = np.concatenate(arrays)
             trained = np.repeat(~np.array(flags, bool), sizes)
             counts = np.bincount(flat[trained], minlength=len(numbers))
-            tokens = zstandard.ZstdCompressor(level=1).compress(flat.astype(np.int32).tobytes())
+            tokens = zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
             own = {"block": pa.array([name]), "ids": pa.array([ids], types[1]), "held": pa.array([flags], types[2]), "sizes": pa.array([sizes], types[3]), "tokens": pa.array([tokens], types[4])}
             yield rows(1, **own)
             words = pa.array(list(numbers), pa.binary()).cast(pa.string())
@@ -224,10 +275,10 @@ def blocks_of(docs: DataFrame, held: Column, block: int = BLOCK) -> DataFrame:
             for i, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 size = 0
                 for words in words_of(text.as_py()):
-                    found = np.fromiter((numbers[w] for w in words if w), np.int64)
+                    found = np.fromiter((numbers[w] for w in words if w), np.int32)
                     arrays.append(found)
                     size += len(found)
-                arrays.append(np.zeros(1, np.int64))  # the end
+                arrays.append(np.zeros(1, np.int32))  # the end
                 ids.append(i)
                 flags.append(bool(flag))
                 sizes.append(size + 1)
@@ -261,8 +312,9 @@ def fit(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
         def run(batches: Iterator[pa.RecordBatch], now: Pieces = model) -> Iterator[pa.RecordBatch]:
             found: dict[str, float] = {}
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    now.expected(word, 1.0, found)
+                for some in _some(batch):
+                    for k, n in now.expected(some).items():
+                        found[k] = found.get(k, 0.0) + n
             yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "n"])
 
         summed = words.select("word").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -281,37 +333,35 @@ def score(docs: DataFrame, held: Column, pieces: Pieces, block: int = BLOCK, rou
     base_down = math.log10(total + ADDED * (distinct + 1))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = discount * distinct / total if total else 1.0
+        left = math.log(discount * distinct / total) if total else 0.0
         for batch in batches:
-            rows = []
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                inner = math.log(left) + model.forward(word)
-                if c:
-                    own = math.log((c - discount) / total)
-                    inner = max(inner, own) + math.log1p(math.exp(-abs(inner - own)))
-                rows.append((word, c, math.log10(c + ADDED) - base_down, inner / math.log(10)))
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3])], ["word", "c", "base", "full"])
-
-    weighed = shared_table(counted.mapInArrow(weigh, "word string, c long, base double, full double"), "weights")
+            paths = np.concatenate([model.forward(some) for some in _some(batch)]) + left if batch.num_rows else np.empty(0)
+            c = batch.column(1).to_numpy()
+            own = np.where(c > 0, np.log(np.where(c > 0, c - discount, 1.0) / max(total, 1)), -np.inf)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.logaddexp(paths, own) / math.log(10))], ["word", "c", "full"])
+
+    weighed = shared_table(counted.select("word", "c").mapInArrow(weigh, "word string, c long, full double"), "weights")
     frequent = F.col("c") > total / HEAVY
     hot = F.broadcast(weighed.filter(frequent))  # HEAVY rows at most: each has more than one of HEAVY of the tokens
     known = pairs.drop("c").join(hot, "word", "left")
-    met = known.filter(F.col("base").isNotNull()).unionByName(known.filter(F.col("base").isNull()).select("block", "word", "at").join(weighed.filter(~frequent), "word"))
-    packed = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c", "base", "full"))).alias("found"))
-    packed = packed.select("block", F.transform("found", lambda x: x["c"] > 0).alias("known"), F.col("found.base").alias("base"), F.col("found.full").alias("full"))
+    met = known.filter(F.col("full").isNotNull()).unionByName(known.filter(F.col("full").isNull()).select("block", "word", "at").join(weighed.filter(~frequent), "word"))
+    # A block's words are as many as its tokens at most.
+    packed = met.groupBy("block").agg(F.collect_list(F.struct("at", "c", "full")).alias("found"))
+    packed = packed.select("block", F.col("found.at").alias("at"), F.col("found.c").alias("c"), F.col("found.full").alias("full"))
     joined = blocks.select("block", "ids", "held", "sizes", "tokens").join(packed, "block")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, flags, sizes, tokens, known, base, full = (batch.column(c)[k] for c in ("ids", "held", "sizes", "tokens", "known", "base", "full"))
+                ids, flags, sizes, tokens, at, c, full = (batch.column(x)[k] for x in ("ids", "held", "sizes", "tokens", "at", "c", "full"))
                 n = sizes.values.to_numpy()
-                at = np.r_[0, np.cumsum(n)[:-1]]
+                place = at.values.to_numpy()
+                counts, logs = np.empty(len(place)), np.empty(len(place))
+                counts[place], logs[place] = c.values.to_numpy(), full.values.to_numpy()
+                starts = np.r_[0, np.cumsum(n)[:-1]]
                 flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens.as_py()), np.int32)
-                sums = lambda x: np.add.reduceat(x.values.to_numpy(zero_copy_only=False)[flat], at)
-                out = [ids.values, flags.values, pa.array(n), pa.array(np.add.reduceat(known.values.to_numpy(zero_copy_only=False).astype(np.int64)[flat], at)), pa.array(np.full(len(n), total)), pa.array(sums(base)), pa.array(sums(full))]
+                sums = lambda x: np.add.reduceat(x[flat], starts)  # noqa: B023, E731
+                out = [ids.values, flags.values, pa.array(n), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(len(n), total)), pa.array(sums(np.log10(counts + ADDED) - base_down)), pa.array(sums(logs))]
                 yield pa.record_batch(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return joined.mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

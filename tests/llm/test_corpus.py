@@ -159,24 +159,27 @@ def toy_pieces():
 def test_lattice():
     model = toy_pieces()
     assert abs(sum(math.exp(w) for _, w in model.names()) - 1) < 1e-12
-    for word in ("a", "abab", "babba", "aéb", "▁a", "日", "abbabab"):
+    words = ["a", "abab", "babba", "aéb", "▁a", "日", "abbabab"]
+    for word, total in zip(words, model.forward(words)):
         ways = segmentations(model, word)
-        assert abs(model.forward(word) - math.log(sum(ways))) < 1e-9
-        counts = {}
-        model.expected(word, 2.0, counts)
-        # Expected lengths of the pieces add up to the word's, whatever the weights.
-        size = sum(n * (1 if k[0] == "b" else len(k) - 1) for k, n in counts.items())
-        starts = counts.get("be2", 0) / 2
-        if word.isascii():  # a word begins with one of the first pieces, or with the three bytes of the space
-            assert abs(size - 2 * (1 + len(word)) - 2 * 2 * starts) < 1e-9
-    assert -1e7 < model.forward("ab" * 20_000) < -1000  # no underflow
+        assert abs(total - math.log(sum(ways))) < 1e-9 and abs(model.forward([word])[0] - total) < 1e-12
+        counts = model.expected([word] * 2)
+        # Expected lengths of the pieces add up to the word's, whatever the weights; the space may be in bytes.
+        size = sum(n * (1 if k[0] == "b" else len(k) - 1) for k, n in counts.items() if k != "e")
+        if word.isascii():
+            assert abs(size - 2 * (1 + len(word)) - 2 * counts["be2"]) < 1e-9
+    together, apart = model.expected(words), Counter()
+    for word in words:
+        apart.update(model.expected([word]))
+    assert together.keys() == apart.keys() and all(math.isclose(together[k], apart[k], rel_tol=1e-9) for k in together)
+    assert -1e7 < model.forward(["ab" * 20_000])[0] < -1000 and len(model.forward(["", "a", ""])) == 3  # no underflow
     # Tokens add up to 1: all words over these pieces, by the weights of beginnings and of going on, and the end.
     begins = sum(map(math.exp, model.first.values()))
-    assert begins / (1 - model.inside) + math.exp(model.forward("")) <= 1 + 1e-9
+    assert begins / (1 - model.inside) + math.exp(model.forward([""])[0]) <= 1 + 1e-9
 
 
 def test_scores(spark, docs, prose, odd):
-    texts = [*prose(60, 50, seed=8, letters="ab"), None, "", "  \n", "Unseen wörd " + "zq" * 3000, prose(1, 4000, seed=8, letters="ab")[0]]
+    texts = [*prose(60, 50, seed=8, letters="ab"), *prose(3, 40, seed=9, letters="abé"), None, "", "  \n", "Unseen wörd " + "zq" * 3000, prose(1, 4000, seed=8, letters="ab")[0]]
     d = docs(texts)
     held = language_id.fold(F.col("doc_id"), 10) == 0
     model = toy_pieces()
@@ -191,11 +194,8 @@ def test_scores(spark, docs, prose, odd):
     d_ = once / (once + 2 * twice) if once and twice else 0.5
     fitted = model
     for _ in range(lattice_lm.ROUNDS):
-        counts = {}
-        for w in c:
-            fitted.expected(w, 1.0, counts)
-        fitted = model.with_counts(counts)
-    p = lambda w: max(c[w] - d_, 0) / n + d_ * v / n * math.exp(fitted.forward(w))
+        fitted = model.with_counts(fitted.expected(list(c)))
+    p = lambda w: max(c[w] - d_, 0) / n + d_ * v / n * math.exp(fitted.forward([w])[0])
     assert len(rows) == len(texts)
     for i, t in tokens.items():
         r = rows[i]
