@@ -32,7 +32,7 @@ from hydrolake.llm.common import cut, shared_table
 
 BUCKETS, LEAST_WORDS, DRAWN = 10_000, 20, 25
 #: Bits of a digit, and of the places in a block.
-DIGIT, BLOCK = 12, 16
+DIGIT, BLOCK = 12, 13
 #: Bytes of a text read at once.
 CHUNK = 1 << 20
 
