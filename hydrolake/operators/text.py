@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,45 +22,82 @@ UNITS = {
 }
 POINTS = ("points", "things", "reasons", "steps", "options", "caveats", "notes", "questions", "kinds", "types", "parts", "sections", "items", "categories")
 
-_DIGIT = "(?:" + "|".join(list(ONES)[:10]) + ")"
 NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[eE][+~]?[0-9]+)?"
-WORD = r"\b(?:(?:" + "|".join(sorted(ONES | TENS, key=lambda w: (-len(w), w))) + ")(?:[- ](?:" + "|".join(list(ONES)[1:10]) + "))?|" + "|".join(LARGE) + r")\b(?:\s+point(?:\s+" + _DIGIT + r")+\b)?"
+_ANY = "(?:" + "|".join(sorted(WORDS, key=lambda w: (-len(w), w))) + ")"
+_ONE = "(?:" + "|".join(w for w, k in ONES.items() if k < 10) + ")"
+#: Number words in a row, and spoken decimals behind them.
+RUN = rf"\b{_ANY}(?:[- ]{_ANY})*\b(?:\s+point(?:\s+{_ONE})+\b)?"
 UNIT = "|".join(r"\s*".join(x) + (r"\b" if x[-1].isalnum() else "") for x in sorted((y for v in UNITS.values() for y in v), key=lambda y: (-len(y), y)))
-#: A mention: sign, number in digits or words, and behind it a unit or one of the nouns.
-MENTION = rf"(?i)(-?)({NUMBER}|{WORD})(?:(\s*(?:{UNIT}))|(\s+(?:{'|'.join(POINTS)})\b))?"
+#: A match: sign, number in digits or words, and behind it a unit or one of the nouns.
+MENTION = rf"(?i)(-?)({NUMBER}|{RUN})(?:(\s*(?:{UNIT}))|(\s+(?:{'|'.join(POINTS)})\b))?"
+#: Characters that compatibility composition may change: those of the first 768 that it does, and all behind.
+CHANGED = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x300) if unicodedata.normalize("NFKC", chr(c)) != chr(c)) + r"\x{300}-\x{10ffff}]"
+
+
+def composed(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Texts in compatibility composition. Only texts with a character that it may change leave the JVM."""
+    odd = F.coalesce(F.col(text_col).rlike(CHANGED), F.lit(False))
+
+    @F.pandas_udf("string")
+    def compose(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: unicodedata.normalize("NFKC", t))
+
+    return texts.filter(~odd).unionByName(texts.filter(odd).withColumn(text_col, compose(text_col)))
 
 
 def plain_marks(text: Column) -> Column:
-    """The text with one form of minus signs, micro signs, cubes and wide digits; a hyphen behind a letter, digit or bracket is a blank, that of an exponent a tilde."""
-    one = F.translate(F.coalesce(text, F.lit("")), "\u2212\u00b5\u03bc\u00b3０１２３４５６７８９％", "-uu30123456789%")
+    """The text with one form of minus signs and micro signs and plain cubes; a hyphen behind a letter, digit or bracket is a blank, that of an exponent a tilde."""
+    one = F.translate(F.coalesce(text, F.lit("")), "\u2212\u00b5\u03bc\u00b3", "-uu3")
     return F.regexp_replace(F.regexp_replace(one, r"([0-9][eE])-([0-9])", "$1~$2"), r"([\p{L}\p{N}_)])-", "$1 ")
 
 
-def _word_value(phrase: Column) -> Column:
-    """The value of number words, those behind `point` as decimals."""
-    parts = F.split(F.lower(phrase), r"\s+point\s+")
-    whole = F.aggregate(F.split(parts[0], r"[- ]"), F.lit(0), lambda x, w: x + F.coalesce(S.lookup(w, WORDS), F.lit(0)))
-    digits = F.array_join(F.transform(F.split(F.get(parts, F.lit(1)), r"\s+"), lambda w: S.lookup(w, ONES).cast("string")), "")
-    return F.concat_ws(".", whole.cast("string"), digits).cast("double")
+def spoken(words: Column) -> Column:
+    """Number words in a row as numbers: a word below hundred takes the digit behind it, all else stands alone."""
+
+    def step(groups: Column, word: Column) -> Column:
+        last = F.element_at(groups, -1)
+        small = S.lookup(F.lower(word), ONES).between(1, 9)
+        open_ = (F.size(groups) > 0) & ~F.contains(F.coalesce(last, F.lit("")), F.lit(" ")) & ~F.lower(F.coalesce(last, F.lit(""))).isin(*LARGE)
+        joined = F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, word)))
+        return F.when(S.holds(small & open_), joined).otherwise(F.concat(groups, F.array(word)))
+
+    return F.aggregate(words, F.array().cast("array<string>"), step)
+
+
+def _numbers(match: Column) -> Column:
+    """The numbers of one match, as (sign, raw, tail, unit, counts_points): a row of words can hold several."""
+    part = lambda k: F.regexp_extract(match, MENTION, k)
+    token, tail = part(2), r"(?i)(?<!hundred|thousand|million)(\s+point\s.*)$"
+    said = F.regexp_extract(token, tail, 1)
+    heads = F.when(token.rlike("^[0-9]"), F.array(token)).otherwise(spoken(F.split(F.regexp_replace(token, r"(?i)\s+point\s.*$", ""), "[- ]")))
+    # Decimals behind hundred, thousand or million are numbers of their own.
+    loose = F.when((said == "") & token.rlike(r"(?i)\spoint\s"), spoken(F.split(F.regexp_extract(token, r"(?i)\s+point\s+(.*)$", 1), r"\s+"))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(heads, loose)
+    end = F.size(both) - 1
+    at_end = lambda i, c, other: F.when(i == end, c).otherwise(F.lit(other))
+    return F.transform(both, lambda w, i: F.struct(F.when(i == 0, part(1)).otherwise("").alias("sign"), w.alias("raw"), at_end(i, said, "").alias("tail"), at_end(i, part(3), "").alias("unit"), at_end(i, part(4), "").alias("noun")))
 
 
 def mentions(texts: DataFrame, id_col: str = "id") -> DataFrame:
     """Numbers of texts (id, text), in digits or words: (id, place, raw, value, decimals, unit, counts_points).
 
-    `decimals` is how many the text writes, less an exponent; `unit` is the known unit behind the number.
+    Texts are read in compatibility composition. `decimals` is how many the text writes, less an exponent; `unit` is
+    the known unit behind the number.
     """
-    found = texts.select(id_col, F.posexplode(F.regexp_extract_all(plain_marks(F.col("text")), F.lit(MENTION), F.lit(0))).alias("place", "m"))
-    part = lambda k: F.regexp_extract("m", MENTION, k)
-    found = found.select(id_col, "place", part(1).alias("sign"), part(2).alias("raw"), F.regexp_replace(F.lower(part(3)), r"\s+", "").alias("unit"), (part(4) != "").alias("counts_points"))
+    matches = F.regexp_extract_all(plain_marks(F.col("text")), F.lit(MENTION), F.lit(0))
+    found = composed(texts.select(id_col, "text")).select(id_col, F.posexplode(F.flatten(F.transform(matches, _numbers))).alias("place", "m")).select(id_col, "place", "m.*")
     digits = F.col("raw").rlike("^[0-9]")
-    written = F.translate("raw", ",~", "\u0001-")
-    written = F.regexp_replace(written, "\u0001", "")
+    written = F.translate(F.regexp_replace("raw", ",", ""), "~", "-")
     mantissa, power = F.regexp_extract(written, r"\.([0-9]+)", 1), F.coalesce(F.regexp_extract(written, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    spelled = F.size(F.split(F.regexp_extract(F.lower("raw"), r"point\s+(.*)$", 1), r"\s+"))
-    decimals = F.when(digits, F.greatest(F.length(mantissa) - power, F.lit(0))).when(F.lower("raw").contains("point"), spelled).otherwise(0)
-    value = F.when(digits, written.try_cast("double")).otherwise(_word_value(F.col("raw"))) * F.when(F.col("sign") == "-", -1.0).otherwise(1.0)
-    aliases = {x: u for u, v in UNITS.items() for x in v}
-    return found.select(id_col, "place", F.concat("sign", F.translate("raw", "~", "-")).alias("raw"), value.alias("value"), decimals.cast("int").alias("decimals"), S.lookup(F.col("unit"), aliases).alias("unit"), "counts_points").filter("value IS NOT NULL")
+    said = F.filter(F.split(F.lower("tail"), r"\s+"), lambda w: w.isin(*ONES))
+    decimals = F.when(digits, F.greatest(F.length(mantissa) - power, F.lit(0))).otherwise(F.size(said))
+    whole = F.aggregate(F.split(F.lower("raw"), " "), F.lit(0), lambda x, w: x + F.coalesce(S.lookup(w, WORDS), F.lit(0)))
+    behind = F.array_join(F.transform(said, lambda w: S.lookup(w, ONES).cast("string")), "")
+    spelled = F.concat_ws(".", whole.cast("string"), F.nullif(behind, F.lit(""))).cast("double")
+    value = F.when(digits, written.try_cast("double")).otherwise(spelled) * F.when(F.col("sign") == "-", -1.0).otherwise(1.0)
+    unit = S.lookup(F.regexp_replace(F.lower("unit"), r"\s+", ""), {x: u for u, v in UNITS.items() for x in v})
+    raw = F.concat("sign", F.translate("raw", "~", "-"), "tail")
+    return found.select(id_col, "place", raw.alias("raw"), value.alias("value"), decimals.cast("int").alias("decimals"), unit.alias("unit"), (F.col("noun") != "").alias("counts_points")).filter("value IS NOT NULL")
 
 
 def ungrounded(texts: DataFrame, evidence: DataFrame, id_col: str = "id", counts: DataFrame | None = None) -> DataFrame:

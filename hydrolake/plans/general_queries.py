@@ -496,12 +496,23 @@ def _words(w: str) -> str:
 
 
 ALIASES = "CASE u " + " ".join(f"WHEN '{x}' THEN '{u}'" for u, v in X.UNITS.items() for x in v) + " END"
-EVIDENCE = f"""WITH marked AS (SELECT doc_id AS id, regexp_replace(regexp_replace(translate(coalesce(text, ''), '−µμ³０１２３４５６７８９％', '-uu30123456789%'), '([0-9][eE])-([0-9])', '\\1~\\2', 'g'), '([\\p{{L}}\\p{{N}}_)])-', '\\1 ', 'g') AS t FROM documents),
-f AS (SELECT id, unnest(regexp_extract_all(t, '{X.MENTION}', 0)) AS m, generate_subscripts(regexp_extract_all(t, '{X.MENTION}', 0), 1) - 1 AS place FROM marked),
-p AS (SELECT id, place, {_mention(1)} AS sign, {_mention(2)} AS r, regexp_replace(lower({_mention(3)}), '\\s+', '', 'g') AS u, {_mention(4)} <> '' AS points FROM f),
-w AS (SELECT *, replace(replace(r, ',', ''), '~', '-') AS z, regexp_matches(r, '^[0-9]') AS d, string_split_regex(lower(r), '\\s+point\\s+') AS parts FROM p),
-v AS (SELECT id, place, sign || replace(r, '~', '-') AS raw, points, {ALIASES} AS unit, CASE WHEN sign = '-' THEN -1 ELSE 1 END * CASE WHEN d THEN TRY_CAST(z AS DOUBLE) ELSE CAST(CAST(list_sum([{_words("x")} FOR x IN string_split_regex(parts[1], '[- ]')]) AS BIGINT) || CASE WHEN len(parts) > 1 THEN '.' || array_to_string([{_words("x")} FOR x IN string_split_regex(parts[2], '\\s+')], '') ELSE '' END AS DOUBLE) END AS value,
-  CASE WHEN d THEN greatest(length(regexp_extract(z, '\\.([0-9]+)', 1)) - coalesce(TRY_CAST(regexp_extract(z, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0), 0) WHEN len(parts) > 1 THEN len(string_split_regex(parts[2], '\\s+')) ELSE 0 END AS decimals FROM w),
+SMALL = "(" + ", ".join(f"'{w}'" for w, k in X.ONES.items() if 0 < k < 10) + ")"
+# Words in a row: a digit word may belong to the word before it; of such words in a row every second one does.
+EVIDENCE = f"""WITH marked AS (SELECT doc_id AS id, regexp_replace(regexp_replace(translate(coalesce(text, ''), '−µμ³²¹０１２３４５６７８９％', '-uu3210123456789%'), '([0-9][eE])-([0-9])', '\\1~\\2', 'g'), '([\\p{{L}}\\p{{N}}_)])-', '\\1 ', 'g') AS t FROM documents),
+f AS (SELECT id, unnest(regexp_extract_all(t, '{X.MENTION}', 0)) AS m, generate_subscripts(regexp_extract_all(t, '{X.MENTION}', 0), 1) AS match FROM marked),
+p AS (SELECT id, match, {_mention(1)} AS sign, {_mention(2)} AS r, regexp_replace(lower({_mention(3)}), '\\s+', '', 'g') AS u, {_mention(4)} <> '' AS points FROM f),
+s AS (SELECT *, regexp_matches(r, '^[0-9]') AS d, regexp_replace(r, '(?i)\\s+point\\s.*$', '') AS head, regexp_extract(r, '(?i)(\\s+point\\s.*)$', 1) AS tail FROM p),
+o AS (SELECT *, CASE WHEN d THEN [r] ELSE string_split_regex(head, '[- ]') END AS ws FROM s),
+i AS (SELECT id, match, unnest(ws) AS w, generate_subscripts(ws, 1) AS n, ws FROM o),
+j AS (SELECT *, coalesce(lower(w) IN {SMALL} AND n > 1 AND lower(ws[n - 1]) NOT IN ('hundred', 'thousand', 'million'), false) AS joins FROM i),
+k AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY id, match ORDER BY n) AS stretch FROM j),
+l AS (SELECT *, row_number() OVER (PARTITION BY id, match, stretch ORDER BY n) % 2 = 1 AS begins FROM k),
+g AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY id, match ORDER BY n) AS own FROM l),
+h AS (SELECT id, match, own, string_agg(w, ' ' ORDER BY n) AS w, max(own) OVER (PARTITION BY id, match) AS last FROM g GROUP BY id, match, own),
+x AS (SELECT h.id, row_number() OVER (PARTITION BY h.id ORDER BY h.match, own) - 1 AS place, d, CASE WHEN own = 1 THEN sign ELSE '' END AS sign, w, CASE WHEN own = last THEN tail ELSE '' END AS tail, CASE WHEN own = last THEN u ELSE '' END AS u, own = last AND points AS points, replace(replace(w, ',', ''), '~', '-') AS z FROM h JOIN o ON o.id = h.id AND o.match = h.match),
+y AS (SELECT *, list_filter(string_split_regex(lower(tail), '\\s+'), lambda q: q NOT IN ('', 'point')) AS said FROM x),
+v AS (SELECT id, place, sign || replace(w, '~', '-') || tail AS raw, points, {ALIASES} AS unit, CASE WHEN sign = '-' THEN -1 ELSE 1 END * CASE WHEN d THEN TRY_CAST(z AS DOUBLE) ELSE CAST(CAST(list_sum([{_words("q")} FOR q IN string_split(lower(w), ' ')]) AS BIGINT) || CASE WHEN len(said) > 0 THEN '.' || array_to_string([{_words("q")} FOR q IN said], '') ELSE '' END AS DOUBLE) END AS value,
+  CASE WHEN d THEN greatest(length(regexp_extract(z, '\\.([0-9]+)', 1)) - coalesce(TRY_CAST(regexp_extract(z, '[eE]([+-]?[0-9]+)$', 1) AS INT), 0), 0) ELSE len(said) END AS decimals FROM y),
 e AS (SELECT doc_id AS id, (n_chars % 400)::DOUBLE AS value, CASE WHEN doc_id % 3 = 0 THEN 'mg/L' END AS unit FROM documents UNION ALL SELECT doc_id, 555.0, NULL FROM documents UNION ALL SELECT doc_id, (n_chars % 100) / 100.0, NULL FROM documents UNION ALL SELECT doc_id, (doc_id % 50)::DOUBLE, '%' FROM documents)"""
 
 

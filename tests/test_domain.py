@@ -182,6 +182,8 @@ def test_mentions(spark):
         "twenty-three of forty, then Nine": [("twenty three", 23.0, 0, None), ("forty", 40.0, 0, None), ("Nine", 9.0, 0, None)],
         "six point two five mg/L": [("six point two five", 6.25, 2, "mg/L")], "at -4.50 °C, pH-7, (3)-2": [("-4.50", -4.5, 2, "Cel"), ("7", 7.0, 0, None), ("3", 3.0, 0, None), ("2", 2.0, 0, None)],
         "1.2e-3 g / L or 5 milligrams per liter, 5 mg/Lx": [("1.2e-3", 0.0012, 4, "g/L"), ("5", 5.0, 0, "mg/L"), ("5", 5.0, 0, None)], "\u22125 µg/m³ and 12 percent": [("-5", -5.0, 0, "ug/m3"), ("12", 12.0, 0, "%")], "a million": [("million", 1e6, 0, None)],
+        "two hundred five six": [("two", 2.0, 0, None), ("hundred", 100.0, 0, None), ("five six", 11.0, 0, None)], "\uff15\uff0e\uff15 \u338e": [("5.5", 5.5, 1, None)], "10\u00b2 at \u2460": [("102", 102.0, 0, None), ("1", 1.0, 0, None)],
+        "a hundred point five": [("hundred", 100.0, 0, None), ("five", 5.0, 0, None)], "- twenty one point zero two %": [("twenty one point zero two", 21.02, 2, "%")],
     }
     got = {}
     for r in T.mentions(spark.createDataFrame([(t, t) for t in cases], "id string, text string")).orderBy("id", "place").collect():
