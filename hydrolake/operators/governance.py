@@ -147,41 +147,49 @@ def profile_rules() -> dict[str, Column]:
     }
 
 
-def reference_type(reference: Column) -> Column:
-    """The type of resource that a reference names, null where it can't be told without resolving it."""
-    parts = F.filter(F.split(F.split(reference, r"\?")[0], "/"), lambda p: p != "")
-    at = F.array_position(parts, "_history")
-    known = F.when(at > 0, F.slice(parts, 1, F.greatest((at - 1).cast("int"), F.lit(0)))).otherwise(parts)
-    return F.when(~reference.rlike("^(urn:|#)") & (F.size(known) >= 2), F.get(known, F.size(known) - 2))
+def reference_type(reference: Column, explicit: Column | None = None) -> Column:
+    """The type of resource that a reference names: its own `type`, else the part before the id of a path; null where neither tells."""
+    path = F.regexp_replace(reference, r"(?:^|/+)_history(?:[/?].*)?$|\?.*$", "")
+    named = F.nullif(F.regexp_extract(path, r"([^/]+)/+[^/]+/*$", 1), F.lit(""))
+    told = F.when(~reference.rlike("^(urn:|#)"), named)
+    return told if explicit is None else F.coalesce(explicit, told)
 
 
 # The members that may hold a value.
 VALUE_KEYS, COMPONENT_VALUE_KEYS = ("valueCodeableConcept", "valueQuantity"), ("valueCodeableConcept", "valueString", "valueQuantity")
 
 
-def indicator_rules(profile: str) -> dict[str, Column]:
+def indicator_rules(profile: str, explicit: bool = False) -> dict[str, Column]:
     """Rules of the profiles `indicators` and `health-measure` over rows of members.
 
     Rows have status, codes, subject_reference, effective_keys, n_performers, value_keys, specimen, focus and
-    component_keys: the names of members of one kind, and of each component, as arrays.
+    component_keys: the names of members of one kind, and of each component, as arrays. With `explicit` they also
+    have what references say of their type: subject_type, specimen_type, and focus_types beside focus.
     """
-    other = lambda ref, kind: S.holds(reference_type(ref) != kind)
+    said = (lambda c: F.col(c)) if explicit else (lambda c: None)
+    other = lambda ref, kind, own=None: S.holds(reference_type(ref, own) != kind)
     beyond = lambda keys, known: F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0
     rules = {
-        "status": ~F.col("status").eqNullSafe("final"), "code": F.size("codes") == 0, "subject": F.col("subject_reference").isNull(), "subject-type": other(F.col("subject_reference"), "Location"),
+        "status": ~F.col("status").eqNullSafe("final"), "code": F.size("codes") == 0, "subject": F.col("subject_reference").isNull(), "subject-type": other(F.col("subject_reference"), "Location", said("subject_type")),
         "effective": F.size("effective_keys") == 0, "value-type": beyond(F.col("value_keys"), VALUE_KEYS),
     }
     if profile == "indicators":
         first = lambda keys: F.get(keys, F.lit(0))
         rules |= {
-            "performer": F.col("n_performers") == 0, "specimen-type": other(F.col("specimen"), "Specimen"), "component-value": F.exists("component_keys", lambda k: F.size(k) == 0),
+            "performer": F.col("n_performers") == 0, "specimen-type": other(F.col("specimen"), "Specimen", said("specimen_type")), "component-value": F.exists("component_keys", lambda k: F.size(k) == 0),
             "component-value-type": F.exists("component_keys", lambda k: S.holds(~first(k).isin(*COMPONENT_VALUE_KEYS))),
         }
     else:
-        rules |= {"focus-type": F.exists("focus", lambda r: other(r, "Group"))}
+        types = F.col("focus_types") if explicit else F.transform("focus", lambda r: F.lit(None).cast("string"))
+        rules |= {"focus-type": F.exists(F.zip_with("focus", types, lambda r, t: other(r, "Group", t)), lambda wrong: wrong)}
     return {f"{profile}-{k}": c for k, c in rules.items()}
 
 
+def component_rules() -> dict[str, Column]:
+    """Rules of the profile of observations that hold components only, over rows with value_keys and component_keys."""
+    return {"observation-value": F.size("value_keys") > 0, "observation-component": F.coalesce(F.size("component_keys"), F.lit(0)) <= 0}
+
+
 def location_rules() -> dict[str, Column]:
     """Rules over places (n_identifiers, name, mode)."""
     return {"location-identifier": F.col("n_identifiers") == 0, "location-name": ~S.holds(F.trim("name") != ""), "location-mode": ~F.col("mode").eqNullSafe("instance")}

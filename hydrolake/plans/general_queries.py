@@ -310,6 +310,16 @@ def k1_page(t: Tables):
     return L.page(t.part.select("p_partkey", "p_name", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], 100, 50)
 
 
+FAR = "l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (SELECT count(*) FROM lineitem) AS total_matching, (SELECT count(*) FROM lineitem) > (SELECT count(*) // 2 FROM lineitem) + 200 AS truncated FROM lineitem ORDER BY {FAR} LIMIT 200 OFFSET (SELECT count(*) // 2 FROM lineitem)", dates=("l_shipdate",))
+def k1_far_page(t: Tables):
+    """A page in the middle of a table."""
+    columns = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return L.page(t.lineitem.select(*columns), [F.desc("l_shipdate"), *columns[1:]], 200, t.lineitem.count() // 2)
+
+
 @query("SELECT l_orderkey AS id, l_linenumber AS parameter, l_suppkey AS site, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_linenumber, l_orderkey, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem)")
 def k3_measurement_records(t: Tables):
     from pyspark.sql import Window as W
@@ -628,6 +638,31 @@ def p15_profile_rules(t: Tables):
     return water.unionByName(health).groupBy("finding").agg(F.count("*").alias("n"))
 
 
+REFERENCES = [
+    "l_orderkey AS id", "l_linenumber AS line", "CASE l_partkey % 5 WHEN 0 THEN 'Location' WHEN 1 THEN 'Patient' END AS subject_type",
+    "CASE l_partkey % 9 WHEN 0 THEN 'https://x.org/fhir/Location/' || l_suppkey || '/_history/2' WHEN 1 THEN 'Device/9?at=a/b' WHEN 2 THEN 'urn:uuid:a/b' WHEN 3 THEN '#a/b' WHEN 4 THEN 'Location//5/' WHEN 5 THEN '7' WHEN 6 THEN 'Group/_history/1' WHEN 7 THEN '_history/1/2' END AS subject_reference",
+    "l_linenumber % 3 AS n_values", "l_linenumber % 2 AS n_components", "l_tax > 0.04 AS health",
+]
+TOLD = "coalesce(subject_type, CASE WHEN subject_reference LIKE 'https:%' OR subject_reference = 'Location//5/' THEN 'Location' WHEN subject_reference LIKE 'Device/%' THEN 'Device' END)"
+
+
+@query(f"SELECT {TOLD} AS kind, count(*) AS n, count(*) FILTER (WHERE {TOLD} <> 'Location') AS n_wrong FROM {select(REFERENCES, 'lineitem')} GROUP BY 1")
+def p15_reference_types(t: Tables):
+    """What references name, by their own type first, and how many break the rule of the subject's type."""
+    none = F.array().cast("array<string>")
+    rows = t.view("lineitem", REFERENCES).withColumns({"status": F.lit("final"), "codes": F.array(F.lit("c")), "effective_keys": F.array(F.lit("e")), "value_keys": none, "focus": none, "focus_types": none})
+    wrong = G.indicator_rules("health-measure", explicit=True)["health-measure-subject-type"]
+    return rows.groupBy(G.reference_type(F.col("subject_reference"), F.col("subject_type")).alias("kind")).agg(F.count("*").alias("n"), F.count_if(wrong).alias("n_wrong"))
+
+
+@query(f"SELECT finding, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN n_values > 0 THEN 'observation-value' END, CASE WHEN n_components = 0 THEN 'observation-component' END], lambda x: x IS NOT NULL)) AS finding FROM {select(REFERENCES, 'lineitem')}) GROUP BY 1")
+def p15_component_profile(t: Tables):
+    """Observations of the profile without values of their own."""
+    keys = lambda n: F.slice(F.array(F.lit("valueQuantity"), F.lit("valueString")), 1, F.col(n).cast("int"))
+    rows = t.view("lineitem", REFERENCES).withColumns({"value_keys": keys("n_values"), "component_keys": F.transform(keys("n_components"), lambda k: F.array(k))})
+    return G.findings(rows, G.component_rules(), ["id"]).groupBy("finding").agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'status-not-final' AS finding, count(*) AS n FROM lineitem WHERE l_partkey % 29 = 0")
 def p15_nested_rules(t: Tables):
     return G.findings(nested(t), G.profile_rules(), ["id"]).groupBy("finding").agg(F.count("*").alias("n"))
@@ -684,9 +719,10 @@ def s8_measurement_resources(t: Tables):
     return writers.measurements(rows)
 
 
-@query(f"SELECT parameter, unit, limit_value, is_lower FROM {dims.values([(k, *v) for k, v in dims.PARAMETERS.items()], 'par', ('parameter', 'unit', 'limit_value', 'is_lower'))} WHERE parameter IN (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN 'pH' ELSE 'Nitrate' END FROM part)")
+@query(f"WITH {NESTED_SQL} SELECT parameter, unit, limit_value, is_lower FROM {dims.values([(k, *v) for k, v in dims.PARAMETERS.items()], 'par', ('parameter', 'unit', 'limit_value', 'is_lower'))} WHERE parameter IN (SELECT parameter FROM o)")
 def p16_parameters_in_use(t: Tables):
-    used = t.view("part", ["CASE p_partkey % 2 WHEN 0 THEN 'pH' ELSE 'Nitrate' END AS parameter"]).distinct()
+    """The parameters that a table of nested observations names, with their units and limits."""
+    used = nested(t).select(I.match_parameter(F.col("code")).alias("parameter")).distinct()
     return dims.parameters(t.spark).join(used, "parameter", "left_semi")
 
 
