@@ -29,6 +29,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -43,8 +44,10 @@ RANK_SHIFT, PRIOR, ROUNDS, ADDED = 100, 100.0, 2, 0.1
 #: Tokens of a block, bytes of a text read at once, most frequent words that are broadcast.
 BLOCK, CHUNK, HEAVY = 4_000_000, 1 << 20, 65_536
 SPACE = "▁"
+#: Stands for a space sign within a word; and bits of a piece's number.
+OWN_SPACE, NUMBER = "\udfff", 26
 
-_FOLD = bytes.maketrans(bytes(range(0x41, 0x5B)) + b"\t\n\x0b\x0c\r", bytes(range(0x61, 0x7B)) + b" " * 5)
+_FOLD = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 
 def words_of(text: str | None) -> Iterator[list[bytes]]:
@@ -54,7 +57,7 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
     while at < len(data):
         end = data.find(b" ", at + CHUNK) if at + CHUNK < len(data) else -1
         end = len(data) if end < 0 else end
-        yield data[at:end].split(b" ") if b" " in data[at:end] else [data[at:end]]
+        yield data[at:end].split()  # at the blanks of ASCII, which are those of the contract
         at = end
 
 
@@ -108,52 +111,49 @@ class Pieces:
         """The weight of all pieces that go on with a word."""
         return math.fsum(map(math.exp, [*self.inner.values(), *self.byte]))
 
-    def tables(self) -> tuple[dict, dict, list[str], list[float]]:
-        """By all beginnings of pieces the piece's number (None where a beginning is no piece); names and log weights by number."""
+    def tables(self) -> tuple[ahocorasick.Automaton | None, list[str], list[float]]:
+        """The machine that finds all pieces, each with its length and number; names and log weights by number."""
         if not hasattr(self, "_tables"):
-            names, weights, tables = [], [], []
+            names, weights, machine = [], [], ahocorasick.Automaton()
             for kind, own in (("f", self.first), ("i", self.inner)):
-                known: dict = {p[:k]: None for p in own for k in range(1, len(p))}
-                known |= {p: len(names) + k for k, p in enumerate(own)}
-                names += [kind + p for p in own]
-                weights += own.values()
-                tables.append(known)
-            self._tables = (*tables, names, weights)
+                for piece, w in own.items():
+                    machine.add_word(piece, len(piece) << NUMBER | len(names))
+                    names.append(kind + piece)
+                    weights.append(w)
+            if names:
+                machine.make_automaton()
+            self._tables = (machine if names else None, names, weights)
         return self._tables
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_tables"}
 
     def lattices(self, words: list[str]) -> Lattices:
-        """The arcs of all words' lattices; nodes of all words are numbered through."""
-        first, inner, names, weights = self.tables()
-        single = self.inner
-        extra: dict[str, int] = {}
-        arcs, starts, at = [], [], 0
-        add = arcs.append
-        for word in words:
-            text = SPACE + word
-            n, j = len(text), 1
-            starts.append(at)
-            while j <= n and (s := text[:j]) in first:
-                if (k := first[s]) is not None:
-                    add(at << 34 | j << 26 | k)
-                j += 1
-            for i in range(0 if SPACE not in self.first else 1, n):
-                if i:
-                    j = i + 1
-                    while j <= n and (s := text[i:j]) in inner:
-                        if (k := inner[s]) is not None:
-                            add(at + i << 34 | j - i << 26 | k)
-                        j += 1
-                if i == 0 or text[i] not in single:
-                    add(at + i << 34 | 1 << 26 | extra.setdefault(text[i], len(names) + len(extra)))
-            at += n + 1
-        codes = [c.encode("utf-8", "surrogatepass") for c in extra]
+        """The arcs of all words' lattices; nodes of all words are numbered through.
+
+        Words stand in one text, each behind a space. No piece has a space but at its beginning, so none goes over
+        the end of a word; a space within a word is written as a sign that no text has.
+        """
+        machine, names, weights = self.tables()
+        text = SPACE + SPACE.join(w.replace(SPACE, OWN_SPACE) if SPACE in w else w for w in words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begins = np.r_[0, np.cumsum(sizes)[:-1]]
+        found = np.fromiter((e << 34 | v for e, v in machine.iter(text)) if machine else (), np.int64)
+        target, length, piece = (found >> 34) + 1, found >> NUMBER & 0xFF, found & (1 << NUMBER) - 1
+        # Characters that are no piece go by their bytes, as does a space that is none.
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, which = np.unique(points, return_inverse=True)
+        chars = [chr(k) for k in kinds.tolist()]
+        bare = np.array([c not in (self.first if c == SPACE else self.inner) for c in chars])
+        spots = np.flatnonzero(bare[which])
+        codes = [(SPACE if c == OWN_SPACE else c).encode("utf-8", "surrogatepass") for c in chars]
+        target = np.r_[target, spots + 1]
+        length = np.r_[length, np.ones(len(spots), np.int64)]
+        piece = np.r_[piece, len(names) + which[spots]]
         every = np.array([*weights, *(sum(self.byte[b] for b in c) for c in codes)])
-        packed = np.array(arcs, np.int64)
-        source = packed >> 34
-        return Lattices(np.array(starts, np.int64), at, source, source + (packed >> 26 & 0xFF), packed & (1 << 26) - 1, every, [*names, *("b" + c.hex() for c in codes)])
+        word = np.searchsorted(begins, target - 1, "right") - 1  # each word has one node more than characters
+        starts = begins + np.arange(len(words))
+        return Lattices(starts, int(sizes.sum()) + len(words), target - length + word, target + word, piece, every, [*names, *("b" + c.hex() for c in codes)])
 
     def forward(self, words: list[str]) -> np.ndarray:
         """The log of the sum over all segmentations of each word; that of the end for no word."""
@@ -169,7 +169,8 @@ class Pieces:
         if own := [w for w in words if w]:
             found = self.lattices(own)
             counts = found.counts()
-            out |= {found.names[k]: counts[k] for k in np.flatnonzero(counts).tolist()}
+            for k in np.flatnonzero(counts).tolist():  # a space within words has the same bytes as one before them
+                out[found.names[k]] = out.get(found.names[k], 0.0) + counts[k]
         return by_byte(out)
 
 
@@ -275,7 +276,7 @@ def blocks_of(docs: DataFrame, held: Column, block: int = BLOCK) -> DataFrame:
             for i, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 size = 0
                 for words in words_of(text.as_py()):
-                    found = np.fromiter((numbers[w] for w in words if w), np.int32)
+                    found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                     arrays.append(found)
                     size += len(found)
                 arrays.append(np.zeros(1, np.int32))  # the end
