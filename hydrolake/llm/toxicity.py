@@ -4,7 +4,8 @@ Texts are folded first: compatibility forms, case, look-alike letters of other s
 signs that stand for letters inside a word; all else is one space. The lexicon has whole words and
 beginnings of words whose rates in labelled toxic and clean documents differ enough, with their log
 odds as weights. An automaton over all entries finds them in the folded text; an occurrence inside an
-exception phrase does not count. The score is a logistic function of the weights found, as a sum and
+exception phrase does not count: phrases that are given, and those learned, two words with an entry that
+stand in clean labelled documents and never in toxic ones. The score is a logistic function of the weights found, as a sum and
 normalised by the text's length.
 
 Lexicon and function are fitted on a bounded sample of labelled rows (`TRAIN_ROWS`); scoring reads
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from hydrolake.llm.common import cut, map_rows
 
-#: Bounds: labelled rows that are learned from, entries of the lexicon.
-TRAIN_ROWS, ENTRIES = 30_000, 4000
-#: An entry needs so many toxic documents and so large a log odds ratio.
-LEAST_TOXIC, LEAST_WEIGHT = 3, 3.0
+#: Bound: labelled rows that are learned from. All entries and exceptions that they hold are kept.
+TRAIN_ROWS = 30_000
+#: An entry needs so many toxic documents and so large a log odds ratio, an exception so many clean documents.
+LEAST_TOXIC, LEAST_WEIGHT, LEAST_CLEAN = 3, 3.0, 3
 PREFIXES = range(3, 8)
 
 # Look-alikes of Latin letters, and signs used for letters inside words.
@@ -142,12 +143,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, entries: int = ENTRIES) -> Lexicon:
+def phrases(lexicon: Lexicon, folded: str) -> set[str]:
+    """The phrases of two words of a folded text that hold an entry of the lexicon."""
+    words = folded.split()
+    marked = {k for k, w in enumerate(words) if f" {w} " in lexicon.weights or any(f" {w[:n]}" in lexicon.weights for n in PREFIXES if n < len(w))}
+    return {f"{words[a]} {words[a + 1]}" for k in marked for a in (k - 1, k) if 0 <= a < len(words) - 1}
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """Fit on the `train_rows` labelled rows (doc_id, toxic) with the smallest hashes of their ids.
 
     Contradicting labels of one id are left out, and an id is one row, however often it stands in
-    `docs`. Term counts are summed by Spark; the driver gets the entries and two numbers for each
-    labelled row, both bounded.
+    `docs`. Counts of terms and phrases are summed by Spark; the driver gets the entries, the exceptions and
+    two numbers for each labelled row, all bounded by the sample.
     """
     spark = docs.sparkSession
     clean = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
@@ -174,8 +182,24 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, entr
     # Each term's log odds: a half document is added to each count.
     weight = F.log((F.col("n1") + 0.5) / (counts[1] + 1)) - F.log((F.col("n0") + 0.5) / (counts[0] + 1))
     strong = sums.filter(F.col("n1") >= LEAST_TOXIC).withColumn("w", weight).filter(F.col("w") >= LEAST_WEIGHT)
-    top = strong.orderBy(F.desc(F.col("w") * F.log(F.col("n1") + 1.0)), "term").limit(entries).collect()
-    lexicon = Lexicon({r["term"]: float(r["w"]) for r in top})
+    lexicon = Lexicon({r["term"]: float(r["w"]) for r in strong.select("term", "w").orderBy("term").collect()})
+    entries = spark.sparkContext.broadcast(lexicon)
+
+    def make_phrases():
+        own = entries.value
+
+        def block(part):
+            out: dict[str, list[int]] = {}
+            for r in part:
+                for t in phrases(own, fold(r["text"])):
+                    out.setdefault(t, [0, 0])[r["toxic"]] += 1
+            return [{"term": t, "n0": a, "n1": b} for t, (a, b) in out.items()]
+
+        return block
+
+    pairs = map_rows(train, make_phrases, "term string, n0 long, n1 long", rows=1000).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    free = sorted(r["term"] for r in pairs.filter((F.col("n1") == 0) & (F.col("n0") >= LEAST_CLEAN)).select("term").collect())
+    lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *(t for t in free if t not in EXCEPTIONS)))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def make_features():
