@@ -24,15 +24,20 @@ named like a result are replaced by it; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import map_rows
+from hydrolake.llm.common import cut, map_rows
 
 #: Bounds of the sample that the automata are fitted on: documents and letters of a language, letters in all.
 DOCS_PER_LANG, LETTERS_PER_LANG, LETTERS = 48, 40_000, 4_000_000
+#: Languages up to which what is known of each is broadcast.
+BROADCAST_LANGS = 100_000
 #: Letters of a stretch that walks in step with others; letters of a block.
 SEGMENT, BLOCK_LETTERS = 256, 1 << 21
 #: Free cells that are tried at once for a state's arcs.
@@ -152,15 +157,27 @@ def shares(lengths: list[int], total: int) -> list[int]:
     return out
 
 
+def taken_letters(texts: list[str], most: int) -> np.ndarray:
+    """`most` letters at most of some texts, shared out evenly over them."""
+    parts = [_letters(t) for t in texts]
+    return np.concatenate([p[:n] for p, n in zip(parts, shares(list(map(len, parts)), most))] or [np.zeros(0, np.uint32)])
+
+
 class Model:
     """The automata of all languages over one alphabet; code 0 stands for letters that no sample has."""
 
     def __init__(self, samples: dict[str, list[str]], letters_per_lang: int = LETTERS_PER_LANG, letters: int = LETTERS):
         most = min(letters_per_lang, letters // max(1, len(samples)))
-        taken = {}
-        for lang, texts in sorted(samples.items()):
-            parts = [_letters(t) for t in texts]
-            taken[lang] = np.concatenate([p[:n] for p, n in zip(parts, shares(list(map(len, parts)), most))] or [np.zeros(0, np.uint32)])
+        self._build({lang: taken_letters(texts, most) for lang, texts in sorted(samples.items())})
+
+    @classmethod
+    def of_letters(cls, taken: dict[str, str]) -> Model:
+        """The model of letters that are already taken from the samples of each language."""
+        own = cls.__new__(cls)
+        own._build({k: np.frombuffer(taken[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in sorted(taken)})
+        return own
+
+    def _build(self, taken: dict[str, np.ndarray]) -> None:
         self.langs = [x for x in taken if len(taken[x])]
         self.alphabet = np.unique(np.concatenate([taken[x] for x in self.langs])) if self.langs else np.zeros(0, np.uint32)
         self.automata = [Packed(suffix_automaton((np.searchsorted(self.alphabet, taken[x]) + 1).tolist()), len(self.alphabet) + 1) for x in self.langs]
@@ -262,27 +279,32 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, letters_per_lang: int = LETTERS_PER_LANG, letters: int = LETTERS) -> Model:
     """Fit on a bounded sample of every language: the documents with the smallest text hashes.
 
-    The choice depends on the texts alone, and a text that repeats is taken once. Of a document at most
-    `letters_per_lang` characters reach the driver.
+    The choice depends on the texts alone, and a text that repeats is taken once. Documents are cut to their shares
+    in the tasks, so the driver gets `letters` letters in all, however many languages there are.
     """
-    spark = labelled.sparkSession
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
     # Hashes first, texts after. Distinct hashes are even, so a bound on them leaves about 32 times the wanted
     # documents of a language, however large it is; the ranking then sees that many rows and moves no text.
     share = F.least(F.lit(1.0), 32 * docs_per_lang / F.col("n"))
     bound = F.when(share < 1, (F.lit(-(2.0**63)) + share * 2.0**64).cast("long")).otherwise(F.lit(2**63 - 1))
-    bounds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", bound.alias("bound"))
-    few = rows.select("lang", "h").join(F.broadcast(spark.createDataFrame(bounds.collect(), "lang string, bound long")), "lang").filter("h <= bound").select("lang", "h").distinct()
-    chosen = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).select("lang", "h")
-    wanted = [(r["lang"], r["h"]) for r in chosen.collect()]
-    if not wanted:
+    bounds = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", bound.alias("bound")))
+    languages = bounds.count()
+    if not languages:
         return Model({})
-    head = F.substring("text", 1, letters_per_lang)
-    picked = rows.join(F.broadcast(spark.createDataFrame(wanted, "lang string, h long")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(head).alias("text"))
-    samples: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return Model(samples, letters_per_lang, letters)
+    # A row a language, and some for each of its documents; beyond a hundred thousand languages they are shuffled.
+    held = F.broadcast if languages <= BROADCAST_LANGS else (lambda df: df)
+    few = rows.select("lang", "h").join(held(bounds), "lang").filter("h <= bound").select("lang", "h").distinct()
+    chosen = cut(few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs_per_lang).select("lang", "h"))
+    picked = rows.join(held(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, letters_per_lang)).alias("text"))
+    most = min(letters_per_lang, letters // languages)
+
+    def share_out(key: tuple, table: pa.Table) -> pa.Table:
+        """The letters of one language: some dozen documents, cut, come in."""
+        taken = taken_letters(table.sort_by("h")["text"].to_pylist(), most)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "text": pa.array([taken.tobytes().decode("utf-32-le", "surrogatepass")], pa.string())})
+
+    own = picked.groupBy("lang").applyInArrow(share_out, "lang string, text string").collect()
+    return Model.of_letters({r["lang"]: r["text"] for r in own})
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -290,19 +312,20 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in names]
     fields = [docs.schema[c] for c in keep]
+    text = f"text_{uuid.uuid4().hex}"  # a name that no column has
 
     def make():
         own = shared.value
 
         def block(rows):
-            for r, found in zip(rows, own.predict([r.pop("__text") for r in rows])):
+            for r, found in zip(rows, own.predict([r.pop(text) for r in rows])):
                 r.update(zip(names, found))
             return rows
 
         return block
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string, `{names[1]}` double"])
-    return map_rows(docs.select(*keep, F.col(text_col).alias("__text")), make, schema, rows=1000)
+    return map_rows(docs.select(*keep, F.col(text_col).alias(text)), make, schema, rows=1000)
 
 
 def fold(id_col: Column, folds: int) -> Column:
