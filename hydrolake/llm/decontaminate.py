@@ -30,6 +30,7 @@ looked at by `find` and kept by `clean`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -173,8 +174,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose text has no item, all columns kept. Texts are judged, so null and equal ids need no care."""
     h1, h2 = _text_keys()
-    found = _alignments(docs.select(h1, h2, "text"), benchmark).select(F.col("__h1").alias("__f1"), F.col("__h2").alias("__f2")).distinct()
-    return docs.select("*", h1, h2).join(found, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2")), "left_anti").select(*docs.columns)
+    found = _alignments(docs.select(h1, h2, "text"), benchmark).select("__h1", "__h2").distinct()
+    own = [f"h{k}_{uuid.uuid4().hex}" for k in (1, 2)]  # names that no column has
+    keyed = docs.withColumns(dict(zip(own, (h1, h2))))
+    return keyed.join(found.toDF(*own), own, "left_anti").select(*docs.columns)
 
 
 def oracle() -> str:

@@ -229,3 +229,53 @@ def test_long_local_parts(n):
     assert stay < n / 26 + 5 * math.sqrt(n / 26) and len(new) == n + 12 and back.email(new) == f"{local}@example.org"
     other = there.email(f"{local[:-1]}{'a' if local[-1] != 'a' else 'b'}@example.org")
     assert sum(x == y for x, y in zip(other, new[:n])) < n / 26 + 5 * math.sqrt(n / 26)  # the last letter bears on all
+
+
+def test_columns_of_any_name(spark, prose):
+    """Extra columns named like inner ones pass every stage untouched."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from hydrolake.llm import decontaminate
+
+    texts = prose(6, 40, seed=31)
+    names = ["__h1", "__h2", "__text", "__lang", "__score", "__f1", "tk", "id", "key", "part", "text_", "h"]
+    rows = [(k, t, "en", "s", len(t), *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)]))
+    bench = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [0, 1, 3, 4, 5]
+    for stage in (pipeline.known_language, pipeline.one_of_each_group):
+        got = stage(spark, df, "").orderBy("doc_id").collect()
+        assert [tuple(r) for r in got] == rows
+    found = language_id.identify(df, language_id.fit(df), df.columns)
+    assert set(found.columns) == {*df.columns, "lang_pred", "score"}
+
+
+def test_many_languages_share_the_letters(spark):
+    """The driver gets a bounded number of letters, and the model is that of the samples cut by it."""
+    rows = [(chr(0x4E00 + k) * 50 + f" {k}", f"l{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(df, letters=3000)
+    whole = language_id.Model({lang: [t] for t, lang in rows}, letters=3000)
+    assert model.langs == whole.langs == [lang for _, lang in rows] and list(model.alphabet) == list(whole.alphabet)
+    texts = [t for t, _ in rows[:20]]
+    assert model.predict(texts) == whole.predict(texts)
+
+
+def test_learned_exceptions(spark, docs):
+    """A phrase with an entry that only clean documents have doesn't count."""
+    from hydrolake.llm import toxicity
+
+    filler = ["".join(random.Random(k).choices("bcdfg", k=5)) for k in range(60)]
+    texts, labels = [], []
+    for k in range(400):
+        words = random.Random(k).sample(filler, 12)
+        if k % 4 == 0:
+            words.insert(3, "vilezor")
+        elif k < 12:
+            words.insert(3, "garden vilezor")
+        texts.append(" ".join(words))
+        labels.append((k, int(k % 4 == 0)))
+    d = docs(texts)
+    lexicon = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "garden vilezor" in lexicon.exceptions and any("vilezor" in e for e in lexicon.weights)
+    a, b = lexicon.score("bbb garden vilezor ddd"), lexicon.score("bbb ccc vilezor ddd")
+    assert a < 0.5 < b and a == lexicon.score("bbb ccc ddd eee")
