@@ -44,45 +44,63 @@ def _start(ann: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def _posterior(log_w: DataFrame) -> tuple[DataFrame, float]:
-    """Normalised posteriors and the log likelihood, from unnormalised logs per (spec, class)."""
+    """Normalised posteriors and the log likelihood, from unnormalised logs per (spec, class) of patterns that stand for `w` specimens."""
     w = W.partitionBy("spec")
     peak = log_w.withColumn("m", F.max("lw").over(w))
-    out = cut(peak.withColumn("z", F.sum(F.exp(F.col("lw") - F.col("m"))).over(w)).select("spec", "class", (F.exp(F.col("lw") - F.col("m")) / F.col("z")).alias("p"), (F.col("m") + F.ln("z")).alias("ll")))
-    total = out.groupBy("spec").agg(F.max("ll").alias("ll")).agg(F.sum("ll")).first()[0]
+    out = cut(peak.withColumn("z", F.sum(F.exp(F.col("lw") - F.col("m"))).over(w)).select("spec", "w", "class", (F.exp(F.col("lw") - F.col("m")) / F.col("z")).alias("p"), (F.col("m") + F.ln("z")).alias("ll")))
+    total = out.groupBy("spec").agg(F.max(F.col("ll") * F.col("w")).alias("ll")).agg(F.sum("ll")).first()[0]
     return out.drop("ll"), total
 
 
+def _patterns(ann: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(annotations of one specimen of each pattern with `w`, how many have it; (spec, of): the specimen that stands for each).
+
+    Specimens with the same labels by the same observers have the same posteriors. A pattern is told by its number of
+    annotations and two sums of their hashes, so a specimen's annotations are never gathered.
+    """
+    own = F.xxhash64("observer", "label")
+    told = cut(ann.groupBy("spec").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "observer", "label")).alias("x")))
+    stands = cut(told.groupBy("n", "s", "x").agg(F.min("spec").alias("of"), F.count("*").alias("w")))
+    rows = ann.join(stands.select(F.col("of").alias("spec"), "w"), "spec").select("spec", "observer", "label", "w")
+    return rows, told.join(stands.drop("w"), ["n", "s", "x"]).select("spec", "of")
+
+
 def _fit(ann: DataFrame, classes: list[str], smoothing: float, max_iter: int, tol: float, accuracies) -> tuple[DataFrame, dict[str, float], list[float]]:
+    """Rounds over patterns of annotations, each with the number of specimens that have it."""
     _check(ann, classes)
-    ann = cut(ann.select("spec", "observer", "label"))
-    specs, k = ann.select("spec").distinct().count(), len(classes)
-    post, trace, priors = _start(ann, classes), [], {}
+    rows, members = _patterns(cut(ann.select("spec", "observer", "label")))
+    ann = cut(rows)
+    weights = ann.select("spec", "w").distinct()
+    specs, k = weights.agg(F.sum("w")).first()[0] or 0, len(classes)
+    post, trace, priors = _start(ann, classes).join(weights, "spec"), [], {}
     for _ in range(max_iter):
-        sums = {r["class"]: r["s"] for r in post.groupBy("class").agg(F.sum("p").alias("s")).collect()}  # a row for each class
+        sums = {r["class"]: r["s"] for r in post.groupBy("class").agg(F.sum(F.col("p") * F.col("w")).alias("s")).collect()}  # a row for each class
         priors = {c: (sums.get(c, 0.0) + smoothing) / (specs + k * smoothing) for c in classes}
-        logs, log_prior = accuracies(ann, post)
-        seen = ann.join(logs, ["observer", "label"]).groupBy("spec", "class").agg(F.sum("l").alias("l"))
-        log_w = seen.select("spec", "class", (F.col("l") + S.lookup(F.col("class"), {c: math.log(max(p, FLOOR)) for c, p in priors.items()})).alias("lw"))
+        logs, log_prior = accuracies(ann, post.drop("w"))
+        seen = ann.join(logs, ["observer", "label"]).groupBy("spec", "w", "class").agg(F.sum("l").alias("l"))
+        log_w = seen.select("spec", "w", "class", (F.col("l") + S.lookup(F.col("class"), {c: math.log(max(p, FLOOR)) for c, p in priors.items()})).alias("lw"))
         post, likelihood = _posterior(log_w)
         trace.append(likelihood + log_prior + smoothing * sum(math.log(max(p, FLOOR)) for p in priors.values()))
         if len(trace) > 1 and trace[-1] - trace[-2] < tol:
             break
-    return post, priors, trace
+    every = members.join(post.select(F.col("spec").alias("of"), "class", "p"), "of")
+    return every.select("spec", "class", "p"), priors, trace
 
 
 def dawid_skene(ann: DataFrame, classes: list[str], smoothing: float = 1.0, max_iter: int = 100, tol: float = 1e-5) -> tuple[DataFrame, dict[str, float], list[float]]:
     """(posteriors, priors, trace of the objective) of the model with a confusion matrix for each observer.
 
-    Per round the annotations meet the posteriors by specimen and the matrices by observer and label;
+    Per round the annotations of each pattern meet its posterior by specimen and the matrices by observer and label;
     the driver sees the class sums and two totals.
     """
     k = len(classes)
     every = F.explode(F.array(*[F.lit(c) for c in classes]))
+    mass = F.sum(F.col("p") * F.col("w"))
 
     def accuracies(a: DataFrame, post: DataFrame):
         met = a.join(post, "spec")
-        counts = met.groupBy("observer", "class", "label").agg(F.sum("p").alias("c"))
-        rows = met.groupBy("observer", "class").agg(F.sum("p").alias("r")).withColumn("label", every)
+        counts = met.groupBy("observer", "class", "label").agg(mass.alias("c"))
+        rows = met.groupBy("observer", "class").agg(mass.alias("r")).withColumn("label", every)
         p = (F.coalesce("c", F.lit(0.0)) + smoothing) / (F.col("r") + k * smoothing)
         logs = rows.join(counts, ["observer", "class", "label"], "left").select("observer", "class", "label", F.ln(F.greatest(p, F.lit(FLOOR))).alias("l"))
         logs = cut(logs)
@@ -97,7 +115,8 @@ def one_coin(ann: DataFrame, classes: list[str], smoothing: float = 1.0, max_ite
     every = F.explode(F.array(*[F.lit(c) for c in classes]))
 
     def accuracies(a: DataFrame, post: DataFrame):
-        right = a.join(post, "spec").groupBy("observer").agg((F.sum(F.when(F.col("label") == F.col("class"), F.col("p")).otherwise(0.0)) + 1).alias("r"), (F.count("*") / k + 2).alias("n"))
+        hit = F.when(F.col("label") == F.col("class"), F.col("p") * F.col("w")).otherwise(0.0)
+        right = a.join(post, "spec").groupBy("observer").agg((F.sum(hit) + 1).alias("r"), (F.sum("w") / k + 2).alias("n"))
         acc = cut(right.select("observer", F.least(F.greatest(F.col("r") / F.col("n"), F.lit(FLOOR)), F.lit(1 - FLOOR)).alias("acc")))
         prior = acc.agg(F.sum(F.ln("acc") + F.ln(1 - F.col("acc")))).first()[0] or 0.0
         grid = acc.withColumn("class", every).withColumn("label", F.explode(F.array(*[F.lit(c) for c in classes])))

@@ -10,6 +10,7 @@ from hydrolake.operators import censored as C
 from hydrolake.operators import ecology as E
 from hydrolake.operators import index as I
 from hydrolake.operators import limits as L
+from hydrolake.operators.order import medians
 from hydrolake.plans.registry import Tables, query
 from hydrolake.plans.views import EU, NATIONAL, PARAMETERS, select
 
@@ -252,6 +253,12 @@ def a29_km_left_censored(t: Tables):
     return C.kaplan_meier(t.view("lineitem", CENSORED), "site", "value", "censored")
 
 
+@query("SELECT l_returnflag AS flag, median(l_extendedprice * (1 - l_discount)) AS median FROM lineitem GROUP BY 1")
+def a12_medians_by_digits(t: Tables):
+    """Medians of groups that hold a third of all rows each, found digit by digit."""
+    return medians(t.view("lineitem", ["l_returnflag AS flag", "l_extendedprice * (1 - l_discount) AS v"]), ["flag"], "v", large=1000)
+
+
 @query()
 def a30_ros_left_censored(t: Tables):
     return C.ros(t.view("lineitem", CENSORED), "site", "value", "censored")
