@@ -38,6 +38,7 @@ PARAMETERS = {
     "Nitrate": ("mg/L", 50.0, False), "Nitrite": ("mg/L", 0.50, False), "pH": ("pH", 8.5, False), "Sulphate": ("mg/L", 250.0, False),
     "Total phosphates": ("mg/L", 0.10, False), "Water temperature": ("Cel", 25.0, False), "Zinc dissolved": ("ug/L", 100.0, False),
 }
+# Ranges, spellings, limits of rivers and countries, saturation, dated limits, kinds of sources, plausible values.
 RANGES = {"pH": (6.5, 9.5)}
 #: Other spellings of a parameter in nested records.
 ALIASES = {"703421000": "Water temperature", "temperature (water)": "Water temperature", "watertemperature": "Water temperature"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,27 @@ FIGURES = 6
 
 
 def write_store(df: DataFrame, path: str, key: list[str], partition_by: str | None = "country") -> None:
-    """Rows in key order as Parquet; an empty store is refused, and Spark's commit leaves all files or none."""
-    if df.isEmpty():
-        raise ValueError("the store would be empty")
+    """Rows in key order as Parquet: written beside `path` and published when whole, so a failure leaves the old store.
+
+    An empty store is refused; what was written tells, so the input runs once.
+    """
+    spark = df.sparkSession
+    staged, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
     ordered = df.repartitionByRange(*key).sortWithinPartitions(*key)
-    writer = ordered.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    (ordered.write.partitionBy(partition_by) if partition_by else ordered.write).parquet(staged)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = {p: jvm.Path(p) for p in (path, staged, old)}
+    files = place[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark.read.schema(df.schema).parquet(staged).isEmpty():
+        files.delete(place[staged], True)
+        raise ValueError("the store would be empty")
+    had = files.exists(place[path])
+    if had and not files.rename(place[path], place[old]):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(place[staged], place[path]):
+        raise OSError(f"{staged} can't be published")
+    if had:
+        files.delete(place[old], True)
 
 
 def provenance(dropped: DataFrame, reason: str = "reason", **settings: str) -> DataFrame:
