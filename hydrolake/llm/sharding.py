@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import cut
+from hydrolake.llm.common import cut, spread_join
 
 #: Bits of the hash, bits by which the grid is finer than an even split, and the default limit.
 BITS, FINER, MAX_BYTES = 60, 4, 1 << 20
@@ -57,7 +57,10 @@ def directory(rows: DataFrame, max_bytes: int) -> DataFrame:
         deep = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(start), F.lit(grid))).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(grid) - F.col("depth")).cast("int")))
         sums = deep.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
         fits = F.col("shard_bytes") <= max_bytes if grid < BITS else (F.col("shard_bytes") <= max_bytes) | (F.col("depth") == BITS)
-        first = deep.select("cell", "depth", "prefix").join(sums.filter(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("s"))
+        # All cells lie below the first nodes, so a node's cells are dealt to several tasks.
+        node = F.struct("depth", "prefix").alias("node")
+        met = spread_join(deep.select("cell", node), sums.filter(fits).select(node, "shard_bytes", "shard_rows"), "node", "cell")
+        first = met.select("cell", "node.depth", "shard_bytes", "shard_rows").groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("s"))
         out.append(first.select(F.lit(grid).alias("grid"), "cell", "s.*"))
         # Only the rows of cells that are still oversized go on to a finer grid.
         large = cells.filter(F.col("bytes") > max_bytes)
@@ -79,7 +82,8 @@ def assign(df: DataFrame, key: Column, size: Column, max_bytes: int = MAX_BYTES)
     placed = None
     for g in grids:
         own = cells.filter(F.col("grid") == g).select(F.col("cell").alias("__cell"), *[F.col(c).alias(f"__{c}") for c in RESULT[1:]])
-        part = known.withColumn("__cell", _prefix(F.col("__h"), g)).join(own, "__cell").drop("__cell")
+        part = known.withColumn("__cell", _prefix(F.col("__h"), g)).withColumn("__deal", F.xxhash64("__h", "__bytes"))
+        part = spread_join(part, own, "__cell", "__deal").drop("__cell", "__deal")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
         return df.select(*kept, F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows"))
