@@ -178,6 +178,32 @@ def test_classification_files(spark, tmp_path):
         readers.read_classifications(spark, f"file://{tmp_path}/d.csv")
 
 
+@pytest.mark.parametrize("size", [16, 40, 1 << 20])
+def test_quoted_records_of_many_splits(spark, tmp_path, size):
+    """Whatever the splits, the records are those of a reader that takes the file as one."""
+    import csv
+    import io
+
+    rnd = random.Random(9)
+    wanted, files = [], []
+    for k in range(3):
+        rows = [["".join(rnd.choice(["a", "é", '"', ",", "\n", "\r\n", " ", "x" * 20, ""]) for _ in range(rnd.randint(1, 8))) for _ in range(3)] for _ in range(40)]
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\r\n" if k else "\n", quoting=csv.QUOTE_ALL).writerows([["p", "q", "s"], *rows])
+        body = text.getvalue().replace("s\"\r\n", 's"\r\n\r\n', 1) + ('"open,1\n2' if k == 2 else "")
+        (tmp_path / f"{k}.csv").write_text(body, newline="")
+        wanted += [[c.replace("\r\n", "\n") or None for c in r] for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [list(r) for r in readers._csv(spark, f"file://{tmp_path}", ("p", "q", "s")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r[3] for r in got) == 1  # the open quote
+    assert sorted((r[:3] for r in got if not r[3]), key=str) == sorted(wanted, key=str)
+
+
 def test_provenance(spark):
     dropped = spark.createDataFrame([("date",), ("date",), (None,), ("unit",)], "reason string")
     got = {r["key"]: r["value"] for r in writers.provenance(dropped, edition="7").collect()}
