@@ -287,5 +287,5 @@ def first_identity(cells: DataFrame, windows: list[tuple[str, int, int]]) -> Dat
 
 
 def exact_sum(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Correctly rounded sums of doubles, null without values, the same in any order."""
-    return exact.exact_sum(df, by, value)
+    """Correctly rounded sums of doubles, the same in any order; groups without values are left out, and no group at all sums to null."""
+    return exact.exact_sum(df.filter(F.col(value).isNotNull()), by, value)
