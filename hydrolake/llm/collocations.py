@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrolake.llm.common import shared_table, spread_join
 
 LEAST, TOP, COVER = 10, 2000, 50
-#: Frequent words at most; entries of a task's tries; entries of a container before it bursts; bytes of a text read at once.
-HEAVY, ENTRIES, BURST, CHUNK = 65_536, 1_500_000, 16_384, 1 << 20
+#: Frequent words at most; entries of a task's tries; entries of a container before it bursts; bytes of a text and words that are read at once.
+HEAVY, ENTRIES, BURST, CHUNK, RUN = 65_536, 1_500_000, 16_384, 1 << 20, 400_000
 #: Prefix partitions at least, and phrases that one of them has about at most.
 PARTS, PART_PHRASES = 1024, 4_000_000
 #: Bits of a word's number in a packed phrase; with more words a task spills all and begins anew.
@@ -169,18 +169,17 @@ class Tally:
     def clear(self) -> None:
         self.numbers, self.root, self.size = _Numbers(), Node(2 * BITS), 0
 
-    def add(self, texts: list[str | None]) -> None:
-        """Count the phrases of two and three words of some texts."""
-        found = [np.zeros(1, np.int64)]
-        for text in texts:
-            for words in words_of(text):
-                found.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-            found.append(np.zeros(1, np.int64))
-        w = np.concatenate([*found, np.zeros(1, np.int64)])
+    def add(self, words: list[bytes], carried: int = 0) -> None:
+        """Count the phrases of two and three words of a run of words, but for those wholly within its first `carried` words (two at most)."""
+        w = np.r_[np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)), 0, 0]
         a, b, c = w[:-2], w[1:-1], w[2:]
         two = (a > 0) & (b > 0)
-        pairs = a[two] << 2 * BITS | b[two] << BITS
-        keys, counts = np.unique(np.concatenate([pairs, (pairs | c[two])[c[two] > 0]]), return_counts=True)
+        three = two & (c > 0)
+        pairs = a << 2 * BITS | b << BITS
+        triples = (pairs | c)[three]
+        if carried == 2 and len(two):
+            two[0] = False
+        keys, counts = np.unique(np.concatenate([pairs[two], triples]), return_counts=True)
         self.size += self.root.add(keys, counts)
 
     def spill(self, least: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -298,8 +297,8 @@ def phrase_counts(docs: DataFrame, heavy: dict[str, frozenset[bytes]], parts: in
                 if lang not in tallies:
                     tallies[lang] = Tally(lang, heavy.get(lang, frozenset()), parts)
                 tally = tallies[lang]
-                for some in _by_size(texts):
-                    tally.add(some)
+                for words, carried in runs_of(texts):
+                    tally.add(words, carried)
                     while sum(t.size for t in tallies.values()) > entries or len(tally.numbers) > WORDS:
                         largest = max(tallies.values(), key=lambda t: t.size) if len(tally.numbers) <= WORDS else tally
                         yield from rows(largest, max(1, largest.size // 2))
@@ -350,21 +349,20 @@ def phrase_counts(docs: DataFrame, heavy: dict[str, frozenset[bytes]], parts: in
     return dealt.mapInArrow(joined, "lang string, phrase string, n long")
 
 
-def _by_size(texts: list[str | None], most: int = 4 << 20) -> Iterator[list[str | None]]:
-    """Groups of texts of some million characters."""
-    some, size = [], 0
+def runs_of(texts: list[str | None], most: int = RUN) -> Iterator[tuple[list[bytes], int]]:
+    """The words of texts in runs of some hundred thousand, a mark behind each text; a run begins with the last two words of the one before."""
+    run: list[bytes] = []
+    carried = 0
     for text in texts:
-        some.append(text)
-        size += len(text or "")
-        if size > most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def _exact(c: str) -> Column:
-    return F.col(c).cast("decimal(19,0)")
+        for words in words_of(text):
+            run += words
+            if len(run) >= most:
+                yield run, carried
+                run = run[-2:]
+                carried = len(run)
+        run.append(b".")
+    if len(run) > carried:
+        yield run, carried
 
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:

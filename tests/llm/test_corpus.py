@@ -64,10 +64,13 @@ def test_collocations_of_small_bounds(spark, docs, phrases, monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 16)
     tally = collocations.Tally("en", frozenset([b"the", b"of"]), 7)
     counts, runs = Counter(), []
-    for k in range(0, len(phrases), 10):
-        tally.add(phrases[k : k + 10])
-        if k % 30 == 0:
+    for k, (words, carried) in enumerate(collocations.runs_of(phrases, 50)):
+        tally.add(words, carried)
+        if k % 5 == 0 and tally.size:
             runs += tally.spill(max(1, tally.size // 2))
+        if k % 17 == 0 and tally.size:  # as where words outgrow their numbers: the next run brings its last words along
+            runs += tally.spill(tally.size)
+            tally.clear()
     runs += tally.spill(tally.size)
     for part, low, block in runs:
         table = collocations.unpack([block]).to_pydict()
@@ -90,6 +93,24 @@ def test_texts_in_parts():
         assert [w for some in collocations.words_of(text, chunk) for w in some] == text.replace(",", " .").encode().split()
 
 
+def test_runs_of_words(monkeypatch):
+    monkeypatch.setattr(collocations, "words_of", lambda text: iter([list(text[k : k + 3]) for k in range(0, len(text), 3)]))
+    for most in (1, 2, 3, 5, 100):
+        seen = []
+        for run, carried in collocations.runs_of(["abcdefgh", "", "xy"], most):
+            assert run[:carried] == seen[len(seen) - carried :]
+            seen += run[carried:]
+        assert [x if isinstance(x, str) else x.decode() for x in seen] == list("abcdefgh..xy.")
+
+
+def test_features_of_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{k % 7}x{k % 5}" for k in range(300)) + " é -- A9"
+    whole = np.concatenate([p for _, p in resampling.Hasher(1000).of(text)])
+    monkeypatch.setattr(resampling, "CHUNK", 40)
+    parts = list(resampling.Hasher(1000, kept=3).of(text))
+    assert len(parts) > 5 and sorted(np.concatenate([p for _, p in parts])) == sorted(whole) and sum(n for n, _ in parts) == 302
+
+
 def plain_resampling(docs, target):
     def features(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
