@@ -19,7 +19,8 @@ document's tokens. Words with more than one of `HEAVY` of all tokens (`HEAVY` ro
 all others are joined by shuffle.
 
 Cases: a null or empty text has the end only; repeated rows count as often as they stand there; without
-training rows base and word arcs are empty and pieces have the file's scores; a null id is held out; texts and words of any length are taken whole; other columns are not looked at; an empty
+training rows base and word arcs are empty and pieces have the file's scores; a null id is held out; texts and words of any length are taken whole,
+and a block holds whole documents; other columns are not looked at; an empty
 table gives no rows.
 """
 

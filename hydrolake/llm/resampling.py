@@ -58,9 +58,9 @@ class Hasher:
         self.buckets, self.kept = buckets, kept
         self.begun: dict[bytes, int] = {}  # of a word and a space, to go on from with the next word
 
-    def of(self, text: str | None) -> tuple[int, np.ndarray]:
-        """How many words, and the bucket of each feature."""
-        n, last, out = 0, None, []
+    def of(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
+        """How many words, and the bucket of each feature, of a text's parts of some megabyte."""
+        last = None
         for words in words_of(text):
             if not words:
                 continue
@@ -72,12 +72,10 @@ class Hasher:
                 if h is None:
                     h = begun[w] = crc32(w + b" ")
                 starts.append(h)
-            out.append(np.fromiter(map(crc32, words), np.int64, len(words)))
-            out.append(np.fromiter(map(crc32, words[1:], starts), np.int64, len(words) - 1))
-            if last is not None:
-                out.append(np.array([crc32(words[0], last)], np.int64))
-            n, last = n + len(words), starts[-1]
-        return n, np.concatenate(out) % self.buckets if out else np.empty(0, np.int64)
+            single = np.fromiter(map(crc32, words), np.int64, len(words))
+            pairs = np.fromiter(map(crc32, words if last is not None else words[1:], [last, *starts] if last is not None else starts), np.int64)
+            yield len(words), np.concatenate([single, pairs]) % self.buckets
+            last = starts[-1]
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -87,7 +85,8 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         hasher, counts = Hasher(buckets), np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts += np.bincount(hasher.of(text.as_py())[1], minlength=buckets)
+                for _, part in hasher.of(text.as_py()):
+                    counts += np.bincount(part, minlength=buckets)
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
 
@@ -112,10 +111,12 @@ def scored(docs: DataFrame, gain: np.ndarray, seed: int = 7) -> DataFrame:
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                n, at = hasher.of(text.as_py())
-                weight = int(gain[at].sum()) // len(at) if len(at) else 0
+                n = features = total = 0
+                for words, part in hasher.of(text.as_py()):
+                    n, features, total = n + words, features + len(part), total + int(gain[part].sum())
+                weight = total // features if features else 0
                 h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
-                rows.append((i, n, len(at), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+                rows.append((i, n, features, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
             if rows:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "n_words", "n_features", "weight", "score"])
 
