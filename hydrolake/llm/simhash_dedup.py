@@ -12,8 +12,11 @@ compared in cells of bounded size and each cell returns only a spanning forest o
 which keeps the components and leaves no quadratic number of rows behind a group of near copies.
 
 The pipeline's stage (`keep_one`) has a contract of its own: shingles of five words and a Jaccard
-likeness of 0.8. Such pairs differ in some ten bits, beyond what this index can hold, so its
-candidates are pairs that share a band of least hashes, and each is verified by the whole sets.
+likeness of 0.8. Of such pairs some 15 of 100 bits differ, beyond what lists of 64 bits can hold, so
+its fingerprints have 1024 bits, that is 256 positions of half a byte, and 192 lists, each keyed by
+four positions. An entry carries its first 32 positions: pairs of a list that share fewer than
+`STAGE_SHARED` of them are left, the rest are verified by their bits. What is so linked forms groups,
+and within a group the exact likeness of whole sets decides.
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other; repeated
 rows and equal doc_ids are rows of their own with equal results; null doc_ids are kept, and a
@@ -24,6 +27,7 @@ component of them alone has a null id, and ids may be any longs; other columns a
 from __future__ import annotations
 
 import uuid
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -42,10 +46,17 @@ WORDS, SEED, RADIUS = 4, 42, 4
 POSITIONS = tuple(combinations(range(8), 4))
 #: The pipeline's stage: words of a shingle and least Jaccard likeness (numerator, denominator) of linked texts.
 STAGE_WORDS, LIKE = 5, (4, 5)
-#: Bands of five least hashes each: of pairs with a likeness of 0.8 all but (1 - 0.8**5)**30, 7 in a million, share a band.
-BANDS = 30
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 5 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Sets and hashes of a chunk of a band, and hashes that a cell compares at once.
+#: Bits of the stage's fingerprints, and the lists of each: every four half-byte positions once, then in two more orders.
+STAGE_BITS = 1024
+ORDERS = [np.random.default_rng([SEED, k]).permutation(STAGE_BITS // 4) if k else np.arange(STAGE_BITS // 4) for k in range(3)]
+LISTS = np.concatenate(ORDERS).reshape(-1, 4)
+#: Of the 32 half bytes that an entry carries, those that a pair shares at least, and the bits of 128 that differ at most.
+STAGE_SHARED, STAGE_RADIUS = 5, 38
+#: Entries of a list that are compared in one cell, and one in how many is counted to find longer lists.
+ENTRIES, COUNTED = 2048, 16
+#: Sorted entries that a task compares at once.
+ROWS = 1 << 17
+#: Sets and hashes of a chunk of a group, and hashes that a cell compares at once.
 CHUNK, CHUNK_HASHES, COLUMNS = 256, 1 << 19, 4096
 #: Hashes that are counted at once; a long text is counted in several parts.
 PART = 1 << 16
@@ -169,16 +180,22 @@ def _sketch_set(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, STAGE_WORDS)], "<u8"))
 
 
-def _sketch(text: str | None) -> tuple[np.ndarray, list[int]]:
-    """The sorted distinct hashes of a text's shingles of `STAGE_WORDS` words, and a hash of the least values of each band."""
-    found = _sketch_set(text)
-    if not len(found):
-        return found, []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1024):
-        least = np.minimum(least, (found[at : at + 1024, None] * FACTORS).min(0))
-    rows = least.astype("<u8").reshape(BANDS, -1)
-    return found, [_signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
+@cache
+def _weights() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, np.iinfo(np.uint64).max, (2, 4096, STAGE_BITS // 8), np.uint64, endpoint=True)
+
+
+def _wide(found: np.ndarray) -> np.ndarray:
+    """The `STAGE_BITS` bits of a set of hashes, as bytes: bit k is set if the hashes' signed bytes k sum up to more than zero.
+
+    A hash's bytes are those of two rows of a table. Whole bytes and not mere signs, so that small sets have no ties.
+    """
+    low, high = _weights()
+    total = np.zeros(STAGE_BITS, np.int64)
+    for at in range(0, len(found), 512):
+        h = found[at : at + 512]
+        total += (low[(h & np.uint64(4095)).astype(np.intp)] ^ high[(h >> np.uint64(12) & np.uint64(4095)).astype(np.intp)]).view(np.int8).sum(0, dtype=np.int32)
+    return np.packbits(2 * total + len(found) > 0, bitorder="little")
 
 
 def _signed(x: int) -> int:
@@ -186,20 +203,129 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tk, key, n, bands): a hash of the text, one of its set of shingles, the set's size, its bands."""
+    """(id, tk, key, n, node, fp): a hash of the text, one of its set of shingles, the set's size, its fingerprint's first 64 bits and all of them."""
 
     def make():
         def block(rows):
             for r in rows:
-                found, r["bands"] = _sketch(r.pop("__text"))
-                r["key"], r["n"] = _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), len(found)
+                found = _sketch_set(r.pop("__text"))
+                r["key"], r["n"], r["fp"] = _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), len(found), _wide(found).tobytes()
+                r["node"] = int.from_bytes(r["fp"][:8], "little", signed=True)
             return rows
 
         return block
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("__text"))
-    return map_rows(own, make, f"id {kind}, tk bigint, key bigint, n int, bands array<bigint>")
+    return map_rows(own, make, f"id {kind}, tk bigint, key bigint, n int, node bigint, fp binary")
+
+
+def _entries(fps: DataFrame) -> DataFrame:
+    """(list, f0, f1, key) of (fp, key): an entry in each of the lists. A list's number is that of its positions and their half bytes; f0 and f1 are the first 128 bits."""
+
+    def run(batches):
+        number = np.arange(len(LISTS), dtype=np.int64) << 16
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                octets = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                halves = np.stack([octets & 15, octets >> 4], -1).reshape(part.num_rows, -1).astype(np.int64)
+                lists = number + sum(halves[:, LISTS[:, k]] << 4 * k for k in range(4))
+                first = np.ascontiguousarray(octets[:, :16]).view("<i8")
+                own = [first[:, 0], first[:, 1], part.column(1).to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), *(pa.array(np.repeat(x, len(LISTS))) for x in own)], ["list", "f0", "f1", "key"])
+
+    return fps.select("fp", "key").mapInArrow(run, "list long, f0 long, f1 long, key long")
+
+
+def _placed_entries(fps: DataFrame, most: int) -> DataFrame:
+    """(cell, side, f0, f1): the entries of each list, in cells of two chunks where a list has more than some `most`.
+
+    One of `COUNTED` fingerprints is counted to find long lists. That only says how they are dealt: all entries are compared either way.
+    """
+    chunk = lambda x: F.pmod(F.xxhash64(F.lit(5), "key"), F.col(x)).cast("int")
+    some = _entries(fps.filter(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(COUNTED)) == 0))
+    long = cut(some.groupBy("list").count().filter(F.col("count") * COUNTED > most).select("list", F.ceil(F.col("count") * COUNTED / most).cast("int").alias("chunks")))
+    entries = _entries(fps)
+    whole = lambda df: df.select(F.col("list").alias("cell"), F.lit(0).alias("side"), "f0", "f1")
+    if long.isEmpty():
+        return whole(entries)
+    dealt = entries.join(F.broadcast(long), "list").withColumn("c", chunk("chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    i, j = (f("c", "other").cast("long") for f in (F.least, F.greatest))
+    # The number of a list has 24 bits. Cells that compare a chunk with itself have one side.
+    cell = F.col("list") + i * (1 << 24) + j * (1 << 43)
+    return whole(entries.join(F.broadcast(long), "list", "left_anti")).unionByName(dealt.select(cell.alias("cell"), (F.col("c") > F.col("other")).cast("int").alias("side"), "f0", "f1"))
+
+
+def _close(cell: np.ndarray, side: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, smallest linked) of sorted cells, over the pairs within a cell that pass the tally of half bytes and then the bits.
+
+    Links are stars, so that lists with the same members return the same rows.
+    """
+    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+    ones = np.uint64(0x1111111111111111)
+    # A cell of two chunks compares one with the other only.
+    two = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+    two = np.repeat(np.maximum.reduceat(side, two), np.diff(two, append=len(cell))) if len(cell) else side
+    label = np.arange(len(cell))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = int(label[x])
+        return x
+
+    a, d = np.arange(len(cell)), 0
+    while len(a):
+        d += 1
+        a = a[: np.searchsorted(a, len(cell) - d)]
+        a = a[cell[a] == cell[a + d]]
+        own = a[(label[a] != label[a + d]) & ((two[a] == 0) | (side[a] != side[a + d]))]
+        x0, x1 = f0[own] ^ f0[own + d], f1[own] ^ f1[own + d]
+        half = [x | x >> np.uint64(1) for x in (x0, x1)]
+        shared = 32 - sum(np.bitwise_count((h | h >> np.uint64(2)) & ones) for h in half) >= STAGE_SHARED
+        own, x0, x1 = own[shared], x0[shared], x1[shared]
+        own = own[np.bitwise_count(x0) + np.bitwise_count(x1) <= STAGE_RADIUS]
+        for x in own.tolist():
+            u, v = root(x), root(x + d)
+            if u != v:
+                label[max(u, v)] = min(u, v)
+        if len(own):
+            while (label != (up := label[label])).any():
+                label = up
+    least = f0.view(np.int64).copy()
+    np.minimum.at(least, label, f0.view(np.int64))
+    linked = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+    return f0.view(np.int64)[linked], least[label[linked]]
+
+
+def stage_links(fps: DataFrame, most: int | None = None) -> DataFrame:
+    """(fp, key) to edges (u, v) between the first 64 bits of fingerprints, whose closure is that of all pairs that the lists link."""
+    most = most or max(ENTRIES, 8 * fps.count() >> 16)
+    placed = _placed_entries(fps, most).repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        held, rows = [], 0
+
+        def links(last: bool):
+            nonlocal held, rows
+            cell, side, f0, f1 = (np.concatenate([h[k] for h in held]) for k in range(4))
+            # The last cell may go on in the next batch.
+            end = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
+            held, rows = [(cell[end:], side[end:], f0[end:], f1[end:])], 0
+            u, v = _close(cell[:end], side[:end], f0[:end], f1[:end])
+            apart = u != v
+            return pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], ["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+            rows += batch.num_rows
+            if rows >= ROWS:
+                yield links(False)
+        if held:
+            yield links(True)
+
+    return placed.mapInArrow(run, "u long, v long").distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -244,7 +370,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(side: list[int], keys: list[int], parts: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a cell that bring together what is not so yet: a spanning forest of its alike sets over the parts."""
+    """Links (of parts) of a cell that bring together what is not so yet: a star for each group of parts with alike sets."""
     up = {p: p for p in parts}
 
     def root(x: int) -> int:
@@ -258,27 +384,23 @@ def _linked(side: list[int], keys: list[int], parts: list[int], sets: list[np.nd
     size = np.array([len(x) for x in sets])
     common = _common([sets[k] for k in left], [sets[k] for k in right])
     near = _enough(common.astype(np.int64), size[left][:, None], size[right][None, :])
-    out = []
     for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
         x, y = left[i], right[j]
         a, b = root(parts[x]), root(parts[y])
         if a != b:
             up[max(a, b)] = min(a, b)
-            out.append((keys[x], keys[y]))
-    return out
+    return [(p, root(p)) for p in up if root(p) != p]
 
 
 def _between(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between members (band, key, n, part) of one band that are in different parts.
+    """Links (u, v) between the parts of alike members (band, key, n, part) of one band, a group of the index, that are in different parts.
 
-    Bands with equal members are compared once. A band's members are dealt to chunks of at most `CHUNK` sets and
-    some `CHUNK_HASHES` hashes, and each pair of chunks is a cell that a task compares: no pair is a row, and a cell
-    returns only links that bring parts together.
+    A band's members are dealt to chunks of at most `CHUNK` sets and some `CHUNK_HASHES` hashes, and each pair of
+    chunks is a cell that a task compares: no pair is a row, and a cell returns only links that bring parts together.
     """
-    mixed = placed.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("a"), F.max("key").alias("b"), F.sum("n").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    mixed = placed.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int")
-    once = mixed.groupBy("m", "x", "a", "b").agg(F.min("band").alias("band"), F.max(chunks).alias("chunks")).select("band", "chunks")
-    dealt = placed.join(once, "band").withColumn("c", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = spread_join(placed, mixed.select("band", chunks.alias("chunks")), "band", "key").withColumn("c", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells_ = dealt.select("band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"), "key", "part")
     gathered = cells_.join(sets, "key").groupBy("band", "i", "j").agg(F.collect_list(F.struct("side", "key", "part", "s")).alias("members")).select("members")
 
@@ -303,31 +425,30 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = cut(sketches(docs, id_col, text_col))
     # Of all copies of a text one row, named by its hash and that of its id, stands for them.
     one = F.min(F.struct("tk", F.xxhash64("id").alias("ik"))).alias("one")
-    known = rows.filter("n > 0").groupBy("key").agg(one, F.max("n").alias("n"), F.any_value("bands").alias("bands"))
-    index = known.select("key", "one", "n", F.explode("bands").alias("band"))
-    shared = index.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
-    members = cut(index.join(shared, "band"))
-    wanted = members.select("key", "one.tk", "one.ik").distinct()
+    known = cut(rows.filter("n > 0").groupBy("key").agg(one, *(F.any_value(c).alias(c) for c in ("n", "node", "fp"))))
+    grouped = spread_join(known, connected_components(stage_links(known)).withColumnRenamed("component", "band"), "node", "key", "left")
+    grouped = grouped.select("key", "one", "n", F.coalesce("band", "node").alias("band"))
+    shared = grouped.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
+    members = cut(spread_join(grouped, shared, "band", "key"))
+    wanted = members.select("key", "one.tk", "one.ik")
     own = docs.select(F.xxhash64(text_col).alias("tk"), F.xxhash64(id_col).alias("ik"), F.col(text_col).alias("text")).join(wanted, ["tk", "ik"])
     sets = cut(_sets(own.groupBy("key").agg(F.first("text").alias("text"))))
     sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
-    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv"))
-    stars = stars.filter("u <> v").filter(sized).distinct()
-    first = cut(_alike(stars, sets))
-    parts = connected_components(first)
-    placed = members.join(parts, members["key"] == parts["node"], "left")
-    placed = cut(placed.select("band", "key", "n", F.coalesce("component", "key").alias("part")))
-    parts = connected_components(first.unionByName(_between(placed, sets)))
-    named = spread_join(rows, parts.withColumnRenamed("node", "key"), "key", "id", "left")
-    return named.select("id", "tk", F.coalesce("component", "key").alias("part"))
+    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized)
+    # A set is in one group only, so those that are like the group's smallest are a part as they are.
+    placed = members.join(_alike(stars, sets).toDF("part", "key"), "key", "left")
+    placed = cut(placed.select("band", "key", "n", F.coalesce("part", "key").alias("part")))
+    parts = placed.select("key", F.col("part").alias("node")).join(connected_components(_between(placed, sets)), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
+    named = spread_join(rows.select("id", "tk", "key"), parts, "key", "id", "left")
+    return named.select("id", "tk", F.coalesce("part", "key").alias("part"))
 
 
 def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): texts whose sets of shingles of five words have a Jaccard likeness of 0.8 or more, linked transitively.
 
-    Texts that share a band are candidates and are verified by their whole sets: first each member of a band
-    against the band's smallest, then, in bands whose members are still in different components, those members
-    among each other in cells.
+    Texts whose fingerprints the index links, directly or over others, are a group, and are verified by their whole
+    sets: first each member of a group against the group's smallest, then, in groups whose members are still in
+    different parts, those members among each other in cells.
     """
     named = _parts(docs, id_col, text_col)
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
@@ -343,7 +464,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = _parts(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     kept = named.groupBy("part").agg(F.min(F.struct("id", "tk")).alias("kept"))
     mine = spread_join(named, kept, "part", "id")
-    other = mine.filter((F.col("kept.id") != F.col("id")) | (F.col("kept.tk") != F.col("tk"))).select("id", "tk").distinct()
+    # Written down, as it is read twice: for what is left, and for what is left of equal rows.
+    other = cut(mine.filter((F.col("kept.id") != F.col("id")) | (F.col("kept.tk") != F.col("tk"))).select("id", "tk").distinct())
     own, tk = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "tk"))  # names that no column has
     rows = docs.withColumns({own: F.col(id_col), tk: F.xxhash64(text_col)})
     left = rows.join(other.toDF(own, tk), [own, tk], "left_anti")

@@ -186,3 +186,30 @@ def test_large_groups_of_near_copies(spark, docs, prose, monkeypatch):
     assert 1 < len(set(want.values())) < 100
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.like_groups(docs(texts)).collect()}
     assert got == want
+
+
+def test_stage_goes_through_its_index_of_half_bytes(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "COUNTED", 1)
+    rnd = random.Random(12)
+    texts = prose(150, 60, seed=41)
+    for t in prose(30, 100, seed=42):
+        w = t.split()
+        w[rnd.randrange(len(w))] = "edit"
+        texts += [t, " ".join(w)]
+    known = simhash_dedup.sketches(docs(texts)).cache()
+    fps = {r["node"]: np.frombuffer(bytes(r["fp"]), np.uint8) for r in known.collect()}
+    halves = {k: np.stack([f & 15, f >> 4], 1).ravel() for k, f in fps.items()}
+    near = []
+    for a, b in combinations(fps, 2):
+        equal = halves[a] == halves[b]
+        differ = int(np.bitwise_count(fps[a][:16] ^ fps[b][:16]).sum())
+        if equal[simhash_dedup.LISTS].all(1).any() and equal[:32].sum() >= simhash_dedup.STAGE_SHARED and differ <= simhash_dedup.STAGE_RADIUS:
+            near.append((a, b))
+    want = closure(near, fps)
+    assert len(near) >= 30
+    for most in (None, 2):  # lists in one piece, and dealt to cells of two chunks
+        got = [tuple(r) for r in simhash_dedup.stage_links(known, most).collect()]
+        assert closure(got, fps) == want
+    # Without the index no likeness is found.
+    monkeypatch.setattr(simhash_dedup, "stage_links", lambda known: spark.createDataFrame([], "u long, v long"))
+    assert all(r["doc_id"] == r["component_id"] for r in simhash_dedup.like_groups(docs(texts)).collect())
