@@ -325,7 +325,11 @@ def stage_links(fps: DataFrame, most: int | None = None) -> DataFrame:
         if held:
             yield links(True)
 
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    found = placed.mapInArrow(run, "u long, v long")
+    # Lists name different members as a group's smallest: a member keeps the least of them, and these are linked among each other.
+    least = found.groupBy("u").agg(F.collect_set("v").alias("all")).withColumn("m", F.array_min("all"))
+    star = F.transform("all", lambda v: F.struct(F.when(v == F.col("m"), F.col("u")).otherwise(v).alias("u"), F.col("m").alias("v")))
+    return least.select(F.explode(star).alias("e")).select("e.u", "e.v").distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
