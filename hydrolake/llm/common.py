@@ -57,14 +57,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", parts: int = 8) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", parts: int = 8, merge: bool = False) -> DataFrame:
     """Join on `key`, where `right` has a row for each key at most and `left` may have very many of one.
 
     Rows of `left` are dealt into `parts` by a hash of `by`, and `right` stands in each of them, so no task gets all of a hot key.
+    `merge`: by sorting, even where `right` turns out small, so that the driver builds no table to broadcast; for joins that are made round after round.
     """
     dealt = left.withColumn("__part", F.pmod(F.xxhash64(F.lit(11), by), F.lit(parts)).cast("int"))
     copies = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(copies, [key, "__part"], how).drop("__part")
+    return dealt.join(copies.hint("merge") if merge else copies, [key, "__part"], how).drop("__part")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[dict]]], schema: pa.Schema | str, rows: int = 200) -> DataFrame:

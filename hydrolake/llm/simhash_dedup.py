@@ -329,7 +329,7 @@ def stage_links(fps: DataFrame, most: int | None = None) -> DataFrame:
     # Lists name different members as a group's smallest: a member keeps the least of them, and these are linked among each other.
     least = found.groupBy("u").agg(F.collect_set("v").alias("all")).withColumn("m", F.array_min("all"))
     star = F.transform("all", lambda v: F.struct(F.when(v == F.col("m"), F.col("u")).otherwise(v).alias("u"), F.col("m").alias("v")))
-    return least.select(F.explode(star).alias("e")).select("e.u", "e.v").distinct()
+    return least.select(F.explode(star).alias("e")).select("e.u", "e.v")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def _between(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """
     mixed = placed.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_HASHES)).cast("int")
-    dealt = spread_join(placed, mixed.select("band", chunks.alias("chunks")), "band", "key").withColumn("c", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = spread_join(placed, mixed.select("band", chunks.alias("chunks")), "band", "key", merge=True).withColumn("c", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells_ = dealt.select("band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"), "key", "part")
     gathered = cells_.join(sets, "key").groupBy("band", "i", "j").agg(F.collect_list(F.struct("side", "key", "part", "s")).alias("members")).select("members")
 
@@ -430,10 +430,10 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Of all copies of a text one row, named by its hash and that of its id, stands for them.
     one = F.min(F.struct("tk", F.xxhash64("id").alias("ik"))).alias("one")
     known = cut(rows.filter("n > 0").groupBy("key").agg(one, *(F.any_value(c).alias(c) for c in ("n", "node", "fp"))))
-    grouped = spread_join(known, connected_components(stage_links(known)).withColumnRenamed("component", "band"), "node", "key", "left")
+    grouped = spread_join(known, connected_components(stage_links(known)).withColumnRenamed("component", "band"), "node", "key", "left", merge=True)
     grouped = grouped.select("key", "one", "n", F.coalesce("band", "node").alias("band"))
     shared = grouped.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
-    members = cut(spread_join(grouped, shared, "band", "key"))
+    members = cut(spread_join(grouped, shared, "band", "key", merge=True))
     wanted = members.select("key", "one.tk", "one.ik")
     own = docs.select(F.xxhash64(text_col).alias("tk"), F.xxhash64(id_col).alias("ik"), F.col(text_col).alias("text")).join(wanted, ["tk", "ik"])
     sets = cut(_sets(own.groupBy("key").agg(F.first("text").alias("text"))))
@@ -443,7 +443,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = members.join(_alike(stars, sets).toDF("part", "key"), "key", "left")
     placed = cut(placed.select("band", "key", "n", F.coalesce("part", "key").alias("part")))
     parts = placed.select("key", F.col("part").alias("node")).join(connected_components(_between(placed, sets)), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
-    named = spread_join(rows.select("id", "tk", "key"), parts, "key", "id", "left")
+    named = spread_join(rows.select("id", "tk", "key"), parts, "key", "id", "left", merge=True)
     return named.select("id", "tk", F.coalesce("part", "key").alias("part"))
 
 
@@ -456,7 +456,7 @@ def like_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     named = _parts(docs, id_col, text_col)
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
-    return spread_join(named.drop("tk"), least, "part", "id").select(F.col("id").alias(id_col), "component_id")
+    return spread_join(named.drop("tk"), least, "part", "id", merge=True).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -467,7 +467,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     named = _parts(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     kept = named.groupBy("part").agg(F.min(F.struct("id", "tk")).alias("kept"))
-    mine = spread_join(named, kept, "part", "id")
+    mine = spread_join(named, kept, "part", "id", merge=True)
     # Written down, as it is read twice: for what is left, and for what is left of equal rows.
     other = cut(mine.filter((F.col("kept.id") != F.col("id")) | (F.col("kept.tk") != F.col("tk"))).select("id", "tk").distinct())
     own, tk = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "tk"))  # names that no column has

@@ -89,6 +89,23 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_make_no_idle_round_and_no_broadcast(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df, f=components.cut: written.append(df) or f(df))
+    stars = [(k, 3 * (k // 3)) for k in range(30)]
+    for edges, rounds in ((stars, 0), ([*stars, (4, 1), (8, 29)], 2)):
+        written.clear()
+        got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == closure(edges, range(30)) and len(written) <= 1 + rounds
+        joins = [x for df in written for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+        assert len(joins) >= 2 * (len(written) - 1) and all("strategy=merge" in x for x in joins)
+    rnd = random.Random(3)
+    mixed = [(rnd.randrange(-50, 50), rnd.randrange(-50, 50)) for _ in range(60)]
+    nodes = sorted({x for u, v in mixed for x in (u, v) if u != v})
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(mixed, "u long, v long")).collect()}
+    assert got == closure([e for e in mixed if e[0] != e[1]], nodes)
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     assert simhash_dedup.near_groups(odd).count() == odd.count()
     kept = simhash_dedup.keep_one(odd)
