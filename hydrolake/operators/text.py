@@ -134,11 +134,16 @@ def ungrounded(texts: DataFrame, evidence: DataFrame, id_col: str = "id", counts
     return met.filter(~free).withColumn("problem", problem).filter("problem IS NOT NULL").select(id_col, "place", "raw", "value", "unit", "problem")
 
 
-def translation_check(source: Column, target: Column) -> Column:
-    """What is wrong with a translation: numbers differ, numerals beyond ASCII, invisible characters, odd length."""
-    tokens = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)))
+def translation_check(source: Column, target: Column, numerals: str = r"(?![0-9])\p{N}", invisible: str = r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]") -> Column:
+    """What is wrong with a translation: numbers differ, numerals beyond ASCII, invisible characters, odd length.
+
+    `numerals` and `invisible` are patterns of the characters that are told. Any translation of an empty text has an odd length.
+    """
+    # Possessive, so that no list of numbers is too long for the pattern's stack.
+    tokens = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"\d++(?:[.,]\d++)*+"), F.lit(0)))
     ratio = F.try_divide(F.length(target).cast("double"), F.length(source).cast("double"))
-    return S.flags(numbers_differ=tokens(source) != tokens(target), foreign_numerals=target.rlike(r"(?![0-9])\p{N}"), invisible_characters=target.rlike(r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff]"), length_ratio=(ratio < 0.4) | (ratio > 3.0))
+    odd = (ratio < 0.4) | (ratio > 3.0) | ((F.length(source) == 0) & target.isNotNull())
+    return S.flags(numbers_differ=tokens(source) != tokens(target), foreign_numerals=target.rlike(numerals), invisible_characters=target.rlike(invisible), length_ratio=odd)
 
 
 def partial_time(text: Column, zone: str) -> Column:
