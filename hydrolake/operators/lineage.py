@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """`cut` for tables that are joined round after round: the planner goes on with the size that was written.
+
+    After a plain `cut` it goes on with its estimate, which for a join is the product of both sides. Rounds of such
+    products are numbers of ever more digits, and those of twenty rounds fill the driver.
+    """
+    shared_dir(df.sparkSession)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    held.count()
+    out = held.select("*").checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back, so that later scans take only the columns they need."""
     path = shared_path(df.sparkSession, label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.operators.lineage import cut
+from hydrolake.operators.lineage import cut, settle
 
 
 def assert_acyclic(edges: DataFrame) -> None:
@@ -23,20 +23,22 @@ def assert_acyclic(edges: DataFrame) -> None:
 
 
 def _ends(links: DataFrame) -> DataFrame:
-    """Links (node, next, km) to each node's last `next` that has no link itself, and the way there, by pointer doubling.
+    """Links (node, next, km), of which no two share a node or a next, to each node's last `next` that has no link itself, and the way there, by pointer doubling.
 
-    The rounds are the logarithm of the longest chain; chains that never end are cycles.
+    The rounds are the logarithm of the longest chain; chains that never end are cycles. A node that has reached its
+    end is not joined on any more, so the many nodes with one end never meet in a task.
     """
-    now = cut(links)
-    most = now.count().bit_length() + 1
-    for _ in range(most):
-        ahead = now.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("km").alias("__km"))
-        step = now.join(ahead, "next", "left")
-        grown = F.col("__next").isNotNull()
-        now = cut(step.select("node", F.coalesce("__next", "next").alias("next"), (F.col("km") + F.coalesce("__km", F.lit(0.0))).alias("km"), grown.alias("grown")))
-        if now.filter("grown").isEmpty():
-            return now.drop("grown")
-        now = now.drop("grown")
+    has = links.select(F.col("node").alias("next"), F.lit(True).alias("open"))
+    now = settle(links.join(has, "next", "left").select("node", "next", "km", F.coalesce("open", F.lit(False)).alias("open")))
+    n = now.count()
+    # Each round has as many rows as the first, so this many tasks do for all.
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, n >> 16)
+    for _ in range(n.bit_length() + 1):
+        if now.filter("open").isEmpty():
+            return now.drop("open")
+        ahead = now.select(F.col("node").alias("next"), F.col("next").alias("__next"), F.col("km").alias("__km"), F.col("open").alias("__open"))
+        step = now.filter("open").join(ahead, "next").select("node", F.col("__next").alias("next"), (F.col("km") + F.col("__km")).alias("km"), F.col("__open").alias("open"))
+        now = settle(step.unionByName(now.filter("NOT open")).coalesce(tasks))
     raise ValueError("the network has a cycle")
 
 
@@ -51,11 +53,11 @@ def contracted(edges: DataFrame, source) -> tuple[DataFrame, DataFrame]:
     through = cut(into.join(out, "node").filter("i = 1 AND o = 1").filter(F.col("node") != F.lit(source)).select("node"))
     if through.isEmpty():
         return edges, through.withColumns({"head": F.col("node"), "km": F.lit(0.0)})
-    down = _ends(edges.join(through, edges["src"] == through["node"]).select("node", F.col("dst").alias("next"), "km"))
     up = _ends(edges.join(through, edges["dst"] == through["node"]).select("node", F.col("src").alias("next"), "km"))
-    first = edges.join(through.select(F.col("node").alias("src")), "src", "left_anti")
-    jumps = down.select(F.col("node").alias("dst"), F.col("next").alias("__end"), F.col("km").alias("__km"))
-    joined = first.join(jumps, "dst", "left").select("src", F.coalesce("__end", "dst").alias("dst"), (F.col("km") + F.coalesce("__km", F.lit(0.0))).alias("km"))
+    # The edge out of a chain's last node carries the whole chain; edges into its nodes are held by it.
+    last = edges.join(through.select(F.col("node").alias("dst")), "dst", "left_anti")
+    jumps = up.select(F.col("node").alias("src"), F.col("next").alias("__head"), F.col("km").alias("__km"))
+    joined = last.join(jumps, "src", "left").select(F.coalesce("__head", "src").alias("src"), "dst", (F.coalesce("__km", F.lit(0.0)) + F.col("km")).alias("km"))
     return joined.groupBy("src", "dst").agg(F.min("km").alias("km")), up.select("node", F.col("next").alias("head"), "km")
 
 
@@ -82,10 +84,10 @@ def river_risk(edges: DataFrame, source, initial: float, decay_per_km: float) ->
     front = best
     while True:
         step = front.withColumnRenamed("km", "so_far").join(own, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("so_far") + F.col("km")).alias("new"))
-        front = cut(step.join(best, "node", "left").filter("km IS NULL OR new < km - 1e-12").select("node", F.col("new").alias("km")))
+        front = settle(step.join(best, "node", "left").filter("km IS NULL OR new < km - 1e-12").select("node", F.col("new").alias("km")))
         if front.isEmpty():
             break
-        best = cut(best.unionByName(front).groupBy("node").agg(F.min("km").alias("km")))
+        best = settle(best.unionByName(front).groupBy("node").agg(F.min("km").alias("km")))
     inner = within.join(best.select(F.col("node").alias("head"), F.col("km").alias("__km")), "head").select("node", (F.col("km") + F.col("__km")).alias("km"))
     found = best.unionByName(inner)
     return nodes.join(found, "node", "left").select("node", "km", F.coalesce(F.lit(initial) * F.exp(-decay_per_km * F.col("km")), F.lit(0.0)).alias("risk"))

@@ -1,8 +1,10 @@
 """Queries on odd rows against their SQL, and the ways that large tables take, on small ones."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from hydrolake.operators import network as N
 from hydrolake.operators import text as T
 from hydrolake.plans.registry import QUERIES, SQL
 from hydrolake import plans  # noqa: F401  registers the queries
@@ -28,3 +30,26 @@ def test_translations_of_odd_texts(spark, tmp_path):
     # By itself the check tells all numerals beyond ASCII and all invisible characters.
     pairs = spark.createDataFrame([("1", "Ⅳ 1", "foreign-numerals"), ("a", "a\u2060", "invisible-characters"), ("", "", "length-ratio"), ("a", None, ""), ("1,2", "2.1", "numbers-differ")], "a string, b string, want string")
     assert all(r["got"] == r["want"] for r in pairs.select("want", F.array_join(T.translation_check(F.col("a"), F.col("b")), ",").alias("got")).collect())
+
+
+def test_rounds_keep_the_planner_small(spark, monkeypatch):
+    """The planner's size of a table that is joined round after round stays that of its rows; a chain and its branch, against a plain walk."""
+    bits = []
+    settle = N.settle
+
+    def seen(df):
+        out = settle(df)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(N, "settle", seen)
+    n = 1500
+    rows = [(f"n{k}", f"n{k + 1}", 1.0 + k % 3) for k in range(n)] + [("n700", "m0", 2.0)] + [(f"m{k}", f"m{k + 1}", 1.0) for k in range(40)]
+    km = {"n0": 0.0}
+    for a, b, d in rows:
+        km[b] = km[a] + d
+    got = {r["node"]: r["km"] for r in N.river_risk(spark.createDataFrame(rows, "src string, dst string, km double"), "n0", 1.0, 0.001).collect()}
+    assert got == km and len(bits) > 10 and max(bits) < 40
+    ring = spark.createDataFrame([("s", "a", 1.0), *[(f"r{k}", f"r{(k + 1) % 9}", 1.0) for k in range(9)]], "src string, dst string, km double")
+    with pytest.raises(ValueError, match="cycle"):
+        N.river_risk(ring, "s", 1.0, 0.001)
