@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """`cut` for tables that are joined round after round: the planner goes on with the size that was written, not with products of estimates."""
+    shared_dir(df.sparkSession)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    held.count()
+    out = held.select("*").checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """From now on the shuffle files of a job go when it ends, and not when the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrolake.llm.common import cut, spread_join
+from hydrolake.llm import common
+from hydrolake.llm.common import settle as cut
+from hydrolake.llm.common import spread_join
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -23,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round are written to the shared checkpoint folder. Only counts reach the
     driver, and no join is a broadcast, since its memory would go with the rounds. The star of a large component is a hot key, so joins are dealt by more than the key. Loops and repeated edges are ignored; no edges give no rows.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    # Not settled, as what leads to the edges may be large and a settled table's shuffle files go later.
+    now = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     # A round has no more edges than the one before, so this many tasks do for all.
     tasks = max(edges.sparkSession.sparkContext.defaultParallelism, now.count() >> 16)
     now = now.coalesce(tasks)

@@ -27,7 +27,7 @@ component of them alone has a null id, and ids may be any longs; other columns a
 from __future__ import annotations
 
 import uuid
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrolake.llm.buckets import cells
-from hydrolake.llm.common import cut, map_rows, spread_join
+from hydrolake.llm.common import cut, map_rows, spread_join, tidy
 from hydrolake.llm.components import connected_components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -54,6 +54,8 @@ LISTS = np.concatenate(ORDERS).reshape(-1, 4)
 STAGE_SHARED, STAGE_RADIUS = 5, 38
 #: Entries of a list that are compared in one cell, and one in how many is counted to find longer lists.
 ENTRIES, COUNTED = 2048, 16
+#: Entries that one job deals to its tasks; of more fingerprints a job takes fewer lists, so the disk for entries stays the same.
+JOB = 100_000_000
 #: Sorted entries that a task compares at once.
 ROWS = 1 << 17
 #: Sets and hashes of a chunk of a group, and hashes that a cell compares at once.
@@ -220,35 +222,38 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_rows(own, make, f"id {kind}, tk bigint, key bigint, n int, node bigint, fp binary")
 
 
-def _entries(fps: DataFrame) -> DataFrame:
-    """(list, f0, f1, key) of (fp, key): an entry in each of the lists. A list's number is that of its positions and their half bytes; f0 and f1 are the first 128 bits."""
+def _entries(fps: DataFrame, begin: int = 0, end: int = len(LISTS)) -> DataFrame:
+    """(list, f0, f1, key) of (fp, key): an entry in each of the lists from `begin` to before `end`. A list's number is that of its positions and their half bytes; f0 and f1 are the first 128 bits."""
 
     def run(batches):
-        number = np.arange(len(LISTS), dtype=np.int64) << 16
+        own_lists, number = LISTS[begin:end], np.arange(begin, end, dtype=np.int64) << 16
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 octets = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 halves = np.stack([octets & 15, octets >> 4], -1).reshape(part.num_rows, -1).astype(np.int64)
-                lists = number + sum(halves[:, LISTS[:, k]] << 4 * k for k in range(4))
+                lists = number + sum(halves[:, own_lists[:, k]] << 4 * k for k in range(4))
                 first = np.ascontiguousarray(octets[:, :16]).view("<i8")
                 own = [first[:, 0], first[:, 1], part.column(1).to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), *(pa.array(np.repeat(x, len(LISTS))) for x in own)], ["list", "f0", "f1", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), *(pa.array(np.repeat(x, len(own_lists))) for x in own)], ["list", "f0", "f1", "key"])
 
     return fps.select("fp", "key").mapInArrow(run, "list long, f0 long, f1 long, key long")
 
 
-def _placed_entries(fps: DataFrame, most: int) -> DataFrame:
-    """(cell, side, f0, f1): the entries of each list, in cells of two chunks where a list has more than some `most`.
+def _long_lists(fps: DataFrame, most: int) -> DataFrame:
+    """(list, chunks) of the lists that have more than some `most` entries.
 
-    One of `COUNTED` fingerprints is counted to find long lists. That only says how they are dealt: all entries are compared either way.
+    One of `COUNTED` fingerprints is counted. That only says how lists are dealt: all entries are compared either way.
     """
-    chunk = lambda x: F.pmod(F.xxhash64(F.lit(5), "key"), F.col(x)).cast("int")
     some = _entries(fps.filter(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(COUNTED)) == 0))
-    long = cut(some.groupBy("list").count().filter(F.col("count") * COUNTED > most).select("list", F.ceil(F.col("count") * COUNTED / most).cast("int").alias("chunks")))
-    entries = _entries(fps)
+    return cut(some.groupBy("list").count().filter(F.col("count") * COUNTED > most).select("list", F.ceil(F.col("count") * COUNTED / most).cast("int").alias("chunks")))
+
+
+def _placed_entries(entries: DataFrame, long: DataFrame | None) -> DataFrame:
+    """(cell, side, f0, f1): the entries of each list, in cells of two chunks where a list is one of the `long` ones."""
+    chunk = lambda x: F.pmod(F.xxhash64(F.lit(5), "key"), F.col(x)).cast("int")
     whole = lambda df: df.select(F.col("list").alias("cell"), F.lit(0).alias("side"), "f0", "f1")
-    if long.isEmpty():
+    if long is None:
         return whole(entries)
     dealt = entries.join(F.broadcast(long), "list").withColumn("c", chunk("chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     i, j = (f("c", "other").cast("long") for f in (F.least, F.greatest))
@@ -301,8 +306,10 @@ def _close(cell: np.ndarray, side: np.ndarray, f0: np.ndarray, f1: np.ndarray) -
 
 def stage_links(fps: DataFrame, most: int | None = None) -> DataFrame:
     """(fp, key) to edges (u, v) between the first 64 bits of fingerprints, whose closure is that of all pairs that the lists link."""
-    most = most or max(ENTRIES, 8 * fps.count() >> 16)
-    placed = _placed_entries(fps, most).repartition("cell").sortWithinPartitions("cell")
+    n = fps.count()
+    long = _long_lists(fps, most or max(ENTRIES, 8 * n >> 16))
+    long = None if long.isEmpty() else long
+    step = max(1, min(len(LISTS), JOB // max(n, 1)))
 
     def run(batches):
         held, rows = [], 0
@@ -325,7 +332,12 @@ def stage_links(fps: DataFrame, most: int | None = None) -> DataFrame:
         if held:
             yield links(True)
 
-    found = placed.mapInArrow(run, "u long, v long")
+    def linked(begin: int) -> DataFrame:
+        placed = _placed_entries(_entries(fps, begin, min(begin + step, len(LISTS))), long)
+        return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+
+    jobs = [linked(begin) for begin in range(0, len(LISTS), step)]
+    found = jobs[0] if len(jobs) == 1 else reduce(DataFrame.unionByName, [cut(x.distinct()) for x in jobs])
     # Lists name different members as a group's smallest: a member keeps the least of them, and these are linked among each other.
     least = found.groupBy("u").agg(F.collect_set("v").alias("all")).withColumn("m", F.array_min("all"))
     star = F.transform("all", lambda v: F.struct(F.when(v == F.col("m"), F.col("u")).otherwise(v).alias("u"), F.col("m").alias("v")))
@@ -424,25 +436,72 @@ def _between(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return gathered.mapInArrow(run, "u long, v long")
 
 
+def _resolved(texts: DataFrame) -> DataFrame:
+    """(key, part) of texts (band, key, text) in bands of `CHUNK` texts and `CHUNK_HASHES` hashes at most: texts of one part are alike, directly or over others.
+
+    A task has a band as a whole, so its sets are made and compared there and none is written.
+    """
+    placed = texts.select("band", "key", "text").repartition("band").sortWithinPartitions("band")
+
+    def parts(held: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        least = min(held)
+        first = held[least]
+        near = {k: least if k == least or _enough(len(np.intersect1d(first, x, assume_unique=True)), len(first), len(x)) else k for k, x in held.items()}
+        if len(set(near.values())) > 1:
+            keys = list(held)
+            over = dict(_linked([0] * len(keys), keys, [near[k] for k in keys], [held[k] for k in keys]))
+            near = {k: over.get(p, p) for k, p in near.items()}
+        return list(near.items())
+
+    def run(batches):
+        band, held = None, {}
+        for batch in batches:
+            out = []
+            for b, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if b != band:
+                    out += parts(held) if held else []
+                    band, held = b, {}
+                if key not in held:  # rows may repeat an id and its text
+                    held[key] = _sketch_set(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["key", "part"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*parts(held))], ["key", "part"])
+
+    return placed.mapInArrow(run, "key long, part long")
+
+
+def _wide_parts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, part) of the members (band, key, n, c) of bands of any size: each against the smallest of its band, and in bands that fall apart among each other in cells."""
+    sets = cut(_sets(texts.groupBy("key").agg(F.first("text").alias("text"))))
+    sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
+    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized)
+    # A set is in one group only, so those that are like the group's smallest are a part as they are.
+    placed = members.join(_alike(stars, sets).toDF("part", "key"), "key", "left")
+    placed = cut(placed.select("band", "key", "n", F.coalesce("part", "key").alias("part")))
+    return placed.select("key", F.col("part").alias("node")).join(connected_components(_between(placed, sets)), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
+
+
 def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, part) for each row: its id, the hash of its text, and its component of like texts."""
+    tidy(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col))
     # Of all copies of a text one row, named by its hash and that of its id, stands for them.
     one = F.min(F.struct("tk", F.xxhash64("id").alias("ik"))).alias("one")
     known = cut(rows.filter("n > 0").groupBy("key").agg(one, *(F.any_value(c).alias(c) for c in ("n", "node", "fp"))))
     grouped = spread_join(known, connected_components(stage_links(known)).withColumnRenamed("component", "band"), "node", "key", "left", merge=True)
     grouped = grouped.select("key", "one", "n", F.coalesce("band", "node").alias("band"))
-    shared = grouped.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
+    large = (F.count("*") > CHUNK) | (F.sum("n") > CHUNK_HASHES)
+    shared = grouped.groupBy("band").agg(F.count("*").alias("m"), large.alias("large"), F.min(F.struct("key", "n")).alias("c")).filter("m > 1").drop("m")
     members = cut(spread_join(grouped, shared, "band", "key", merge=True))
-    wanted = members.select("key", "one.tk", "one.ik")
-    own = docs.select(F.xxhash64(text_col).alias("tk"), F.xxhash64(id_col).alias("ik"), F.col(text_col).alias("text")).join(wanted, ["tk", "ik"])
-    sets = cut(_sets(own.groupBy("key").agg(F.first("text").alias("text"))))
-    sized = LIKE[1] * F.least("nu", "nv") >= LIKE[0] * F.greatest("nu", "nv")
-    stars = members.select(F.col("c.key").alias("u"), F.col("key").alias("v"), F.col("c.n").alias("nu"), F.col("n").alias("nv")).filter("u <> v").filter(sized)
-    # A set is in one group only, so those that are like the group's smallest are a part as they are.
-    placed = members.join(_alike(stars, sets).toDF("part", "key"), "key", "left")
-    placed = cut(placed.select("band", "key", "n", F.coalesce("part", "key").alias("part")))
-    parts = placed.select("key", F.col("part").alias("node")).join(connected_components(_between(placed, sets)), "node", "left").select("key", F.coalesce("component", "node").alias("part"))
+
+    def texts(of: DataFrame) -> DataFrame:
+        own = docs.select(F.xxhash64(text_col).alias("tk"), F.xxhash64(id_col).alias("ik"), F.col(text_col).alias("text"))
+        return own.join(of.select("band", "key", "one.tk", "one.ik"), ["tk", "ik"])
+
+    parts = cut(_resolved(texts(members.filter("NOT large"))))
+    wide = members.filter("large")
+    if not wide.isEmpty():
+        parts = parts.unionByName(_wide_parts(wide, texts(wide)))
     named = spread_join(rows.select("id", "tk", "key"), parts, "key", "id", "left", merge=True)
     return named.select("id", "tk", F.coalesce("part", "key").alias("part"))
 
