@@ -17,6 +17,8 @@ from hydrolake.operators.lineage import cut
 
 #: Rows up to which a group's median is taken in one aggregation; bits of a digit; groups whose states are broadcast.
 LARGE, DIGIT, BROADCAST_GROUPS = 65_536, 16, 100_000
+#: Bins of a group's range, the least half range that has them, and the values a group, in the mean, up to which those of the middle bins are written down.
+BINS, TINY, WRITTEN = 4096, 1e-290, 1_000_000
 
 
 def _scaled(x: Column, power: Column) -> Column:
@@ -68,23 +70,48 @@ def select(df: DataFrame, by: list[str], key: str, wanted: DataFrame) -> DataFra
     return state.select(*[F.col(f"__{c}").alias(c) for c in by], "which", F.col("prefix").bitwiseXOR(F.lit(-(2**63))).alias("key"))
 
 
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """The number of v's bin, of `BINS` even ones between low and high; it never falls where v rises, whatever the rounding."""
+    # Halves, as the width of a range may be beyond the largest double.
+    width = high / 2 - low / 2
+    place = F.try_divide(v / 2 - low / 2, width) * BINS
+    return F.when(width >= TINY, F.least(F.floor(place), F.lit(BINS - 1)).cast("int")).otherwise(0)
+
+
 def medians(df: DataFrame, by: list[str], value: str, large: int = LARGE) -> DataFrame:
     """(by, median) of the finite values of each group, exactly; the mean of the middle two of an even number.
 
-    Groups of more than `large` values are searched digit by digit, the others go through one aggregation.
+    Groups of more than `large` values are counted in even bins between their smallest and largest value; the values of
+    the bins that hold the middle two are searched digit by digit, and written down first where they are few. The
+    other groups go through one aggregation.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL AND NOT isnan(__v) AND abs(__v) <> double('infinity')")
-    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > large))
-    if sizes.isEmpty():
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")))
+    big = sizes.filter(F.col("n") > large)
+    n_big = big.count()
+    if not n_big:
         return rows.groupBy(*by).agg(F.median("__v").alias("median"))
-    names = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.lit(True).alias("__large"))
-    held = F.broadcast(names) if names.count() <= BROADCAST_GROUPS else names
-    told = rows.join(held, _same(rows, names, by), "left")
-    small = told.filter("__large IS NULL").groupBy(*by).agg(F.median("__v").alias("median"))
-    keyed = told.filter("__large").select(*by, order_key(F.col("__v")).alias("key"))
-    middle = F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(F.col("n") / 2).alias("rank")))
-    wanted = sizes.select(*by, F.explode(middle).alias("w")).select(*by, "w.which", "w.rank")
-    found = select(keyed, by, "key", wanted).withColumn("v", key_value(F.col("key")))
-    both = found.groupBy(*by).agg((F.min("v") / 2 + F.max("v") / 2).alias("half"), F.min("v").alias("low"), F.max("v").alias("high"))
+    names = big.select(*[F.col(c).alias(f"__{c}") for c in by], "__low", "__high")
+    hold = lambda few: F.broadcast(few) if n_big <= BROADCAST_GROUPS else few
+    keys = [f"__{c}" for c in by]
+    told = rows.join(hold(names), _same(rows, names, by)).select(*by, "__v", _bin(F.col("__v"), F.col("__low"), F.col("__high")).alias("__bin"))
+    counts = told.groupBy(*by, "__bin").agg(F.count("*").alias("__c")).withColumn("__upto", F.sum("__c").over(W.partitionBy(*by).orderBy("__bin")))
+    total = F.sum("__c").over(W.partitionBy(*by))
+    middle = F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("__n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("which"), F.floor(F.col("__n") / 2).alias("rank")))
+    placed = counts.withColumn("__n", total).withColumn("w", F.explode(middle)).filter("w.rank >= __upto - __c AND w.rank < __upto")
+    found = cut(placed.groupBy(*by).agg(F.min("__bin").alias("__first"), F.max("__bin").alias("__last"), F.min(F.col("__upto") - F.col("__c")).alias("__less"), F.max("__upto").alias("__upto"), F.first("__n").alias("__n")))
+    # Between the two bins there is no value, so all that is in or between them is what their counts say.
+    left = found.agg(F.sum(F.col("__upto") - F.col("__less"))).first()[0]
+    bins = found.select(*[F.col(c).alias(f"__{c}") for c in by], "__first", "__last")
+    inner = told.join(hold(bins), _same(told, bins, by) & F.col("__bin").between(F.col("__first"), F.col("__last"))).select(*by, "__v")
+    if left <= WRITTEN * n_big:
+        inner = cut(inner)
+    wanted = found.select(*by, F.explode(middle).alias("w"), "__less").select(*by, "w.which", (F.col("w.rank") - F.col("__less")).alias("rank"))
+    out = select(inner.select(*by, order_key(F.col("__v")).alias("key")), by, "key", wanted).withColumn("v", key_value(F.col("key")))
+    both = out.groupBy(*by).agg((F.min("v") / 2 + F.max("v") / 2).alias("half"), F.min("v").alias("low"), F.max("v").alias("high"))
     mean = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("half"))
-    return small.unionByName(both.select(*by, mean.alias("median")))
+    medians_ = both.select(*by, mean.alias("median"))
+    if sizes.filter(F.col("n") <= large).isEmpty():
+        return medians_
+    small = rows.join(hold(names), _same(rows, names, by), "left_anti")
+    return small.groupBy(*by).agg(F.median("__v").alias("median")).unionByName(medians_)

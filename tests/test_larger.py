@@ -2,12 +2,15 @@
 
 import glob
 import os
+import random
+import statistics
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from hydrolake.operators import network as N
+from hydrolake.operators import order as O
 from hydrolake.operators import text as T
 from hydrolake.operators.lineage import shared_dir
 from hydrolake.plans.registry import QUERIES, SQL
@@ -71,3 +74,23 @@ def test_observation_lines_take_little_disk(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{source}/lineitem.parquet'")
     assert got == set(db.execute(SQL["s5_read_observations"]).fetchall())
+
+
+@pytest.mark.parametrize("written", [10**6, 0])
+def test_medians_search_the_middle_bins_only(spark, monkeypatch, written):
+    """Digits are searched in the bins that hold the middle; odd groups against plain Python."""
+    rnd = random.Random(8)
+    even = [rnd.random() for _ in range(4000)]
+    odd = {
+        "outlier": [*(rnd.random() for _ in range(300)), 1.7e308], "both ends": [-1.7e308, 1.7e308, *(rnd.gauss(0, 1) for _ in range(200))], "same": [4.25] * 300,
+        "apart": [*(rnd.random() for _ in range(150)), *(9 + rnd.random() for _ in range(150))], "tiny": [5e-324 * rnd.randint(0, 9) for _ in range(301)], None: [float(rnd.randint(0, 3)) for _ in range(250)], "few": [3.0, 1.0],
+    }
+    monkeypatch.setattr(O, "WRITTEN", written)
+    seen = []
+    monkeypatch.setattr(O, "select", lambda df, *more, f=O.select: seen.append(df.count()) or f(df, *more))
+    own = lambda groups: spark.createDataFrame([(k, v) for k, x in groups.items() for v in x], "g string, v double").repartition(3)
+    got = {r["g"]: r["median"] for r in O.medians(own(odd), ["g"], "v", large=100).collect()}
+    assert got == {k: pytest.approx(statistics.median(v), rel=1e-15, abs=0) for k, v in odd.items()}
+    seen.clear()
+    assert O.medians(own({"e": even}), ["g"], "v", large=100).first()["median"] == pytest.approx(statistics.median(even), rel=1e-15)
+    assert 0 < seen[0] < 40
